@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 #: Query name -> module of this subpackage that has query(spark, sf_dir), and SQL where SQL can express it.
 _MODULES = {
     "op3_ngram_jaccard_join": "q_ngram_join",
+    "op8_byte_level_bpe": "q_byte_bpe",
+    "op10_token_files": "q_token_files",
 }
 
 
