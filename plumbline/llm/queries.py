@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 _MODULES = {
     "op3_ngram_jaccard_join": "q_ngram_join",
     "op4_benchmark_decontamination": "q_decontamination",
+    "op5_url_filters": "q_url_filters",
     "op8_byte_level_bpe": "q_byte_bpe",
     "op10_token_files": "q_token_files",
 }
