@@ -13,6 +13,7 @@ _MODULES = {
     "op3_ngram_jaccard_join": "q_ngram_join",
     "op4_benchmark_decontamination": "q_decontamination",
     "op5_url_filters": "q_url_filters",
+    "op7_toxicity": "q_toxicity",
     "op8_byte_level_bpe": "q_byte_bpe",
     "op10_token_files": "q_token_files",
 }
