@@ -15,6 +15,7 @@ _MODULES = {
     "op5_url_filters": "q_url_filters",
     "op7_toxicity": "q_toxicity",
     "op8_byte_level_bpe": "q_byte_bpe",
+    "op9_quality_classifier": "q_quality_classifier",
     "op10_token_files": "q_token_files",
 }
 
