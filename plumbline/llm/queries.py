@@ -13,6 +13,7 @@ _MODULES = {
     "op3_ngram_jaccard_join": "q_ngram_join",
     "op4_benchmark_decontamination": "q_decontamination",
     "op5_url_filters": "q_url_filters",
+    "op6_lm_scoring": "q_lm_scoring",
     "op7_toxicity": "q_toxicity",
     "op8_byte_level_bpe": "q_byte_bpe",
     "op9_quality_classifier": "q_quality_classifier",
