@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import struct
 import uuid
+from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -141,42 +142,53 @@ class Reader:
             held = held[n:]
 
 
-class WordEncoder:
-    """The tokenizer library's ids of whole texts, each word of ASCII-space-free bytes encoded once.
+def _byte_letters() -> dict[int, str]:
+    """The character that byte-level pre-tokenizers use for each byte: itself if printable, else the next one from U+0100."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(others)}
 
-    For tokenizers that drop white space and never join over it.  A word that ends
-    in one of . , ! ? : ; after a letter or digit is encoded as its two parts, which such
-    tokenizers split too.
+
+class WordEncoder(dict):
+    """The tokenizer library's ids of whole texts; each word between ASCII white space is encoded once and remembered.
+
+    For byte-level tokenizers that lower-case, drop white space, never join over it and
+    keep letters apart from punctuation.  A word of Latin-1 letters is one piece that
+    normalisation only lower-cases, so it goes straight to the library's model; a run of
+    plain punctuation at a word's end is a piece of its own.  All else takes the library's
+    whole path.
     """
 
-    REMEMBERED = 400_000
+    REMEMBERED = 300_000
+    _END = b".,!?:;#$%&*)]}"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
-
-    def _learn(self, words: list[bytes]) -> None:
-        coded = self.library.encode_batch([w.decode() for w in words], add_special_tokens=False)
-        for w, c in zip(words, coded):
-            self.known[w] = np.array(c.ids, dtype="<u4").tobytes()
+        self.tokenize = self.library.model.tokenize
+        self.letters = {chr(b): "".join(_byte_letters()[x] for x in chr(b).encode()) for b in range(256)}
+
+    def __missing__(self, word: bytes) -> bytes:
+        head = word.rstrip(self._END)
+        if head and len(head) < len(word) and head[-1:].isalnum():
+            out = self[head] + self[word[len(head) :]]
+        else:
+            text = word.decode()
+            if text.isalpha() and max(text) <= "\xff":
+                text = text.lower()
+                ids = [t.id for t in self.tokenize(text if text.isascii() else "".join(map(self.letters.__getitem__, text)))]
+            else:
+                ids = self.library.encode(text, add_special_tokens=False).ids
+            out = array("I", ids).tobytes()
+        self[word] = out
+        return out
 
     def encode(self, texts: Iterable[bytes], end: int) -> list[np.ndarray]:
-        split = [t.split() for t in texts]
-        if len(self.known) > self.REMEMBERED:
-            self.known.clear()
-        fresh = set().union(*split) - self.known.keys()
-        ended = {w for w in fresh if len(w) > 1 and w[-1] in b".,!?:;" and w[-2:-1].isalnum()}
-        parts = fresh - ended
-        parts.update(w[:-1] for w in ended)
-        parts.update(w[-1:] for w in ended)
-        if todo := list(parts - self.known.keys()):
-            self._learn(todo)
-        for w in ended:
-            self.known[w] = self.known[w[:-1]] + self.known[w[-1:]]
-        get, last = self.known.__getitem__, np.array([end], dtype="<u4").tobytes()
-        return [np.frombuffer(b"".join(map(get, s)) + last, "<u4") for s in split]
+        if len(self) > self.REMEMBERED:
+            self.clear()
+        last = np.array([end], dtype="<u4").tobytes()
+        return [np.frombuffer(b"".join(map(self.__getitem__, t.split())) + last, "<u4") for t in texts]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
