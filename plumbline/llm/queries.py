@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Query name -> module of this subpackage that has query(spark, sf_dir), and SQL where SQL can express it.
 _MODULES = {
     "op1_quality_rules": "q_quality_rules",
+    "op2_license_scans": "q_license_scans",
     "op3_ngram_jaccard_join": "q_ngram_join",
     "op4_benchmark_decontamination": "q_decontamination",
     "op5_url_filters": "q_url_filters",
