@@ -1,25 +1,30 @@
 """Exact set-similarity self-join on word shingles, with token-combination prefixes.
 
 Two texts link when |A & B| / |A | B| >= percent / 100 for their sets of word
-shingles.  Every set orders its shingles by one global order (rare ones first,
-then by hash) and indexes only a prefix of it:
+shingles.  Every set orders its shingles by one global order and indexes only a
+prefix of it:
 
-* rare shingles are indexed one by one;
+* rare shingles are indexed one by one (those of one set alone can meet no other
+  and are only counted);
 * frequent shingles fall into sub-classes by hash, and only combinations of two
   shingles of the same sub-class are indexed.
 
 With e = n - ceil(percent * n / 100) shingles that a linked partner may lack, a
 prefix is long enough when (rare in it) + sum over sub-classes of
 max(0, in it - 1) > e: whatever e shingles are missing, a whole signature
-remains, and both partners' prefixes hold it.  Without frequent shingles that is
-the plain prefix of e + 1.  The number of sub-classes depends on the size level
-(power of two) of a set; a set is indexed at each level that a linked partner
-could have.  Which shingles count as frequent steers cost only, never results.
-
-Candidates are verified on the whole sets.  Sets that are equal are one node, so
-copies cost nothing; a large signature bucket is first joined to a few leaders,
-and only nodes that are still in different components are compared in full, so
-components are exact without all pairs of a group.
+remains, and both partners' prefixes hold it.  The number of sub-classes depends
+on the size level (power of two) of a set; a set is indexed at each level that a
+linked partner could have.
+
+The global order is (half of the hash space, frequency class, hash), so a prefix
+almost always ends within the first half and only that half of a set's shingles is
+counted; a set whose first half might not be enough sends all.  Shingles travel as
+packed arrays, shortened to 32 bits within a part; what that confuses costs a
+candidate and is put right by the check on whole sets.
+
+Sets that are equal are one node, so copies cost nothing; a large signature bucket
+is first joined to a few leaders, and only nodes that are still in different
+components are compared in full, so components are exact without all pairs of a group.
 """
 
 from __future__ import annotations
@@ -35,13 +40,14 @@ from ._shared import Workspace
 from .components import connected_components
 
 U64 = np.uint64
-#: A shingle in at least this many texts is frequent; raised where the list would pass FREQUENT_MOST entries.
-FREQUENT = 64
-FREQUENT_MOST = 2_000_000
+#: A shingle in at least 2 ** FREQUENT sets is frequent.
+FREQUENT = 6
 #: Buckets up to this size are compared in full at once.
 SMALL_BUCKET = 12
 LEADERS = 3
 BLOB = 16 << 20
+#: Sets that are fetched by a broadcast list (about 50 bytes each) rather than by a join of the texts.
+SENT_MOST = 500_000
 
 
 def _sets(batch: pa.RecordBatch, width: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -67,136 +73,168 @@ def _lacks(n: np.ndarray | int, percent: int):
     return n - (percent * n + 99) // 100
 
 
-def _frequent(docs: DataFrame, width: int, parts: int) -> np.ndarray:
-    """Hash buckets (32 bits) of shingles that are in many texts, sorted."""
+def _classes(level: int) -> int:
+    return max(1, (1 << level) // 8)
 
-    def count(batches):
-        held, size = [], 0
 
-        def flush():
-            token, times = np.unique(np.concatenate(held), return_counts=True)
-            part = (token.astype(np.uint64) * U64(parts)) >> U64(32)
-            cut = np.searchsorted(part, np.arange(parts + 1))
-            rows = [(p, token[a:b], times[a:b]) for p, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a]
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([np.concatenate([r[1][r[2] == 1]]).tobytes() for r in rows], pa.binary()), pa.array([np.concatenate([r[1][r[2] > 1], r[2][r[2] > 1].astype(np.uint32)]).tobytes() for r in rows], pa.binary())], names=["part", "once", "more"])
+def _levels(n: int, percent: int) -> range:
+    """The size levels of all sets that a set of n may link with."""
+    return range(((n * percent + 99) // 100).bit_length() - 1, (n * 100 // percent).bit_length())
 
-        for batch in batches:
-            for _, value, _ in _sets(batch, width):
-                held.append((value >> U64(32)).astype(np.uint32))
-                size += len(value)
-                if size > 4_000_000:
-                    yield flush()
-                    held, size = [], 0
-        if size:
-            yield flush()
 
-    def merge(batches):
-        tokens, times = [], []
-        for batch in batches:
-            for once, more in zip(batch.column("once"), batch.column("more")):
-                one, two = np.frombuffer(once.as_buffer(), np.uint32), np.frombuffer(more.as_buffer(), np.uint32)
-                half = len(two) // 2
-                tokens += [one, two[:half]]
-                times += [np.ones(len(one), np.uint32), two[half:]]
-        token, times = np.concatenate(tokens), np.concatenate(times)
-        order = np.argsort(token)
-        token, times = token[order], times[order]
-        first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-        total = np.add.reduceat(times.astype(np.int64), first)
-        many = total >= FREQUENT
-        return pa.RecordBatch.from_arrays([pa.array(token[first][many].astype(np.int64)), pa.array(total[many])], names=["token", "df"])
-
-    counted = docs.select("text").mapInArrow(count, "part int, once binary, more binary")
-    many = counted.groupBy("part").applyInArrow(lambda t: pa.Table.from_batches([merge(t.to_batches())]), "token long, df long").persist()
-    try:
-        least, total = FREQUENT, many.count()
-        while total > FREQUENT_MOST:
-            least *= 2
-            total = many.filter(F.col("df") >= least).count()
-        table = many.filter(F.col("df") >= least).select("token").toArrow()
-    finally:
-        many.unpersist()
-    return np.sort(table.column("token").to_numpy().astype(np.uint32))
-
-
-def signatures(value: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
-    """The signatures of one set (its sorted shingle hashes; `frequent` marks them)."""
-    n = len(value)
-    if n < 2:  # links with equal sets only
-        return value[:0]
+def signatures(n: int, alone: tuple[int, int], token: np.ndarray, kind: np.ndarray, late: np.ndarray, percent: int) -> np.ndarray:
+    """The signatures of a set of n: of its shared tokens with their frequency classes and halves, and the number alone in each half."""
     e = int(_lacks(n, percent))
-    rare = value[~frequent]
-    if len(rare) > e:
-        return rare[: e + 1]
-    often = value[frequent]
-    out = [rare]
-    lowest, highest = (n * percent + 99) // 100, n * 100 // percent
-    for level in range(max(lowest, 1).bit_length() - 1, highest.bit_length()):
-        classes = max(1, (1 << level) // 8)
-        kind = (mix(often ^ U64(0xC1A55)) & U64(classes - 1)).astype(np.int64)
-        order = np.argsort(kind, kind="stable")
-        start = np.searchsorted(kind[order], np.arange(classes + 1))
-        rank = np.empty(len(often), dtype=np.int64)
-        rank[order] = np.arange(len(often)) - np.repeat(start[:-1], np.diff(start))
-        budget = np.cumsum(rank > 0)
-        length = int(np.searchsorted(budget, e + 1 - len(rare))) + 1
-        used, kind, rank = often[:length], kind[:length], rank[:length]
-        order = np.argsort(kind, kind="stable")
-        used, rank = used[order], rank[order]
+    if alone[0] > e:
+        return token[:0]
+    order = np.lexsort((token, kind, late))
+    token, kind, late = token[order], kind[order], late[order]
+    frequent = kind >= FREQUENT
+    before = alone[0] + alone[1] * late  # those in no other set come first in their half
+    if not frequent.any():
+        return token[np.arange(len(token)) + before <= e]
+    out = []
+    for level in _levels(n, percent):
+        classes = _classes(level)
+        group = (mix(token ^ U64(0xC1A55)) & U64(classes - 1)).astype(np.int64)
+        group[~frequent] = -1
+        by = np.argsort(group, kind="stable")
+        first = np.searchsorted(group[by], np.arange(-1, classes + 1))
+        rank = np.empty(len(token), dtype=np.int64)
+        rank[by] = np.arange(len(token)) - np.repeat(first[:-1], np.diff(first))
+        gain = ~frequent | (rank > 0)
+        budget = np.cumsum(gain) + before
+        length = min(len(token), int(np.searchsorted(budget, e + 1)) + 1)
+        used = np.arange(len(token)) < length
+        out.append(token[used & ~frequent])
+        own = by[used[by] & frequent[by]]
+        own_rank, own_token = rank[own], token[own]
         back = 1
-        while (rank >= back).any():  # each with the back-th before it in its sub-class
-            at = np.flatnonzero(rank >= back)
-            out.append(mix(used[at] * U64(0x9E3779B97F4A7C15) + mix(used[at - back]) + U64(level)))
+        while (own_rank >= back).any():  # each with the back-th before it in its sub-class
+            at = np.flatnonzero(own_rank >= back)
+            out.append(mix(own_token[at] * U64(0x9E3779B97F4A7C15) + mix(own_token[at - back]) + U64(level)))
             back += 1
     return np.unique(np.concatenate(out))
 
 
-def _index(docs: DataFrame, width: int, percent: int, frequent: np.ndarray, parts: int) -> DataFrame:
-    """Blobs (part, signatures, nodes) of all sets."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+def _starts(counts: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+
+
+def _column(table: pa.Table, name: str, kind) -> np.ndarray:
+    chunks = [np.frombuffer(x.as_buffer(), kind) for c in table.column(name).chunks for x in c]
+    return np.concatenate(chunks) if chunks else np.zeros(0, kind)
 
-    def emit(batches):
-        often = shared.value
-        sig, node, size = [], [], 0
 
-        def flush():
-            s, d = np.concatenate(sig), np.concatenate(node)
-            order = np.lexsort((d, s))
-            s, d = s[order], d[order]
-            fresh = np.concatenate([[True], (s[1:] != s[:-1]) | (d[1:] != d[:-1])])
-            s, d = s[fresh], d[fresh]
-            part = ((s >> U64(32)) * U64(parts)) >> U64(32)
+_SENT = "part int, nodes binary, sizes binary, counts binary, tokens binary"
+_SIGNED = "part int, sigs binary, nodes binary"
+_CLASSED = "chunk int, nodes binary, sizes binary, alone binary, counts binary, tokens binary, kinds binary"
+
+
+def _send(docs: DataFrame, width: int, percent: int, parts: int) -> DataFrame:
+    """Each part's share of the sets' shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            node, n, count, value = (np.concatenate(x) for x in zip(*held))
+            owner = np.repeat(np.arange(len(node)), count)
+            part = ((value >> U64(32)) * U64(parts)) >> U64(32)
+            order = np.argsort(part.astype(np.int32) if parts > 32767 else part.astype(np.int16), kind="stable")
+            part, owner, value = part[order], owner[order], value[order]
+            token = ((value & U64(0x7FFFFFFF)) | ((value >> U64(40)) & U64(1)) << U64(31)).astype(np.uint32)
             cut = np.searchsorted(part, np.arange(parts + 1))
-            some = [(p, a, b) for p, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a]
-            return pa.RecordBatch.from_arrays([pa.array([p for p, _, _ in some], pa.int32()), pa.array([s[a:b].tobytes() for _, a, b in some], pa.binary()), pa.array([d[a:b].tobytes() for _, a, b in some], pa.binary())], names=["part", "sigs", "nodes"])
+            rows = []
+            for p in range(parts):
+                a, b = cut[p], cut[p + 1]
+                if b > a:
+                    first = np.flatnonzero(np.concatenate([[True], owner[a + 1 : b] != owner[a : b - 1]]))
+                    own = owner[a:b][first]
+                    rows.append((p, node[own].tobytes(), n[own].astype(np.uint32).tobytes(), np.diff(np.append(first, b - a)).astype(np.uint32).tobytes(), token[a:b].tobytes()))
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), [pa.int32()] + [pa.binary()] * 4)], names=["part", "nodes", "sizes", "counts", "tokens"])
 
         for batch in batches:
             for _, value, bounds in _sets(batch, width):
-                keys = _keys(value, bounds)
-                token = (value >> U64(32)).astype(np.uint32)
-                at = np.minimum(np.searchsorted(often, token), max(len(often) - 1, 0))
-                marked = often[at] == token if len(often) else np.zeros(len(token), bool)
-                n = np.diff(bounds)
-                running = np.concatenate([[0], np.cumsum(~marked)])
-                rank = running[:-1] - np.repeat(running[bounds[:-1]], n)  # among the rare of the set
-                rare = np.diff(running[bounds])
-                e = _lacks(n, percent)
-                plain = (rare > e) & (n > 1)
-                take = ~marked & np.repeat(plain, n) & (rank <= np.repeat(e, n))
-                sig.append(value[take])
-                node.append(np.repeat(keys, n)[take])
-                for k in np.flatnonzero(~plain & (n > 1)):
-                    own = signatures(value[bounds[k] : bounds[k + 1]], marked[bounds[k] : bounds[k + 1]], percent)
-                    sig.append(own)
-                    node.append(np.full(len(own), keys[k]))
-                size = sum(map(len, sig)) if len(sig) % 16 == 0 else size
-                if size > 1_500_000:
+                n, node = np.diff(bounds), _keys(value, bounds)
+                late = ((value >> U64(40)) & U64(1)).astype(bool)
+                early = np.diff(_starts(~late)[bounds])
+                most = np.array([_classes(_levels(int(x), percent)[-1]) if x > 1 else 0 for x in n.tolist()])
+                whole = early < _lacks(n, percent) + 1 + most
+                fresh = np.zeros(len(n), dtype=bool)
+                fresh[np.unique(node, return_index=True)[1]] = True  # copies in one piece are sent once
+                fresh &= n > 1  # smaller sets link with equal ones only
+                take = np.repeat(fresh, n) & (np.repeat(whole, n) | ~late)
+                count = np.diff(_starts(take)[bounds])
+                held.append((node[fresh], n[fresh], count[fresh], value[take]))
+                size += int(count.sum())
+                if size > 2_000_000:
                     yield flush()
-                    sig, node, size = [], [], 0
-        if sig and sum(map(len, sig)):
+                    held, size = [], 0
+        if size:
             yield flush()
 
-    return docs.select("text").mapInArrow(emit, "part int, sigs binary, nodes binary")
+    return docs.select("text").mapInArrow(run, _SENT)
+
+
+def _classify(table: pa.Table, chunks: int) -> pa.Table:
+    """Of one part: in how many sets each shingle is, sent on to the sets' chunks."""
+    part = U64(table.column("part")[0].as_py())
+    node, n, count, token = _column(table, "nodes", np.uint64), _column(table, "sizes", np.uint32), _column(table, "counts", np.uint32).astype(np.int64), _column(table, "tokens", np.uint32)
+    first = np.zeros(len(node), dtype=bool)
+    first[np.unique(node, return_index=True)[1]] = True
+    token, node, n, count = token[np.repeat(first, count)], node[first], n[first], count[first]
+    owner = np.repeat(np.arange(len(node)), count)
+    order = np.argsort(token)
+    start = np.flatnonzero(np.concatenate([[True], token[order][1:] != token[order][:-1]]))
+    times = np.diff(np.append(start, len(token)))
+    kind = np.empty(len(token), dtype=np.uint8)
+    kind[order] = np.repeat(np.floor(np.log2(times)).astype(np.uint8), times)
+    single = np.zeros(len(token), dtype=bool)
+    single[order] = np.repeat(times == 1, times)
+    late = (token >> np.uint32(31)).astype(bool)
+    alone = np.stack([np.bincount(owner[single & (late == half)], minlength=len(node)) for half in (False, True)], 1).astype(np.uint32)
+    name = mix((part << U64(32) | token.astype(np.uint64)) + U64(0x70CE2)) >> U64(1) | late.astype(np.uint64) << U64(63)
+    shared = np.flatnonzero(~single)
+    name, kind, owner = name[shared], kind[shared], owner[shared]
+    many = np.bincount(owner, minlength=len(node)).astype(np.uint32)
+    chunk = (node % U64(chunks)).astype(np.int64)
+    by = np.argsort(chunk, kind="stable")
+    begin = _starts(many)
+    rows = []
+    for own in np.split(by, np.flatnonzero(np.diff(chunk[by])) + 1) if len(by) else []:
+        at = np.repeat(begin[own] - _starts(many[own])[:-1], many[own]) + np.arange(int(many[own].sum()))
+        rows.append((int(chunk[own[0]]), node[own].tobytes(), n[own].tobytes(), alone[own].tobytes(), many[own].tobytes(), name[at].tobytes(), kind[at].tobytes()))
+    return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), [pa.int32()] + [pa.binary()] * 6)], names=[x.split()[0] for x in _CLASSED.split(", ")])
+
+
+def _sign(table: pa.Table, percent: int, parts: int) -> pa.Table:
+    """Of one chunk of sets: their signatures, sent to the signatures' parts."""
+    node, n, many = _column(table, "nodes", np.uint64), _column(table, "sizes", np.uint32), _column(table, "counts", np.uint32).astype(np.int64)
+    alone = _column(table, "alone", np.uint32).reshape(-1, 2)
+    token, kind = _column(table, "tokens", np.uint64), _column(table, "kinds", np.uint8)
+    key, group = np.unique(node, return_inverse=True)
+    size = np.zeros(len(key), dtype=np.int64)
+    size[group] = n
+    lone = np.stack([np.bincount(group, alone[:, k], minlength=len(key)) for k in (0, 1)], 1).astype(np.int64)
+    owner = np.repeat(group, many)
+    order = np.argsort(owner, kind="stable")
+    token, kind = token[order], kind[order]
+    cut = np.searchsorted(owner[order], np.arange(len(key) + 1))
+    sig, of = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+    for k in np.flatnonzero((lone[:, 0] <= _lacks(size, percent)) & (np.diff(cut) > 0)):
+        a, b = cut[k], cut[k + 1]
+        own = signatures(int(size[k]), (int(lone[k, 0]), int(lone[k, 1])), token[a:b], kind[a:b], token[a:b] >> U64(63), percent)
+        sig.append(own)
+        of.append(np.full(len(own), key[k]))
+    sig, of = np.concatenate(sig), np.concatenate(of)
+    part = (mix(sig ^ U64(0x5157)) % U64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    sig, of, part = sig[order], of[order], part[order]
+    cut = np.searchsorted(part, np.arange(parts + 1))
+    rows = [(p, sig[a:b].tobytes(), of[a:b].tobytes()) for p, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a]
+    return pa.Table.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate([pa.int32(), pa.binary(), pa.binary()])], names=["part", "sigs", "nodes"])
 
 
 def _pairs_within(start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -212,8 +250,7 @@ def _pairs_within(start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.
 
 def _first_round(table: pa.Table) -> pa.Table:
     """Of one part's blobs: pairs (kind 0), and the entries of large buckets (kind 1) for later rounds."""
-    sig = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("sigs")])
-    node = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("nodes")])
+    sig, node = _column(table, "sigs", np.uint64), _column(table, "nodes", np.uint64)
     order = np.argsort(sig)
     sig, node = sig[order], node[order]
     alone = np.concatenate([[True], sig[1:] != sig[:-1]])
@@ -275,19 +312,62 @@ def _later_round(full: bool):
     return propose
 
 
-def _verify(pairs: DataFrame, sets: DataFrame, blocks: int, percent: int, work: Workspace, name: str) -> DataFrame:
-    """The pairs (a, b) that link.  Pairs are dealt to blocks by their busier node, salted; each block gets each of its sets once."""
-    fans = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("fan"))
-    dealt = pairs.join(fans, "a").withColumn("block", F.pmod(F.xxhash64("a", F.pmod(F.xxhash64("b"), F.ceil(F.col("fan") / 64))), F.lit(blocks))).select("block", "a", "b")
-    dealt = work.write(dealt, name)
-    needs = dealt.select("block", F.explode(F.array("a", "b")).alias("node")).distinct()
-    given = needs.join(sets, "node").select(F.col("block").alias("at"), "node", "tokens")
+def _deal(pairs: DataFrame, blocks: int, work: Workspace, name: str) -> DataFrame:
+    """(block, a, b): pairs around one leader meet in one block, in several where there are very many."""
+    both = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other")))).alias("e")).select("e.*")
+    lowest = work.write(both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("low")), f"lowest-{name}")
+    around = pairs.join(lowest.select(F.col("node").alias("a"), F.col("low").alias("low_a")), "a").join(lowest.select(F.col("node").alias("b"), F.col("low").alias("low_b")), "b")
+    around = work.write(around.select("a", "b", F.least("low_a", "low_b").alias("hub")), f"around-{name}")
+    fans = around.groupBy("hub").agg(F.count(F.lit(1)).alias("fan"))
+    salt = F.pmod(F.xxhash64("b"), F.ceil(F.col("fan") / 4096))
+    return work.write(around.join(fans, "hub").select(F.pmod(F.xxhash64("hub", salt), F.lit(blocks)).cast("int").alias("block"), "a", "b"), f"dealt-{name}")
+
+
+def _tokens(base: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """(block, node, tokens) of the wanted (node, doc_id, blocks), read from the texts again."""
+
+    def emit(nodes, blocks, value, bounds, rows):
+        out = [(b, k, value[bounds[r] : bounds[r + 1]].tobytes()) for r, k, own in zip(rows, nodes, blocks) for b in own]
+        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.binary())], names=["block", "node", "tokens"])
+
+    schema = "block int, node long, tokens binary"
+    if wanted.count() <= SENT_MOST:
+        table = wanted.toArrow().sort_by("node")
+        node, first = table.column("node").to_numpy(), table.column("doc_id").combine_chunks()
+        sent = base.sparkSession.sparkContext.broadcast((node, first.fill_null(0).to_numpy(zero_copy_only=False), first.is_null().to_numpy(zero_copy_only=False), table.column("blocks").to_pylist()))
+
+        def pick(batches):
+            node, first, null, blocks = sent.value
+            for batch in batches:
+                for piece, value, bounds in _sets(batch, width):
+                    keys, ids = _keys(value, bounds).view(np.int64), piece.column("doc_id")
+                    at = np.minimum(np.searchsorted(node, keys), max(len(node) - 1, 0))
+                    own, none = ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_null().to_numpy(zero_copy_only=False)
+                    rows = np.flatnonzero((node[at] == keys) & (first[at] == own) & (null[at] == none)) if len(node) else []
+                    if len(rows):
+                        yield emit(keys[rows].tolist(), [blocks[k] for k in at[rows]], value, bounds, rows)
+
+        return base.mapInArrow(pick, schema)
+
+    def fetch(batches):
+        for batch in batches:
+            for piece, value, bounds in _sets(batch, width):
+                keys = _keys(value, bounds).view(np.int64)
+                rows = np.flatnonzero(keys == piece.column("node").to_numpy())
+                if len(rows):
+                    yield emit(keys[rows].tolist(), piece.column("blocks").take(pa.array(rows)).to_pylist(), value, bounds, rows)
+
+    texts = base.join(wanted.withColumnRenamed("doc_id", "wanted_id"), base["doc_id"].eqNullSafe(F.col("wanted_id")))
+    return texts.select("text", "node", "blocks").mapInArrow(fetch, schema)
+
+
+def _verify(dealt: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that link, by their whole sets."""
 
     def check(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        have = dict(zip(right.column("node").to_pylist(), (np.frombuffer(x.as_buffer(), np.uint64) for x in right.column("tokens"))))
-        a, b = left.column("a").to_pylist(), left.column("b").to_pylist()
+        have = dict(zip(right.column("node").to_pylist(), (np.frombuffer(x.as_buffer(), np.uint64) for c in right.column("tokens").chunks for x in c)))
         keep = []
-        for x, y in zip(a, b):
+        for x, y in zip(left.column("a").to_pylist(), left.column("b").to_pylist()):
             p, q = have[x], have[y]
             if len(p) > len(q):
                 p, q = q, p
@@ -300,7 +380,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, blocks: int, percent: int, work:
             keep.append(100 * common >= percent * (len(p) + len(q) - common))
         return left.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return dealt.groupBy("block").cogroup(given.groupBy("at")).applyInArrow(check, "a long, b long")
+    return dealt.groupBy("block").cogroup(sets.groupBy("block")).applyInArrow(check, "a long, b long")
 
 
 def similarity_components(docs: DataFrame, width: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -324,9 +404,10 @@ def similarity_components(docs: DataFrame, width: int = 5, percent: int = 80, id
 
     described = work.write(base.mapInArrow(describe, "doc_id long, n_shingles long, node long"), "described")
     total = described.agg(F.sum("n_shingles")).first()[0] or 0
-    frequent = _frequent(base, width, max(1, -(-total * 4 // BLOB)))
     parts = max(2, -(-total * 4 // BLOB))
-    first = work.write(_index(base, width, percent, frequent, parts).groupBy("part").applyInArrow(_first_round, "kind int, a long, b long"), "first")
+    sent = _send(base, width, percent, parts).groupBy("part").applyInArrow(lambda t: _classify(t, parts), _CLASSED)
+    signed = sent.groupBy("chunk").applyInArrow(lambda t: _sign(t, percent, parts), _SIGNED)
+    first = work.write(signed.groupBy("part").applyInArrow(_first_round, "kind int, a long, b long"), "first")
 
     nodes = described.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"))
     links = None
@@ -339,22 +420,13 @@ def similarity_components(docs: DataFrame, width: int = 5, percent: int = 80, id
             unsettled = known.groupBy("sig").agg((F.min("comp") < F.max("comp")).alias("open")).filter("open").select("sig")
             known = known.join(unsettled, "sig")
             pairs = work.write(known.withColumn("part", F.pmod(F.xxhash64("sig"), F.lit(parts * 4))).groupBy("part").applyInArrow(_later_round(k == 2), "a long, b long").distinct(), f"pairs-{k}")
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node")
-        wanted = work.write(wanted, f"wanted-{k}")
-        size = wanted.agg(F.sum("n")).first()[0]
+        size = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").agg(F.sum("n")).first()[0]
         if not size:
             break
-
-        def fetch(batches):
-            for batch in batches:
-                for piece, value, bounds in _sets(batch, width):
-                    keys = _keys(value, bounds).view(np.int64)
-                    right = np.flatnonzero(keys == piece.column("node").to_numpy())
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[right]), pa.array([value[bounds[r] : bounds[r + 1]].tobytes() for r in right], pa.binary())], names=["node", "tokens"])
-
-        texts = base.join(wanted.select("doc_id", "node"), base["doc_id"].eqNullSafe(wanted["doc_id"])).select(base["text"], "node")
-        sets = texts.mapInArrow(fetch, "node long, tokens binary").dropDuplicates(["node"])  # an id may be there twice
-        found = work.write(_verify(pairs, sets, max(2, -(-size * 8 // (4 << 20))), percent, work, f"dealt-{k}"), f"links-{k}")
+        dealt = _deal(pairs, max(2, -(-size * 8 // (4 << 20))), work, str(k))
+        wanted = dealt.select("block", F.explode(F.array("a", "b")).alias("node")).distinct().groupBy("node").agg(F.collect_list("block").alias("blocks"))
+        wanted = work.write(wanted.join(nodes, "node").select("node", "doc_id", "blocks"), f"wanted-{k}")
+        found = work.write(_verify(dealt, _tokens(base, wanted, width), percent), f"links-{k}")
         links = found if links is None else links.unionByName(found)
         labels = connected_components(links, work, f"labels-{k}")
         if k == 0 and entries.limit(1).count() == 0:
@@ -369,6 +441,6 @@ def similarity_components(docs: DataFrame, width: int = 5, percent: int = 80, id
         lowest = named.groupBy("label").agg(F.min("least").alias("component"))
         per_node = named.join(lowest, "label").join(degree, "node", "left").select("node", "component", F.coalesce("n_set_links", F.lit(0)).alias("n_set_links"))
     per_node = work.write(per_node, "per-node")
-    work.drop("first", *(f"{x}-{k}" for k in range(3) for x in ("pairs", "wanted", "dealt")))
+    work.drop("first", *(f"{x}-{k}" for k in range(3) for x in ("pairs", "wanted", "lowest", "around", "dealt")))
     joined = described.join(per_node, "node", "left")
     return joined.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("n_set_links", F.lit(0).cast("long")).alias("n_set_links"))
