@@ -1,0 +1,352 @@
+"""The operators against brute force, round trips and edge cases."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from plumbline.llm import brown_lm, byte_bpe, components, decontamination, fm_index, license_scan, ngram_join, quality_fm, quality_rules, token_files, toxicity, url_cascade
+from plumbline.llm._bytes import NON_SPACE, Words, buffers, shingles, word_hash
+from plumbline.llm._shared import Workspace
+
+WORDS = [f"{a}{b}" for a in ("ba", "ke", "lo", "mi", "nu", "ra", "so", "ti") for b in ("d", "f", "gan", "hel", "jo", "mer", "pik", "sut")]
+
+
+def prose(rng, n):
+    return " ".join(rng.choice(WORDS) for _ in range(n))
+
+
+def frame(spark, texts, **more):
+    rows = [(k if t != "NOID" else None, None if t == "NULL" else t, "x", 5) for k, t in enumerate(texts)]
+    return spark.createDataFrame(rows, "doc_id long, text string, component_id string, score int")
+
+
+EDGES = ["NULL", "", " \t\n", "one", "a b c", "NOID", "é" * 300, "x " * 30000, "!!! ### $$$", "same words here again", "same words here again"]
+
+
+def test_words_and_shingles():
+    texts = ["Ab  cD\tab", "", "ab", "ab cd ab cd ab"]
+    w = Words(*buffers(pa.array(texts)), NON_SPACE)
+    assert w.counts.tolist() == [3, 0, 1, 5] and int(w.hash[0]) == word_hash(b"ab") == int(w.hash[3])
+    value, owner = shingles(w, 2)
+    assert np.bincount(owner, minlength=4).tolist() == [2, 0, 1, 2]
+
+
+def components_by_force(texts, width, percent):
+    sets = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        sets.append(frozenset([tuple(w[i : i + width]) for i in range(len(w) - width + 1)] or ([tuple(w)] if w else [])))
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return [find(k) for k in range(len(texts))], [len(s) for s in sets]
+
+
+@pytest.mark.parametrize("frequent,few,one_task", [(6, 12, 10**6), (1, 0, 0)])
+def test_similarity_components(spark, monkeypatch, frequent, few, one_task):
+    monkeypatch.setattr(ngram_join, "FREQUENT", frequent)
+    monkeypatch.setattr(ngram_join, "FEW_PAIRS", few)
+    monkeypatch.setattr(ngram_join, "SMALL_BUCKET", 2)
+    monkeypatch.setattr(components, "ONE_TASK", one_task)
+    rng = random.Random(5)
+    base = [prose(rng, rng.choice([5, 9, 30, 90])) for _ in range(12)]
+    passage = prose(rng, 40)
+    texts = []
+    for b in base:
+        for _ in range(6):
+            w = b.split()
+            for _ in range(rng.choice([0, 1, 2])):
+                w[rng.randrange(len(w))] = rng.choice(WORDS)
+            texts.append(" ".join(w))
+    texts += [passage + " " + prose(rng, rng.choice([3, 20])) for _ in range(10)] + [None, "", " ", "one two", "ONE two", "solo"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = ngram_join.similarity_components(docs, 4, 85).orderBy("doc_id").collect()
+    root, sizes = components_by_force(texts, 4, 85)
+    assert [r["component_id"] for r in got] == root and [r["n_shingles"] for r in got] == sizes
+
+
+def test_similarity_edges(spark):
+    got = ngram_join.similarity_components(frame(spark, EDGES), 4, 85).collect()
+    by_id = {r["doc_id"]: r for r in got}
+    assert len(got) == len(EDGES) and by_id[9]["component_id"] == by_id[10]["component_id"] == 9 and by_id[None]["component_id"] is None
+    assert by_id[0]["n_shingles"] == by_id[1]["n_shingles"] == by_id[2]["n_shingles"] == 0 and by_id[7]["n_shingles"] == 1
+    assert ngram_join.similarity_components(frame(spark, [])).count() == 0
+
+
+def test_connected_components_rounds(spark, monkeypatch):
+    monkeypatch.setattr(components, "ONE_TASK", 0)
+    rng = random.Random(2)
+    links = [(rng.randrange(60), rng.randrange(60)) for _ in range(40)]
+    got = {r["node"]: r["label"] for r in components.connected_components(spark.createDataFrame([x for x in links if x[0] != x[1]], "a long, b long"), Workspace(spark, "t"), "c").collect()}
+    label = {k: k for x in links if x[0] != x[1] for k in x}
+    for _ in range(60):
+        for a, b in links:
+            if a != b:
+                label[a] = label[b] = min(label[a], label[b])
+    assert got == label
+
+
+def test_fm_index():
+    rng = np.random.default_rng(1)
+    for _ in range(60):
+        v = rng.integers(1, 6, rng.integers(3, 60))
+        index = fm_index.FMIndex(v, sample=4)
+        rows = np.array([[a, b, c] for a in range(2, 7) for b in range(2, 6) for c in range(2, 6)])
+        low, high = index.search(rows, np.full(len(rows), 3))
+        for p, a, b in zip(rows, low, high):
+            assert sorted(index.locate(np.arange(a, b)).tolist()) == [i for i in range(len(v) - 2) if (v[i : i + 3] == p).all()]
+
+
+def hits_by_force(text, items, width=10):
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in t or ""))
+    w = split(text)
+    hit, found = set(), set()
+    for k, t in items:
+        q = split(t)
+        for i in range(max(1, len(q) - width + 1) if q else 0):
+            p = q[i : i + width]
+            for at in range(len(w) - len(p) + 1):
+                if w[at : at + len(p)] == p:
+                    hit.update(range(at, at + len(p)))
+                    found.add(str(k))
+    return len(w), len(hit), sorted(found)
+
+
+def test_decontamination(spark, monkeypatch):
+    monkeypatch.setattr(decontamination, "SHARD_TEXT", 2000)
+    rng = random.Random(3)
+    items = [(k, prose(rng, n)) for k, n in enumerate([30, 12, 10, 4, 1, 0, 25])] + [(7, None), (8, "Éa b-c, D!")]
+    texts = [prose(rng, 40) for _ in range(30)] + [prose(rng, 5) + " " + (items[rng.randrange(3)][1]) + "! " + prose(rng, 6) for _ in range(20)]
+    texts += [items[0][1].upper(), " ".join(items[6][1].split()[3:18]), "x éa B c d y", None, "", "!!"]
+    docs = spark.createDataFrame([(k, t, 1) for k, t in enumerate(texts)], "doc_id long, text string, contamination int")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = [hits_by_force(t, items) for t in texts]
+    for block in (10**6, 20):
+        monkeypatch.setattr(decontamination, "BLOCK_WORDS", block)
+        got = decontamination.decontaminate(docs, bench).orderBy("doc_id").collect()
+        assert [(r["contamination"]["n_words"], r["contamination"]["n_hit"], r["contamination"]["items"]) for r in got] == want
+    clean = decontamination.decontaminate(docs, bench, remove=True).orderBy("doc_id").collect()
+    for r, t, (n, hit, _) in zip(clean, texts, want):
+        assert (r["text"] == t) if not hit else (len(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", r["text"].lower())) == n - hit)
+    assert decontamination.decontaminate(frame(spark, EDGES), bench).count() == len(EDGES)
+
+
+def test_url_cascade(spark):
+    rng = np.random.default_rng(4)
+    a, b = (rng.integers(0, 2**63, 5000).astype(np.uint64) for _ in range(2))
+    listed = rng.random(5000) < 0.1
+    levels = url_cascade.build_levels(a, b, listed)
+    assert len(levels) > 1 and (url_cascade.is_listed(levels, a, b) == listed).all()
+    urls = ["http://Ads.Example.com/en/x?q", "http://sub.ads.example.com", "nothing", None, "://", "https://ok.example.org/a#b/c"]
+    host, path = url_cascade.url_parts(F.col("url"))
+    df = spark.createDataFrame([(u,) for u in urls], "url string").select(host.alias("host"), path.alias("path"))
+    assert [tuple(r) for r in df.collect()] == [("ads.example.com", "/en/x"), ("sub.ads.example.com", ""), ("", ""), ("", ""), ("", ""), ("ok.example.org", "/a")]
+    keyed = df.withColumn("keys", url_cascade.host_keys(F.col("host")))
+    universe = keyed.select(F.explode("keys").alias("key")).distinct()
+    found = url_cascade.any_listed(keyed, "keys", url_cascade.build_cascades(universe, spark.createDataFrame([("ads.example.com",), ("absent.net",)], "key string")))
+    assert [r["listed"] for r in found.collect()] == [True, True, False, False, False, False]
+
+
+def test_byte_bpe():
+    import tiktoken
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    bpe = byte_bpe.codec(path, public_tokenizers.PATTERN)
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.ranks, special_tokens={})
+    rng = random.Random(6)
+    texts = ["", " ", "a" * 3000, "日本語😀" * 40, "it's we'll \t\n <|endoftext|>", "x" * 600 + "yz" * 300, "".join(chr(rng.choice([65, 97, 32, 10, 0x3B1, 0x1F600, 0xE9, 48, 39])) for _ in range(3000)), prose(rng, 300)]
+    for t in texts:
+        ids = bpe.encode([t])[0]
+        assert ids == library.encode_ordinary(t) and bpe.decode(ids) == t.encode()
+
+
+def test_byte_bpe_documents(spark):
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    docs = frame(spark, EDGES)
+    back = byte_bpe.decode_documents(byte_bpe.encode_documents(docs, path, public_tokenizers.PATTERN), path, public_tokenizers.PATTERN).collect()
+    want = {(k if t != "NOID" else None): ("" if t == "NULL" else t).encode() for k, t in enumerate(EDGES)}
+    assert {r["doc_id"]: bytes(r["bytes"]) for r in back} == want
+
+
+@pytest.mark.parametrize("planes", ["bit", "byte"])
+def test_token_files(spark, planes):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = [*EDGES, "é. É. x!.", "<|endoftext|> hi <|startoftext|>.", "it's we'll, x's.", "a\u0085b \x1c d", "Σίσυφος ΣΣ. İstanbul!", "日本語。 ok:", "x́, ́.", "3.5, 7."]
+    work = Workspace(spark, "t")
+    manifest = token_files.write_token_files(frame(spark, texts), path, 1, work, planes=planes, block=1000)
+    got = token_files.read_token_files(manifest).orderBy("start").collect()
+    library = Tokenizer.from_file(path)
+    start = 0
+    order = sorted(range(len(texts)), key=lambda k: -1 if texts[k] == "NOID" else k)
+    for r, k in zip(got, order):
+        ids = library.encode("" if texts[k] == "NULL" else texts[k], add_special_tokens=False).ids + [1]
+        assert (r["doc_id"], r["start"], r["n_tokens"], r["ids"]) == (k if texts[k] != "NOID" else None, start, len(ids), ids)
+        start += len(ids)
+    assert len(got) == len(texts)
+    assert token_files.read_token_files(token_files.write_token_files(frame(spark, []), path, 1, Workspace(spark, "t"))).count() == 0
+
+
+def statistics_by_force(t):
+    t = t or ""
+    w = re.findall(r"[^\x20\x09-\x0D]+", t)
+    lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    at = {}
+    for i in range(len(w) - 4):
+        at.setdefault(tuple(w[i : i + 5]), []).append(i)
+    covered = {j for starts in at.values() if len(starts) > 1 for i in starts for j in range(i, i + 5)}
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(covered)
+
+
+def test_quality_rules(spark):
+    rng = random.Random(8)
+    texts = [None, "", "a b\na b\n\n a b", "x y z x y z x y z x y", "#$ é|é\tü", "a b \x1cc", *[prose(rng, 50) for _ in range(20)], *[" ".join(x + "$$$" for x in prose(rng, 40).split()) for _ in range(5)], *[prose(rng, 30).upper().replace(" ", "!! ") for _ in range(5)], prose(rng, 12) + " " + ("same five words all here " * 9)]
+    got = quality_rules.score_quality(spark.createDataFrame([(k, t, "q") for k, t in enumerate(texts)], "doc_id long, text string, quality_rules string")).orderBy("doc_id").collect()
+    for r, t in zip(got, texts):
+        q = r["quality_rules"]
+        assert (q["n_words"], q["word_chars"], q["n_symbols"], q["n_dup_lines"], q["n_repeat_words"]) == statistics_by_force(t)
+        assert q["base_failed"] == (q["n_words"] < 10 or 100 * q["n_repeat_words"] > 20 * q["n_words"])
+    assert all(r["quality_rules"]["kept"] for r in got[6:26]) and not any(r["quality_rules"]["kept"] for r in [*got[:6], *got[26:]])
+    assert quality_rules.score_quality(frame(spark, [])).count() == 0 and quality_rules.score_quality(frame(spark, EDGES)).count() == len(EDGES)
+
+
+def test_quality_rules_em_by_force(spark):
+    rows = [([-1, 0, 0, 0, 0, 0, 0, -1], 7), ([0] * 7 + [1], 80), ([0, -1, 0, 0, 0, 0, 0, -1], 9), ([0] * 8, 4)]
+    df = spark.createDataFrame([(v,) for v, n in rows for _ in range(n)], "votes array<int>")
+    model = quality_rules.fit(df)
+    k, a, prior = len(quality_rules.RULES), [quality_rules.BEGIN] * len(quality_rules.RULES), quality_rules.BEGIN
+    for _ in range(quality_rules.STEPS):
+        p = [1 / (1 + np.exp(-(np.log(prior / (1 - prior)) + sum(v[j] * np.log(a[j] / (1 - a[j])) for j in range(k))))) for v, _ in rows]
+        a = [min(quality_rules.HIGHEST, max(quality_rules.LOWEST, (sum(n * {1: q, -1: 1 - q, 0: 0}[v[j]] for (v, n), q in zip(rows, p)) + 1) / (sum(n for v, n in rows if v[j]) + 2))) for j in range(k)]
+        prior = min(0.95, max(0.05, (sum(n * q for (_, n), q in zip(rows, p)) + 1) / (sum(n for _, n in rows) + 2)))
+    assert model.accuracies == pytest.approx(a) and model.prior == pytest.approx(prior)
+
+
+def test_license_scan(spark):
+    notice, full = license_scan.TEMPLATES["MIT-notice"], license_scan.TEMPLATES["ISC"]
+    texts = [f"intro words\n{notice}\nmore", full, full.replace("AUTHOR", "WRITER", 1), "of the in the and the", None, "", f"x {notice.lower()}", *EDGES[3:]]
+    docs = spark.createDataFrame([(k, t, 1) for k, t in enumerate(texts)], "doc_id long, text string, licenses int")
+    got = license_scan.scan_licenses(docs).orderBy("doc_id").collect()
+    names = [[m["license"] for m in r["licenses"]] for r in got]
+    assert names[:7] == [["MIT-notice"], ["ISC"], ["ISC"], [], [], [], ["MIT-notice"]] and not any(names[7:])
+    assert (got[0]["licenses"][0]["first_line"], got[0]["licenses"][0]["dice"]) == (1, 1.0) and 0.9 < got[2]["licenses"][0]["dice"] < 1
+
+    def dice(a, b):
+        grams = lambda t: {tuple(x) for x in zip(*(lambda w: (w, w[1:]))(re.findall(r"[a-z0-9]+", t.lower())))}
+        return 2 * len(grams(a) & grams(b)) / (len(grams(a)) + len(grams(b)))
+
+    assert got[2]["licenses"][0]["dice"] == pytest.approx(dice(texts[2], full))
+
+
+def test_string_kernel_by_force():
+    from itertools import combinations
+
+    def phi(row):
+        out = {}
+        for c in combinations(range(len(row)), 3):
+            if c[2] - c[0] < toxicity.SPAN:
+                key = tuple(int(row[i]) for i in c)
+                out[key] = out.get(key, 0) + toxicity.DECAY ** (c[2] - c[0] - 2)
+        norm = sum(v * v for v in out.values()) ** 0.5
+        return {k: v / norm for k, v in out.items()}
+
+    for word in ("idiot", "i.d.i.o.t", "banana", "ßéx", "ab", "zzzzzz"):
+        raw = np.frombuffer(word.encode(), np.uint8)
+        matrix = toxicity.Units(raw, np.array([0, len(raw)])).rows[0][0]
+        want, (code, value) = phi(matrix[0]), toxicity._features(matrix[0])
+        s = toxicity.SYMBOLS
+        assert {(c // s // s, c // s % s, c % s): pytest.approx(v) for c, v in zip(code.tolist(), value.tolist())} == want
+        weight = np.random.default_rng(1).random(s**3).astype(np.float32)
+        assert toxicity.unit_scores(matrix, weight, 0.0)[0] == pytest.approx(max(toxicity.FLOOR, float(weight[code] @ value)), rel=1e-5)
+
+
+def test_toxicity(spark):
+    rng = random.Random(9)
+    insults = ["vorgash", "plunkwit", "zedrick"]
+    make = lambda bad: " ".join([*prose(rng, 30).split(), *([rng.choice(insults)] if bad else []), *prose(rng, 20).split()])
+    rows = [(make(k % 4 == 0), int(k % 4 == 0)) for k in range(600)]
+    model = toxicity.train([t.encode() for t, _ in rows[:400]], np.array([y for _, y in rows[:400]]))
+    score = lambda ts: model.probability(*buffers(pa.array(ts)))
+    held = score([t for t, _ in rows[400:]])
+    assert (((held >= 0.5) == [y == 1 for _, y in rows[400:]]).mean()) > 0.97
+    odd = score(["", " ", prose(rng, 20) + " plun.kwit", "p l u n k w i t", "x" * 50000])
+    assert (odd[:2] < 0.5).all() and (odd[2:4] > held[np.array([y for _, y in rows[400:]]) == 0].max()).all()
+    got = toxicity.score_toxicity(frame(spark, EDGES), model, into="score")
+    assert got.count() == len(EDGES) and got.filter("score < 0 or score > 1 or score is null").count() == 0
+    constant = toxicity.train([b"a"], np.array([0]))
+    assert constant.probability(*buffers(pa.array(["a", ""]))).max() < 0.5 and toxicity.train([], np.zeros(0, np.int64)).probability(*buffers(pa.array(["a"]))).shape == (1,)
+
+
+def test_factorisation_identity_and_learning(spark):
+    rng = np.random.default_rng(3)
+    texts = ["a b c a", "", "!! ?? $$", "line\nline\nother x"]
+    raw, offsets = buffers(pa.array(texts))
+    f, v, b = quality_fm.features(raw, offsets)
+    model = quality_fm.FactorisationMachine(0.3, rng.normal(size=quality_fm.N_FEATURES), rng.normal(size=(quality_fm.N_FEATURES, quality_fm.FACTORS)))
+    for k, got in enumerate(model.margins(f, v, b)):
+        x, y = f[b[k] : b[k + 1]], v[b[k] : b[k + 1]]
+        pairs = sum(float(model.factors[x[i]] @ model.factors[x[j]]) * y[i] * y[j] for i in range(len(x)) for j in range(i))
+        assert got == pytest.approx(model.bias + float(model.linear[x] @ y) + pairs)
+    draw = random.Random(4)
+    rows = [(prose(draw, 40) if k % 3 else prose(draw, 40).upper().replace(" ", "!! "), int(k % 3 > 0)) for k in range(300)]
+    trained = quality_fm.train([t.encode() for t, _ in rows[:200]], np.array([y for _, y in rows[:200]]))
+    held = trained.probability(*buffers(pa.array([t for t, _ in rows[200:]])))
+    assert ((held >= 0.3) == [y == 1 for _, y in rows[200:]]).mean() > 0.95
+    got = quality_fm.score_quality(frame(spark, EDGES), trained, into="score")
+    assert got.count() == len(EDGES) and got.filter("score < 0 or score > 1 or score is null").count() == 0
+
+
+def test_exchange_clustering():
+    pairs = np.zeros((8, 8), dtype=np.int64)
+    pairs[:4, 4:], pairs[4:, :4] = 50, 40
+    pairs += np.random.default_rng(2).integers(0, 9, (8, 8))
+    got = brown_lm.exchange(pairs, pairs.sum(axis=0), classes=2)
+    assert len(set(got[:4])) == 1 and len(set(got[4:])) == 1 and got[0] != got[4]
+
+
+@pytest.mark.parametrize("chunk", [12 << 20, 300])
+def test_language_model(spark, monkeypatch, chunk):
+    from collections import Counter
+    from math import log10
+
+    monkeypatch.setattr(brown_lm, "CHUNK", chunk)
+    monkeypatch.setattr(brown_lm, "PART", 50 if chunk == 300 else 10**6)
+    rng = random.Random(11)
+    texts = [None, "", " ", *[prose(rng, 30) for _ in range(40)], "quite unknown words", "BAD bad Bad"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    taught = lambda k: zlib.crc32(str(k).encode()) % 7 != 2
+    got = {r["doc_id"]: r for r in brown_lm.score_texts(docs, F.crc32(F.col("doc_id").cast("string")) % 7 != 2).collect()}
+    words = {k: [*(t or "").encode().lower().split(), None] for k, t in enumerate(texts)}
+    c = Counter(w for k, ws in words.items() if taught(k) for w in ws)
+    n, v = sum(c.values()), len(c)
+    for k, ws in words.items():
+        r = got[k]
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (not taught(k), len(ws), sum(c[w] > 0 for w in ws), n)
+        assert r["base_score"] == pytest.approx(sum(log10((c[w] + 1) / (n + v + 1)) for w in ws)) and r["score"] < 0
+    assert brown_lm.score_texts(docs.limit(0), F.lit(True)).count() == 0
+    assert brown_lm.score_texts(docs, F.lit(False)).count() == len(texts)
+
+
+def test_query_digests(spark):
+    from plumbline.llm.q_byte_bpe import digests
+
+    bpe = byte_bpe.codec(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    n, ids, back = (x.to_pylist() for x in digests(bpe.encode(["ab cd"]), bpe))
+    assert ids == [hashlib.sha256(",".join(map(str, bpe.encode(["ab cd"])[0])).encode()).hexdigest()] and back == [hashlib.sha256(b"ab cd").hexdigest()] and n == [len(bpe.encode(["ab cd"])[0])]
