@@ -13,7 +13,7 @@ from plumbline.llm.decontamination import decontaminate
 from plumbline.llm.ngram_join import similarity_components
 from plumbline.llm.q_byte_bpe import digests
 from plumbline.llm.quality_rules import score_quality
-from plumbline.llm.toxicity import labelled_sample, score_toxicity, train
+from plumbline.llm.toxicity import fit, labelled_sample, score_toxicity, train
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -25,8 +25,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score under a half; the machine learns from labelled documents of this stage's own input."""
-    texts, toxic = labelled_sample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), "toxic")
-    return score_toxicity(docs.select(*COLUMNS), train(texts, toxic), into="toxicity").filter("toxicity < 0.5").select(*COLUMNS)
+    model = fit(labelled_sample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), "toxic"), train)
+    return score_toxicity(docs.select(*COLUMNS), model, into="toxicity").filter("toxicity < 0.5").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

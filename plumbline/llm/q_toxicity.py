@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .toxicity import labelled_sample, score_toxicity, train
+from .toxicity import fit, labelled_sample, score_toxicity, train
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    texts, toxic = labelled_sample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), "toxic")
-    scored = score_toxicity(docs, train(texts, toxic), into="score")
+    model = fit(labelled_sample(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), "toxic"), train)
+    scored = score_toxicity(docs, model, into="score")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")), F.lit(0)) % 5 == 0
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -16,16 +16,20 @@ score is a logistic function of its highest unit score.
 
 from __future__ import annotations
 
+import pickle
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ._bytes import NON_SPACE, Words, buffers, slices
 
+Model = TypeVar("Model")
+
 DECAY, SPAN = 0.6, 6
 #: Symbols: 0 begins a unit, 1-26 a-z, 27-46 other letters by code point, 47 anything else.
 SYMBOLS = 48
@@ -349,10 +353,11 @@ def train(texts: list[bytes], labels: np.ndarray) -> ToxicityModel:
     return ToxicityModel(weight, bias, float(a), float(b), min(0.49, float(labels.mean())))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, texts_per_label: dict[int, int] = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> tuple[list[bytes], np.ndarray]:
-    """Texts and labels of a bounded, reproducible sample of labelled training rows (crc32 of the id not divisible by 5).
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, texts_per_label: dict[int, int] = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """(t, y, o): texts and labels of a bounded, reproducible sample of labelled training rows (crc32 of the id not divisible by 5).
 
-    Rows with a null text or label are left out.  Long texts count towards most_bytes; what would pass it is not taken.
+    Rows with a null text or label are left out.  The sample's rows are few by texts_per_label, and
+    each label takes rows in hash order up to its share of most_bytes.
     """
     marked = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("y")).filter(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
     chosen = None
@@ -360,19 +365,21 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, texts_per_la
         part = marked.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(texts_per_label[y])
         chosen = part if chosen is None else chosen.unionByName(part)
     rows = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(chosen), "doc_id").select(F.encode("text", "utf-8").alias("t"), "y", F.xxhash64("doc_id").alias("o"), F.octet_length("text").alias("n"))
-    table = rows.select("y", "o", "n").toArrow().to_pandas().sort_values(["o", "n"])
-    share = table["y"].map({y: most_bytes * n // sum(texts_per_label.values()) for y, n in texts_per_label.items()})
-    table["room"] = table.groupby("y")["n"].cumsum() <= share
-    keep = table[table["room"]]
-    limit = {int(y): int(g["o"].max()) for y, g in keep.groupby("y")}
-    if not limit:
-        return [], np.zeros(0, np.int64)
-    condition = None
-    for y, o in limit.items():
-        c = (F.col("y") == y) & (F.col("o") <= o)
-        condition = c if condition is None else condition | c
-    got = rows.filter(condition).select("t", "y", "o").toArrow().sort_by([("o", "ascending"), ("y", "ascending")])
-    return [x.as_py() for x in got.column("t")], got.column("y").to_numpy().astype(np.int64)
+    share = F.when(F.col("y") == 1, most_bytes * texts_per_label[1] // sum(texts_per_label.values())).otherwise(most_bytes * texts_per_label[0] // sum(texts_per_label.values()))
+    running = F.sum("n").over(Window.partitionBy("y").orderBy("o", "n", "t").rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("room", running <= share).filter("room").select("t", "y", "o")
+
+
+def fit(sample: DataFrame, train: Callable[[list[bytes], np.ndarray], Model]) -> Model:
+    """train(texts, labels) of a bounded sample, in one task; the model alone comes to the driver."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("o", "ascending"), ("y", "ascending")])
+        model = train([x.as_py() for x in table.column("t")], table.column("y").to_numpy().astype(np.int64))
+        return pa.table({"model": pa.array([pickle.dumps(model)], pa.binary())})
+
+    rows = sample.withColumn("all", F.col("y") * 0).groupBy("all").applyInArrow(run, "model binary").collect()
+    return pickle.loads(rows[0]["model"]) if rows else train([], np.zeros(0, np.int64))
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, into: str = "toxicity", text_column: str = "text") -> DataFrame:
