@@ -116,3 +116,17 @@ def to_cells(rows: DataFrame, headers: DataFrame, keys: list[str]) -> DataFrame:
 def summarize(records: DataFrame, keys: list[str]) -> DataFrame:
     """Counts of rows, accepted and rejected, for each file."""
     return records.groupBy(*keys).agg(F.count(F.lit(1)).alias("total_rows"), F.count_if(~F.col("rejected")).alias("accepted_rows"), F.count_if(F.col("rejected")).alias("rejected_rows"))
+
+
+def mapping_summary(column_map: DataFrame) -> DataFrame:
+    """One row: total_columns, mapped_core (distinct, sorted), mapped_spec, unmapped, and details by header."""
+    core = F.array_sort(F.collect_set(F.when(F.col("kind") == "core", F.col("target"))))
+    listed = lambda kind: F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.col("header"))))
+    details = F.map_from_entries(F.collect_list(F.struct("header", F.struct("target", "method", "confidence"))))
+    return column_map.agg(F.count(F.lit(1)).alias("total_columns"), core.alias("mapped_core"), listed("spec").alias("mapped_spec"), listed("unmapped").alias("unmapped"), details.alias("mapping_details"))
+
+
+def not_catalogs(records: DataFrame, headers: DataFrame, keys: list[str]) -> DataFrame:
+    """Files of which no row was accepted, with the headers that were detected, for an error envelope."""
+    accepted = records.filter(~F.col("rejected")).select(*keys).distinct()
+    return headers.join(accepted, keys, "left_anti").select(*keys, F.concat(F.lit("not a product catalogue; detected headers: "), F.array_join("headers", ", ")).alias("error"))

@@ -84,3 +84,9 @@ def ingest_urls(wanted: DataFrame, cache_path: str, fetch, use_cache: bool = Tru
     fetched.select("key", "html").write.mode("append").parquet(cache_path)
     fresh = spark.read.schema("key string, html string").parquet(cache_path).dropDuplicates(["key"])
     return keyed.join(fresh, "key", "left").select("url", "key", "html")
+
+
+def seed_cache(spark, url: str, html_path: str, cache_path: str) -> None:
+    """Puts a local page's text in the cache under a url."""
+    page = spark.read.text(html_path, wholetext=True)
+    page.select(cache_key(F.lit(url)).alias("key"), F.col("value").alias("html")).write.mode("append").parquet(cache_path)

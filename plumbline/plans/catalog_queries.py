@@ -197,3 +197,10 @@ def q_map_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_normalize_header(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = table(spark, sf_dir, "part").select(F.concat("p_brand", F.lit(" / "), "p_type", F.lit("_"), F.col("p_size").cast("string")).alias("header")).distinct()
     return h.select("header", normalize_header(F.col("header")).alias("normal"))
+
+
+@query("SELECT 7 AS total_columns, 'brand,product_name' AS mapped_core, 'IP_Rating,Rated Volts,Tensile Strengt' AS mapped_spec, 'Cost,Warehouse Bin' AS unmapped")
+def q_mapping_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ["Product Nam", "Rated Volts", "Mfr", "Cost", "Warehouse Bin", "IP_Rating", "Tensile Strengt"]
+    summary = catalog.mapping_summary(catalog.map_columns(spark.createDataFrame([(n,) for n in names], "header string")))
+    return summary.select("total_columns", *(F.array_join(c, ",").alias(c) for c in ("mapped_core", "mapped_spec", "unmapped")))

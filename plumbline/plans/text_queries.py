@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.specs import classify_spec, grounded
 from ..functions.text import block_id, cache_key, iso8601, normalize_whitespace, significant_words, snippet, split_on_match, strip_code_fences
-from ..operators import blocks, citations, extract, links, merge, validate
+from ..operators import blocks, citations, compare, extract, links, merge, validate
 from ..sources.formats import html_blocks
 from .base import LINES_SQL, OFFERS_SQL, lines, offers, query, table
 
@@ -222,3 +222,21 @@ def q_extract_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_first_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     long = lines(spark, sf_dir).filter("type = 'text'").withColumn("k", F.row_number().over(Window.partitionBy("doc_id").orderBy("pos")))
     return long.filter("k = 1").select("doc_id", F.col("text").alias("first_long"))
+
+
+@query("SELECT p_partkey AS doc_id, CASE p_partkey % 3 WHEN 0 THEN 'src-1' WHEN 1 THEN 'b0001' END AS reference, CASE p_partkey % 3 WHEN 0 THEN p_brand WHEN 1 THEN 'b0001' END AS source_label, p_partkey % 3 = 0 AND p_partkey % 5 <> 0 AS has_citation, CAST(round(p_size / 50.0 * 100) AS INTEGER) AS shown FROM part")
+def q_source_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part, key = table(spark, sf_dir, "part"), F.col("p_partkey")
+    specs = part.select(key.alias("doc_id"), F.when(key % 3 == 0, "src-1").when(key % 3 == 1, "b0001").alias("reference"), F.when(key % 5 == 0, "needs_review").otherwise("extracted").alias("status"), (F.col("p_size") / 50.0).alias("confidence"))
+    sources = part.select(key.alias("doc_id"), F.lit("src-1").alias("id"), F.col("p_brand").alias("reference"))
+    return compare.with_source_labels(specs, sources).select("doc_id", "reference", "source_label", "has_citation", compare.percent(F.col("confidence")).alias("shown"))
+
+
+@query("WITH i AS (SELECT p_partkey // 4 AS pair, CASE WHEN p_partkey % 2 = 0 THEN 'left' ELSE 'right' END AS side, (p_partkey % 4) // 2 AS item, p_name FROM part WHERE p_partkey % 12 NOT IN (2, 3)), s AS (SELECT pair, max(n) AS most FROM (SELECT pair, side, count(*) AS n FROM i GROUP BY 1, 2) GROUP BY 1), j AS (SELECT i.*, i.pair % 5 <> 0 AS picked, s.most FROM i JOIN s ON i.pair = s.pair) SELECT pair, side, item, p_name, CASE WHEN NOT picked AND most > 1 THEN 'candidate' ELSE 'chosen' END AS role FROM j WHERE (NOT picked AND most > 1) OR item = CASE WHEN picked AND side = 'left' AND most > 1 THEN 1 ELSE 0 END")
+def q_compare_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("p_partkey")
+    items = table(spark, sf_dir, "part").filter(~(key % 12).isin(2, 3)).select(F.floor(key / 4).alias("pair"), F.when(key % 2 == 0, "left").otherwise("right").alias("side"), F.floor(key % 4 / 2).cast("int").alias("item"), "p_name")
+    most = items.groupBy("pair").agg(F.max("item").alias("last"))
+    picks = most.filter("pair % 5 <> 0").select("pair", F.col("last").alias("left_item"), F.lit(0).alias("right_item"))
+    chosen, candidates = compare.choose_items(items, picks)
+    return chosen.withColumn("role", F.lit("chosen")).unionByName(candidates.withColumn("role", F.lit("candidate")))
