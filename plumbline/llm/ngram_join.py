@@ -44,6 +44,8 @@ U64 = np.uint64
 FREQUENT = 6
 #: Buckets up to this size are compared in full at once.
 SMALL_BUCKET = 12
+#: So are larger ones with no more than this many possible pairs for each set.
+FEW_PAIRS = 12
 LEADERS = 3
 BLOB = 16 << 20
 #: Sets that are fetched by a broadcast list (about 50 bytes each) rather than by a join of the texts.
@@ -82,18 +84,23 @@ def _levels(n: int, percent: int) -> range:
     return range(((n * percent + 99) // 100).bit_length() - 1, (n * 100 // percent).bit_length())
 
 
-def signatures(n: int, alone: tuple[int, int], token: np.ndarray, kind: np.ndarray, late: np.ndarray, percent: int) -> np.ndarray:
-    """The signatures of a set of n: of its shared tokens with their frequency classes and halves, and the number alone in each half."""
+def signatures(n: int, alone: tuple[int, int], token: np.ndarray, kind: np.ndarray, late: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(signatures, places) of a set of n: of its shared tokens with their frequency classes and halves, and the number alone in each half.
+
+    A place is the number of the set's tokens before the signature's first one in the global order.
+    """
     e = int(_lacks(n, percent))
     if alone[0] > e:
-        return token[:0]
+        return token[:0], np.zeros(0, np.uint32)
     order = np.lexsort((token, kind, late))
     token, kind, late = token[order], kind[order], late[order]
     frequent = kind >= FREQUENT
     before = alone[0] + alone[1] * late  # those in no other set come first in their half
+    place = (np.arange(len(token)) + before).astype(np.uint32)
     if not frequent.any():
-        return token[np.arange(len(token)) + before <= e]
-    out = []
+        use = place <= e
+        return token[use], place[use]
+    out, at_place = [], []
     for level in _levels(n, percent):
         classes = _classes(level)
         group = (mix(token ^ U64(0xC1A55)) & U64(classes - 1)).astype(np.int64)
@@ -107,14 +114,17 @@ def signatures(n: int, alone: tuple[int, int], token: np.ndarray, kind: np.ndarr
         length = min(len(token), int(np.searchsorted(budget, e + 1)) + 1)
         used = np.arange(len(token)) < length
         out.append(token[used & ~frequent])
+        at_place.append(place[used & ~frequent])
         own = by[used[by] & frequent[by]]
         own_rank, own_token = rank[own], token[own]
         back = 1
         while (own_rank >= back).any():  # each with the back-th before it in its sub-class
             at = np.flatnonzero(own_rank >= back)
             out.append(mix(own_token[at] * U64(0x9E3779B97F4A7C15) + mix(own_token[at - back]) + U64(level)))
+            at_place.append(place[own[at - back]])
             back += 1
-    return np.unique(np.concatenate(out))
+    sig, first = np.unique(np.concatenate(out), return_index=True)
+    return sig, np.concatenate(at_place)[first]
 
 
 def _starts(counts: np.ndarray) -> np.ndarray:
@@ -127,7 +137,9 @@ def _column(table: pa.Table, name: str, kind) -> np.ndarray:
 
 
 _SENT = "part int, nodes binary, sizes binary, counts binary, tokens binary"
-_SIGNED = "part int, sigs binary, nodes binary"
+_SIGNED = "part int, sigs binary, nodes binary, sizes binary, places binary, alone binary, least binary"
+#: The least signatures of a set that go with each of its entries.
+LEAST = 3
 _CLASSED = "chunk int, nodes binary, sizes binary, alone binary, counts binary, tokens binary, kinds binary"
 
 
@@ -222,105 +234,201 @@ def _sign(table: pa.Table, percent: int, parts: int) -> pa.Table:
     order = np.argsort(owner, kind="stable")
     token, kind = token[order], kind[order]
     cut = np.searchsorted(owner[order], np.arange(len(key) + 1))
-    sig, of = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
+    sig, place, of = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+    least = np.zeros((len(key), LEAST), dtype=np.uint64)
     for k in np.flatnonzero((lone[:, 0] <= _lacks(size, percent)) & (np.diff(cut) > 0)):
         a, b = cut[k], cut[k + 1]
-        own = signatures(int(size[k]), (int(lone[k, 0]), int(lone[k, 1])), token[a:b], kind[a:b], token[a:b] >> U64(63), percent)
+        own, at = signatures(int(size[k]), (int(lone[k, 0]), int(lone[k, 1])), token[a:b], kind[a:b], token[a:b] >> U64(63), percent)
         sig.append(own)
-        of.append(np.full(len(own), key[k]))
-    sig, of = np.concatenate(sig), np.concatenate(of)
+        place.append(at)
+        of.append(np.full(len(own), k))
+        least[k, : len(own)] = np.sort(own)[:LEAST]
+    sig, place, of = np.concatenate(sig), np.concatenate(place), np.concatenate(of)
     part = (mix(sig ^ U64(0x5157)) % U64(parts)).astype(np.int64)
     order = np.argsort(part, kind="stable")
-    sig, of, part = sig[order], of[order], part[order]
+    sig, place, of, part = sig[order], place[order], of[order], part[order]
     cut = np.searchsorted(part, np.arange(parts + 1))
-    rows = [(p, sig[a:b].tobytes(), of[a:b].tobytes()) for p, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a]
-    return pa.Table.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate([pa.int32(), pa.binary(), pa.binary()])], names=["part", "sigs", "nodes"])
+    rows = [(p, sig[a:b].tobytes(), key[of[a:b]].tobytes(), size[of[a:b]].astype(np.uint32).tobytes(), place[a:b].tobytes(), lone[of[a:b], 0].astype(np.uint32).tobytes(), least[of[a:b]].tobytes()) for p, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a]
+    return pa.Table.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate([pa.int32()] + [pa.binary()] * 6)], names=[x.split()[0] for x in _SIGNED.split(", ")])
 
 
-def _pairs_within(start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All index pairs i < j within each run start : start + count."""
-    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for m in np.unique(count):
-        i, j = np.triu_indices(int(m), 1)
-        at = start[count == m]
-        left.append((at[:, None] + i).ravel())
-        right.append((at[:, None] + j).ravel())
-    return np.concatenate(left), np.concatenate(right)
+_ROUND = "kind int, a long, b long, hub long, n int, place int, alone int, least array<long>"
+#: Possible pairs that are looked at together.
+PIECE = 1 << 18
 
 
-def _first_round(table: pa.Table) -> pa.Table:
-    """Of one part's blobs: pairs (kind 0), and the entries of large buckets (kind 1) for later rounds."""
-    sig, node = _column(table, "sigs", np.uint64), _column(table, "nodes", np.uint64)
-    order = np.argsort(sig)
-    sig, node = sig[order], node[order]
-    alone = np.concatenate([[True], sig[1:] != sig[:-1]])
-    alone &= np.concatenate([alone[1:], [True]])
-    sig, node = sig[~alone], node[~alone]
-    order = np.lexsort((node, sig))
-    sig, node = sig[order], node[order]
-    if len(sig):
-        fresh = np.concatenate([[True], (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])])
-        sig, node = sig[fresh], node[fresh]
-        start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-        count = np.diff(np.append(start, len(sig)))
-        few = count <= SMALL_BUCKET
-        i, j = _pairs_within(start[few & (count > 1)], count[few & (count > 1)])
-        left, right = [node[i]], [node[j]]
-        big = np.repeat(~few, count)
-        first = np.repeat(start, count)
-        where = np.arange(len(sig)) - first
-        for k in range(LEADERS):
-            at = np.flatnonzero(big & (where > k))
-            left.append(node[first[at] + k])
-            right.append(node[at])
-        pair = np.unique(np.stack([np.concatenate(left), np.concatenate(right)], 1), axis=0)
-        sig, node = sig[big], node[big]
-    else:
-        pair = np.zeros((0, 2), np.uint64)
-    signed = lambda x: pa.array(np.ascontiguousarray(x).view(np.int64))
-    return pa.table({"kind": pa.array(np.repeat([0, 1], [len(pair), len(sig)]), pa.int32()), "a": pa.concat_arrays([signed(pair[:, 0]), signed(sig)]), "b": pa.concat_arrays([signed(pair[:, 1]), signed(node)])})
+class _Bucket:
+    """The sets of one signature, sorted by size; which pairs could link, and are this bucket's to name.
 
+    A set's `alone` shingles (of the first half), which are in no other set, are shared with none and come first in
+    its order; so two sets, with i and j shingles before a shared one, share at most
+    min(i - alone, j - alone') + 1 + min(n - i - 1, m - j - 1), and min(n - alone, m - alone').
+    A pair that shares one of both sets' least signatures that is less than this one is named there.
+    """
 
-def _later_round(full: bool):
-    """Pairs across the components that meet in a bucket: nodes outside its largest component with that one's leaders, or all pairs."""
+    def __init__(self, sig: int, entries: dict[str, np.ndarray], percent: int):
+        order = np.lexsort((entries["node"], entries["n"]))
+        self.order, self.sig, self.percent = order, sig, percent
+        self.node, self.least = entries["node"][order], entries["least"][order]
+        self.n, self.place, self.alone = (entries[c][order].astype(np.int64) for c in ("n", "place", "alone"))
+        self.upto = np.searchsorted(self.n, self.n * 100 // percent, side="right")  # sets of a size that could link
+
+    @property
+    def most_pairs(self) -> int:
+        return int((self.upto - np.arange(len(self.n)) - 1).sum())
+
+    def could(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        n, m, p, q, u, v = self.n[i], self.n[j], self.place[i], self.place[j], self.alone[i], self.alone[j]
+        common = np.minimum(np.maximum(np.minimum(p - u, q - v), 0) + 1 + np.minimum(n - p - 1, m - q - 1), np.minimum(n - u, m - v))
+        return (self.percent * np.maximum(n, m) <= 100 * np.minimum(n, m)) & (100 * common >= self.percent * (n + m - common))
+
+    def _elsewhere(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(i), dtype=bool)
+        for x in range(self.least.shape[1]):
+            mine = self.least[i, x]
+            for y in range(self.least.shape[1]):
+                out |= (mine == self.least[j, y]) & (mine < self.sig) & (mine != 0)
+        return out
+
+    def pairs(self, comp: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """All pairs (of different components, if given) that could link and are not named elsewhere, in pieces."""
+        many = self.upto - np.arange(len(self.n)) - 1
+        ends = np.cumsum(many)
+        a = 0
+        while a < len(many):
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + PIECE, side="right")))
+            i = np.arange(a, b)
+            left = np.repeat(i, many[a:b])
+            right = left + 1 + np.arange(len(left)) - np.repeat(_starts(many[a:b])[:-1], many[a:b])
+            use = self.could(left, right)
+            if comp is not None:
+                use &= comp[left] != comp[right]
+            left, right = left[use], right[use]
+            own = ~self._elsewhere(left, right)
+            yield left[own], right[own]
+            a = b
+
+    def stars(self, leaders: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        left, right = np.repeat(leaders, len(others)), np.tile(others, len(leaders))
+        use = (left != right) & self.could(left, right)
+        left, right = left[use], right[use]
+        own = ~self._elsewhere(left, right)
+        return left[own], right[own]
+
+
+class _Found:
+    """Pairs as they are found, distinct; and entries of buckets for later rounds."""
+
+    def __init__(self):
+        self.held, self.size, self.undone = [], 0, []
+
+    def add(self, bucket: _Bucket, pieces) -> None:
+        hub = int(bucket.node.min())
+        for i, j in pieces:
+            if len(i):
+                a, b = bucket.node[i], bucket.node[j]
+                self.held.append(np.stack([np.minimum(a, b), np.maximum(a, b), np.full(len(i), hub), bucket.n[i] + bucket.n[j]], 1))
+                self.size += len(i)
+                if self.size > 2_000_000:
+                    self._distinct()
+
+    def _distinct(self) -> None:
+        rows = np.concatenate(self.held)
+        order = np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))
+        rows = rows[order]
+        rows = rows[np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(axis=1)])]
+        self.held, self.size = [rows], 0
+
+    def later(self, sig: int, e: dict[str, np.ndarray]) -> None:
+        self.undone.append({**e, "sig": np.full(len(e["node"]), sig)})
+
+    def table(self) -> pa.Table:
+        """Kind 0: pairs a < b with a hub and the sum of sizes.  Kind 1: entries (signature, node, ...)."""
+        if self.held:
+            self._distinct()
+        pair = self.held[0] if self.held else np.zeros((0, 4), np.int64)
+        e = {c: np.concatenate([u[c] for u in self.undone]) if self.undone else np.zeros((0, LEAST) if c == "least" else 0, np.int64) for c in ("sig", "node", "n", "place", "alone", "least")}
+        more = len(e["sig"])
+        zero = np.zeros(len(pair), np.int32)
+        both = lambda x, y, t: pa.array(np.concatenate([x, y]).astype(t))
+        offsets = np.concatenate([np.zeros(len(pair), np.int32), np.arange(more + 1, dtype=np.int32) * LEAST])
+        least = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(e["least"].ravel().view(np.int64)))
+        return pa.table({
+            "kind": pa.array(np.repeat(np.array([0, 1], np.int32), [len(pair), more])), "a": both(pair[:, 0], e["sig"], np.int64), "b": both(pair[:, 1], e["node"], np.int64), "hub": both(pair[:, 2], e["node"], np.int64),
+            "n": both(pair[:, 3], e["n"], np.int32), "place": both(zero, e["place"], np.int32), "alone": both(zero, e["alone"], np.int32), "least": least,
+        })
+
+
+def _buckets(sig: np.ndarray) -> Iterator[tuple[int, int]]:
+    start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.zeros(0, np.int64)
+    return zip(start.tolist(), np.append(start[1:], len(sig)).tolist())
+
+
+def _first_round(table: pa.Table, percent: int) -> pa.Table:
+    """Of one part's blobs: all pairs of buckets that have few, and of others the pairs with some leaders, their entries being kept for later."""
+    sig = _column(table, "sigs", np.uint64)
+    order = np.argsort(sig)
+    same = sig[order][1:] == sig[order][:-1]
+    order = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])] if len(order) else order  # no lone ones
+    node = _column(table, "nodes", np.uint64)
+    order = order[np.lexsort((node[order], sig[order]))]
+    order = order[np.concatenate([[True], (sig[order][1:] != sig[order][:-1]) | (node[order][1:] != node[order][:-1])])] if len(order) else order
+    sig = sig[order].view(np.int64)
+    every = {"node": node[order].view(np.int64), "n": _column(table, "sizes", np.uint32)[order], "place": _column(table, "places", np.uint32)[order], "alone": _column(table, "alone", np.uint32)[order], "least": _column(table, "least", np.uint64).reshape(-1, LEAST)[order].view(np.int64)}
+    found = _Found()
+    for a, b in _buckets(sig):
+        if b - a < 2:
+            continue
+        entries = {c: x[a:b] for c, x in every.items()}
+        bucket = _Bucket(int(sig[a]), entries, percent)
+        if b - a <= SMALL_BUCKET or bucket.most_pairs <= FEW_PAIRS * (b - a):
+            found.add(bucket, bucket.pairs())
+            continue
+        # Leaders of each range of like sizes, by hash, so that other buckets of a group choose the same ones.
+        band = (np.log(bucket.n) / np.log(100 / percent)).astype(np.int64)
+        for x in np.unique(band):
+            own = np.flatnonzero(band == x)
+            leaders = own[np.argsort(mix(bucket.node[own].view(np.uint64)))[:LEADERS]]
+            found.add(bucket, [bucket.stars(leaders, np.flatnonzero(np.abs(band - x) <= 1))])
+        found.later(int(sig[a]), entries)
+    return found.table()
+
+
+def _later_round(full: bool, percent: int):
+    """Pairs across the components that meet in a bucket: all, where that is few or `full` asks for it; else nodes outside the largest component with some of that one's."""
 
     def propose(table: pa.Table) -> pa.Table:
-        sig, node, comp = (table.column(c).to_numpy() for c in ("sig", "node", "comp"))
-        order = np.lexsort((node, comp, sig))
-        sig, node, comp = sig[order], node[order], comp[order]
-        start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-        out = []
-        for a, b in zip(start, np.append(start[1:], len(sig))):
-            cuts = np.flatnonzero(np.concatenate([[True], comp[a + 1 : b] != comp[a : b - 1]])) + a
-            if len(cuts) == 1:
+        table = table.sort_by([("sig", "ascending"), ("node", "ascending")]).combine_chunks()
+        sig, comp = table.column("sig").to_numpy(), table.column("comp").to_numpy()
+        every = {c: table.column(c).to_numpy() for c in ("node", "n", "place", "alone")}
+        every["least"] = table.column("least").combine_chunks().flatten().to_numpy().reshape(-1, LEAST)
+        found = _Found()
+        for a, b in _buckets(sig):
+            if (comp[a:b] == comp[a]).all():
                 continue
-            ends = np.append(cuts[1:], b)
-            if full:
-                for c, d in zip(cuts[:-1], ends[:-1]):
-                    out.append(np.stack([np.repeat(node[c:d], b - d), np.tile(node[d:b], d - c)], 1))
-                    if len(out) > 64:
-                        out = [np.unique(np.sort(np.concatenate(out), 1), axis=0)]
+            entries = {c: x[a:b] for c, x in every.items()}
+            bucket = _Bucket(int(sig[a]), entries, percent)
+            own = comp[a:b][bucket.order]
+            _, group, size = np.unique(own, return_inverse=True, return_counts=True)
+            across = (len(own) ** 2 - int((size.astype(np.int64) ** 2).sum())) // 2
+            if full or min(across, bucket.most_pairs) <= FEW_PAIRS * len(own):
+                found.add(bucket, bucket.pairs(own))
                 continue
-            big = int(np.argmax(ends - cuts))
-            own = node[cuts[big] : ends[big]]
-            leaders = own[np.argsort(mix(own.view(np.uint64) ^ U64(0x1EADE5)))[: LEADERS + 2]]
-            others = np.concatenate([node[a : cuts[big]], node[ends[big] : b]])
-            out.append(np.stack([np.repeat(leaders, len(others)), np.tile(others, len(leaders))], 1))
-        pair = np.unique(np.sort(np.concatenate(out), 1), axis=0) if out else np.zeros((0, 2), np.int64)
-        return pa.table({"a": pa.array(pair[:, 0], pa.int64()), "b": pa.array(pair[:, 1], pa.int64())})
+            big = group == int(np.argmax(size))
+            members = np.flatnonzero(big)
+            leaders = members[np.argsort(mix(bucket.node[members].view(np.uint64) ^ U64(0x1EADE5)))[: 2 * LEADERS]]
+            found.add(bucket, [bucket.stars(leaders, np.flatnonzero(~big))])
+            found.later(int(sig[a]), entries)
+        return found.table()
 
     return propose
 
 
 def _deal(pairs: DataFrame, blocks: int, work: Workspace, name: str) -> DataFrame:
-    """(block, a, b): pairs around one leader meet in one block, in several where there are very many."""
-    both = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other")))).alias("e")).select("e.*")
-    lowest = work.write(both.groupBy("node").agg(F.least(F.min("other"), F.col("node")).alias("low")), f"lowest-{name}")
-    around = pairs.join(lowest.select(F.col("node").alias("a"), F.col("low").alias("low_a")), "a").join(lowest.select(F.col("node").alias("b"), F.col("low").alias("low_b")), "b")
-    around = work.write(around.select("a", "b", F.least("low_a", "low_b").alias("hub")), f"around-{name}")
-    fans = around.groupBy("hub").agg(F.count(F.lit(1)).alias("fan"))
+    """(block, a, b): pairs around one hub meet in one block, in several where there are very many."""
+    fans = pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("fan"))
     salt = F.pmod(F.xxhash64("b"), F.ceil(F.col("fan") / 4096))
-    return work.write(around.join(fans, "hub").select(F.pmod(F.xxhash64("hub", salt), F.lit(blocks)).cast("int").alias("block"), "a", "b"), f"dealt-{name}")
+    return work.write(pairs.join(fans, "hub").select(F.pmod(F.xxhash64("hub", salt), F.lit(blocks)).cast("int").alias("block"), "a", "b"), name)
 
 
 def _tokens(base: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
@@ -407,29 +515,24 @@ def similarity_components(docs: DataFrame, width: int = 5, percent: int = 80, id
     parts = max(2, -(-total * 4 // BLOB))
     sent = _send(base, width, percent, parts).groupBy("part").applyInArrow(lambda t: _classify(t, parts), _CLASSED)
     signed = sent.groupBy("chunk").applyInArrow(lambda t: _sign(t, percent, parts), _SIGNED)
-    first = work.write(signed.groupBy("part").applyInArrow(_first_round, "kind int, a long, b long"), "first")
-
-    nodes = described.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"))
-    links = None
-    entries = first.filter("kind = 1").select(F.col("a").alias("sig"), F.col("b").alias("node"))
-    pairs = work.write(first.filter("kind = 0").select("a", "b").distinct(), "pairs-0")
-    labels = None
+    rounds = work.write(signed.groupBy("part").applyInArrow(lambda t: _first_round(t, percent), _ROUND), "round-0")
+    nodes = described.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
+    links = labels = None
     for k in range(3):
         if k:
-            known = entries.join(labels, "node", "left").select("sig", "node", F.coalesce("label", "node").alias("comp"))
-            unsettled = known.groupBy("sig").agg((F.min("comp") < F.max("comp")).alias("open")).filter("open").select("sig")
-            known = known.join(unsettled, "sig")
-            pairs = work.write(known.withColumn("part", F.pmod(F.xxhash64("sig"), F.lit(parts * 4))).groupBy("part").applyInArrow(_later_round(k == 2), "a long, b long").distinct(), f"pairs-{k}")
-        size = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").agg(F.sum("n")).first()[0]
-        if not size:
-            break
-        dealt = _deal(pairs, max(2, -(-size * 8 // (4 << 20))), work, str(k))
-        wanted = dealt.select("block", F.explode(F.array("a", "b")).alias("node")).distinct().groupBy("node").agg(F.collect_list("block").alias("blocks"))
-        wanted = work.write(wanted.join(nodes, "node").select("node", "doc_id", "blocks"), f"wanted-{k}")
-        found = work.write(_verify(dealt, _tokens(base, wanted, width), percent), f"links-{k}")
-        links = found if links is None else links.unionByName(found)
-        labels = connected_components(links, work, f"labels-{k}")
-        if k == 0 and entries.limit(1).count() == 0:
+            entries = rounds.filter("kind = 1").select(F.col("a").alias("sig"), F.col("b").alias("node"), "n", "place", "alone", "least")
+            known = entries.join(labels, "node", "left").withColumn("comp", F.coalesce("label", "node")).withColumn("part", F.pmod(F.xxhash64("sig"), F.lit(parts)).cast("int"))
+            rounds = work.write(known.select("part", "sig", "node", "comp", "n", "place", "alone", "least").groupBy("part").applyInArrow(_later_round(k == 2, percent), _ROUND), f"round-{k}")
+        pairs = work.write(rounds.filter("kind = 0").groupBy("a", "b").agg(F.min("hub").alias("hub"), F.max("n").alias("n")), f"pairs-{k}")
+        size = pairs.agg(F.sum("n")).first()[0]
+        if size:
+            dealt = _deal(pairs, max(2, -(-size * 8 // (32 << 20))), work, f"dealt-{k}")
+            wanted = dealt.select("block", F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.collect_set("block").alias("blocks"))
+            wanted = work.write(wanted.join(nodes, "node").select("node", "doc_id", "blocks"), f"wanted-{k}")
+            found = work.write(_verify(dealt, _tokens(base, wanted, width), percent), f"links-{k}")
+            links = found if links is None else links.unionByName(found)
+            labels = connected_components(links, work, f"labels-{k}")
+        if labels is None or not rounds.filter("kind = 1").limit(1).count():
             break
 
     sized = nodes.select("node", F.col("doc_id").alias("least"))
@@ -441,6 +544,6 @@ def similarity_components(docs: DataFrame, width: int = 5, percent: int = 80, id
         lowest = named.groupBy("label").agg(F.min("least").alias("component"))
         per_node = named.join(lowest, "label").join(degree, "node", "left").select("node", "component", F.coalesce("n_set_links", F.lit(0)).alias("n_set_links"))
     per_node = work.write(per_node, "per-node")
-    work.drop("first", *(f"{x}-{k}" for k in range(3) for x in ("pairs", "wanted", "lowest", "around", "dealt")))
+    work.drop(*(f"{x}-{k}" for k in range(3) for x in ("round", "pairs", "wanted", "dealt")))
     joined = described.join(per_node, "node", "left")
     return joined.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("n_set_links", F.lit(0).cast("long")).alias("n_set_links"))
