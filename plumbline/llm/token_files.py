@@ -194,7 +194,7 @@ class WordEncoder(dict):
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, work: Workspace, planes: str = "bit", block: int = BLOCK, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, work: Workspace, planes: str = "byte", block: int = BLOCK, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Writes documents in ascending id order (nulls first; equal ids in any order) and returns the manifest.
 
     The manifest (file, path, first, n_docs, n_ids) has a row per file of about 16 MB of text;
