@@ -1,9 +1,11 @@
 """Language-model scoring with Brown class-based n-grams.
 
-Words are assigned to classes by exchange clustering: the HEAD commonest words are moved,
-one at a time, to the class that gains most class-bigram mutual information; every other
-word then makes one such move against those classes, on which the chunks of the corpus
-vote with all of its contexts.  A word's probability mixes class transitions (trigram,
+Words are assigned to classes by exchange clustering.  The HEAD commonest words begin: they
+are moved, one at a time, to the class that gains most class-bigram mutual information.  Then
+all training words move, at each step together: the counts of the classes on both sides of
+each word are summed over the corpus, and each word goes where it gains most.  Steps go on
+until few words move or information hardly grows.  One that loses information is taken back, and
+fewer words move at once from then on.  A word's probability mixes class transitions (trigram,
 bigram and unigram of classes) times its emission from its class, and the add-one unigram
 of words:
 
@@ -32,6 +34,9 @@ from ._bytes import NON_SPACE, Words, buffers, slices, word_hash
 from ._shared import Workspace
 
 HEAD, CLASSES, SWEEPS = 1000, 32, 6
+#: Exchange over all words ends when no more than this share of them would move, when information grows by less than this
+#: share, or when it falls though only one word in MOST_TURNS moves at a step.
+FEW, LEAST_GAIN, MOST_TURNS = 0.01, 0.001, 4
 L3, L2, L1, L0 = 0.45, 0.3, 0.1, 0.15
 #: Text bytes of one chunk, and word list entries of one part, about.
 CHUNK, PART = 12 << 20, 1_500_000
@@ -39,6 +44,14 @@ END = word_hash(b"\n")  # no word has white space
 NO_CLASS = 255
 
 _CHUNKS = "chunk string, doc_ids array<long>, held array<boolean>, bounds binary, tokens binary, words binary, counts binary"
+#: Of a chunk, what goes on with its words' classes.
+_CHUNKS_SEEN = ("doc_ids", "held", "bounds", "tokens", "words")
+_SEEN = "doc_ids array<long>, held array<boolean>, bounds binary, tokens binary, words binary, counts binary, kinds binary"
+_CLASSED = "part int, words binary, counts binary, kinds binary, moved long"
+_CLASSED_ARROW = pa.schema([("part", pa.int32()), *((n, pa.binary()) for n in ("words", "counts", "kinds")), ("moved", pa.int64())])
+_SUMMED = "part int, words binary, counts binary, kinds binary, at binary, times binary, table array<long>"
+#: Context cells of a word: the classes before it, those after it, and the word itself after it.
+CELLS = 2 * CLASSES + 1
 
 
 def _u(row, kind):
@@ -176,6 +189,152 @@ def exchange(pairs: np.ndarray, counts: np.ndarray, classes: int = CLASSES, swee
     return of
 
 
+def _contexts(parts: int):
+    """(part, words, at, times) of each chunk: the training words with cells, and how often each has each context; `at` is place * CELLS + cell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                words, own = np.frombuffer(row["words"], np.uint64), np.frombuffer(row["kinds"], np.uint8)
+                token, taught, _ = _sequence(row)
+                token = token[taught].astype(np.int64)  # whole texts, each with its end
+                if not len(token):
+                    continue
+                before = np.concatenate([[np.searchsorted(words, np.uint64(END))], token[:-1]])
+                left, right = own[before], own[token]
+                cells = (token * CELLS + left)[left != NO_CLASS], (before * CELLS + CLASSES + right)[right != NO_CLASS], token[before == token] * CELLS + 2 * CLASSES
+                code, times = np.unique(np.concatenate(cells), return_counts=True)
+                cut = np.searchsorted(code, _by_part(words, parts) * CELLS)
+                for p, (a, b) in enumerate(zip(cut[:-1], cut[1:])):
+                    if b > a:
+                        who, place = np.unique(code[a:b] // CELLS, return_inverse=True)
+                        at = (place * CELLS + code[a:b] % CELLS).astype(np.uint32)
+                        yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (words[who], at, times[a:b].astype(np.uint32)))], names=["part", "words", "at", "times"])
+
+    return run
+
+
+def _add_contexts(key, near: pa.Table, known: pa.Table) -> pa.Table:
+    """One part's contexts, summed, and its words' share of the class bigrams."""
+    words, kinds = np.frombuffer(known.column("words")[0].as_py(), np.uint64), np.frombuffer(known.column("kinds")[0].as_py(), np.uint8)
+    codes, times = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for w, at, n in zip(*(near.column(c) for c in ("words", "at", "times"))):
+        at = _u(at, np.uint32).astype(np.int64)
+        codes.append(np.searchsorted(words, _u(w, np.uint64))[at // CELLS] * CELLS + at % CELLS)
+        times.append(_u(n, np.uint32).astype(np.int64))
+    code, n = _summed(codes, times)
+    kind, cell = kinds[code // CELLS].astype(np.int64), code % CELLS
+    after = (kind != NO_CLASS) & (cell >= CLASSES) & (cell < 2 * CLASSES)
+    table = np.zeros(CLASSES**2, dtype=np.int64)
+    np.add.at(table, kind[after] * CLASSES + cell[after] - CLASSES, n[after])
+    return pa.table({"part": known.column("part")[:1], **{c: known.column(c)[:1] for c in ("words", "counts", "kinds")}, "at": pa.array([code.tobytes()], pa.binary()), "times": pa.array([n.tobytes()], pa.binary()), "table": pa.array([table.tolist()], pa.list_(pa.int64()))})
+
+
+def _xlogx(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1e-300))
+
+
+def _information(table: np.ndarray) -> float:
+    """Mutual information of neighbouring classes, in nats a bigram."""
+    n = max(table.sum(), 1)
+    return float((_xlogx(table).sum() - _xlogx(table.sum(axis=1)).sum() - _xlogx(table.sum(axis=0)).sum() + _xlogx(n)) / n)
+
+
+def gains(table: np.ndarray, here: np.ndarray, into: np.ndarray, out: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """What each class gains from each word, as in exchange(), all others staying: (words, CLASSES).
+
+    here: the words' classes (NO_CLASS: none).  into, out: counts of the classes before and after each, without
+    the word itself.  own: how often the word follows itself.
+    """
+    size = len(table)
+    has = np.flatnonzero(here != NO_CLASS)
+    at = here[has]
+    rows, columns = np.tile(table.sum(axis=1), (len(here), 1)), np.tile(table.sum(axis=0), (len(here), 1))
+    # Row and column totals without the word in its class; its neighbours' counts stay, or come in with a word that has none.
+    fresh = here == NO_CLASS
+    rows[fresh] += into[fresh]
+    columns[fresh] += out[fresh]
+    rows[has, at] -= out[has].sum(axis=1) + own[has]
+    columns[has, at] -= into[has].sum(axis=1) + own[has]
+    gain = np.zeros((len(here), size))
+    for counts, other, grid in ((out, into, table), (into, out, table.T)):
+        w, c = np.nonzero(counts)
+        n, g = counts[w, c], here[w]
+        cell = grid[:, c].T.astype(np.float64)  # of each class against the neighbour's
+        mine = np.flatnonzero(g != NO_CLASS)
+        cell[mine, g[mine]] -= n[mine]
+        same = np.flatnonzero(g == c)
+        cell[same] -= other[w[same]]
+        cell[same, g[same]] -= own[w[same]]
+        term = _xlogx(cell + n[:, None]) - _xlogx(cell)
+        begin = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]])) if len(w) else np.zeros(0, np.int64)
+        if len(w):
+            gain[w[begin]] += np.add.reduceat(term, begin, axis=0)
+    diagonal = np.tile(np.diagonal(table).astype(np.float64), (len(here), 1))
+    diagonal[has, at] -= out[has, at] + into[has, at] + own[has]
+    gain += _xlogx(diagonal + out + into + own[:, None]) - _xlogx(diagonal + out) - _xlogx(diagonal + into) + _xlogx(diagonal)
+    left, right = out.sum(axis=1, keepdims=True) + own[:, None], into.sum(axis=1, keepdims=True) + own[:, None]
+    return gain - (_xlogx(rows + left) - _xlogx(rows) + _xlogx(columns + right) - _xlogx(columns))
+
+
+def move(words: np.ndarray, here: np.ndarray, cells: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """New classes of words from their context cells.
+
+    A word moves only where that gains.  One without a class or a classed neighbour yet is dealt one by its hash, as the
+    head's words are by rank, and moves in the next step.
+    """
+    into, out, own = (x.astype(np.float64) for x in (cells[:, :CLASSES], cells[:, CLASSES : 2 * CLASSES], cells[:, -1]))
+    has = np.flatnonzero(here != NO_CLASS)
+    into[has, here[has]] -= own[has]
+    out[has, here[has]] -= own[has]
+    gain = gains(table, here.astype(np.int64), into, out, np.where(here != NO_CLASS, own, 0.0))
+    best = gain.argmax(axis=1)
+    stay = np.where(here != NO_CLASS, here, best).astype(np.int64)
+    each = np.arange(len(here))
+    chosen = np.where(gain[each, best] > gain[each, stay] + 1e-9, best, stay)
+    alone = (here == NO_CLASS) & ~(cells[:, : 2 * CLASSES] > 0).any(axis=1)
+    return np.where(alone, words % np.uint64(CLASSES), chosen.astype(np.uint64)).astype(np.uint8)
+
+
+def _move(sent, turns: int, turn: int):
+    """The part's words in their new classes, a block of words at a time; of those with a class, the ones whose turn it is move."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                words, counts, here = np.frombuffer(row["words"], np.uint64), np.frombuffer(row["counts"], np.int64), np.frombuffer(row["kinds"], np.uint8)
+                code, times = np.frombuffer(row["at"], np.int64), np.frombuffer(row["times"], np.int64)
+                kinds = here.copy()
+                for a in range(0, len(words), 1024):
+                    b = min(a + 1024, len(words))
+                    i, j = np.searchsorted(code, [a * CELLS, b * CELLS])
+                    cells = np.zeros((b - a) * CELLS, dtype=np.int64)
+                    cells[code[i:j] - a * CELLS] = times[i:j]
+                    kinds[a:b] = np.where(counts[a:b] > 0, move(words[a:b], here[a:b], cells.reshape(b - a, CELLS), sent.value), NO_CLASS)
+                wait = (here != NO_CLASS) & ((words >> np.uint64(20)) % np.uint64(turns) != turn)
+                kinds[wait] = here[wait]
+                yield pa.RecordBatch.from_pylist([{"part": row["part"], "words": row["words"], "counts": row["counts"], "kinds": kinds.tobytes(), "moved": int((kinds != here).sum())}], schema=_CLASSED_ARROW)
+
+    return run
+
+
+def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Training tokens of each class."""
+    for batch in batches:
+        for counts, kinds in zip(batch.column("counts"), batch.column("kinds")):
+            c, kind = _u(counts, np.int64), _u(kinds, np.uint8)
+            n = np.zeros(CLASSES, dtype=np.int64)
+            np.add.at(n, kind[kind != NO_CLASS], c[kind != NO_CLASS])
+            yield pa.RecordBatch.from_arrays([pa.array(range(CLASSES), pa.int64()), pa.array(n)], names=["k", "n"])
+
+
+def _end_kind(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for words, kinds in zip(batch.column("words"), batch.column("kinds")):
+            at = np.flatnonzero(_u(words, np.uint64) == np.uint64(END))
+            yield pa.RecordBatch.from_arrays([pa.array(_u(kinds, np.uint8)[at].astype(np.int32))], names=["kind"])
+
+
 @dataclass(frozen=True)
 class Totals:
     n: int  # training tokens
@@ -231,73 +390,71 @@ def score_texts(docs: DataFrame, train: Column, id_column: str = "doc_id", text_
         pairs[np.frombuffer(row["at"], np.uint32)] = np.frombuffer(row["times"], np.int64)
     pairs = pairs.reshape(len(head), len(head))
     classes = exchange(pairs, pairs.sum(axis=0))
-    table = np.zeros((CLASSES, CLASSES))
-    np.add.at(table, (classes[:, None], classes[None, :]), pairs)
-    table += 0.1 + 0.01 * table.sum() / CLASSES**2
-    after = np.log(table / table.sum(axis=1, keepdims=True))  # of a class after another
-    sent_move = context.broadcast((classes, after, np.log(table.sum(axis=0) / table.sum())))
-
-    def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head, (of, after, alone) = sent_head.value, sent_move.value
+    sent_move = context.broadcast(classes)
+
+    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, of = sent_head.value, sent_move.value
         for batch in batches:
             for row in batch.to_pylist():
-                words = np.frombuffer(row["words"], np.uint64)
-                token, taught, _ = _sequence(row)
+                words, counts = np.frombuffer(row["words"], np.uint64), np.frombuffer(row["counts"], np.int64)
                 place = _places(words, head)
-                known = np.where(place >= 0, of[place], -1)
-                kind = known[token]
-                end = of[_places(np.array([END], np.uint64), head)[0]]
-                left, right = np.concatenate([[end], kind[:-1]]), np.append(kind[1:], -1)
-                rare = taught & (kind < 0)
-                local = np.cumsum(place < 0) - 1
-                seen = np.zeros((int((place < 0).sum()), 2 * CLASSES), dtype=np.float32)
-                for k, near in enumerate((left, right)):
-                    some = rare & (near >= 0)
-                    cell = np.bincount(local[token[some]] * CLASSES + near[some], minlength=len(seen) * CLASSES)
-                    seen[:, k * CLASSES : (k + 1) * CLASSES] = cell.reshape(len(seen), CLASSES)
-                # The move's gain: the class's fit to the contexts, beyond what the class has anyway.
-                gain = seen @ np.concatenate([after - alone, after.T - alone[:, None]]).astype(np.float32)
-                best, weight = gain.argmax(axis=1).astype(np.uint8), np.minimum(seen.sum(axis=1), 65535).astype(np.uint16)
-                who = np.flatnonzero((place < 0) & (np.frombuffer(row["counts"], np.uint32) > 0))
-                cut = _by_part(words[who], parts)
-                some = [(p, who[a:b]) for p, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a]
-                yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in some], pa.int32()), *(pa.array([x(w).tobytes() for _, w in some], pa.binary()) for x in (lambda w: words[w], lambda w: best[local[w]], lambda w: weight[local[w]]))], names=["part", "words", "best", "weight"])
-
-    def decide(key, ballot: pa.Table, total: pa.Table) -> pa.Table:
-        words, counts = np.frombuffer(total.column("words")[0].as_py(), np.uint64), np.frombuffer(total.column("counts")[0].as_py(), np.int64)
-        kind = np.full(len(words), NO_CLASS, dtype=np.uint8)
-        if ballot.num_rows:
-            w, best, weight = (np.concatenate([_u(x, t) for x in ballot.column(c).combine_chunks()]) for c, t in (("words", np.uint64), ("best", np.uint8), ("weight", np.uint16)))
-            code, cast = _summed([np.searchsorted(words, w) * CLASSES + best], [weight.astype(np.int64) + 1])
-            order = np.lexsort((code, -cast, code // CLASSES))
-            first = order[np.concatenate([[True], np.diff(code[order] // CLASSES) > 0])]
-            kind[code[first] // CLASSES] = code[first] % CLASSES
-        place = _places(words, sent_head.value)
-        kind[place >= 0] = sent_move.value[0][place[place >= 0]]
-        kind[counts == 0] = NO_CLASS
-        sizes = np.bincount(kind[kind < NO_CLASS], counts[kind < NO_CLASS], minlength=CLASSES).astype(np.int64)
-        return pa.table({"part": total.column("part"), "words": total.column("words"), "counts": total.column("counts"), "kinds": pa.array([kind.tobytes()], pa.binary()), "sizes": pa.array([sizes.tolist()], pa.list_(pa.int64()))})
-
-    ballots = chunks.select("held", "bounds", "tokens", "words", "counts").mapInArrow(votes, "part int, words binary, best binary, weight binary")
-    classed = work.write(ballots.groupBy("part").cogroup(totals.groupBy("part")).applyInArrow(decide, "part int, words binary, counts binary, kinds binary, sizes array<long>"), "classed")
-    sizes = np.array([r[0] for r in classed.select(F.posexplode("sizes").alias("k", "n")).groupBy("k").agg(F.sum("n").alias("n")).orderBy("k").select("n").collect()], dtype=np.float64)
+                kind = np.where((place >= 0) & (counts > 0), of[place], NO_CLASS).astype(np.uint8)
+                yield pa.RecordBatch.from_pylist([row | {"kinds": kind.tobytes(), "moved": 0}], schema=_CLASSED_ARROW)
 
     def answer(key, asked: pa.Table, known: pa.Table) -> pa.Table:
         words, counts, kinds = np.frombuffer(known.column("words")[0].as_py(), np.uint64), np.frombuffer(known.column("counts")[0].as_py(), np.int64), np.frombuffer(known.column("kinds")[0].as_py(), np.uint8)
         at = [np.searchsorted(words, _u(x, np.uint64)) for x in asked.column("words").combine_chunks()]
         return pa.table({"part": asked.column("part"), "chunk": asked.column("chunk"), "counts": pa.array([counts[a].astype(np.uint32).tobytes() if counts.max(initial=0) < 2**32 else np.minimum(counts[a], 2**32 - 1).astype(np.uint32).tobytes() for a in at], pa.binary()), "kinds": pa.array([kinds[a].tobytes() for a in at], pa.binary())})
 
-    asked = chunks.select("chunk", "words", "counts").mapInArrow(_ask(parts), "part int, chunk string, words binary, counts binary").select("part", "chunk", "words")
-    answered = asked.groupBy("part").cogroup(classed.groupBy("part")).applyInArrow(answer, "part int, chunk string, counts binary, kinds binary")
-
     def join(key, chunk: pa.Table, reply: pa.Table) -> pa.Table:
         reply = reply.sort_by("part")
         both = [pa.array([b"".join(x.as_py() for x in reply.column(c))], pa.binary()) for c in ("counts", "kinds")]
-        return pa.Table.from_arrays([*(chunk.column(c) for c in ("doc_ids", "held", "bounds", "tokens")), *both], names=["doc_ids", "held", "bounds", "tokens", "counts", "kinds"])
-
-    ready = work.write(chunks.select("chunk", "doc_ids", "held", "bounds", "tokens").groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(join, "doc_ids array<long>, held array<boolean>, bounds binary, tokens binary, counts binary, kinds binary"), "ready")
-    work.drop("chunks", "totals", "classed")
-    end_class = int(classes[_places(np.array([END], np.uint64), head)[0]])
+        return pa.Table.from_arrays([*(chunk.column(c) for c in _CHUNKS_SEEN), *both], names=[*_CHUNKS_SEEN, "counts", "kinds"])
+
+    def with_kinds(classed: DataFrame) -> DataFrame:
+        """The chunks with their words' counts and classes."""
+        asked = chunks.select("chunk", "words", "counts").mapInArrow(_ask(parts), "part int, chunk string, words binary, counts binary").select("part", "chunk", "words")
+        answered = asked.groupBy("part").cogroup(classed.select("part", "words", "counts", "kinds").groupBy("part")).applyInArrow(answer, "part int, chunk string, counts binary, kinds binary")
+        return chunks.select("chunk", *_CHUNKS_SEEN).groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(join, _SEEN)
+
+    classed, best, step = work.write(totals.select("part", "words", "counts").mapInArrow(begin, _CLASSED), "classed0"), 0.0, 0
+    held, turns = [], 1
+    while True:
+        # All words' contexts by the classes of this step, summed over the corpus; the class bigrams of the step come with them.
+        near = with_kinds(classed).select("held", "bounds", "tokens", "words", "kinds").mapInArrow(_contexts(parts), "part int, words binary, at binary, times binary")
+        summed = work.write(near.groupBy("part").cogroup(classed.groupBy("part")).applyInArrow(_add_contexts, _SUMMED), f"summed{step}")
+        table = np.zeros(CLASSES**2)
+        for k, n in summed.select(F.posexplode("table").alias("k", "n")).groupBy("k").agg(F.sum("n").alias("n")).collect():
+            table[k] = n
+        table = table.reshape(CLASSES, CLASSES)
+        gained = _information(table)
+        # The head's start (step 0) has few of the bigrams, so its information is not compared.
+        if step < 2 or gained > best:
+            enough = step > 1 and gained < best * (1 + LEAST_GAIN)
+            if held:
+                work.drop(*held)
+            final, held, best, kept = classed, [f"classed{step}", f"summed{step}"], gained, (summed, table)
+        else:  # moved together, neighbours can miss each other: from the step before, fewer move at once
+            enough = turns >= MOST_TURNS
+            work.drop(f"classed{step}", f"summed{step}")
+            turns *= 2
+        if enough:
+            break
+        step += 1
+        classed = work.write(kept[0].drop("table").mapInArrow(_move(context.broadcast(kept[1]), turns, step % turns), _CLASSED), f"classed{step}")
+        moved = int(classed.agg(F.sum("moved")).first()[0])
+        near = None
+        docs.sparkSession._jvm.System.gc()  # lets Spark drop the step's shuffle files
+        if moved * turns <= FEW * size.v:
+            final = classed
+            break
+    sizes = np.zeros(CLASSES)
+    for k, n in final.select("words", "counts", "kinds").mapInArrow(_sizes, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():
+        sizes[k] = n
+    end_class = final.select("words", "kinds").mapInArrow(_end_kind, "kind int").first()[0]
+    end_class = 0 if end_class == NO_CLASS else end_class  # without training, nothing has a class
+    ready = work.write(with_kinds(final).drop("words"), "ready")
+    work.drop("chunks", "totals", *(f"classed{k}" for k in range(step + 1)), *(f"summed{k}" for k in range(step + 1)))
 
     def history(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(token ids, class of each, and of the two known words before it)."""
@@ -326,7 +483,7 @@ def score_texts(docs: DataFrame, train: Column, id_column: str = "doc_id", text_
     two = cube.sum(axis=0)
     two = (two + 5 * single) / (two.sum(axis=1, keepdims=True) + 5)
     three = (cube + 10 * two[None]) / (cube.sum(axis=2, keepdims=True) + 10)
-    sent = context.broadcast(((L3 * three + L2 * two[None] + L1 * single).ravel(), np.maximum(sizes, 1) if len(sizes) else np.ones(CLASSES)))
+    sent = context.broadcast(((L3 * three + L2 * two[None] + L1 * single).ravel(), np.maximum(sizes, 1)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mixed, size_of = sent.value

@@ -321,6 +321,58 @@ def test_exchange_clustering():
     assert len(set(got[:4])) == 1 and len(set(got[4:])) == 1 and got[0] != got[4]
 
 
+def test_exchange_gains_by_force():
+    """Gains of all words, sparse and together, against the information of each class bigram table."""
+    rng = np.random.default_rng(3)
+    pairs = rng.integers(0, 4, (12, 12)) * (rng.random((12, 12)) < 0.4)
+    of = rng.integers(0, 3, 12)
+    of[7] = brown_lm.NO_CLASS
+
+    def table(of):
+        out = np.zeros((3, 3))
+        for a in range(12):
+            for b in range(12):
+                if brown_lm.NO_CLASS not in (of[a], of[b]):
+                    out[of[a], of[b]] += pairs[a, b]
+        return out
+
+    def total(t):
+        f = lambda x: (x * np.log(np.maximum(x, 1e-300))).sum()
+        return f(t) - f(t.sum(axis=1)) - f(t.sum(axis=0))
+
+    own = np.where(of == brown_lm.NO_CLASS, 0, np.diagonal(pairs)).astype(float)
+    into, out = (np.array([[sum(m[v, w] for v in range(12) if of[v] == c and v != w) for c in range(3)] for w in range(12)], dtype=float) for m in (pairs, pairs.T))
+    got = brown_lm.gains(table(of), of, into, out, own)
+    for w in range(12):
+        tables = []
+        for c in range(3):
+            moved = of.copy()
+            moved[w] = c
+            t = table(moved)
+            t[c, c] -= pairs[w, w] if of[w] == brown_lm.NO_CLASS else 0  # not counted before it has a class
+            tables.append(total(t))
+        assert got[w] - got[w, 0] == pytest.approx(np.array(tables) - tables[0], abs=1e-6)
+
+
+def test_all_words_move_by_corpus_counts(spark, monkeypatch):
+    """Words far from the head find the class of words used alike, however the rows fall into chunks."""
+    monkeypatch.setattr(brown_lm, "HEAD", 2)
+    rng = random.Random(7)
+    kinds = [[f"{k}{i}" for i in range(20)] for k in "abc"]
+    # The head is h and the end, whose neighbours tell nothing of the kinds; all else is outside it.
+    texts = [" ".join(["h", *(rng.choice(kinds[(i + k) % 3]) for i in range(60)), "h"]) for k in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    each = []
+    for chunk, part in ((12 << 20, 10**6), (300, 30)):
+        monkeypatch.setattr(brown_lm, "CHUNK", chunk)
+        monkeypatch.setattr(brown_lm, "PART", part)
+        got = [r for r in brown_lm.score_texts(docs, F.col("doc_id") % 5 != 0).collect() if r["held_out"]]
+        each.append(sum(r["score"] for r in got) / sum(r["n_tokens"] for r in got))
+    assert each[0] == pytest.approx(each[1])
+    # The unigram has log10(1 / 60) a word, about; moving by the head alone gave -1.72.
+    assert each[0] > -1.66
+
+
 @pytest.mark.parametrize("chunk", [12 << 20, 300])
 def test_language_model(spark, monkeypatch, chunk):
     from collections import Counter
