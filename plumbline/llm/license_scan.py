@@ -1,7 +1,7 @@
-"""Licence scans: runs of lines compared with licence templates by the Dice coefficient of word bigrams.
+"""Licence scans: runs of words compared with licence templates by the Dice coefficient of word bigrams.
 
-Texts are normalised to lower-case words of letters and digits.  A run of lines A matches a
-template B when 2 |A & B| / (|A| + |B|) >= threshold over distinct word bigrams.  Size bounds
+Texts are normalised to lower-case words of letters and digits.  A run of words A,
+wherever lines break, matches a template B when 2 |A & B| / (|A| + |B|) >= threshold over distinct word bigrams.  Size bounds
 prune: |A| must lie between |B| t / (2 - t) and |B| (2 - t) / t, and a text that does not hold
 |B| t / (2 - t) of a template's bigrams at all cannot match it.
 """
@@ -61,7 +61,7 @@ class Templates:
         self.least, self.most = np.ceil(size * threshold / (2 - threshold) - 1e-9), np.floor(size * (2 - threshold) / threshold + 1e-9)
 
     def scan(self, raw: np.ndarray, offsets: np.ndarray) -> list[list[dict]]:
-        """The best run of lines of each text for each template that it matches."""
+        """The runs of words of each text that match a template."""
         words = Words(raw, offsets, ALNUM)
         gram, owner = _bigrams(words), words.text_of()
         out: list[list[dict]] = [[] for _ in range(len(offsets) - 1)]
@@ -75,39 +75,75 @@ class Templates:
         for text in np.flatnonzero(((held >= self.least) & (self.least > 0)).any(axis=1)).tolist():
             a, b = words.bounds[text], words.bounds[text + 1]
             line = np.concatenate([[0], np.cumsum(raw[offsets[text] : offsets[text + 1]] == 10)])[words.start[a:b] - offsets[text]]
+            before = _before(gram[a:b])
             for t in np.flatnonzero((held[text] >= self.least) & (self.least > 0)).tolist():
-                if found := self._best(gram[a:b], line, t):
-                    out[text].append(found)
+                out[text] += self._runs(gram[a:b], before, line, t, int(held[text, t]))
         return out
 
-    def _best(self, gram: np.ndarray, line: np.ndarray, t: int) -> dict | None:
-        mine = self.sets[t]
-        member = np.isin(gram, mine)
-        lines = np.unique(line[member])
-        # A line with a bigram that crosses into the next also needs that one.
-        ends = np.unique(np.concatenate([lines, lines + 1]))
-        best = None
-        for first in lines.tolist():
-            begin = int(np.searchsorted(line, first))
-            for last in ends[ends >= first].tolist():
-                end = int(np.searchsorted(line, last, side="right"))
-                own = gram[begin : max(begin, end - 1)]
-                size = len(np.unique(own[own != 0]))
-                if size > self.most[t]:
+    def _runs(self, gram: np.ndarray, before: np.ndarray, line: np.ndarray, t: int, held: int) -> list[dict]:
+        """The runs over the threshold that do not overlap, the best first taken, in the text's order."""
+        member = np.isin(gram, self.sets[t])
+        found, stretches = [], [(0, len(gram))]
+        while stretches:  # what lies between the runs taken is searched again
+            low, high = stretches.pop()
+            some = self._best_of_starts(member, before, t, held, low, high)
+            taken = []
+            used = np.zeros(high - low, dtype=bool)
+            for minus, length, begin, size, common in sorted(some):
+                # A run's last bigram takes a word more.
+                if not used[begin - low : begin + length - low + 1].any():
+                    used[begin - low : begin + length - low + 1] = True
+                    taken.append((begin, begin + length + 1))
+                    found.append((begin, {"license": self.names[t], "first_line": int(line[begin]), "last_line": int(line[begin + length]), "common": common, "n_bigrams": size, "dice": -minus}))
+            if taken:
+                taken.sort()
+                stretches += zip([low, *(e for _, e in taken)], [*(b for b, _ in taken), high])
+        return [x for _, x in sorted(found, key=lambda f: f[0])]
+
+    def _best_of_starts(self, member: np.ndarray, before: np.ndarray, t: int, held: int, low: int, high: int) -> list[tuple]:
+        """(-Dice, length, begin, bigrams, common ones) of the best run from each matched bigram on, within [low, high) and over the threshold.
+
+        A best run begins and ends with a matched bigram.  It is not followed further than its bigrams
+        exceed the bound or all that the text holds are in.
+        """
+        starts = np.flatnonzero(member[low:high]) + low
+        if len(starts) < self.least[t]:
+            return []
+        # A run's words end before `high`, and so its last bigram begins before high - 1.
+        edge = high if high == len(member) else high - 1
+        out, target = [], len(self.sets[t])
+        for begin in starts.tolist():
+            reach = int(self.most[t]) + 16
+            while True:
+                end = min(begin + reach, edge)
+                new = before[begin:end] < begin
+                size, common = np.cumsum(new), np.cumsum(new & member[begin:end])
+                if end >= edge or size[-1] > self.most[t] or common[-1] >= held:
                     break
-                if size >= self.least[t]:
-                    common = len(np.intersect1d(own, mine))
-                    dice = 2 * common / (size + len(mine))
-                    if dice >= self.threshold and (best is None or dice > best["dice"]):
-                        best = {"license": self.names[t], "first_line": first, "last_line": int(line[end - 1]), "common": common, "n_bigrams": size, "dice": dice}
-        return best
+                reach *= 2
+            if len(size) and common[-1] >= self.least[t]:
+                dice = np.where(size <= self.most[t], 2 * common / (size + target), 0)
+                k = int(np.argmax(dice))
+                if dice[k] >= self.threshold:
+                    out.append((-float(dice[k]), k + 1, begin, int(size[k]), int(common[k])))
+        return out
+
+
+def _before(gram: np.ndarray) -> np.ndarray:
+    """The place of each bigram's last occurrence before, or -1."""
+    order = np.argsort(gram, kind="stable")
+    out = np.full(len(gram), -1, dtype=np.int64)
+    same = gram[order[1:]] == gram[order[:-1]]
+    out[order[1:][same]] = order[:-1][same]
+    return out
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = 0.8, into: str = "licenses", text_column: str = "text") -> DataFrame:
     """docs with an array column `into` (which replaces one of that name) of matches in order of their names.
 
-    A match has the licence, the first and last line of its best run (counted from 0; ties: the
-    first and shortest), the common and own bigrams, and the Dice coefficient.  Null, empty and
+    A match has the licence, the first and last line of its run (counted from 0), the common and own
+    bigrams, and the Dice coefficient.  A template has all its runs that do not overlap, in the text's
+    order (best taken first; ties: the shortest, then the first).  Null, empty and
     one-word texts match nothing; copies match alike.
     """
     held = docs.sparkSession.sparkContext.broadcast(Templates(TEMPLATES if templates is None else templates, threshold))

@@ -255,6 +255,18 @@ def test_license_scan(spark):
     assert got[2]["licenses"][0]["dice"] == pytest.approx(dice(texts[2], full))
 
 
+def test_license_runs_in_lines():
+    """Notices within longer lines and unbroken paragraphs, second notices, and many of them."""
+    mit, isc = license_scan.TEMPLATES["MIT-notice"], license_scan.TEMPLATES["ISC"]
+    far = " ".join(WORDS)
+    texts = [f"Copyright 2024 Foo Inc. {mit}", f"{far} {isc} {far}".replace("\n", " "), f"{mit}\n{far}\n{far} {mit} {far}", f"{mit} " * 3000, far]
+    raw, offsets = buffers(pa.array(texts, pa.large_string()))
+    got = license_scan.Templates(license_scan.TEMPLATES, 0.8).scan(raw, offsets)
+    spans = [[(m["license"], m["first_line"], m["last_line"], m["dice"]) for m in ms if m["license"] in ("MIT-notice", "ISC")] for ms in got]
+    assert spans[:3] == [[("MIT-notice", 0, 0, 1.0)], [("ISC", 0, 0, 1.0)], [("MIT-notice", 0, 0, 1.0), ("MIT-notice", 2, 2, 1.0)]]
+    assert len(spans[3]) == 3000 and not spans[4]
+
+
 def test_string_kernel_by_force():
     from itertools import combinations
 
