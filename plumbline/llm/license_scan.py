@@ -9,6 +9,7 @@ prune: |A| must lie between |B| t / (2 - t) and |B| (2 - t) / t, and a text that
 from __future__ import annotations
 
 from collections.abc import Iterator
+from importlib.resources import files
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,8 @@ THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH RE
 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
 THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
 }
+# Whole texts and standard headers.
+TEMPLATES |= {f.name.removesuffix(".txt"): f.read_text(encoding="utf-8") for f in sorted((files(__package__) / "licenses").iterdir(), key=lambda f: f.name) if f.name.endswith(".txt")}
 
 MATCHES = T.ArrayType(T.StructType([
     T.StructField("license", T.StringType()), T.StructField("first_line", T.LongType()), T.StructField("last_line", T.LongType()),
@@ -76,12 +79,12 @@ class Templates:
             a, b = words.bounds[text], words.bounds[text + 1]
             line = np.concatenate([[0], np.cumsum(raw[offsets[text] : offsets[text + 1]] == 10)])[words.start[a:b] - offsets[text]]
             before = _before(gram[a:b])
-            for t in np.flatnonzero((held[text] >= self.least) & (self.least > 0)).tolist():
-                out[text] += self._runs(gram[a:b], before, line, t, int(held[text, t]))
+            runs = [x for t in np.flatnonzero((held[text] >= self.least) & (self.least > 0)).tolist() for x in self._runs(gram[a:b], before, line, t, int(held[text, t]))]
+            out[text] = [x for _, _, x in sorted(_apart(runs, b - a), key=lambda r: (r[2]["license"], r[0]))]
         return out
 
-    def _runs(self, gram: np.ndarray, before: np.ndarray, line: np.ndarray, t: int, held: int) -> list[dict]:
-        """The runs over the threshold that do not overlap, the best first taken, in the text's order."""
+    def _runs(self, gram: np.ndarray, before: np.ndarray, line: np.ndarray, t: int, held: int) -> list[tuple[int, int, dict]]:
+        """(first word, end, match) of the runs over the threshold that do not overlap, the best first taken, in the text's order."""
         member = np.isin(gram, self.sets[t])
         found, stretches = [], [(0, len(gram))]
         while stretches:  # what lies between the runs taken is searched again
@@ -94,11 +97,11 @@ class Templates:
                 if not used[begin - low : begin + length - low + 1].any():
                     used[begin - low : begin + length - low + 1] = True
                     taken.append((begin, begin + length + 1))
-                    found.append((begin, {"license": self.names[t], "first_line": int(line[begin]), "last_line": int(line[begin + length]), "common": common, "n_bigrams": size, "dice": -minus}))
+                    found.append((begin, begin + length + 1, {"license": self.names[t], "first_line": int(line[begin]), "last_line": int(line[begin + length]), "common": common, "n_bigrams": size, "dice": -minus}))
             if taken:
                 taken.sort()
                 stretches += zip([low, *(e for _, e in taken)], [*(b for b, _ in taken), high])
-        return [x for _, x in sorted(found, key=lambda f: f[0])]
+        return found
 
     def _best_of_starts(self, member: np.ndarray, before: np.ndarray, t: int, held: int, low: int, high: int) -> list[tuple]:
         """(-Dice, length, begin, bigrams, common ones) of the best run from each matched bigram on, within [low, high) and over the threshold.
@@ -129,6 +132,16 @@ class Templates:
         return out
 
 
+def _apart(runs: list[tuple[int, int, dict]], n: int) -> list[tuple[int, int, dict]]:
+    """Without the runs of which most lies in one of more common bigrams, as of another version of the licence."""
+    used, kept = np.zeros(n, dtype=bool), []
+    for begin, end, match in sorted(runs, key=lambda r: (-r[2]["common"], -r[2]["dice"], r[0])):
+        if 2 * np.count_nonzero(used[begin:end]) <= end - begin:
+            used[begin:end] = True
+            kept.append((begin, end, match))
+    return kept
+
+
 def _before(gram: np.ndarray) -> np.ndarray:
     """The place of each bigram's last occurrence before, or -1."""
     order = np.argsort(gram, kind="stable")
@@ -143,7 +156,8 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, thre
 
     A match has the licence, the first and last line of its run (counted from 0), the common and own
     bigrams, and the Dice coefficient.  A template has all its runs that do not overlap, in the text's
-    order (best taken first; ties: the shortest, then the first).  Null, empty and
+    order (best taken first; ties: the shortest, then the first).  Of runs of several templates on the
+    same words, the one with the most common bigrams stays.  Null, empty and
     one-word texts match nothing; copies match alike.
     """
     held = docs.sparkSession.sparkContext.broadcast(Templates(TEMPLATES if templates is None else templates, threshold))

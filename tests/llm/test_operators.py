@@ -267,6 +267,14 @@ def test_license_runs_in_lines():
     assert len(spans[3]) == 3000 and not spans[4]
 
 
+@pytest.mark.parametrize("name", ["Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "BSD-3-Clause", "Unlicense", "CC0-1.0", "CC-BY-SA-4.0", *(f"{x}-header" for x in ("Apache-2.0", "GPL-2.0", "GPL-3.0", "AGPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0"))])
+def test_license_texts(name):
+    """Whole texts and standard headers are found under their own name only."""
+    text = " ".join(WORDS) + " " + license_scan.TEMPLATES[name] + " " + " ".join(WORDS)
+    (got,) = license_scan.Templates(license_scan.TEMPLATES, 0.8).scan(*buffers(pa.array([text], pa.large_string())))
+    assert [m["license"] for m in got] == [name] and got[0]["dice"] == 1
+
+
 def test_string_kernel_by_force():
     from itertools import combinations
 
