@@ -27,6 +27,14 @@ def q_groundedness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(claims, F.col("claim_id") == F.col("doc_id") + F.col("doc_id") % 2).select("doc_id", grounded(F.col("value"), F.col("text")).alias("grounded"))
 
 
+@query()
+def q_groundedness_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """q_groundedness with whole texts as claims."""
+    docs = table(spark, sf_dir, "documents")
+    claims = docs.select(F.col("doc_id").alias("claim_id"), F.col("text").alias("value"))
+    return docs.join(claims, F.col("claim_id") == F.col("doc_id") + F.col("doc_id") % 2).select("doc_id", grounded(F.col("value"), F.col("text")).alias("grounded"))
+
+
 @query("""WITH t AS (SELECT doc_id, '[' || source || '] ' || trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t, lang AS needle FROM documents), p AS (SELECT *, position(lower(needle) IN lower(t)) - 1 AS spot FROM t), w AS (SELECT *, greatest(0, spot - 66) AS s FROM p)
 SELECT doc_id, CASE WHEN length(t) <= 200 THEN t WHEN spot >= 0 THEN substr(
     CASE WHEN s + 200 < length(t) THEN rtrim(CASE WHEN s > 0 THEN '…' || substr(substr(t, s + 1, 200), 2) ELSE substr(t, s + 1, 200) END) || '…' ELSE CASE WHEN s > 0 THEN '…' || substr(substr(t, s + 1, 200), 2) ELSE substr(t, s + 1, 200) END END, 1, 200)
@@ -52,6 +60,13 @@ def q_source_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_blocks"), F.max("chars").alias("chars"), F.bool_or("truncated").alias("truncated"))
 
 
+@query()
+def q_source_budget_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """q_source_budget within the operator's own bounds, 200 blocks and 100,000 characters."""
+    b = blocks.bounded_payload(lines(spark, sf_dir))
+    return b.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_blocks"), F.max("chars").alias("chars"), F.bool_or("truncated").alias("truncated"))
+
+
 @query("SELECT conv_id AS doc_id, md5(string_agg(text, chr(10) || chr(10) ORDER BY turn)) AS digest, count(*) AS n_blocks FROM conversations GROUP BY 1")
 def q_raw_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("pos"), "text")
@@ -136,10 +151,18 @@ def q_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return specs.select("doc_id", "pos", "reference", "confidence", "status")
 
 
-def _cited(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+@query()
+def q_citations_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """q_citations with every line as a claim, and its whole text."""
+    specs, _ = _cited(spark, sf_dir, whole=True)
+    return specs.select("doc_id", "pos", "reference", "confidence", "status", F.md5("value").alias("value"))
+
+
+def _cited(spark: SparkSession, sf_dir: str, whole: bool = False) -> tuple[DataFrame, DataFrame]:
     b = lines(spark, sf_dir)
     block = b.select("doc_id", block_id(F.col("pos")).alias("block_id"), "pos", "text", F.lit(None).cast("array<array<string>>").alias("table"), F.lit(None).cast("string").alias("section"), F.lit(None).cast("int").alias("page"))
-    specs = b.filter("pos < 6").select("doc_id", "pos", F.lit("note").alias("attribute"), F.substring("text", 1, 30).alias("value"), F.lit("extracted").alias("status"), F.lit(0.9).alias("confidence"), block_id(F.when(F.col("pos") % 4 == 3, F.col("pos") + 1).otherwise(F.col("pos"))).alias("reference"))
+    claims, value = (b, F.col("text")) if whole else (b.filter("pos < 6"), F.substring("text", 1, 30))
+    specs = claims.select("doc_id", "pos", F.lit("note").alias("attribute"), value.alias("value"), F.lit("extracted").alias("status"), F.lit(0.9).alias("confidence"), block_id(F.when(F.col("pos") % 4 == 3, F.col("pos") + 1).otherwise(F.col("pos"))).alias("reference"))
     sources = table(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("pos"), F.lit("src-1").alias("id"), F.lit("document").alias("type"), F.col("source").alias("reference"), F.lit(None).cast("int").alias("page"))
     return citations.resolve_citations(specs, block, sources)
 
@@ -150,11 +173,28 @@ def q_cited_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sources.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_sources"))
 
 
+@query()
+def q_cited_sources_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """q_cited_sources with every line as a claim."""
+    _, sources = _cited(spark, sf_dir, whole=True)
+    return sources.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_sources"))
+
+
 @query(f"WITH {LINES_SQL}, s AS (SELECT doc_id, pos, text AS value, pos + CASE WHEN pos % 3 = 2 THEN 1 ELSE 0 END AS target FROM lines WHERE pos < 5), j AS (SELECT s.doc_id, s.pos, {_WORDS.format('s.value')} AS v, CASE WHEN l.text IS NULL THEN NULL ELSE {_WORDS.format('l.text')} END AS b, lower(trim(s.value)) IN ('yes', 'no', 'true', 'false', 'n/a', 'na', 'none', 'present', 'absent') AS flag FROM s LEFT JOIN lines l ON s.doc_id = l.doc_id AND s.target = l.pos) SELECT doc_id, pos, b IS NULL OR NOT (flag OR len(v) = 0 OR len(list_intersect(v, b)) / len(v) >= 0.6) AS ungrounded FROM j")
 def q_score_with_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir, "pos < 5")
+
+
+@query()
+def q_score_with_blocks_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """q_score_with_blocks with every line as a claim."""
+    return _scored(spark, sf_dir, "true")
+
+
+def _scored(spark: SparkSession, sf_dir: str, claims: str) -> DataFrame:
     b = lines(spark, sf_dir)
     block = b.select("doc_id", block_id(F.col("pos")).alias("block_id"), "pos", "text", F.lit(None).cast("array<array<string>>").alias("table"))
-    specs = b.filter("pos < 5").select("doc_id", "pos", F.lit("note").alias("attribute"), F.col("text").alias("value"), F.lit(None).cast("string").alias("unit"), F.lit("extracted").alias("status"), F.lit("document").alias("source_type"), block_id(F.col("pos") + F.when(F.col("pos") % 3 == 2, 1).otherwise(0)).alias("reference"))
+    specs = b.filter(claims).select("doc_id", "pos", F.lit("note").alias("attribute"), F.col("text").alias("value"), F.lit(None).cast("string").alias("unit"), F.lit("extracted").alias("status"), F.lit("document").alias("source_type"), block_id(F.col("pos") + F.when(F.col("pos") % 3 == 2, 1).otherwise(0)).alias("reference"))
     return validate.score_with_blocks(specs, block).select("doc_id", "pos", "ungrounded")
 
 
@@ -240,3 +280,15 @@ def q_compare_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     picks = most.filter("pair % 5 <> 0").select("pair", F.col("last").alias("left_item"), F.lit(0).alias("right_item"))
     chosen, candidates = compare.choose_items(items, picks)
     return chosen.withColumn("role", F.lit("chosen")).unionByName(candidates.withColumn("role", F.lit("candidate")))
+
+
+@query()
+def q_compare_selection_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """q_compare_selection over all parts: those it leaves out are pairs of one side."""
+    key = F.col("p_partkey")
+    single = (key % 12).isin(2, 3)
+    items = table(spark, sf_dir, "part").select(F.when(single, -key).otherwise(F.floor(key / 4)).alias("pair"), F.when(key % 2 == 0, "left").otherwise("right").alias("side"), F.when(single, 0).otherwise(F.floor(key % 4 / 2)).cast("int").alias("item"), "p_name")
+    most = items.groupBy("pair").agg(F.max("item").alias("last"))
+    picks = most.filter("pair % 5 <> 0").select("pair", F.col("last").alias("left_item"), F.lit(0).alias("right_item"))
+    chosen, candidates = compare.choose_items(items, picks)
+    return chosen.withColumn("role", F.lit("chosen")).unionByName(candidates.withColumn("role", F.lit("candidate")))
