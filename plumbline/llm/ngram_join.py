@@ -521,7 +521,8 @@ def similarity_components(docs: DataFrame, width: int = 5, percent: int = 80, id
     for k in range(3):
         if k:
             entries = rounds.filter("kind = 1").select(F.col("a").alias("sig"), F.col("b").alias("node"), "n", "place", "alone", "least")
-            known = entries.join(labels, "node", "left").withColumn("comp", F.coalesce("label", "node")).withColumn("part", F.pmod(F.xxhash64("sig"), F.lit(parts)).cast("int"))
+            known = entries.withColumn("label", F.lit(None).cast("long")) if labels is None else entries.join(labels, "node", "left")
+            known = known.withColumn("comp", F.coalesce("label", "node")).withColumn("part", F.pmod(F.xxhash64("sig"), F.lit(parts)).cast("int"))
             rounds = work.write(known.select("part", "sig", "node", "comp", "n", "place", "alone", "least").groupBy("part").applyInArrow(_later_round(k == 2, percent), _ROUND), f"round-{k}")
         pairs = work.write(rounds.filter("kind = 0").groupBy("a", "b").agg(F.min("hub").alias("hub"), F.max("n").alias("n")), f"pairs-{k}")
         size = pairs.agg(F.sum("n")).first()[0]
@@ -532,7 +533,7 @@ def similarity_components(docs: DataFrame, width: int = 5, percent: int = 80, id
             found = work.write(_verify(dealt, _tokens(base, wanted, width), percent), f"links-{k}")
             links = found if links is None else links.unionByName(found)
             labels = connected_components(links, work, f"labels-{k}")
-        if labels is None or not rounds.filter("kind = 1").limit(1).count():
+        if not rounds.filter("kind = 1").limit(1).count():
             break
 
     sized = nodes.select("node", F.col("doc_id").alias("least"))

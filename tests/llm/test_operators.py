@@ -81,6 +81,22 @@ def test_similarity_components(spark, monkeypatch, frequent, few, one_task):
     assert [r["component_id"] for r in got] == root and [r["n_shingles"] for r in got] == sizes
 
 
+def test_similarity_without_first_pairs(spark, monkeypatch):
+    """Buckets put off are compared though the first round names no pair at all."""
+    real = ngram_join._first_round
+
+    def put_off(table, percent):
+        out = real(table, percent)
+        return out.filter(pa.array([k == 1 for k in out.column("kind").to_pylist()], pa.bool_()))
+
+    monkeypatch.setattr(ngram_join, "_first_round", put_off)
+    rng = random.Random(5)
+    passage = prose(rng, 60)
+    docs = spark.createDataFrame([(k, f"{passage} {WORDS[k]}") for k in range(60)], "doc_id long, text string")
+    got = ngram_join.similarity_components(docs, 4, 85).collect()
+    assert {r["component_id"] for r in got} == {0}
+
+
 def test_similarity_edges(spark):
     got = ngram_join.similarity_components(frame(spark, EDGES), 4, 85).collect()
     by_id = {r["doc_id"]: r for r in got}
