@@ -2,43 +2,18 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ._shared import Workspace
 
 
-#: So many links (16 bytes each) are put together by one task; more take the rounds.
-ONE_TASK = 1_000_000
-
-
-def _union_find(table: pa.Table) -> pa.Table:
-    node, place = np.unique(np.concatenate([table.column("a").to_numpy(), table.column("b").to_numpy()]), return_inverse=True)
-    half = len(place) // 2
-    label = np.arange(len(node))
-    a, b = place[:half], place[half:]
-    while True:
-        low = np.minimum(label[a], label[b])
-        before = label.copy()
-        for x in (label[a], label[b], a, b):  # roots and ends alike
-            np.minimum.at(label, x, low)
-        label = label[label]
-        if (label == before).all():
-            break
-    return pa.table({"node": pa.array(node), "label": pa.array(node[label])})
-
-
 def connected_components(links: DataFrame, work: Workspace, name: str) -> DataFrame:
     """(node, label) of every node that a link (a, b) of longs touches; label is the component's smallest node.
 
-    Up to ONE_TASK links take one task.  Beyond, each round is two joins with a per-node minimum (combined before the shuffle)
-    and is written to the shared folder.  Nothing is gathered on the driver but
-    the number of rows and a checksum, which stop it when a round changes nothing.
+    Each round is two joins with a per-node minimum (combined before the shuffle) and is written to the shared folder.
+    Nothing is gathered on the driver but the number of rows and a checksum, which stop it when a round changes nothing.
+    Without links there are no rows; a link of a node with itself, or one given twice, changes nothing.
     """
-    if links.count() <= ONE_TASK:
-        one = links.select("a", "b", F.lit(0).alias("all"))
-        return work.write(one.groupBy("all").applyInArrow(lambda t: _union_find(t), "node long, label long"), name)
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
     before, k = None, 0
     while True:
@@ -55,4 +30,7 @@ def connected_components(links: DataFrame, work: Workspace, name: str) -> DataFr
         if tuple(now) == before:
             break
         before, k = tuple(now), k + 1
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label"))).groupBy("node").agg(F.min("label").alias("label"))
+    both = edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("label")))
+    labels = work.write(both.groupBy("node").agg(F.min("label").alias("label")), name)
+    work.drop(*(f"{name}-round-{x}" for x in range(max(0, k - 1), k + 1)))
+    return labels

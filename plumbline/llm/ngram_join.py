@@ -22,9 +22,21 @@ counted; a set whose first half might not be enough sends all.  Shingles travel
 packed arrays, shortened to 32 bits within a part; what that confuses costs a
 candidate and is put right by the check on whole sets.
 
-Sets that are equal are one node, so copies cost nothing; a large signature bucket
-is first joined to a few leaders, and only nodes that are still in different
-components are compared in full, so components are exact without all pairs of a group.
+Sets that are equal are one node, so copies cost nothing.  No pair of nodes is ever a
+row.  A bucket gives memberships (hub, node), where the hub is its least node; buckets of
+one hub are one group, and the whole sets of a group meet in a task, which compares those
+that are not connected yet (sketches first, then in full) and returns a spanning forest of
+the group's links.
+
+A group of more than GROUP nodes is dealt out in chunks, and some of its nodes go to every
+chunk.  One of these, of least distance to the others, is the group's leader O.  Nodes that
+link with O are connected.  For any other node A let D(A) be the symmetric difference of A and O.  If A does not link with O, then |D(A)| exceeds
+c (|A| + |O|), with c = (100 - percent) / (100 + percent), and a node B that links with A has
+|D(A) ^ D(B)| <= c (|A| + |B|) <= c (|A| + |O| + |D(B)|) < |D(A)| + c |D(B)|, so D(A) and D(B)
+have an element in common.  So each node of the group is put under elements of its
+difference (a prefix of them, rare ones first: see `_differences`), and these are the groups
+of the next level, without those that are connected by now.  That goes on until no group is left;
+the leader is in none of them, so each is smaller than the one that it comes from.
 """
 
 from __future__ import annotations
@@ -42,14 +54,17 @@ from .components import connected_components
 U64 = np.uint64
 #: A shingle in at least 2 ** FREQUENT sets is frequent.
 FREQUENT = 6
-#: Buckets up to this size are compared in full at once.
+#: Entries of a signature that 2 ** HOT sets or more could have are not gathered: each is a membership by itself.
+HOT = 18
+#: In buckets up to this size every pair is looked at before its nodes are named.
 SMALL_BUCKET = 12
-#: So are larger ones with no more than this many possible pairs for each set.
-FEW_PAIRS = 12
-LEADERS = 3
+#: Nodes of a group that are compared in one task (a second or two for texts of some hundred words), and their shingles.
+GROUP, GROUP_SHINGLES = 4096, 4 << 20
+#: Nodes of a larger group that go to all its chunks, at most.
+LEADERS = 16
 BLOB = 16 << 20
-#: Sets that are fetched by a broadcast list (about 50 bytes each) rather than by a join of the texts.
-SENT_MOST = 500_000
+#: Bytes of whole sets that meet in a task, about, if no group has more.
+BLOCK = 8 << 20
 
 
 def _sets(batch: pa.RecordBatch, width: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
@@ -84,14 +99,15 @@ def _levels(n: int, percent: int) -> range:
     return range(((n * percent + 99) // 100).bit_length() - 1, (n * 100 // percent).bit_length())
 
 
-def signatures(n: int, alone: tuple[int, int], token: np.ndarray, kind: np.ndarray, late: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(signatures, places) of a set of n: of its shared tokens with their frequency classes and halves, and the number alone in each half.
+def signatures(n: int, alone: tuple[int, int], token: np.ndarray, kind: np.ndarray, late: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(signatures, places, classes) of a set of n: of its shared tokens with their frequency classes and halves, and the number alone in each half.
 
     A place is the number of the set's tokens before the signature's first one in the global order.
+    A class is the least frequency class of the signature's tokens: fewer than 2 ** (class + 1) sets have it.
     """
     e = int(_lacks(n, percent))
     if alone[0] > e:
-        return token[:0], np.zeros(0, np.uint32)
+        return token[:0], np.zeros(0, np.uint32), kind[:0]
     order = np.lexsort((token, kind, late))
     token, kind, late = token[order], kind[order], late[order]
     frequent = kind >= FREQUENT
@@ -99,8 +115,8 @@ def signatures(n: int, alone: tuple[int, int], token: np.ndarray, kind: np.ndarr
     place = (np.arange(len(token)) + before).astype(np.uint32)
     if not frequent.any():
         use = place <= e
-        return token[use], place[use]
-    out, at_place = [], []
+        return token[use], place[use], kind[use]
+    out, at_place, of_kind = [], [], []
     for level in _levels(n, percent):
         classes = _classes(level)
         group = (mix(token ^ U64(0xC1A55)) & U64(classes - 1)).astype(np.int64)
@@ -115,6 +131,7 @@ def signatures(n: int, alone: tuple[int, int], token: np.ndarray, kind: np.ndarr
         used = np.arange(len(token)) < length
         out.append(token[used & ~frequent])
         at_place.append(place[used & ~frequent])
+        of_kind.append(kind[used & ~frequent])
         own = by[used[by] & frequent[by]]
         own_rank, own_token = rank[own], token[own]
         back = 1
@@ -122,9 +139,10 @@ def signatures(n: int, alone: tuple[int, int], token: np.ndarray, kind: np.ndarr
             at = np.flatnonzero(own_rank >= back)
             out.append(mix(own_token[at] * U64(0x9E3779B97F4A7C15) + mix(own_token[at - back]) + U64(level)))
             at_place.append(place[own[at - back]])
+            of_kind.append(np.minimum(kind[own[at]], kind[own[at - back]]))
             back += 1
     sig, first = np.unique(np.concatenate(out), return_index=True)
-    return sig, np.concatenate(at_place)[first]
+    return sig, np.concatenate(at_place)[first], np.concatenate(of_kind)[first]
 
 
 def _starts(counts: np.ndarray) -> np.ndarray:
@@ -137,9 +155,7 @@ def _column(table: pa.Table, name: str, kind) -> np.ndarray:
 
 
 _SENT = "part int, nodes binary, sizes binary, counts binary, tokens binary"
-_SIGNED = "part int, sigs binary, nodes binary, sizes binary, places binary, alone binary, least binary"
-#: The least signatures of a set that go with each of its entries.
-LEAST = 3
+_SIGNED = "part int, sigs binary, nodes binary, sizes binary, places binary, alone binary"
 _CLASSED = "chunk int, nodes binary, sizes binary, alone binary, counts binary, tokens binary, kinds binary"
 
 
@@ -234,272 +250,245 @@ def _sign(table: pa.Table, percent: int, parts: int) -> pa.Table:
     order = np.argsort(owner, kind="stable")
     token, kind = token[order], kind[order]
     cut = np.searchsorted(owner[order], np.arange(len(key) + 1))
-    sig, place, of = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
-    least = np.zeros((len(key), LEAST), dtype=np.uint64)
+    sig, place, freq, of = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint32)], [np.zeros(0, np.uint8)], [np.zeros(0, np.int64)]
     for k in np.flatnonzero((lone[:, 0] <= _lacks(size, percent)) & (np.diff(cut) > 0)):
         a, b = cut[k], cut[k + 1]
-        own, at = signatures(int(size[k]), (int(lone[k, 0]), int(lone[k, 1])), token[a:b], kind[a:b], token[a:b] >> U64(63), percent)
+        own, at, classes = signatures(int(size[k]), (int(lone[k, 0]), int(lone[k, 1])), token[a:b], kind[a:b], token[a:b] >> U64(63), percent)
         sig.append(own)
         place.append(at)
+        freq.append(classes)
         of.append(np.full(len(own), k))
-        least[k, : len(own)] = np.sort(own)[:LEAST]
-    sig, place, of = np.concatenate(sig), np.concatenate(place), np.concatenate(of)
+    sig, place, freq, of = np.concatenate(sig), np.concatenate(place), np.concatenate(freq), np.concatenate(of)
     part = (mix(sig ^ U64(0x5157)) % U64(parts)).astype(np.int64)
+    hot = freq >= HOT
+    part[hot] = parts + (mix(key[of[hot]] ^ U64(0x407)) % U64(parts)).astype(np.int64)
     order = np.argsort(part, kind="stable")
     sig, place, of, part = sig[order], place[order], of[order], part[order]
-    cut = np.searchsorted(part, np.arange(parts + 1))
-    rows = [(p, sig[a:b].tobytes(), key[of[a:b]].tobytes(), size[of[a:b]].astype(np.uint32).tobytes(), place[a:b].tobytes(), lone[of[a:b], 0].astype(np.uint32).tobytes(), least[of[a:b]].tobytes()) for p, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if b > a]
-    return pa.Table.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate([pa.int32()] + [pa.binary()] * 6)], names=[x.split()[0] for x in _SIGNED.split(", ")])
+    cut = np.searchsorted(part, np.arange(2 * parts + 1))
+    rows = [
+        (p, sig[a:b].tobytes(), key[of[a:b]].tobytes(), size[of[a:b]].astype(np.uint32).tobytes(), place[a:b].tobytes(), lone[of[a:b], 0].astype(np.uint32).tobytes())
+        for p, (a, b) in enumerate(zip(cut[:-1], cut[1:]))
+        if b > a
+    ]
+    return pa.Table.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate([pa.int32()] + [pa.binary()] * 5)], names=[x.split()[0] for x in _SIGNED.split(", ")])
 
 
-_ROUND = "kind int, a long, b long, hub long, n int, place int, alone int, least array<long>"
-#: Possible pairs that are looked at together.
-PIECE = 1 << 18
+_MEMBER = "hub long, node long, n int"
 
 
-class _Bucket:
-    """The sets of one signature, sorted by size; which pairs could link, and are this bucket's to name.
+def _could(percent: int, n, m, p, q, u, v) -> np.ndarray:
+    """Whether sets of n and m shingles, u and v of them (of the first half) in no other set, could link if p and q come before a shared one.
 
-    A set's `alone` shingles (of the first half), which are in no other set, are shared with none and come first in
-    its order; so two sets, with i and j shingles before a shared one, share at most
-    min(i - alone, j - alone') + 1 + min(n - i - 1, m - j - 1), and min(n - alone, m - alone').
-    A pair that shares one of both sets' least signatures that is less than this one is named there.
+    Shingles that are in no other set come first in the order, so the sets share at most
+    min(p - u, q - v) + 1 + min(n - p - 1, m - q - 1), and min(n - u, m - v).
     """
-
-    def __init__(self, sig: int, entries: dict[str, np.ndarray], percent: int):
-        order = np.lexsort((entries["node"], entries["n"]))
-        self.order, self.sig, self.percent = order, sig, percent
-        self.node, self.least = entries["node"][order], entries["least"][order]
-        self.n, self.place, self.alone = (entries[c][order].astype(np.int64) for c in ("n", "place", "alone"))
-        self.upto = np.searchsorted(self.n, self.n * 100 // percent, side="right")  # sets of a size that could link
-
-    @property
-    def most_pairs(self) -> int:
-        return int((self.upto - np.arange(len(self.n)) - 1).sum())
-
-    def could(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        n, m, p, q, u, v = self.n[i], self.n[j], self.place[i], self.place[j], self.alone[i], self.alone[j]
-        common = np.minimum(np.maximum(np.minimum(p - u, q - v), 0) + 1 + np.minimum(n - p - 1, m - q - 1), np.minimum(n - u, m - v))
-        return (self.percent * np.maximum(n, m) <= 100 * np.minimum(n, m)) & (100 * common >= self.percent * (n + m - common))
-
-    def _elsewhere(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(i), dtype=bool)
-        for x in range(self.least.shape[1]):
-            mine = self.least[i, x]
-            for y in range(self.least.shape[1]):
-                out |= (mine == self.least[j, y]) & (mine < self.sig) & (mine != 0)
-        return out
-
-    def pairs(self, comp: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """All pairs (of different components, if given) that could link and are not named elsewhere, in pieces."""
-        many = self.upto - np.arange(len(self.n)) - 1
-        ends = np.cumsum(many)
-        a = 0
-        while a < len(many):
-            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + PIECE, side="right")))
-            i = np.arange(a, b)
-            left = np.repeat(i, many[a:b])
-            right = left + 1 + np.arange(len(left)) - np.repeat(_starts(many[a:b])[:-1], many[a:b])
-            use = self.could(left, right)
-            if comp is not None:
-                use &= comp[left] != comp[right]
-            left, right = left[use], right[use]
-            own = ~self._elsewhere(left, right)
-            yield left[own], right[own]
-            a = b
-
-    def stars(self, leaders: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        left, right = np.repeat(leaders, len(others)), np.tile(others, len(leaders))
-        use = (left != right) & self.could(left, right)
-        left, right = left[use], right[use]
-        own = ~self._elsewhere(left, right)
-        return left[own], right[own]
-
-
-class _Found:
-    """Pairs as they are found, distinct; and entries of buckets for later rounds."""
-
-    def __init__(self):
-        self.held, self.size, self.undone = [], 0, []
-
-    def add(self, bucket: _Bucket, pieces) -> None:
-        hub = int(bucket.node.min())
-        for i, j in pieces:
-            if len(i):
-                a, b = bucket.node[i], bucket.node[j]
-                self.held.append(np.stack([np.minimum(a, b), np.maximum(a, b), np.full(len(i), hub), bucket.n[i] + bucket.n[j]], 1))
-                self.size += len(i)
-                if self.size > 2_000_000:
-                    self._distinct()
-
-    def _distinct(self) -> None:
-        rows = np.concatenate(self.held)
-        order = np.lexsort((rows[:, 2], rows[:, 1], rows[:, 0]))
-        rows = rows[order]
-        rows = rows[np.concatenate([[True], (rows[1:, :2] != rows[:-1, :2]).any(axis=1)])]
-        self.held, self.size = [rows], 0
-
-    def later(self, sig: int, e: dict[str, np.ndarray]) -> None:
-        self.undone.append({**e, "sig": np.full(len(e["node"]), sig)})
-
-    def table(self) -> pa.Table:
-        """Kind 0: pairs a < b with a hub and the sum of sizes.  Kind 1: entries (signature, node, ...)."""
-        if self.held:
-            self._distinct()
-        pair = self.held[0] if self.held else np.zeros((0, 4), np.int64)
-        e = {c: np.concatenate([u[c] for u in self.undone]) if self.undone else np.zeros((0, LEAST) if c == "least" else 0, np.int64) for c in ("sig", "node", "n", "place", "alone", "least")}
-        more = len(e["sig"])
-        zero = np.zeros(len(pair), np.int32)
-        both = lambda x, y, t: pa.array(np.concatenate([x, y]).astype(t))
-        offsets = np.concatenate([np.zeros(len(pair), np.int32), np.arange(more + 1, dtype=np.int32) * LEAST])
-        least = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(e["least"].ravel().view(np.int64)))
-        return pa.table({
-            "kind": pa.array(np.repeat(np.array([0, 1], np.int32), [len(pair), more])), "a": both(pair[:, 0], e["sig"], np.int64), "b": both(pair[:, 1], e["node"], np.int64), "hub": both(pair[:, 2], e["node"], np.int64),
-            "n": both(pair[:, 3], e["n"], np.int32), "place": both(zero, e["place"], np.int32), "alone": both(zero, e["alone"], np.int32), "least": least,
-        })
-
-
-def _buckets(sig: np.ndarray) -> Iterator[tuple[int, int]]:
-    start = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.zeros(0, np.int64)
-    return zip(start.tolist(), np.append(start[1:], len(sig)).tolist())
-
-
-def _first_round(table: pa.Table, percent: int) -> pa.Table:
-    """Of one part's blobs: all pairs of buckets that have few, and of others the pairs with some leaders, their entries being kept for later."""
-    sig = _column(table, "sigs", np.uint64)
-    order = np.argsort(sig)
-    same = sig[order][1:] == sig[order][:-1]
-    order = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])] if len(order) else order  # no lone ones
-    node = _column(table, "nodes", np.uint64)
-    order = order[np.lexsort((node[order], sig[order]))]
-    order = order[np.concatenate([[True], (sig[order][1:] != sig[order][:-1]) | (node[order][1:] != node[order][:-1])])] if len(order) else order
-    sig = sig[order].view(np.int64)
-    every = {"node": node[order].view(np.int64), "n": _column(table, "sizes", np.uint32)[order], "place": _column(table, "places", np.uint32)[order], "alone": _column(table, "alone", np.uint32)[order], "least": _column(table, "least", np.uint64).reshape(-1, LEAST)[order].view(np.int64)}
-    found = _Found()
-    for a, b in _buckets(sig):
-        if b - a < 2:
-            continue
-        entries = {c: x[a:b] for c, x in every.items()}
-        bucket = _Bucket(int(sig[a]), entries, percent)
-        if b - a <= SMALL_BUCKET or bucket.most_pairs <= FEW_PAIRS * (b - a):
-            found.add(bucket, bucket.pairs())
-            continue
-        # Leaders of each range of like sizes, by hash, so that other buckets of a group choose the same ones.
-        band = (np.log(bucket.n) / np.log(100 / percent)).astype(np.int64)
-        for x in np.unique(band):
-            own = np.flatnonzero(band == x)
-            leaders = own[np.argsort(mix(bucket.node[own].view(np.uint64)))[:LEADERS]]
-            found.add(bucket, [bucket.stars(leaders, np.flatnonzero(np.abs(band - x) <= 1))])
-        found.later(int(sig[a]), entries)
-    return found.table()
-
-
-def _later_round(full: bool, percent: int):
-    """Pairs across the components that meet in a bucket: all, where that is few or `full` asks for it; else nodes outside the largest component with some of that one's."""
-
-    def propose(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("sig", "ascending"), ("node", "ascending")]).combine_chunks()
-        sig, comp = table.column("sig").to_numpy(), table.column("comp").to_numpy()
-        every = {c: table.column(c).to_numpy() for c in ("node", "n", "place", "alone")}
-        every["least"] = table.column("least").combine_chunks().flatten().to_numpy().reshape(-1, LEAST)
-        found = _Found()
-        for a, b in _buckets(sig):
-            if (comp[a:b] == comp[a]).all():
-                continue
-            entries = {c: x[a:b] for c, x in every.items()}
-            bucket = _Bucket(int(sig[a]), entries, percent)
-            own = comp[a:b][bucket.order]
-            _, group, size = np.unique(own, return_inverse=True, return_counts=True)
-            across = (len(own) ** 2 - int((size.astype(np.int64) ** 2).sum())) // 2
-            if full or min(across, bucket.most_pairs) <= FEW_PAIRS * len(own):
-                found.add(bucket, bucket.pairs(own))
-                continue
-            big = group == int(np.argmax(size))
-            members = np.flatnonzero(big)
-            leaders = members[np.argsort(mix(bucket.node[members].view(np.uint64) ^ U64(0x1EADE5)))[: 2 * LEADERS]]
-            found.add(bucket, [bucket.stars(leaders, np.flatnonzero(~big))])
-            found.later(int(sig[a]), entries)
-        return found.table()
-
-    return propose
-
-
-def _deal(pairs: DataFrame, blocks: int, work: Workspace, name: str) -> DataFrame:
-    """(block, a, b): pairs around one hub meet in one block, in several where there are very many."""
-    fans = pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("fan"))
-    salt = F.pmod(F.xxhash64("b"), F.ceil(F.col("fan") / 4096))
-    return work.write(pairs.join(fans, "hub").select(F.pmod(F.xxhash64("hub", salt), F.lit(blocks)).cast("int").alias("block"), "a", "b"), name)
+    common = np.minimum(np.maximum(np.minimum(p - u, q - v), 0) + 1 + np.minimum(n - p - 1, m - q - 1), np.minimum(n - u, m - v))
+    return (percent * np.maximum(n, m) <= 100 * np.minimum(n, m)) & (100 * common >= percent * (n + m - common))
+
+
+def _members(table: pa.Table, percent: int, parts: int) -> pa.Table:
+    """Of one part's blobs: (hub, node, n) of each bucket's nodes that could link with another one of it."""
+    sig, node, n = _column(table, "sigs", np.uint64), _column(table, "nodes", np.uint64).view(np.int64), _column(table, "sizes", np.uint32).astype(np.int64)
+    if table.column("part")[0].as_py() >= parts:  # not gathered by signature
+        return pa.table({"hub": pa.array(sig.view(np.int64)), "node": pa.array(node), "n": pa.array(n.astype(np.int32))})
+    place, alone = _column(table, "places", np.uint32).astype(np.int64), _column(table, "alone", np.uint32).astype(np.int64)
+    order = np.lexsort((node, n, sig))
+    again = np.concatenate([[False], (sig[order][1:] == sig[order][:-1]) & (node[order][1:] == node[order][:-1])]) if len(order) else np.zeros(0, bool)
+    order = order[~again]
+    sig, node, n, place, alone = sig[order], node[order], n[order], place[order], alone[order]
+    # A bucket ends where the sizes of its sets leave a gap that no link can cross.
+    fresh = np.concatenate([[True], (sig[1:] != sig[:-1]) | (percent * n[1:] > 100 * n[:-1])]) if len(sig) else np.zeros(0, bool)
+    start = np.flatnonzero(fresh)
+    many = np.diff(np.append(start, len(sig)))
+    use = np.repeat(many > SMALL_BUCKET, many)
+    for size in range(2, SMALL_BUCKET + 1):
+        first = start[many == size]
+        for x in range(size if len(first) else 0):
+            for y in range(x + 1, size):
+                i, j = first + x, first + y
+                both = _could(percent, n[i], n[j], place[i], place[j], alone[i], alone[j])
+                use[i[both]] = use[j[both]] = True
+    hub = np.repeat(np.minimum.reduceat(node, start), many) if len(start) else node
+    hub, node, n = hub[use], node[use], n[use]
+    order = np.lexsort((node, hub))
+    hub, node, n = hub[order], node[order], n[order]
+    fresh = np.concatenate([[True], (hub[1:] != hub[:-1]) | (node[1:] != node[:-1])]) if len(hub) else np.zeros(0, bool)
+    return pa.table({"hub": pa.array(hub[fresh]), "node": pa.array(node[fresh]), "n": pa.array(n[fresh].astype(np.int32))})
 
 
 def _tokens(base: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """(block, node, tokens) of the wanted (node, doc_id, blocks), read from the texts again."""
 
-    def emit(nodes, blocks, value, bounds, rows):
-        out = [(b, k, value[bounds[r] : bounds[r + 1]].tobytes()) for r, k, own in zip(rows, nodes, blocks) for b in own]
-        return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.binary())], names=["block", "node", "tokens"])
-
-    schema = "block int, node long, tokens binary"
-    if wanted.count() <= SENT_MOST:
-        table = wanted.toArrow().sort_by("node")
-        node, first = table.column("node").to_numpy(), table.column("doc_id").combine_chunks()
-        sent = base.sparkSession.sparkContext.broadcast((node, first.fill_null(0).to_numpy(zero_copy_only=False), first.is_null().to_numpy(zero_copy_only=False), table.column("blocks").to_pylist()))
-
-        def pick(batches):
-            node, first, null, blocks = sent.value
-            for batch in batches:
-                for piece, value, bounds in _sets(batch, width):
-                    keys, ids = _keys(value, bounds).view(np.int64), piece.column("doc_id")
-                    at = np.minimum(np.searchsorted(node, keys), max(len(node) - 1, 0))
-                    own, none = ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_null().to_numpy(zero_copy_only=False)
-                    rows = np.flatnonzero((node[at] == keys) & (first[at] == own) & (null[at] == none)) if len(node) else []
-                    if len(rows):
-                        yield emit(keys[rows].tolist(), [blocks[k] for k in at[rows]], value, bounds, rows)
-
-        return base.mapInArrow(pick, schema)
-
-    def fetch(batches):
+    def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, size = [], 0
+
+        def flush() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.binary()))], names=["block", "node", "tokens"])
+
         for batch in batches:
             for piece, value, bounds in _sets(batch, width):
-                keys = _keys(value, bounds).view(np.int64)
-                rows = np.flatnonzero(keys == piece.column("node").to_numpy())
-                if len(rows):
-                    yield emit(keys[rows].tolist(), piece.column("blocks").take(pa.array(rows)).to_pylist(), value, bounds, rows)
+                keys, blocks = _keys(value, bounds).view(np.int64), piece.column("blocks")
+                for r in np.flatnonzero(keys == piece.column("node").to_numpy()):  # another row of the same id may have another text
+                    tokens = value[bounds[r] : bounds[r + 1]].tobytes()
+                    for b in blocks[int(r)].as_py():
+                        out.append((b, int(keys[r]), tokens))
+                        size += len(tokens)
+                        if size > BLOB // 4:
+                            yield flush()
+                            out, size = [], 0
+        if out:
+            yield flush()
 
     texts = base.join(wanted.withColumnRenamed("doc_id", "wanted_id"), base["doc_id"].eqNullSafe(F.col("wanted_id")))
-    return texts.select("text", "node", "blocks").mapInArrow(fetch, schema)
+    return texts.select("text", "node", "blocks").mapInArrow(fetch, "block int, node long, tokens binary")
+
+
+def _apart(n, m, percent: int):
+    """The most shingles that are in one of two linked sets of n and m only."""
+    return n + m - 2 * (-(-percent * (n + m) // (100 + percent)))
 
 
-def _verify(dealt: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that link, by their whole sets."""
+def _sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """Of each set, whether an odd number of its shingles falls on each bit: two sketches differ in no more bits than the sets in shingles."""
+    bits = 1 << min(max(8, int(np.mean([len(x) for x in sets])).bit_length()), 14)
+    out = np.empty((len(sets), bits // 64), dtype=np.uint64)
+    for k, x in enumerate(sets):
+        out[k] = np.packbits((np.bincount((x >> U64(7)) & U64(bits - 1), minlength=bits) & 1).astype(bool)).view(np.uint64)
+    return out
+
 
-    def check(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        have = dict(zip(right.column("node").to_pylist(), (np.frombuffer(x.as_buffer(), np.uint64) for c in right.column("tokens").chunks for x in c)))
-        keep = []
-        for x, y in zip(left.column("a").to_pylist(), left.column("b").to_pylist()):
-            p, q = have[x], have[y]
-            if len(p) > len(q):
-                p, q = q, p
-            if 100 * len(p) < percent * len(q):
-                keep.append(False)
+def _shared(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """How many shingles a set shares with each of others."""
+    tokens = np.concatenate(others)
+    at = np.searchsorted(one, tokens)
+    at[at == len(one)] = 0
+    return np.add.reduceat((one[at] == tokens).astype(np.int64), _starts(np.array([len(x) for x in others]))[:-1])
+
+
+def _connect(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """Labels of the connected components of the sets (sorted, not empty) by their links; a label is the place of one of its sets."""
+    count = len(sets)
+    order = np.argsort([len(x) for x in sets], kind="stable")
+    n = np.array([len(sets[k]) for k in order], dtype=np.int64)
+    upto = np.searchsorted(n, n * 100 // percent, side="right")
+    label = np.arange(count)
+    sketch = _sketches([sets[k] for k in order]) if count > 2 else None
+    for i in range(count - 1):
+        j = np.arange(i + 1, upto[i])
+        j = j[label[j] != label[i]]
+        if len(j) and sketch is not None:
+            j = j[np.bitwise_count(sketch[j] ^ sketch[i]).sum(axis=1, dtype=np.int64) <= _apart(n[i], n[j], percent)]
+        done = 0
+        while done < len(j):  # some at a time, as the first links make others needless
+            some = j[done : done + 64]
+            done += 64
+            some = some[label[some] != label[i]]
+            if not len(some):
                 continue
-            at = np.searchsorted(q, p)
-            at[at == len(q)] = 0
-            common = int((q[at] == p).sum())
-            keep.append(100 * common >= percent * (len(p) + len(q) - common))
-        return left.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            common = _shared(sets[order[i]], [sets[order[k]] for k in some])
+            linked = some[100 * common >= percent * (n[i] + n[some] - common)]
+            if len(linked):
+                label[np.isin(label, label[linked])] = label[i]
+    out = np.empty(count, dtype=np.int64)
+    out[order] = order[label]
+    return out
+
 
-    return dealt.groupBy("block").cogroup(sets.groupBy("block")).applyInArrow(check, "a long, b long")
+class _Leaders:
+    """The leader of a group that is in chunks, and how common elements of differences from it are, by the nodes that go to all chunks."""
+
+    def __init__(self, sets: list[np.ndarray], percent: int):
+        n = np.array([len(x) for x in sets])
+        apart = [int((n + len(x) - 2 * _shared(x, sets)).sum()) for x in sets]
+        self.leader, self.percent = sets[int(np.argmin(apart))], percent
+        self.seen, self.times = np.unique(np.concatenate([self._all(x) for x in sets]), return_counts=True)
+
+    def _all(self, own: np.ndarray) -> np.ndarray:
+        more, less = np.setdiff1d(own, self.leader, assume_unique=True), np.setdiff1d(self.leader, own, assume_unique=True)
+        return np.concatenate([mix(more), ~mix(less)])
+
+    def differences(self, own: np.ndarray) -> np.ndarray:
+        """Signed elements of a set's symmetric difference D from the leader, as many as the first that must meet those of any set that links.
+
+        If A and B link, the differences D and E share at least (|D| + |E| - x) / 2 elements, where x bounds the size of the
+        symmetric difference of A and B; as |E| >= |D| - x, that is at least |D| - x.  So, all in one order, the first
+        x + 1 elements of D and those of E meet.
+        """
+        most = (len(own) + len(own) * 100 // self.percent) * (100 - self.percent) // (100 + self.percent)
+        out = self._all(own)
+        if len(out) > most + 1 and len(self.seen):
+            at = np.minimum(np.searchsorted(self.seen, out), len(self.seen) - 1)
+            out = out[np.lexsort((out, np.where(self.seen[at] == out, self.times[at], 0)))]
+        return out[: most + 1]
+
+
+_FOUND = "kind int, a long, b long, n int"
+
+
+def _compare(percent: int):
+    """Of one block: kind 0, (a, b) that say that node b is connected with a; kind 1, the memberships (hub, node, n) of the next level."""
+
+    def run(key, groups: pa.Table, sets: pa.Table) -> pa.Table:
+        tokens = (np.frombuffer(x.as_buffer(), np.uint64) for c in sets.column("tokens").chunks for x in c)
+        have = dict(zip(sets.column("node").to_pylist(), tokens))
+        groups = groups.sort_by([("part", "ascending"), ("node", "ascending"), ("leads", "descending")])
+        part, node, hub, leads = (groups.column(c).to_numpy() for c in ("part", "node", "hub", "leads"))
+        edges = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1], [True]])) if len(part) else np.zeros(1, int)
+        kinds, a, b, n = [], [], [], []
+        for x, y in zip(edges[:-1], edges[1:]):
+            own, first = np.unique(node[x:y], return_index=True)
+            all_sets = [have[k] for k in own.tolist()]
+            label = _connect(all_sets, percent)
+            least = np.full(len(own), np.iinfo(np.int64).max)
+            np.minimum.at(least, label, own)
+            moved = least[label] != own
+            kinds.append(np.zeros(int(moved.sum()), np.int32))
+            a.append(least[label][moved])
+            b.append(own[moved])
+            n.append(np.zeros(int(moved.sum()), np.int32))
+            at = np.flatnonzero(leads[x:y][first])
+            if len(at):  # a chunk of a larger group
+                leaders = _Leaders([all_sets[k] for k in at], percent)
+                for k in range(len(own)):
+                    under = mix(leaders.differences(all_sets[k]) ^ hub[x : x + 1].view(np.uint64)).view(np.int64)
+                    kinds.append(np.ones(len(under), np.int32))
+                    a.append(under)
+                    b.append(np.full(len(under), own[k]))
+                    n.append(np.full(len(under), len(all_sets[k]), np.int32))
+        cat = lambda parts, t: pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int64), t)
+        return pa.table({"kind": cat(kinds, pa.int32()), "a": cat(a, pa.int64()), "b": cat(b, pa.int64()), "n": cat(n, pa.int32())})
+
+    return run
+
+
+def _deal(members: DataFrame, work: Workspace, level: int) -> tuple[DataFrame, bool, bool]:
+    """(block, part, hub, node, n, leads): the memberships of groups of two or more, of large ones in chunks with the same few nodes in each; whether there are any, and any in chunks."""
+    h = F.xxhash64("node", F.lit(level))
+    firsts = [F.min(F.when(F.pmod(h, F.lit(LEADERS)) == k, F.struct(h.alias("h"), "node", "n"))) for k in range(LEADERS)]
+    sizes = members.groupBy("hub").agg(F.count(F.lit(1)).alias("many"), F.sum("n").alias("shingles"), F.array_compact(F.array(*firsts)).alias("leaders")).filter("many > 1")
+    sizes = sizes.withColumn("chunks", F.greatest(F.ceil(F.col("many") / F.lit(GROUP)), F.ceil(F.col("shingles") / F.lit(GROUP_SHINGLES))))
+    own = members.join(sizes.select("hub", "chunks", F.when(F.col("chunks") > 1, F.col("leaders.node")).alias("leading")), "hub")
+    own = own.select("hub", F.pmod(h, "chunks").alias("chunk"), "node", "n", F.coalesce(F.array_contains("leading", F.col("node")), F.lit(False)).alias("leads"))
+    led = sizes.filter("chunks > 1").select("hub", "leaders", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"))
+    led = led.select("hub", "chunk", F.inline("leaders")).select("hub", "chunk", "node", "n", F.lit(True).alias("leads"))
+    parts = own.unionByName(led).withColumn("part", F.xxhash64("hub", "chunk"))
+    parts = work.write(parts.select("part", "hub", "node", "n", "leads"), f"groups-{level}")
+    size, chunked = parts.agg(F.sum("n"), F.max("leads")).first()
+    blocks = max(2, -(-(size or 0) * 8 // BLOCK))
+    return parts.withColumn("block", F.pmod("part", F.lit(blocks)).cast("int")), bool(size), bool(chunked)
 
 
 def similarity_components(docs: DataFrame, width: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, n_shingles, component, n_set_links): one row for each row of docs.
+    """(doc_id, n_shingles, component_id): one row for each row of docs, whatever the names of its other columns.
 
-    component is the smallest id reachable by links, itself included.  Words are
+    component_id is the smallest id reachable by links, itself included.  Words are
     [^\\x20\\x09-\\x0D]+ with A-Z folded; a text of fewer words than `width` (one at
     least) has its whole sequence as its one shingle.  A text that is null, empty or
     without words has no shingles and is a component of its own.  Rows with equal
-    texts share a component; n_set_links counts links to different shingle sets.
+    texts share a component, and so do repeated rows; an empty table gives no rows.
     Null ids are allowed: they are kept, and are the component only of a group without other ids.
+    Texts may be of any length; one text's shingles have to fit into a task.
+    Sets are told apart by 64 bits: among N different ones N * N / 2 ** 65 are expected to be confused.
     """
     spark = docs.sparkSession
     work = Workspace(spark, "ngram-join")
@@ -515,36 +504,39 @@ def similarity_components(docs: DataFrame, width: int = 5, percent: int = 80, id
     parts = max(2, -(-total * 4 // BLOB))
     sent = _send(base, width, percent, parts).groupBy("part").applyInArrow(lambda t: _classify(t, parts), _CLASSED)
     signed = sent.groupBy("chunk").applyInArrow(lambda t: _sign(t, percent, parts), _SIGNED)
-    rounds = work.write(signed.groupBy("part").applyInArrow(lambda t: _first_round(t, percent), _ROUND), "round-0")
+    members = signed.groupBy("part").applyInArrow(lambda t: _members(t, percent, parts), _MEMBER)
     nodes = described.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     links = labels = None
-    for k in range(3):
-        if k:
-            entries = rounds.filter("kind = 1").select(F.col("a").alias("sig"), F.col("b").alias("node"), "n", "place", "alone", "least")
-            known = entries.withColumn("label", F.lit(None).cast("long")) if labels is None else entries.join(labels, "node", "left")
-            known = known.withColumn("comp", F.coalesce("label", "node")).withColumn("part", F.pmod(F.xxhash64("sig"), F.lit(parts)).cast("int"))
-            rounds = work.write(known.select("part", "sig", "node", "comp", "n", "place", "alone", "least").groupBy("part").applyInArrow(_later_round(k == 2, percent), _ROUND), f"round-{k}")
-        pairs = work.write(rounds.filter("kind = 0").groupBy("a", "b").agg(F.min("hub").alias("hub"), F.max("n").alias("n")), f"pairs-{k}")
-        size = pairs.agg(F.sum("n")).first()[0]
-        if size:
-            dealt = _deal(pairs, max(2, -(-size * 8 // (32 << 20))), work, f"dealt-{k}")
-            wanted = dealt.select("block", F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.collect_set("block").alias("blocks"))
-            wanted = work.write(wanted.join(nodes, "node").select("node", "doc_id", "blocks"), f"wanted-{k}")
-            found = work.write(_verify(dealt, _tokens(base, wanted, width), percent), f"links-{k}")
-            links = found if links is None else links.unionByName(found)
-            labels = connected_components(links, work, f"labels-{k}")
-        if not rounds.filter("kind = 1").limit(1).count():
+    level = 0
+    while True:
+        members = work.write(members.groupBy("hub", "node").agg(F.max("n").alias("n")), f"members-{level}")
+        dealt, some, chunked = _deal(members, work, level)
+        if not some:
+            break
+        wanted = dealt.groupBy("node").agg(F.collect_set("block").alias("blocks")).join(nodes, "node").select("node", "doc_id", "blocks")
+        found = dealt.groupBy("block").cogroup(_tokens(base, wanted, width).groupBy("block")).applyInArrow(_compare(percent), _FOUND)
+        found = work.write(found, f"found-{level}")
+        new = found.filter("kind = 0").select("a", "b")
+        links = new if links is None else links.unionByName(new)
+        labels = connected_components(links, work, f"labels-{level}")
+        if not chunked:
             break
+        # Of the next level, only groups that are not connected yet.
+        under = found.filter("kind = 1").select(F.col("a").alias("hub"), F.col("b").alias("node"), "n")
+        known = under.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        known = work.write(known, f"under-{level}")
+        apart = known.groupBy("hub").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("hub")
+        members = known.join(apart, "hub", "left_semi").select("hub", "node", "n")
+        level += 1
 
-    sized = nodes.select("node", F.col("doc_id").alias("least"))
     if labels is None:
-        per_node = sized.select("node", F.col("least").alias("component"), F.lit(0).cast("long").alias("n_set_links"))
+        per_node = nodes.select("node", F.col("doc_id").alias("component"))
     else:
-        degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_set_links"))
-        named = sized.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        lowest = named.groupBy("label").agg(F.min("least").alias("component"))
-        per_node = named.join(lowest, "label").join(degree, "node", "left").select("node", "component", F.coalesce("n_set_links", F.lit(0)).alias("n_set_links"))
+        named = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        lowest = named.groupBy("label").agg(F.min("doc_id").alias("component"))
+        per_node = named.join(lowest, "label").select("node", "component")
     per_node = work.write(per_node, "per-node")
-    work.drop(*(f"{x}-{k}" for k in range(3) for x in ("round", "pairs", "wanted", "dealt")))
-    joined = described.join(per_node, "node", "left")
-    return joined.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("n_set_links", F.lit(0).cast("long")).alias("n_set_links"))
+    work.drop(*(f"{x}-{k}" for k in range(level + 1) for x in ("members", "groups", "found", "under", "labels")))
+    joined = described.filter("n_shingles > 0").join(per_node, "node", "left")
+    none = described.filter("n_shingles = 0")
+    return joined.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).unionByName(none.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))

@@ -58,22 +58,27 @@ def components_by_force(texts, width, percent):
     return [find(k) for k in range(len(texts))], [len(s) for s in sets]
 
 
-@pytest.mark.parametrize("frequent,few,one_task", [(6, 12, 10**6), (1, 0, 0)])
-def test_similarity_components(spark, monkeypatch, frequent, few, one_task):
-    monkeypatch.setattr(ngram_join, "FREQUENT", frequent)
-    monkeypatch.setattr(ngram_join, "FEW_PAIRS", few)
-    monkeypatch.setattr(ngram_join, "SMALL_BUCKET", 2)
-    monkeypatch.setattr(components, "ONE_TASK", one_task)
+def near_copies(rng, count, words, edits):
+    """Copies of one text, each with words put in other words' places."""
+    base = prose(rng, words).split()
+    out = []
+    for _ in range(count):
+        w = list(base)
+        for _ in range(rng.choice(edits)):
+            w[rng.randrange(len(w))] = rng.choice(WORDS) + rng.choice("xyz")
+        out.append(" ".join(w))
+    return out
+
+
+@pytest.mark.parametrize("frequent,hot,small,group", [(6, 18, 12, 1024), (1, 18, 2, 1024), (2, 4, 4, 20)])
+def test_similarity_components(spark, monkeypatch, frequent, hot, small, group):
+    """Against brute force: as it is, with few small buckets, with groups in chunks, and with hot signatures."""
+    for name, value in (("FREQUENT", frequent), ("HOT", hot), ("SMALL_BUCKET", small), ("GROUP", group)):
+        monkeypatch.setattr(ngram_join, name, value)
     rng = random.Random(5)
-    base = [prose(rng, rng.choice([5, 9, 30, 90])) for _ in range(12)]
+    texts = [t for n in (5, 9, 9, 30, 30, 30, 90, 90, 90, 90, 200) for t in near_copies(rng, 6, n, [0, 1, 2])]
+    texts += near_copies(rng, 40, 60, [1, 2, 3]) + near_copies(rng, 30, 120, [2, 4, 6])
     passage = prose(rng, 40)
-    texts = []
-    for b in base:
-        for _ in range(6):
-            w = b.split()
-            for _ in range(rng.choice([0, 1, 2])):
-                w[rng.randrange(len(w))] = rng.choice(WORDS)
-            texts.append(" ".join(w))
     texts += [passage + " " + prose(rng, rng.choice([3, 20])) for _ in range(10)] + [None, "", " ", "one two", "ONE two", "solo"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = ngram_join.similarity_components(docs, 4, 85).orderBy("doc_id").collect()
@@ -81,20 +86,58 @@ def test_similarity_components(spark, monkeypatch, frequent, few, one_task):
     assert [r["component_id"] for r in got] == root and [r["n_shingles"] for r in got] == sizes
 
 
-def test_similarity_without_first_pairs(spark, monkeypatch):
-    """Buckets put off are compared though the first round names no pair at all."""
-    real = ngram_join._first_round
-
-    def put_off(table, percent):
-        out = real(table, percent)
-        return out.filter(pa.array([k == 1 for k in out.column("kind").to_pylist()], pa.bool_()))
-
-    monkeypatch.setattr(ngram_join, "_first_round", put_off)
-    rng = random.Random(5)
-    passage = prose(rng, 60)
-    docs = spark.createDataFrame([(k, f"{passage} {WORDS[k]}") for k in range(60)], "doc_id long, text string")
-    got = ngram_join.similarity_components(docs, 4, 85).collect()
-    assert {r["component_id"] for r in got} == {0}
+def test_large_group_of_near_copies(spark, monkeypatch):
+    """2,000 near copies, whose links make more than one component, in chunks and in one group."""
+    rng = random.Random(8)
+    texts = near_copies(rng, 2000, 40, [0, 1, 2, 2, 3, 3])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    sets = [frozenset(zip(*(t.split()[k:] for k in range(4)))) for t in texts]
+    of: dict = {}
+    distinct = [of.setdefault(s, s) for s in sets]
+    names = {s: k for k, s in enumerate(dict.fromkeys(distinct))}
+    vocabulary = {x: k for k, x in enumerate({x for s in names for x in s})}
+    rows = np.zeros((len(names), len(vocabulary)), dtype=np.float32)
+    for s, k in names.items():
+        rows[k, [vocabulary[x] for x in s]] = 1
+    common, n = rows @ rows.T, rows.sum(axis=1)
+    linked = 100 * common >= 85 * (n[:, None] + n[None, :] - common)
+    label = np.arange(len(names))
+    while True:
+        new = np.where(linked, label[None, :], len(names)).min(axis=1)
+        if (new == label).all():
+            break
+        label = new
+    first: dict = {}
+    want = [first.setdefault(int(label[names[s]]), k) for k, s in enumerate(distinct)]
+    assert len(first) > 5
+    for group in (1024, 100):
+        monkeypatch.setattr(ngram_join, "GROUP", group)
+        got = {r["doc_id"]: r["component_id"] for r in ngram_join.similarity_components(docs, 4, 85).collect()}
+        assert [got[k] for k in range(len(texts))] == want
+
+
+def test_sets_apart():
+    """Sketches never refuse a link, and differences from a leader meet for every link that the leader does not make."""
+    rng = np.random.default_rng(4)
+    for percent in (80, 85):
+        base = rng.integers(0, 2**63, 60, dtype=np.uint64)
+        sets = []
+        for _ in range(120):
+            keep = base[rng.random(len(base)) > rng.choice([0.0, 0.05, 0.12, 0.2])]
+            sets.append(np.unique(np.concatenate([keep, rng.choice(np.arange(40, dtype=np.uint64), rng.integers(0, 12))])))
+        inter = lambda x, y: len(np.intersect1d(x, y))
+        link = lambda x, y: 100 * inter(x, y) >= percent * (len(x) + len(y) - inter(x, y))
+        sketch = ngram_join._sketches(sets)
+        leaders = ngram_join._Leaders(sets[:5], percent)
+        leader = leaders.leader
+        under = [set(leaders.differences(x).tolist()) for x in sets]
+        for i in range(len(sets)):
+            for j in range(i):
+                if link(sets[i], sets[j]):
+                    assert np.bitwise_count(sketch[i] ^ sketch[j]).sum() <= ngram_join._apart(len(sets[i]), len(sets[j]), percent)
+                    assert (link(sets[i], leader) and link(sets[j], leader)) or under[i] & under[j]
+        label = ngram_join._connect(sets, percent)
+        assert len(set(label.tolist())) == len({min(k for k in range(len(sets)) if label[k] == x) for x in label})
 
 
 def test_similarity_edges(spark):
@@ -105,8 +148,7 @@ def test_similarity_edges(spark):
     assert ngram_join.similarity_components(frame(spark, [])).count() == 0
 
 
-def test_connected_components_rounds(spark, monkeypatch):
-    monkeypatch.setattr(components, "ONE_TASK", 0)
+def test_connected_components_rounds(spark):
     rng = random.Random(2)
     links = [(rng.randrange(60), rng.randrange(60)) for _ in range(40)]
     got = {r["node"]: r["label"] for r in components.connected_components(spark.createDataFrame([x for x in links if x[0] != x[1]], "a long, b long"), Workspace(spark, "t"), "c").collect()}
