@@ -2,18 +2,20 @@
 
 Words are assigned to classes by exchange clustering.  The HEAD commonest words begin: they
 are moved, one at a time, to the class that gains most class-bigram mutual information.  Then
-all training words move, at each step together: the counts of the classes on both sides of
-each word are summed over the corpus, and each word goes where it gains most.  Steps go on
-until few words move or information hardly grows.  One that loses information is taken back, and
-fewer words move at once from then on.  A word's probability mixes class transitions (trigram,
-bigram and unigram of classes) times its emission from its class, and the add-one unigram
-of words:
+all training words, the head's included, move by the same gain: the counts of the classes on
+both sides of each word are summed over the corpus, and each word goes where it gains most.
+The gain of a word of more than EXACT training tokens is worked out in full, and such words move
+in two halves by turns; that of others to first order (their counts are small beside the
+classes').  Steps go on until information hardly grows.  A word's probability mixes class
+transitions (trigram, bigram and unigram of classes) times its emission from its class, and
+the add-one unigram of words:
 
     P(w | g1, g2) = (1 - u) (L3 P(g | g1, g2) + L2 P(g | g2) + L1 P(g)) c(w) / n(g) + L0 (c(w) + 1) / (N + V + 1)
 
-g is w's class.  Words that are not in training are one unknown type without a class: its
-probability is u = 1 / (N + V + 1), and it leaves the history as it was.  The end of a text is a word, and
-begins the next one's history.
+g is w's class, g1 and g2 are those of the two known words before it in its own text, or the
+end's where the text has begun since.  Words that are not in training are one unknown type
+without a class: its probability is u = 1 / (N + V + 1), and it leaves the history as it was.
+So a text's score depends on its words and the training texts alone: equal texts score alike.
 
 All counts cover the whole training part.  The corpus is tokenised once into chunks (local
 word lists and packed token ids) in the shared folder; word counts and classes are summed by
@@ -23,33 +25,37 @@ squared, and CLASSES cubed counts) come to the driver.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ._bytes import NON_SPACE, Words, buffers, slices, word_hash
 from ._shared import Workspace
 
 HEAD, CLASSES, SWEEPS = 1000, 32, 6
-#: Exchange over all words ends when no more than this share of them would move, when information grows by less than this
-#: share, or when it falls though only one word in MOST_TURNS moves at a step.
-FEW, LEAST_GAIN, MOST_TURNS = 0.01, 0.001, 4
+#: Exchange over all words ends when information grows by less than this share in a step.
+LEAST_GAIN = 0.01
+#: Training tokens of a word from which its gains are worked out in full.
+EXACT = 256
 L3, L2, L1, L0 = 0.45, 0.3, 0.1, 0.15
 #: Text bytes of one chunk, and word list entries of one part, about.
-CHUNK, PART = 12 << 20, 1_500_000
+CHUNK, PART = 3 << 20, 400_000
 END = word_hash(b"\n")  # no word has white space
 NO_CLASS = 255
 
-_CHUNKS = "chunk string, doc_ids array<long>, held array<boolean>, bounds binary, tokens binary, words binary, counts binary"
-#: Of a chunk, what goes on with its words' classes.
-_CHUNKS_SEEN = ("doc_ids", "held", "bounds", "tokens", "words")
-_SEEN = "doc_ids array<long>, held array<boolean>, bounds binary, tokens binary, words binary, counts binary, kinds binary"
-_CLASSED = "part int, words binary, counts binary, kinds binary, moved long"
-_CLASSED_ARROW = pa.schema([("part", pa.int32()), *((n, pa.binary()) for n in ("words", "counts", "kinds")), ("moved", pa.int64())])
-_SUMMED = "part int, words binary, counts binary, kinds binary, at binary, times binary, table array<long>"
+_CHUNKS = "chunk string, doc_ids array<long>, held array<boolean>, bounds binary, tokens binary, end long, words binary, counts binary"
+#: Of a chunk, what goes on; `slices` has (part, number of words) of the parts of its word list.
+_TEXTS = ("doc_ids", "held", "bounds", "tokens", "end")
+_READY = "chunk string, doc_ids array<long>, held array<boolean>, bounds binary, tokens binary, end long, kinds binary, slices binary"
+_CLASSED = "part int, words binary, counts binary, kinds binary"
+_NEAR = "part int, chunk string, places binary, at binary, times binary"
+#: The part of rows that have class bigrams.
+TABLE = -1
 #: Context cells of a word: the classes before it, those after it, and the word itself after it.
 CELLS = 2 * CLASSES + 1
 
@@ -58,6 +64,22 @@ def _u(row, kind):
     return np.frombuffer(row.as_buffer(), kind)
 
 
+def _packed(x: np.ndarray) -> bytes:
+    """Byte planes, compressed."""
+    return zstandard.compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes(), 1)
+
+
+def _unpacked(cell, kind) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(memoryview(cell.as_buffer())), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """Row by row, nothing copied."""
+    for k in range(batch.num_rows):
+        yield {name: column[k] for name, column in zip(batch.schema.names, batch.columns)}
+
+
 def _chunks(docs: DataFrame, train: Column) -> DataFrame:
     """Rows of _CHUNKS.  A chunk's token ids index its sorted word hashes; counts are of its training texts."""
 
@@ -75,9 +97,9 @@ def _chunks(docs: DataFrame, train: Column) -> DataFrame:
             taught = np.repeat(np.array(used), counts)
             row = {
                 "chunk": uuid4().hex, "doc_ids": ids, "held": [not x for x in used], "bounds": np.concatenate([[0], np.cumsum(counts)]).astype(np.int64).tobytes(),
-                "tokens": token.astype(np.uint32).tobytes(), "words": words.tobytes(), "counts": np.bincount(token[taught], minlength=len(words)).astype(np.uint32).tobytes(),
+                "tokens": _packed(token.astype(np.uint32)), "end": int(np.searchsorted(words, np.uint64(END))), "words": words.tobytes(), "counts": np.bincount(token[taught], minlength=len(words)).astype(np.uint32).tobytes(),
             }
-            return pa.RecordBatch.from_pylist([row], schema=pa.schema([("chunk", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), *((n, pa.binary()) for n in ("bounds", "tokens", "words", "counts"))]))
+            return pa.RecordBatch.from_pylist([row], schema=pa.schema([("chunk", pa.string()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("bounds", pa.binary()), ("tokens", pa.binary()), ("end", pa.int64()), ("words", pa.binary()), ("counts", pa.binary())]))
 
         for batch in batches:
             for piece in slices(batch):
@@ -146,9 +168,16 @@ def _places(words: np.ndarray, head: np.ndarray) -> np.ndarray:
 
 
 def _sequence(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(token ids, is training, local id of the end)."""
-    token, bounds = np.frombuffer(row["tokens"], np.uint32), np.frombuffer(row["bounds"], np.int64)
-    return token, np.repeat(~np.array(row["held"], dtype=bool), np.diff(bounds)), token[-1]
+    """(token ids, texts' bounds, is training by text)."""
+    token = _unpacked(row["tokens"], np.uint32).astype(np.int64)
+    return token, _u(row["bounds"], np.int64), ~row["held"].values.to_numpy(zero_copy_only=False).astype(bool)
+
+
+def _taught(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    """(token ids of the training texts, those before them); every text begins after an end."""
+    token, bounds, teaches = _sequence(row)
+    token = token[np.repeat(teaches, np.diff(bounds))]
+    return token, np.concatenate([[row["end"].as_py()], token[:-1]]) if len(token) else token
 
 
 def exchange(pairs: np.ndarray, counts: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.ndarray:
@@ -189,45 +218,37 @@ def exchange(pairs: np.ndarray, counts: np.ndarray, classes: int = CLASSES, swee
     return of
 
 
-def _contexts(parts: int):
-    """(part, words, at, times) of each chunk: the training words with cells, and how often each has each context; `at` is place * CELLS + cell."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                words, own = np.frombuffer(row["words"], np.uint64), np.frombuffer(row["kinds"], np.uint8)
-                token, taught, _ = _sequence(row)
-                token = token[taught].astype(np.int64)  # whole texts, each with its end
-                if not len(token):
-                    continue
-                before = np.concatenate([[np.searchsorted(words, np.uint64(END))], token[:-1]])
-                left, right = own[before], own[token]
-                cells = (token * CELLS + left)[left != NO_CLASS], (before * CELLS + CLASSES + right)[right != NO_CLASS], token[before == token] * CELLS + 2 * CLASSES
-                code, times = np.unique(np.concatenate(cells), return_counts=True)
-                cut = np.searchsorted(code, _by_part(words, parts) * CELLS)
-                for p, (a, b) in enumerate(zip(cut[:-1], cut[1:])):
-                    if b > a:
-                        who, place = np.unique(code[a:b] // CELLS, return_inverse=True)
-                        at = (place * CELLS + code[a:b] % CELLS).astype(np.uint32)
-                        yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (words[who], at, times[a:b].astype(np.uint32)))], names=["part", "words", "at", "times"])
-
-    return run
-
+def _near(row: dict) -> pa.Table:
+    """_NEAR of a chunk: how often each of its training words has each context; `at` has the steps from one place in the slice * CELLS + cell to the next.
 
-def _add_contexts(key, near: pa.Table, known: pa.Table) -> pa.Table:
-    """One part's contexts, summed, and its words' share of the class bigrams."""
-    words, kinds = np.frombuffer(known.column("words")[0].as_py(), np.uint64), np.frombuffer(known.column("kinds")[0].as_py(), np.uint8)
-    codes, times = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for w, at, n in zip(*(near.column(c) for c in ("words", "at", "times"))):
-        at = _u(at, np.uint32).astype(np.int64)
-        codes.append(np.searchsorted(words, _u(w, np.uint64))[at // CELLS] * CELLS + at % CELLS)
-        times.append(_u(n, np.uint32).astype(np.int64))
-    code, n = _summed(codes, times)
-    kind, cell = kinds[code // CELLS].astype(np.int64), code % CELLS
-    after = (kind != NO_CLASS) & (cell >= CLASSES) & (cell < 2 * CLASSES)
-    table = np.zeros(CLASSES**2, dtype=np.int64)
-    np.add.at(table, kind[after] * CLASSES + cell[after] - CLASSES, n[after])
-    return pa.table({"part": known.column("part")[:1], **{c: known.column(c)[:1] for c in ("words", "counts", "kinds")}, "at": pa.array([code.tobytes()], pa.binary()), "times": pa.array([n.tobytes()], pa.binary()), "table": pa.array([table.tolist()], pa.list_(pa.int64()))})
+    The row of part TABLE has the counts of class bigrams.
+    """
+    own, slices_ = _u(row["kinds"], np.uint8), _u(row["slices"], np.int64).reshape(-1, 2)
+    token, before = _taught(row)
+    left, right = own[before], own[token]
+    both = (left != NO_CLASS) & (right != NO_CLASS)
+    table = np.bincount(left[both].astype(np.int64) * CLASSES + right[both], minlength=CLASSES**2)
+    cells = (token * CELLS + left)[left != NO_CLASS], (before * CELLS + CLASSES + right)[right != NO_CLASS], token[before == token] * CELLS + 2 * CLASSES
+    small = np.int32 if len(own) * CELLS < 2**31 else np.int64
+    code, times = np.unique(np.concatenate(cells).astype(small), return_counts=True)
+    begin = np.concatenate([[0], np.cumsum(slices_[:, 1])]) * CELLS
+    cut = np.searchsorted(code, begin.astype(small))
+    rows = [(int(p), code[a:b] - base, times[a:b]) for p, a, b, base in zip(slices_[:, 0], cut[:-1], cut[1:], begin) if b > a]
+    at = [_packed(np.diff(at, prepend=0).astype(np.uint32)) for _, at, _ in rows] + [b""]
+    many = [_packed(n.astype(np.uint32)) for _, _, n in rows] + [_packed(table.astype(np.int64))]
+    return pa.table({
+        "part": pa.array([r[0] for r in rows] + [TABLE], pa.int32()), "chunk": pa.array([row["chunk"].as_py()] * (len(rows) + 1), pa.string()),
+        "places": pa.nulls(len(rows) + 1, pa.binary()), "at": pa.array(at, pa.binary()), "times": pa.array(many, pa.binary()),
+    })
+
+
+def _bigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Class bigrams, by cell."""
+    total = np.zeros(CLASSES**2, dtype=np.int64)
+    for batch in batches:
+        for times in batch.column(0):
+            total += _unpacked(times, np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(range(len(total)), pa.int64()), pa.array(total)], names=["k", "n"])
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -277,17 +298,29 @@ def gains(table: np.ndarray, here: np.ndarray, into: np.ndarray, out: np.ndarray
     return gain - (_xlogx(rows + left) - _xlogx(rows) + _xlogx(columns + right) - _xlogx(columns))
 
 
-def move(words: np.ndarray, here: np.ndarray, cells: np.ndarray, table: np.ndarray) -> np.ndarray:
+def first_order(table: np.ndarray, into: np.ndarray, out: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """gains() to first order in the words' counts, which have to be small beside the table's, up to a constant of each word."""
+    log = np.log(table + 0.5)
+    rows, columns = np.log(table.sum(axis=1) + 0.5 * len(table)), np.log(table.sum(axis=0) + 0.5 * len(table))
+    inner = out @ log.T + into @ log + own[:, None] * np.diagonal(log)
+    return inner - (out.sum(axis=1) + own)[:, None] * rows - (into.sum(axis=1) + own)[:, None] * columns
+
+
+def move(words: np.ndarray, here: np.ndarray, cells: np.ndarray, table: np.ndarray, exact: int = EXACT) -> np.ndarray:
     """New classes of words from their context cells.
 
     A word moves only where that gains.  One without a class or a classed neighbour yet is dealt one by its hash, as the
-    head's words are by rank, and moves in the next step.
+    head's words are by rank, and moves in a later step.
     """
     into, out, own = (x.astype(np.float64) for x in (cells[:, :CLASSES], cells[:, CLASSES : 2 * CLASSES], cells[:, -1]))
     has = np.flatnonzero(here != NO_CLASS)
     into[has, here[has]] -= own[has]
     out[has, here[has]] -= own[has]
-    gain = gains(table, here.astype(np.int64), into, out, np.where(here != NO_CLASS, own, 0.0))
+    own = np.where(here != NO_CLASS, own, 0.0)
+    gain = first_order(table, into, out, own)
+    large = np.flatnonzero(np.maximum(into.sum(axis=1), out.sum(axis=1)) > exact)
+    if len(large):
+        gain[large] = gains(table, here[large].astype(np.int64), into[large], out[large], own[large])
     best = gain.argmax(axis=1)
     stay = np.where(here != NO_CLASS, here, best).astype(np.int64)
     each = np.arange(len(here))
@@ -296,24 +329,27 @@ def move(words: np.ndarray, here: np.ndarray, cells: np.ndarray, table: np.ndarr
     return np.where(alone, words % np.uint64(CLASSES), chosen.astype(np.uint64)).astype(np.uint8)
 
 
-def _move(sent, turns: int, turn: int):
-    """The part's words in their new classes, a block of words at a time; of those with a class, the ones whose turn it is move."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                words, counts, here = np.frombuffer(row["words"], np.uint64), np.frombuffer(row["counts"], np.int64), np.frombuffer(row["kinds"], np.uint8)
-                code, times = np.frombuffer(row["at"], np.int64), np.frombuffer(row["times"], np.int64)
-                kinds = here.copy()
-                for a in range(0, len(words), 1024):
-                    b = min(a + 1024, len(words))
-                    i, j = np.searchsorted(code, [a * CELLS, b * CELLS])
-                    cells = np.zeros((b - a) * CELLS, dtype=np.int64)
-                    cells[code[i:j] - a * CELLS] = times[i:j]
-                    kinds[a:b] = np.where(counts[a:b] > 0, move(words[a:b], here[a:b], cells.reshape(b - a, CELLS), sent.value), NO_CLASS)
-                wait = (here != NO_CLASS) & ((words >> np.uint64(20)) % np.uint64(turns) != turn)
-                kinds[wait] = here[wait]
-                yield pa.RecordBatch.from_pylist([{"part": row["part"], "words": row["words"], "counts": row["counts"], "kinds": kinds.tobytes(), "moved": int((kinds != here).sum())}], schema=_CLASSED_ARROW)
+def _move(sent, step: int):
+    """One part's words in their new classes, by their contexts summed over the corpus; of the frequent ones with a class, the half whose turn it is moves."""
+
+    def run(key, near: pa.Table, known: pa.Table) -> pa.Table:
+        words, counts, here = (_u(known.column(c).combine_chunks()[0], k) for c, k in (("words", np.uint64), ("counts", np.int64), ("kinds", np.uint8)))
+        places = {c.as_py(): np.cumsum(_unpacked(x, np.uint32), dtype=np.int64) for c, x in zip(near.column("chunk"), near.column("places")) if x.is_valid}
+        codes, many = [np.zeros(0, np.int64)], [np.zeros(0, np.uint32)]
+        for chunk, at, n in zip(near.column("chunk"), near.column("at"), near.column("times")):
+            if at.is_valid:
+                at = np.cumsum(_unpacked(at, np.uint32), dtype=np.int64)
+                codes.append(places[chunk.as_py()][at // CELLS] * CELLS + at % CELLS)
+                many.append(_unpacked(n, np.uint32))
+        # Sums of whole numbers, exact up to 2 ** 53.
+        cells = np.bincount(np.concatenate(codes), np.concatenate(many), minlength=len(words) * CELLS).reshape(-1, CELLS)
+        kinds = here.copy()
+        for a in range(0, len(words), 4096):
+            b = a + 4096
+            kinds[a:b] = np.where(counts[a:b] > 0, move(words[a:b], here[a:b], cells[a:b], sent.value), NO_CLASS)
+        wait = (here != NO_CLASS) & (counts > EXACT) & ((words >> np.uint64(20)) % np.uint64(2) != step % 2)
+        kinds[wait] = here[wait]
+        return pa.table({**{c: known.column(c)[:1] for c in ("part", "words", "counts")}, "kinds": pa.array([kinds.tobytes()], pa.binary())})
 
     return run
 
@@ -345,8 +381,9 @@ def score_texts(docs: DataFrame, train: Column, id_column: str = "doc_id", text_
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score): log10 probabilities of each text.
 
     `train` says which rows teach (never null).  Null text counts as empty: its end alone.
-    base_score is the add-one unigram's.  Rows keep their number; ids may be null or equal.
-    Without training rows every word is unknown.
+    base_score is the add-one unigram's.  Rows keep their number; ids may be null or equal, and other columns have any names.
+    Without training rows every word is unknown; an empty table gives no rows.  Of equally good classes a word gets the first.
+    Texts may be of any length; one text's tokens have to fit into a task.
     """
     work = Workspace(docs.sparkSession, "brown-lm")
     context = docs.sparkSession.sparkContext
@@ -368,11 +405,11 @@ def score_texts(docs: DataFrame, train: Column, id_column: str = "doc_id", text_
         head = sent_head.value
         total = np.zeros(len(head) ** 2, dtype=np.int64)
         for batch in batches:
-            for row in batch.to_pylist():
-                token, taught, end = _sequence(row)
-                place = _places(np.frombuffer(row["words"], np.uint64), head)[token]
-                before = np.concatenate([[_places(np.array([END], np.uint64), head)[0]], place[:-1]])
-                both = (place >= 0) & (before >= 0) & taught
+            for row in _rows(batch):
+                token, before = _taught(row)
+                place = _places(_u(row["words"], np.uint64), head)
+                place, before = place[token], place[before]
+                both = (place >= 0) & (before >= 0)
                 total += np.bincount(before[both] * len(head) + place[both], minlength=len(total))
         at = np.flatnonzero(total)
         stripe = at // 4096
@@ -386,7 +423,7 @@ def score_texts(docs: DataFrame, train: Column, id_column: str = "doc_id", text_
         return pa.table({"at": pa.array([at.tobytes()], pa.binary()), "times": pa.array([times.tobytes()], pa.binary())})
 
     pairs = np.zeros(len(head) ** 2, dtype=np.int64)
-    for row in chunks.select("held", "bounds", "tokens", "words").mapInArrow(head_pairs, "stripe int, at binary, times binary").groupBy("stripe").applyInArrow(add_pairs, "at binary, times binary").toArrow().to_pylist():
+    for row in chunks.select("held", "bounds", "tokens", "end", "words").mapInArrow(head_pairs, "stripe int, at binary, times binary").groupBy("stripe").applyInArrow(add_pairs, "at binary, times binary").toArrow().to_pylist():
         pairs[np.frombuffer(row["at"], np.uint32)] = np.frombuffer(row["times"], np.int64)
     pairs = pairs.reshape(len(head), len(head))
     classes = exchange(pairs, pairs.sum(axis=0))
@@ -395,82 +432,95 @@ def score_texts(docs: DataFrame, train: Column, id_column: str = "doc_id", text_
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, of = sent_head.value, sent_move.value
         for batch in batches:
-            for row in batch.to_pylist():
-                words, counts = np.frombuffer(row["words"], np.uint64), np.frombuffer(row["counts"], np.int64)
-                place = _places(words, head)
-                kind = np.where((place >= 0) & (counts > 0), of[place], NO_CLASS).astype(np.uint8)
-                yield pa.RecordBatch.from_pylist([row | {"kinds": kind.tobytes(), "moved": 0}], schema=_CLASSED_ARROW)
+            for row in _rows(batch):
+                place = _places(_u(row["words"], np.uint64), head)
+                kind = np.where((place >= 0) & (_u(row["counts"], np.int64) > 0), of[place], NO_CLASS).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([*(pa.array([row[c].as_py()], t) for c, t in (("part", pa.int32()), ("words", pa.binary()), ("counts", pa.binary()))), pa.array([kind.tobytes()], pa.binary())], names=["part", "words", "counts", "kinds"])
+
+    def find(key, asked: pa.Table, known: pa.Table) -> pa.Table:
+        """Where in the part each chunk's words are, as steps, and their counts."""
+        words, counts = _u(known.column("words").combine_chunks()[0], np.uint64), _u(known.column("counts").combine_chunks()[0], np.int64)
+        at = [np.searchsorted(words, _u(x, np.uint64)) for x in asked.column("words")]
+        places, own = [_packed(np.diff(a, prepend=0).astype(np.uint32)) for a in at], [_packed(counts[a]) for a in at]
+        return pa.table({"part": asked.column("part"), "chunk": asked.column("chunk"), "places": pa.array(places, pa.binary()), "counts": pa.array(own, pa.binary())})
+
+    words = chunks.select("chunk", "words", "counts").mapInArrow(_ask(parts), "part int, chunk string, words binary, counts binary").select("part", "chunk", "words")
+    words = words.groupBy("part").cogroup(totals.select("part", "words", "counts").groupBy("part"))
+    index = work.write(words.applyInArrow(find, "part int, chunk string, places binary, counts binary"), "index")
+    words = None
 
     def answer(key, asked: pa.Table, known: pa.Table) -> pa.Table:
-        words, counts, kinds = np.frombuffer(known.column("words")[0].as_py(), np.uint64), np.frombuffer(known.column("counts")[0].as_py(), np.int64), np.frombuffer(known.column("kinds")[0].as_py(), np.uint8)
-        at = [np.searchsorted(words, _u(x, np.uint64)) for x in asked.column("words").combine_chunks()]
-        return pa.table({"part": asked.column("part"), "chunk": asked.column("chunk"), "counts": pa.array([counts[a].astype(np.uint32).tobytes() if counts.max(initial=0) < 2**32 else np.minimum(counts[a], 2**32 - 1).astype(np.uint32).tobytes() for a in at], pa.binary()), "kinds": pa.array([kinds[a].tobytes() for a in at], pa.binary())})
+        kinds = _u(known.column("kinds").combine_chunks()[0], np.uint8)
+        own = [kinds[np.cumsum(_unpacked(x, np.uint32), dtype=np.int64)].tobytes() for x in asked.column("places")]
+        return pa.table({"part": asked.column("part"), "chunk": asked.column("chunk"), "kinds": pa.array(own, pa.binary())})
 
-    def join(key, chunk: pa.Table, reply: pa.Table) -> pa.Table:
+    def join(chunk: pa.Table, reply: pa.Table) -> pa.Table:
         reply = reply.sort_by("part")
-        both = [pa.array([b"".join(x.as_py() for x in reply.column(c))], pa.binary()) for c in ("counts", "kinds")]
-        return pa.Table.from_arrays([*(chunk.column(c) for c in _CHUNKS_SEEN), *both], names=[*_CHUNKS_SEEN, "counts", "kinds"])
-
-    def with_kinds(classed: DataFrame) -> DataFrame:
-        """The chunks with their words' counts and classes."""
-        asked = chunks.select("chunk", "words", "counts").mapInArrow(_ask(parts), "part int, chunk string, words binary, counts binary").select("part", "chunk", "words")
-        answered = asked.groupBy("part").cogroup(classed.select("part", "words", "counts", "kinds").groupBy("part")).applyInArrow(answer, "part int, chunk string, counts binary, kinds binary")
-        return chunks.select("chunk", *_CHUNKS_SEEN).groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(join, _SEEN)
-
-    classed, best, step = work.write(totals.select("part", "words", "counts").mapInArrow(begin, _CLASSED), "classed0"), 0.0, 0
-    held, turns = [], 1
+        own = [x.as_py() for x in reply.column("kinds")]
+        slices_ = np.stack([reply.column("part").to_numpy().astype(np.int64), np.array([len(x) for x in own])], 1)
+        more = [pa.array([b"".join(own)], pa.binary()), pa.array([slices_.tobytes()], pa.binary())]
+        return pa.Table.from_arrays([*(chunk.column(c) for c in ("chunk", *_TEXTS)), *more], names=[x.split()[0] for x in _READY.split(", ")])
+
+    def with_kinds(classed: DataFrame, then, schema: str) -> DataFrame:
+        """then(chunk with its words' classes) of each chunk."""
+        answered = index.select("part", "chunk", "places").groupBy("part").cogroup(classed.select("part", "kinds").groupBy("part")).applyInArrow(answer, "part int, chunk string, kinds binary")
+        return chunks.select("chunk", *_TEXTS).groupBy("chunk").cogroup(answered.groupBy("chunk")).applyInArrow(lambda key, chunk, reply: then(join(chunk, reply)), schema)
+
+    def tidy() -> None:
+        gc.collect()  # lets Spark drop the shuffle files of plans that are done
+        docs.sparkSession._jvm.System.gc()
+
+    classed = work.write(totals.select("part", "words", "counts").mapInArrow(begin, _CLASSED), "classed0")
+    tidy()
+    step, information, last = 0, 0.0, None
+    none = F.lit(None).cast("binary")
     while True:
-        # All words' contexts by the classes of this step, summed over the corpus; the class bigrams of the step come with them.
-        near = with_kinds(classed).select("held", "bounds", "tokens", "words", "kinds").mapInArrow(_contexts(parts), "part int, words binary, at binary, times binary")
-        summed = work.write(near.groupBy("part").cogroup(classed.groupBy("part")).applyInArrow(_add_contexts, _SUMMED), f"summed{step}")
+        near = work.write(with_kinds(classed, lambda t: _near({c: t.column(c).combine_chunks()[0] for c in t.column_names}), _NEAR), f"near{step}")
+        tidy()
         table = np.zeros(CLASSES**2)
-        for k, n in summed.select(F.posexplode("table").alias("k", "n")).groupBy("k").agg(F.sum("n").alias("n")).collect():
+        for k, n in near.filter(F.col("part") == TABLE).select("times").mapInArrow(_bigrams, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():
             table[k] = n
         table = table.reshape(CLASSES, CLASSES)
         gained = _information(table)
         # The head's start (step 0) has few of the bigrams, so its information is not compared.
-        if step < 2 or gained > best:
-            enough = step > 1 and gained < best * (1 + LEAST_GAIN)
-            if held:
-                work.drop(*held)
-            final, held, best, kept = classed, [f"classed{step}", f"summed{step}"], gained, (summed, table)
-        else:  # moved together, neighbours can miss each other: from the step before, fewer move at once
-            enough = turns >= MOST_TURNS
-            work.drop(f"classed{step}", f"summed{step}")
-            turns *= 2
-        if enough:
+        if step > 1 and gained < information:  # neighbours that move together can miss each other: the step before stands
+            final = last
             break
-        step += 1
-        classed = work.write(kept[0].drop("table").mapInArrow(_move(context.broadcast(kept[1]), turns, step % turns), _CLASSED), f"classed{step}")
-        moved = int(classed.agg(F.sum("moved")).first()[0])
-        near = None
-        docs.sparkSession._jvm.System.gc()  # lets Spark drop the step's shuffle files
-        if moved * turns <= FEW * size.v:
+        if step > 2 and gained < information * (1 + LEAST_GAIN) or step and not gained:
             final = classed
             break
+        both = near.filter(F.col("part") != TABLE).unionByName(index.select("part", "chunk", "places", none.alias("at"), none.alias("times")))
+        moved = work.write(both.groupBy("part").cogroup(classed.groupBy("part")).applyInArrow(_move(context.broadcast(table), step), _CLASSED), f"classed{step + 1}")
+        work.drop(f"near{step}")
+        near = both = None
+        tidy()
+        last, classed, information, step = classed, moved, gained, step + 1
+    work.drop(f"near{step}")
+    ready = work.write(with_kinds(final, lambda t: t, _READY), "ready")
+    tidy()
     sizes = np.zeros(CLASSES)
     for k, n in final.select("words", "counts", "kinds").mapInArrow(_sizes, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():
         sizes[k] = n
     end_class = final.select("words", "kinds").mapInArrow(_end_kind, "kind int").first()[0]
     end_class = 0 if end_class == NO_CLASS else end_class  # without training, nothing has a class
-    ready = work.write(with_kinds(final).drop("words"), "ready")
-    work.drop("chunks", "totals", *(f"classed{k}" for k in range(step + 1)), *(f"summed{k}" for k in range(step + 1)))
-
-    def history(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(token ids, class of each, and of the two known words before it)."""
-        token = np.frombuffer(row["tokens"], np.uint32)
-        kind = np.frombuffer(row["kinds"], np.uint8)[token].astype(np.int64)
-        at = np.flatnonzero(kind != NO_CLASS)
-        known = np.concatenate([[end_class, end_class], kind[at]])
-        rank = np.searchsorted(at, np.arange(len(kind)))  # known words before
-        return token, kind, known[rank], known[rank + 1]
+    work.drop("chunks", "totals", *(f"classed{k}" for k in range(step + 1)))
+
+    def history(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(token ids, class of each, and of the two known words before it in its text, texts' bounds, is training)."""
+        token, bounds, teaches = _sequence(row)
+        kind = _u(row["kinds"], np.uint8)[token].astype(np.int64)
+        is_known = kind != NO_CLASS
+        known = np.concatenate([[end_class, end_class], kind[is_known]])
+        rank = np.cumsum(is_known) - is_known  # known words before
+        own = rank - np.repeat(rank[bounds[:-1]], np.diff(bounds))  # of the same text
+        return token, kind, np.where(own > 1, known[rank], end_class), np.where(own > 0, known[rank + 1], end_class), bounds, np.repeat(teaches, np.diff(bounds))
 
     def transitions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(CLASSES**3, dtype=np.int64)
         for batch in batches:
-            for row in batch.to_pylist():
-                _, kind, g1, g2 = history(row)
-                taught = np.repeat(~np.array(row["held"], dtype=bool), np.diff(np.frombuffer(row["bounds"], np.int64))) & (kind != NO_CLASS)
+            for row in _rows(batch):
+                _, kind, g1, g2, _, taught = history(row)
+                taught &= kind != NO_CLASS
                 total += np.bincount((g1 * CLASSES + g2)[taught] * CLASSES + kind[taught], minlength=len(total))
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at // 1024), pa.array(at), pa.array(total[at])], names=["stripe", "at", "times"])
@@ -485,24 +535,23 @@ def score_texts(docs: DataFrame, train: Column, id_column: str = "doc_id", text_
     three = (cube + 10 * two[None]) / (cube.sum(axis=2, keepdims=True) + 10)
     sent = context.broadcast(((L3 * three + L2 * two[None] + L1 * single).ravel(), np.maximum(sizes, 1)))
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def score(key, chunk: pa.Table, reply: pa.Table) -> pa.Table:
         mixed, size_of = sent.value
-        for batch in batches:
-            for row in batch.to_pylist():
-                token, kind, g1, g2 = history(row)
-                bounds = np.frombuffer(row["bounds"], np.int64)
-                c = np.frombuffer(row["counts"], np.uint32).astype(np.float64)
-                own = np.frombuffer(row["kinds"], np.uint8)
-                plain = (c + 1) / (size.n + size.v + 1)
-                emit = np.where(own != NO_CLASS, c / size_of[np.minimum(own, CLASSES - 1)], 0)
-                unknown = 1 / (size.n + size.v + 1)
-                p = (1 - unknown) * mixed[(g1 * CLASSES + g2) * CLASSES + np.minimum(kind, CLASSES - 1)] * emit[token] + L0 * plain[token]
-                p[kind == NO_CLASS] = unknown
-                total = lambda x: np.add.reduceat(x, bounds[:-1])  # noqa: E731  each text has its end
-                n = len(bounds) - 1
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(row["doc_ids"], pa.int64()), pa.array(row["held"]), pa.array(np.diff(bounds)), pa.array(total((c > 0)[token].astype(np.int64))),
-                    pa.array(np.full(n, size.n)), pa.array(total(np.log10(plain)[token])), pa.array(total(np.log10(p))),
-                ], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
-
-    return ready.mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+        row = {name: chunk.column(name).combine_chunks()[0] for name in chunk.column_names}
+        token, kind, g1, g2, bounds, _ = history(row)
+        c = np.concatenate([_unpacked(x, np.int64) for x in reply.sort_by("part").column("counts")]).astype(np.float64)
+        own = _u(row["kinds"], np.uint8)
+        plain = (c + 1) / (size.n + size.v + 1)
+        emit = np.where(own != NO_CLASS, c / size_of[np.minimum(own, CLASSES - 1)], 0)
+        unknown = 1 / (size.n + size.v + 1)
+        p = (1 - unknown) * mixed[(g1 * CLASSES + g2) * CLASSES + np.minimum(kind, CLASSES - 1)] * emit[token] + L0 * plain[token]
+        p[kind == NO_CLASS] = unknown
+        total = lambda x: np.add.reduceat(x, bounds[:-1])  # noqa: E731  each text has its end
+        n = len(bounds) - 1
+        return pa.table({
+            "doc_id": row["doc_ids"].values, "held_out": row["held"].values, "n_tokens": pa.array(np.diff(bounds)), "n_known": pa.array(total((c > 0)[token].astype(np.int64))),
+            "train_tokens": pa.array(np.full(n, size.n)), "base_score": pa.array(total(np.log10(plain)[token])), "score": pa.array(total(np.log10(p))),
+        })
+
+    counted = index.select("part", "chunk", "counts")
+    return ready.select("chunk", *_TEXTS, "kinds").groupBy("chunk").cogroup(counted.groupBy("chunk")).applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

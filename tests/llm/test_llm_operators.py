@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -474,6 +475,75 @@ def test_language_model(spark, monkeypatch, chunk):
     assert brown_lm.score_texts(docs, F.lit(False)).count() == len(texts)
 
 
+def test_language_model_by_force(spark, monkeypatch):
+    """Scores by the formula from the classes found; probabilities add up to one; equal texts score alike however rows are dealt."""
+    from collections import Counter
+    from math import log10
+
+    made = []
+    monkeypatch.setattr(brown_lm, "Workspace", type("Kept", (Workspace,), {"__init__": lambda self, *a: (Workspace.__init__(self, *a), made.append(self))[0], "drop": lambda self, *names: None}))
+    monkeypatch.setattr(brown_lm, "HEAD", 10)
+    rng = random.Random(12)
+    texts = [prose(rng, rng.choice([0, 1, 2, 9, 25])) + rng.choice(["", " unseen" + str(k)]) for k in range(120)] + ["ba be w1"] * 30
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    scores = []
+    for dealt, chunk in ((1, 1 << 20), (4, 400), (9, 50)):
+        monkeypatch.setattr(brown_lm, "CHUNK", chunk)
+        scores.append({r["doc_id"]: r["score"] for r in brown_lm.score_texts(docs.repartition(dealt), F.col("doc_id") % 3 != 0).collect()})
+    for other in scores[1:]:
+        assert [other[k] for k in range(len(texts))] == pytest.approx([scores[0][k] for k in range(len(texts))])
+    assert len({round(scores[0][k], 9) for k, t in enumerate(texts) if t == "ba be w1"}) == 1
+
+    words = [[*t.split(), "\n"] for t in texts]
+    c = Counter(w for k, ws in enumerate(words) if k % 3 for w in ws)
+    n, v, size = sum(c.values()), len(c), brown_lm.CLASSES
+    names = {int(word_hash(w.encode())): w for w in c}
+    root = made[0].root.removeprefix("file://")
+    last = max(int(x.name.removeprefix("classed")) for x in Path(root).glob("classed*"))
+    candidates = []
+    for step in (last, last - 1):  # the last step is taken back if it lost
+        of = {}
+        for r in spark.read.parquet(f"{root}/classed{step}").collect():
+            of |= {names[int(h)]: int(k) for h, k in zip(np.frombuffer(r["words"], np.uint64), np.frombuffer(r["kinds"], np.uint8)) if int(h) in names}
+        cube, sizes = np.zeros((size,) * 3), Counter()
+        for w in c:
+            sizes[of[w]] += c[w]
+        walks = []
+        for k, ws in enumerate(words):
+            past, walk = [of["\n"]] * 2, []
+            for w in ws:
+                walk.append((past[-2], past[-1], w))
+                if w in c:
+                    cube[past[-2], past[-1], of[w]] += bool(k % 3)
+                    past.append(of[w])
+            walks.append(walk)
+        single = (cube.sum(axis=(0, 1)) + 1e-3) / (cube.sum() + 1e-3 * size)
+        two = (cube.sum(axis=0) + 5 * single) / (cube.sum(axis=0).sum(axis=1, keepdims=True) + 5)
+        three = (cube + 10 * two[None]) / (cube.sum(axis=2, keepdims=True) + 10)
+        u = 1 / (n + v + 1)
+
+        def p(a, b, w):
+            if w not in c:
+                return u
+            g = of[w]
+            mixed = brown_lm.L3 * three[a, b, g] + brown_lm.L2 * two[b, g] + brown_lm.L1 * single[g]
+            return (1 - u) * mixed * c[w] / sizes[g] + brown_lm.L0 * (c[w] + 1) * u
+
+        candidates.append([sum(log10(p(*x)) for x in walk) for walk in walks])
+        assert sum(p(of["ba" + "d"], of["\n"], w) for w in c) + u == pytest.approx(1, abs=1e-3)
+    assert any([scores[0][k] for k in range(len(texts))] == pytest.approx(x) for x in candidates)
+
+
+def test_first_order_gains():
+    """For words whose counts are small beside the table's, the first order agrees with the gains in full."""
+    rng = np.random.default_rng(5)
+    table = rng.integers(20_000, 90_000, (6, 6)).astype(float)
+    into, out, own = rng.integers(0, 3, (9, 6)).astype(float), rng.integers(0, 3, (9, 6)).astype(float), np.zeros(9)
+    here = np.full(9, brown_lm.NO_CLASS)
+    full, first = brown_lm.gains(table, here, into, out, own), brown_lm.first_order(table, into, out, own)
+    assert np.allclose(full - full[:, :1], first - first[:, :1], atol=5e-3)
+
+
 def test_query_digests(spark):
     from plumbline.llm.q_byte_bpe import digests
 
