@@ -43,7 +43,7 @@ ALIASES = {key.lower(): a.name for a in ATTRIBUTES for key in (a.name, *a.aliase
 # Unit -> (base unit, multiplier).
 UNITS = {
     "v": ("v", 1.0), "kv": ("v", 1000.0), "mv": ("v", 0.001), "a": ("a", 1.0), "ma": ("a", 0.001),
-    "°c": ("c", 1.0), "c": ("c", 1.0), "degc": ("c", 1.0),
+    "°c": ("°c", 1.0), "c": ("°c", 1.0), "degc": ("°c", 1.0),
     "mm": ("mm", 1.0), "cm": ("mm", 10.0), "m": ("mm", 1000.0), "in": ("mm", 25.4), "ft": ("mm", 304.8),
     "g": ("g", 1.0), "kg": ("g", 1000.0), "mg": ("g", 0.001), "lb": ("g", 453.59237), "oz": ("g", 28.349523),
     "mpa": ("mpa", 1.0), "n/mm²": ("mpa", 1.0), "psi": ("mpa", 0.00689476), "ksi": ("mpa", 6.89476),

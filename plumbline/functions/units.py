@@ -18,6 +18,22 @@ def to_float(value: Column) -> Column:
     return F.when(value.rlike(FLOAT), F.replace(strip(value), F.lit("_"), F.lit("")).try_cast("double"))
 
 
+def round2(x: Column) -> Column:
+    """Two places of a number from 0 to 1 as Python's round() gives them: by its binary value, exact halves to even.
+
+    A number that prints as an odd multiple of 1 / 200 is above or below it by its binary value; all differences here are exact.
+    """
+
+    def of(x: Column, t: Column) -> Column:
+        above = ((x * 128.0 - t) + x * 64.0) + x * 8.0
+        up, down = (t + 1) / 200.0, (t - 1) / 200.0
+        tie = (t % 2 == 1) & (F.abs(x * 200.0 - t) < 1e-9)
+        even = F.when((t + 1) % 4 == 0, up).otherwise(down)
+        return F.when(~tie, F.round(x, 2)).when(above > 0, up).when(above < 0, down).otherwise(even)
+
+    return let(x, lambda x: let(F.round(x * 200.0), lambda t: of(x, t)))
+
+
 def parse_numeric(value: Column, unit: Column) -> Column:
     """struct(number, unit), or null.  A plain number keeps the declared unit; else a unit in the value comes before it."""
     own = filled(strip(F.regexp_extract(value, WITH_UNIT, 2)))

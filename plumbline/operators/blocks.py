@@ -19,7 +19,16 @@ def with_block_ids(items: DataFrame, doc: str = "doc_id") -> DataFrame:
 
 
 def bounded_payload(blocks: DataFrame, most_blocks: int = 200, most_chars: int = 100_000, doc: str = "doc_id") -> DataFrame:
-    """The blocks of each document's longest prefix within both bounds, with `truncated`."""
+    """The blocks of each document's longest prefix within both bounds, with `truncated`.
+
+    A block without text counts as, and gets, its table's rows (a column `table` of arrays of cells, if there is one),
+    cells joined by ' | ' and rows by newline; one without either is empty and counts as a block.
+    """
+    text = F.col("text")
+    if "table" in blocks.columns:
+        rows = F.transform("table", lambda r: F.array_join(F.transform(r, lambda c: F.coalesce(c, F.lit(""))), " | "))
+        text = F.coalesce(text, F.array_join(rows, "\n"))
+    blocks = blocks.withColumn("text", F.coalesce(text, F.lit("")))
     order = Window.partitionBy(doc).orderBy("pos")
     upto = order.rowsBetween(Window.unboundedPreceding, 0)
     counted = blocks.withColumn("chars", F.sum(F.length("text")).over(upto)).withColumn("n", F.row_number().over(order))

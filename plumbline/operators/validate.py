@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.specs import check_spec, grounded, reviewed_status, score_spec
 from ..functions.text import block_text
+from ..functions.units import round2
 
 
 def scored_specs(specs: Column) -> Column:
@@ -28,9 +29,9 @@ def scored_specs(specs: Column) -> Column:
 
 
 def overall_confidence(specs: Column) -> Column:
-    """The mean confidence, 0.0 without specifications; callers round."""
+    """The mean confidence to two places, 0.0 without specifications."""
     total = F.aggregate(specs, F.lit(0.0), lambda a, s: a + s["confidence"])
-    return F.when(F.size(specs) > 0, total / F.size(specs)).otherwise(0.0)
+    return F.when(F.size(specs) > 0, round2(total / F.size(specs))).otherwise(0.0)
 
 
 def score_with_blocks(specs: DataFrame, blocks: DataFrame) -> DataFrame:

@@ -35,6 +35,7 @@ CELLS = [
     ("Thread Size", "'M' || CAST(p_size AS STRING) || CASE WHEN p_partkey % 3 = 0 THEN ' x 1' WHEN p_partkey % 3 = 1 THEN '' ELSE ' junk' END", "CAST(NULL AS STRING)"),
     ("material", "CASE p_partkey % 4 WHEN 0 THEN 'Steel' WHEN 1 THEN ' brass ' WHEN 2 THEN 'Wood' ELSE 'carbon steel' END", "CAST(NULL AS STRING)"),
     ("length", "CAST(p_size - 1 AS STRING)", "CASE p_partkey % 3 WHEN 0 THEN 'mm' WHEN 1 THEN 'CM' ELSE 'in' END"),
+    ("Operating Temperature", "CASE p_partkey % 3 WHEN 0 THEN CAST(p_size AS STRING) || ' °C' WHEN 1 THEN CAST(-p_size AS STRING) || 'C' ELSE CAST(p_size * 5 AS STRING) END", "CASE WHEN p_partkey % 3 = 2 THEN 'degC' END"),
     ("Warehouse Bin", "CASE WHEN p_partkey % 6 = 0 THEN '' ELSE 'W' || CAST(p_partkey % 50 AS STRING) END", "CAST(NULL AS STRING)"),
 ]
 STATUS = "CASE p_partkey % 3 WHEN 0 THEN 'extracted' WHEN 1 THEN 'inferred' ELSE 'needs_review' END"
@@ -44,10 +45,10 @@ _duck = lambda e: e.replace("STRING", "VARCHAR")
 #: WITH parts: `cells` (p_partkey, p_brand, p_type, position, header, value, unit, status, source_type), and on top of it the checks.
 CELLS_SQL = "cells AS (" + " UNION ALL ".join(f"SELECT p_partkey, p_brand, p_type, {k} AS position, '{h}' AS header, {_duck(v)} AS value, {_duck(u)} AS unit, {STATUS} AS status, {SOURCE} AS source_type FROM part" for k, (h, v, u) in enumerate(CELLS)) + ")"
 
-_BASE = "CASE lower(trim(u)) WHEN 'v' THEN 'v' WHEN 'kv' THEN 'v' WHEN 'mv' THEN 'v' WHEN 'a' THEN 'a' WHEN 'ma' THEN 'a' WHEN 'mm' THEN 'mm' WHEN 'cm' THEN 'mm' WHEN 'in' THEN 'mm' END"
-_TIMES = "CASE lower(trim(u)) WHEN 'v' THEN 1.0 WHEN 'kv' THEN 1000.0 WHEN 'mv' THEN 0.001 WHEN 'a' THEN 1.0 WHEN 'ma' THEN 0.001 WHEN 'mm' THEN 1.0 WHEN 'cm' THEN 10.0 WHEN 'in' THEN 25.4 END"
+_BASE = "CASE lower(trim(u)) WHEN 'v' THEN 'v' WHEN 'kv' THEN 'v' WHEN 'mv' THEN 'v' WHEN 'a' THEN 'a' WHEN 'ma' THEN 'a' WHEN 'mm' THEN 'mm' WHEN 'cm' THEN 'mm' WHEN 'in' THEN 'mm' WHEN '°c' THEN '°c' WHEN 'c' THEN '°c' WHEN 'degc' THEN '°c' END"
+_TIMES = "CASE lower(trim(u)) WHEN 'v' THEN 1.0 WHEN 'kv' THEN 1000.0 WHEN 'mv' THEN 0.001 WHEN 'a' THEN 1.0 WHEN 'ma' THEN 0.001 WHEN 'mm' THEN 1.0 WHEN 'cm' THEN 10.0 WHEN 'in' THEN 25.4 WHEN '°c' THEN 1.0 WHEN 'c' THEN 1.0 WHEN 'degc' THEN 1.0 END"
 CHECKED_SQL = f"""{CELLS_SQL}, named AS (
-    SELECT *, CASE header WHEN 'Rated Voltage' THEN 'voltage_rating' WHEN 'amperage' THEN 'current_rating' WHEN 'IP Rating' THEN 'ip_rating' WHEN 'Thread Size' THEN 'thread_size' WHEN 'material' THEN 'material' WHEN 'length' THEN 'length' END AS attribute,
+    SELECT *, CASE header WHEN 'Rated Voltage' THEN 'voltage_rating' WHEN 'amperage' THEN 'current_rating' WHEN 'IP Rating' THEN 'ip_rating' WHEN 'Thread Size' THEN 'thread_size' WHEN 'material' THEN 'material' WHEN 'length' THEN 'length' WHEN 'Operating Temperature' THEN 'operating_temp' END AS attribute,
         CASE WHEN regexp_full_match(trim(value), '[+-]?[0-9]+([.][0-9]*)?') THEN unit ELSE coalesce(nullif(trim(regexp_extract(value, '^\\s*([+-]?\\d+(?:\\.\\d+)?)\\s*([^\\d\\s].*)?\\s*$', 2)), ''), unit) END AS u,
         TRY_CAST(regexp_extract(value, '^\\s*([+-]?\\d+(?:\\.\\d+)?)\\s*([^\\d\\s].*)?\\s*$', 1) AS DOUBLE) AS num
     FROM cells WHERE trim(value) <> ''
@@ -56,10 +57,11 @@ CHECKED_SQL = f"""{CELLS_SQL}, named AS (
 ), checked AS (
     SELECT *, CASE
         WHEN attribute IS NULL THEN 'unverifiable'
-        WHEN attribute IN ('voltage_rating', 'current_rating', 'length') THEN CASE
+        WHEN attribute IN ('voltage_rating', 'current_rating', 'length', 'operating_temp') THEN CASE
             WHEN num IS NULL OR (coalesce(u, '') <> '' AND base IS NULL) THEN 'unverifiable'
             WHEN attribute = 'voltage_rating' AND (x < 1 OR x > 1000) THEN 'fail'
             WHEN attribute = 'current_rating' AND (x < 0.1 OR x > 100) THEN 'fail'
+            WHEN attribute = 'operating_temp' AND (x < -40 OR x > 150) THEN 'fail'
             WHEN attribute = 'length' AND x <= 0 THEN 'fail' ELSE 'pass' END
         WHEN attribute = 'ip_rating' THEN CASE WHEN regexp_matches(trim(value), '^IP[0-6][0-9K]$') THEN 'pass' ELSE 'fail' END
         WHEN attribute = 'thread_size' THEN CASE WHEN regexp_matches(regexp_replace(trim(value), '\\s*[×xX]\\s*', 'x', 'g'), '^(M\\d+(\\.\\d+)?(x\\d+(\\.\\d+)?)?|#\\d+|\\d+(\\.\\d+)?/\\d+in|\\d+(\\.\\d+)?in)$') THEN 'pass' ELSE 'fail' END
@@ -74,6 +76,20 @@ CHECKED_SQL = f"""{CELLS_SQL}, named AS (
 )"""
 
 
+#: Means in the order of the cells, to two places by their binary value: odd multiples of 1 / 200 are rounded by what lies beyond them.
+OVERALL_SQL = """means AS (
+    SELECT p_partkey, list_reduce(list_prepend(CAST(0 AS DOUBLE), list(confidence ORDER BY position)), lambda a, x: a + x) / count(*) AS x, count(*) AS n FROM scored GROUP BY 1
+), halves AS (
+    SELECT *, round(x * 200) AS t FROM means
+), overall AS (
+    SELECT p_partkey, n, CASE
+        WHEN t % 2 <> 1 OR abs(x * 200 - t) >= 1e-9 THEN round(x, 2)
+        WHEN ((x * 128 - t) + x * 64) + x * 8 > 0 THEN (t + 1) / 200
+        WHEN ((x * 128 - t) + x * 64) + x * 8 < 0 THEN (t - 1) / 200
+        WHEN (t + 1) % 4 = 0 THEN (t + 1) / 200 ELSE (t - 1) / 200 END AS oc FROM halves
+)"""
+
+
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Catalogue cells of all parts, blank ones included."""
     rows = F.array(*(F.struct(F.lit(k).alias("position"), F.lit(h).alias("header"), F.expr(v).alias("value"), F.expr(u).alias("unit")) for k, (h, v, u) in enumerate(CELLS)))

@@ -8,7 +8,7 @@ from ..functions.specs import check_spec, confidence_bucket, is_known_currency,
 from ..functions.text import custom_name, normalize_header
 from ..functions.units import comparable, normalized_value, parse_numeric, to_base
 from ..operators import catalog, feeds
-from .base import CELLS, CELLS_SQL, CHECKED_SQL, cells, query, records, table
+from .base import CELLS, CELLS_SQL, CHECKED_SQL, OVERALL_SQL, cells, query, records, table
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,10 +16,10 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.withColumns({"attribute": resolve_attribute(F.col("header")), "outcome": F.col("check.outcome"), "confidence": score_spec(F.col("status"), F.col("source_type"), F.col("check.outcome")), "new_status": reviewed_status(F.col("status"), F.col("header"), F.col("check.outcome"))})
 
 
-@query(f"WITH {CHECKED_SQL} SELECT p_brand AS brand, p_type AS category, count(*) AS n_specs, count(DISTINCT p_partkey) AS n_records, round(avg(confidence), 6) AS mean_confidence, sum(CASE WHEN confidence >= 0.8 THEN 1 ELSE 0 END)::BIGINT AS n_high, sum(CASE WHEN outcome = 'fail' THEN 1 ELSE 0 END)::BIGINT AS n_fail FROM scored GROUP BY 1, 2")
+@query(f"WITH {CHECKED_SQL} SELECT p_brand AS brand, p_type AS category, count(*) AS n_specs, count(DISTINCT p_partkey) AS n_records, CAST(sum(CAST(confidence AS DECIMAL(18, 6))) AS DOUBLE) / count(*) AS mean_confidence, sum(CASE WHEN confidence >= 0.8 THEN 1 ELSE 0 END)::BIGINT AS n_high, sum(CASE WHEN outcome = 'fail' THEN 1 ELSE 0 END)::BIGINT AS n_fail FROM scored GROUP BY 1, 2")
 def q_trust_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(spark, sf_dir).groupBy(F.col("p_brand").alias("brand"), F.col("p_type").alias("category")).agg(
-        F.count(F.lit(1)).alias("n_specs"), F.count_distinct("p_partkey").alias("n_records"), F.round(F.avg("confidence"), 6).alias("mean_confidence"),
+        F.count(F.lit(1)).alias("n_specs"), F.count_distinct("p_partkey").alias("n_records"), (F.sum(F.col("confidence").cast("decimal(18,6)")).cast("double") / F.count(F.lit(1))).alias("mean_confidence"),
         F.count_if(F.col("confidence") >= 0.8).alias("n_high"), F.count_if(F.col("outcome") == "fail").alias("n_fail"),
     )
 
@@ -66,9 +66,9 @@ def q_score_specs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(spark, sf_dir).select("p_partkey", "position", F.round("confidence", 9).alias("confidence"), "new_status")
 
 
-@query(f"WITH {CHECKED_SQL} SELECT CAST(p_partkey AS VARCHAR) AS product_id, round(avg(confidence), 6) AS overall_confidence, count(*) AS n_specs FROM scored GROUP BY 1")
+@query(f"WITH {CHECKED_SQL}, {OVERALL_SQL} SELECT CAST(p_partkey AS VARCHAR) AS product_id, oc AS overall_confidence, n AS n_specs FROM overall")
 def q_overall_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records(spark, sf_dir).select("product_id", F.round("overall_confidence", 6).alias("overall_confidence"), F.size("specifications").cast("long").alias("n_specs"))
+    return records(spark, sf_dir).select("product_id", "overall_confidence", F.size("specifications").cast("long").alias("n_specs"))
 
 
 @query(f"WITH {CHECKED_SQL} SELECT CASE WHEN confidence >= 0.8 THEN 'high' WHEN confidence >= 0.5 THEN 'medium' ELSE 'low' END AS bucket, new_status, count(*) AS n FROM scored GROUP BY 1, 2")
@@ -113,7 +113,7 @@ def q_normalized_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("p_partkey", "position", F.col("n.number").alias("number"), F.col("n.unit").alias("unit"))
 
 
-_FED = f"""WITH {CHECKED_SQL}, overall AS (SELECT p_partkey, avg(confidence) AS oc, count(*) AS n FROM scored GROUP BY 1), rec AS (
+_FED = f"""WITH {CHECKED_SQL}, {OVERALL_SQL}, rec AS (
     SELECT p.p_partkey AS k, p.*, o.oc, CASE WHEN p.p_partkey % 7 = 0 THEN NULL ELSE p_brand END AS brand, CASE WHEN p.p_partkey % 4 <> 0 THEN p_type || ' ' || p_name END AS description,
         CASE WHEN p.p_partkey % 5 <> 0 THEN 'SKU-' || p.p_partkey END AS sku, CASE WHEN p.p_partkey % 11 = 0 THEN 'M' || p.p_partkey END AS mpn,
         CASE WHEN p.p_partkey % 8 <> 0 THEN p_retailprice END AS price, CASE WHEN p.p_partkey % 8 <> 0 THEN CASE p.p_partkey % 4 WHEN 0 THEN 'USD' WHEN 1 THEN 'XXX' WHEN 2 THEN 'EUR' END END AS code,
@@ -165,7 +165,7 @@ def q_issue_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _scored(spark, sf_dir).groupBy(issue_severity(issue).alias("severity")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"""WITH {CHECKED_SQL} SELECT count(DISTINCT key) AS n_keys, count(*) AS n FROM (SELECT CASE WHEN header IN ('Rated Voltage', 'amperage', 'length') AND (header = 'amperage' OR (unit IS NOT NULL AND base IS NOT NULL)) THEN 'n|' || base || '|' || CAST(round(x, 9) AS VARCHAR) ELSE 's|' || lower(trim(value)) || '|' || coalesce(lower(trim(u)), '') END AS key FROM based)""")
+@query(f"""WITH {CHECKED_SQL} SELECT count(DISTINCT key) AS n_keys, count(*) AS n FROM (SELECT CASE WHEN header IN ('Rated Voltage', 'amperage', 'length', 'Operating Temperature') AND (header IN ('amperage', 'Operating Temperature') OR (unit IS NOT NULL AND base IS NOT NULL)) THEN 'n|' || base || '|' || CAST(round(x, 9) AS VARCHAR) ELSE 's|' || lower(trim(value)) || '|' || coalesce(lower(trim(u)), '') END AS key FROM based)""")
 def q_comparable_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells(spark, sf_dir).filter(F.trim("value") != "").agg(F.count_distinct(comparable(F.col("value"), F.col("unit"))).alias("n_keys"), F.count(F.lit(1)).alias("n"))
 

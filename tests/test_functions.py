@@ -100,3 +100,12 @@ def test_small_text_functions(spark):
     assert tuple(got) == ("Rated ", "12V", " max")
     table = F.array(F.array(F.lit(" a "), F.lit(None).cast("string")), F.array(F.lit("b"), F.lit("c")))
     assert value(spark, text.table_to_text(table), t="") == "a | \nb | c"
+
+
+def test_round2(spark):
+    """As Python's round(), ties by their binary value included."""
+    from plumbline.functions.units import round2
+
+    values = [k / 200 for k in range(201)] + [k / 1000 for k in range(1001)] + [0.795, 0.7949999, 0.8225, 1 / 3, sum([0.85, 0.72]) / 2, 0.1 + 0.2, 0.285, 0.575]
+    got = [r[0] for r in spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, v double").orderBy("k").select(round2(F.col("v"))).collect()]
+    assert got == [round(v, 2) for v in values]

@@ -155,3 +155,14 @@ def test_stream(spark, tmp_path):
     for _ in range(2):
         watch(spark, str(tmp_path / "in"), str(tmp_path / "cp"), lambda df, _: seen.extend(r["path"] for r in df.select("path").collect()), once=True).awaitTermination(60)
     assert len(seen) == 1
+
+
+def test_bounded_payload_of_tables(spark):
+    """A table counts with its rendered rows, wherever it stands; nothing is dropped without `truncated`."""
+    rows = [(1, 0, None, [["a", None], ["b", "c"]]), (1, 1, "abc", None), (1, 2, None, None), (1, 3, "de", None), (2, 0, None, [["x" * 50]]), (2, 1, "tail", None)]
+    b = spark.createDataFrame(rows, "doc_id int, pos int, text string, table array<array<string>>")
+    got = {(r["doc_id"], r["pos"]): (r["text"], r["truncated"]) for r in blocks.bounded_payload(b, most_chars=40).collect()}
+    assert got == {(1, 0): ("a | \nb | c", False), (1, 1): ("abc", False), (1, 2): ("", False), (1, 3): ("de", False)}
+    first = {r["pos"]: r["truncated"] for r in blocks.bounded_payload(b.filter("doc_id = 1"), most_chars=13).collect()}
+    assert first == {0: True, 1: True, 2: True}
+    assert blocks.bounded_payload(b.drop("table"), most_chars=3).filter("doc_id = 1").count() == 3
