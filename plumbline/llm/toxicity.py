@@ -321,7 +321,10 @@ def train(texts: list[bytes], labels: np.ndarray) -> ToxicityModel:
         y = np.where(np.arange(len(rows)) < positive, 1.0, -1.0)
         cost = np.where(y > 0, 10.0 * max(1.0, len(negative) / max(1, positive) / 4), 10.0)
         w, bias = _svm(k @ root, y, cost)
-        weight = (z.T @ (root @ w)).astype(np.float32)
+        direction = root @ w
+        # Some columns at a time, as the product takes z in double precision; z is gone before the next one is made.
+        weight = np.concatenate([z[:, c : c + 4096].T @ direction for c in range(0, z.shape[1], 4096)]).astype(np.float32)
+        del z, rows, k
         score = units.scores(weight, bias)
         if step + 1 < ROUNDS:
             best = np.array([own[np.argmax(score[own])] for own in (pair[by_text[t] : by_text[t + 1], 1] for t in toxic_texts)])
