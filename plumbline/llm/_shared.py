@@ -1,11 +1,12 @@
 """Tables in the folder that the driver and all executors share.
 
-The folder is the session's spark.checkpoint.dir; only where that is unset (as in
-tests on one machine) a temporary folder is made and set.
+The folder is the session's spark.checkpoint.dir; only where that is unset and the
+master is local (as in tests on one machine) a temporary folder is made and set.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,6 +19,8 @@ def shared_dir(spark: SparkSession) -> str:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         path = found.get() if found.isDefined() else None
     if not path:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="plumbline-")
         spark.sparkContext.setCheckpointDir(path)
     return path

@@ -1,4 +1,4 @@
-"""op10: ids of all documents written to bit-plane files in doc_id order and read back."""
+"""op10: ids of all documents written to byte-plane files in doc_id order and read back."""
 
 from __future__ import annotations
 

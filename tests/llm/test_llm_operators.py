@@ -550,3 +550,21 @@ def test_query_digests(spark):
     bpe = byte_bpe.codec(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     n, ids, back = (x.to_pylist() for x in digests(bpe.encode(["ab cd"]), bpe))
     assert ids == [hashlib.sha256(",".join(map(str, bpe.encode(["ab cd"])[0])).encode()).hexdigest()] and back == [hashlib.sha256(b"ab cd").hexdigest()] and n == [len(bpe.encode(["ab cd"])[0])]
+
+
+def test_shared_folder():
+    """A folder of this machine is made only where the master is local; a cluster has to name one."""
+    from types import SimpleNamespace as Of
+
+    from plumbline.llm._shared import shared_dir
+
+    def session(master, path=None):
+        none = Of(isDefined=lambda: False)
+        return Of(conf=Of(get=lambda *a: path), sparkContext=Of(master=master, setCheckpointDir=lambda p: None, _jsc=Of(sc=lambda: Of(getCheckpointDir=lambda: none))))
+
+    for master in ("local", "local[8]", "local[*]"):
+        assert shared_dir(session(master)).startswith("file:///")
+    for master in ("yarn", "spark://x:1", "local-cluster[3,2,1000]"):
+        with pytest.raises(ValueError):
+            shared_dir(session(master))
+        assert shared_dir(session(master, "hdfs://x/y")) == "hdfs://x/y"
