@@ -58,7 +58,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("byte-level BPE", byte_bpe),
 ]
 
-#: Toxicity's training and the merges of byte pairs are beyond SQL; tests/llm hold the stages against brute force.
+#: Toxicity's training and the merges of byte pairs are beyond SQL; tests/llm hold their operators against brute force.
 ORACLE_SQL: str | None = None
 
 
