@@ -2,13 +2,14 @@
 
 Pieces (matches of the split pattern) of like length stand in the rows of one
 matrix.  In each round every row merges its leftmost pair of least rank; pairs
-are looked up in a hashed table, and finished rows leave the matrix.
+are looked up in a hashed table, and finished rows leave the matrix.  A long piece
+is a matrix of one row, which merges in one round all the pairs that come next
+under that rule.
 """
 
 from __future__ import annotations
 
 import base64
-import heapq
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from itertools import chain
 
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame
 from ._bytes import slices
 
 NONE = np.uint32(0xFFFFFFFF)
-#: Pieces of more bytes merge on a heap, as a row of a matrix would take a round for each of its merges.
+#: Pieces of more bytes are a matrix each, as the rows beside them would be padded to their length.
 LONG = 512
 #: Pieces that a worker remembers; beyond it, it begins anew.
 REMEMBERED = 400_000
@@ -80,27 +81,37 @@ class ByteBPE:
                 a, b = ranks.get(token[:cut]), ranks.get(token[cut:])
                 if a is not None and b is not None:
                     pairs[a, b] = rank
-        self.pairs, self.joined = pairs, PairTable(pairs)
+        self.joined = PairTable(pairs)
         self.known: dict[str, tuple[int, ...]] = {}
 
-    def _on_heap(self, piece: bytes) -> tuple[int, ...]:
-        ids = self.single[np.frombuffer(piece, np.uint8)].tolist()
-        before, after = list(range(-1, len(ids) - 1)), list(range(1, len(ids) + 1))
-        heap = [(r, i, ids[i], ids[i + 1]) for i in range(len(ids) - 1) if (r := self.pairs.get((ids[i], ids[i + 1]))) is not None]
-        heapq.heapify(heap)
-        while heap:
-            r, i, a, b = heapq.heappop(heap)
-            j = after[i] if ids[i] == a else len(ids)
-            if j >= len(ids) or ids[j] != b:
-                continue
-            ids[i], ids[j] = r, -1
-            after[i] = after[j]
-            if after[i] < len(ids):
-                before[after[i]] = i
-            for x in (before[i], i):
-                if x >= 0 and after[x] < len(ids) and (s := self.pairs.get((ids[x], ids[after[x]]))) is not None:
-                    heapq.heappush(heap, (s, x, ids[x], ids[after[x]]))
-        return tuple(x for x in ids if x >= 0)
+    def _long_row(self, piece: bytes) -> tuple[int, ...]:
+        """One row: each round merges its pairs of least rank from the left, up to one that makes a pair of lesser rank (which comes next)."""
+        ids = self.single[np.frombuffer(piece, np.uint8)]
+        rank = self.joined(ids[:-1], ids[1:])
+        while len(rank) and (least := rank.min()) != NONE:
+            at = np.flatnonzero(rank == least)
+            run = np.concatenate([[True], at[1:] != at[:-1] + 1])  # of pairs that overlap, every other one from the left
+            first = np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
+            at = at[(np.arange(len(at)) - first) % 2 == 0]
+            joined = np.full(len(at), least, dtype=np.uint32)
+            touching = np.concatenate([[False], at[1:] == at[:-1] + 2])
+            before, after = np.full(len(at), NONE), np.full(len(at), NONE)
+            has = at > 0
+            before[has] = self.joined(np.where(touching[has], least, ids[at[has] - 1]), joined[has])
+            has = at + 2 < len(ids)
+            after[has] = self.joined(joined[has], ids[at[has] + 2])
+            lesser = np.flatnonzero(np.minimum(before, after) < least)
+            at = at[: lesser[0] + 1] if len(lesser) else at
+            ids[at] = least
+            kept = np.ones(len(ids), dtype=bool)
+            kept[at + 1] = False
+            ids = ids[kept]
+            rank = np.append(rank, NONE)[kept][:-1]
+            at = at - np.arange(len(at))
+            new = np.unique(np.concatenate([at - 1, at]))
+            new = new[(new >= 0) & (new < len(rank))]
+            rank[new] = self.joined(ids[new], ids[new + 1])
+        return tuple(ids.tolist())
 
     def _in_matrix(self, pieces: Sequence[bytes], out: dict[bytes, tuple[int, ...]]) -> None:
         width = max(map(len, pieces))
@@ -145,7 +156,7 @@ class ByteBPE:
             if (whole := self.ranks.get(p)) is not None:
                 out[p] = (whole,)
             elif len(p) > LONG:
-                out[p] = self._on_heap(p)
+                out[p] = self._long_row(p)
             else:
                 buckets.setdefault((len(p) + 3) // 4, []).append(p)
         for size, rows in buckets.items():
