@@ -38,20 +38,14 @@ PIECE, STEP = 20, 10
 #: The bounded sample: texts of each label, and their bytes in all (shared by label in proportion).
 SAMPLE, SAMPLE_BYTES = {1: 800, 0: 2000}, 9 << 20
 LANDMARKS, ROUNDS = 256, 3
-#: Lower unit scores (with the bias) count as this one.
-FLOOR = -0.95
+#: The bounded sample's clean words: as many at random and, from the second round on, as many of the highest-scored.
+NEGATIVES, HARD = 4000, 4000
 
 _ASCII = np.full(256, 47, dtype=np.int32)
 _ASCII[97:123] = np.arange(1, 27)
 _OFFSETS = [(a, a + b) for a in range(1, SPAN - 1) for b in range(1, SPAN - a)]
 
 
-def _least_norm(length: int) -> float:
-    """The norm of a unit without repeated subsequences; others' norms are larger."""
-    total = sum(max(0, length - far) * DECAY ** (2 * (far - 2)) for _, far in _OFFSETS)
-    return float(np.sqrt(total)) if total else 1.0
-
-
 class Units:
     """Units of a buffer of texts: a matrix of symbols (0 first, -1 after the end), grouped by equal words, and the texts that have them."""
 
@@ -114,8 +108,8 @@ class Units:
         return out
 
     def scores(self, weight: np.ndarray, bias: float) -> np.ndarray:
-        """The score of each distinct unit, FLOOR at least."""
-        out = np.full(self.n_units, FLOOR)
+        """The score of each distinct unit: its highest piece's."""
+        out = np.full(self.n_units, -np.inf)
         for matrix, unit in self.rows:
             np.maximum.at(out, unit, unit_scores(matrix, weight, bias))
         return out
@@ -142,18 +136,14 @@ def _codes(matrix: np.ndarray, near: int, far: int) -> np.ndarray:
 
 
 def unit_scores(matrix: np.ndarray, weight: np.ndarray, bias: float) -> np.ndarray:
-    """Scores of rows of symbols of one length: the weighted sum over their subsequences by their norm, and the bias.
-
-    Norms are worked out only for rows that pass FLOOR with the least norm; no other row can.
-    """
+    """Scores of rows of symbols of one length: the weighted sum over their subsequences by their norm, and the bias."""
     total = np.zeros(len(matrix))
     for near, far in _OFFSETS:
         if matrix.shape[1] > far:
             total += weight[_codes(matrix, near, far)].sum(axis=1) * DECAY ** (far - 2)
-    out = np.full(len(matrix), FLOOR)
-    passing = np.flatnonzero(total / _least_norm(matrix.shape[1]) + bias > FLOOR)
-    for some in np.array_split(passing, -(-len(passing) // 2000)) if len(passing) else []:
-        out[some] = np.maximum(FLOOR, total[some] / _true_norms(matrix[some]) + bias)
+    out = np.empty(len(matrix))
+    for at in range(0, len(matrix), 2000):
+        out[at : at + 2000] = total[at : at + 2000] / _true_norms(matrix[at : at + 2000]) + bias
     return out
 
 
@@ -209,14 +199,14 @@ def _without_copies(pairs: np.ndarray, seen: np.ndarray, texts: int) -> np.ndarr
     return np.concatenate(keep) if keep else pairs[:0]
 
 
-def _cover(pairs: np.ndarray, clean: np.ndarray, texts: int, most: int = 400) -> np.ndarray:
+def _cover(pairs: np.ndarray, clean: np.ndarray, texts: int) -> np.ndarray:
     """Units that explain toxic texts: again and again the one that is in most texts not yet explained, and in next to no clean text.
 
     Words that copies of a toxic text share are not taken, as their texts are explained by then.
     """
     pairs = pairs[clean[pairs[:, 1]] == 0] if (clean[pairs[:, 1]] == 0).any() else pairs
     chosen: list[int] = []
-    while len(pairs) and len(chosen) < most:
+    while len(pairs):
         count = np.bincount(pairs[:, 1])
         best = int(np.argmax(count))
         if chosen and count[best] < max(2, texts // 500):
@@ -301,7 +291,7 @@ def train(texts: list[bytes], labels: np.ndarray) -> ToxicityModel:
     hard = np.zeros(0, dtype=np.int64)
     for step in range(ROUNDS):
         witness = witness[np.argsort(-seen[0][witness], kind="stable")]
-        negative = np.unique(np.concatenate([rng.permutation(clean)[:4000], hard]))
+        negative = np.unique(np.concatenate([rng.permutation(clean)[:NEGATIVES], hard]))
         frequent = witness[: max(1, int((often[witness] >= max(4, toxic.sum() // 50)).sum()))]
         varied = [_features(v) for u in frequent.tolist() for v in _variants(symbols[u])]
         few = [features(u) for u in rng.permutation(negative)[: LANDMARKS * 2].tolist()]
@@ -331,9 +321,8 @@ def train(texts: list[bytes], labels: np.ndarray) -> ToxicityModel:
             fresh = np.unique(np.concatenate([witness, best[score[best] > 0]]))
             fresh = fresh[(score[fresh] > -0.5) & (seen[1][fresh] == 0)]
             witness = fresh if len(fresh) >= 5 else witness
-            witness = witness[np.argsort(-seen[0][witness], kind="stable")][:1200]
             over = clean[score[clean] > -0.8]
-            hard = over[np.argsort(-score[over])][:4000]
+            hard = over[np.argsort(-score[over])][:HARD]
     best = units.text_scores(weight, bias)
     have = np.isfinite(best)
     x = best[have]
