@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.specs import check_spec, confidence_bucket, is_known_currency, issue_severity, match_availability, normalize_currency, parse_price, resolve_attribute, reviewed_status, score_spec
 from ..functions.text import custom_name, normalize_header
 from ..functions.units import comparable, normalized_value, parse_numeric, to_base
-from ..operators import catalog, feeds
+from ..operators import catalog, feeds, flow
 from .base import CELLS, CELLS_SQL, CHECKED_SQL, OVERALL_SQL, cells, query, records, table
 
 
@@ -204,3 +204,57 @@ def q_mapping_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = ["Product Nam", "Rated Volts", "Mfr", "Cost", "Warehouse Bin", "IP_Rating", "Tensile Strengt"]
     summary = catalog.mapping_summary(catalog.map_columns(spark.createDataFrame([(n,) for n in names], "header string")))
     return summary.select("total_columns", *(F.array_join(c, ",").alias(c) for c in ("mapped_core", "mapped_spec", "unmapped")))
+
+
+#: Parts as raw rows of one catalogue a brand: names, numbers and prices that miss or fail, and the cells without units.
+_RAW = {
+    "Product Name": "CASE WHEN p_partkey % 3 <> 0 THEN p_name ELSE '  ' END",
+    "SKU": "CASE WHEN p_partkey % 5 <> 0 THEN 'SKU-' || CAST(p_partkey AS STRING) ELSE '' END",
+    "Price": "CASE WHEN p_partkey % 13 = 0 THEN 'on request' ELSE '$' || CAST(CAST(p_retailprice AS DECIMAL(12, 2)) AS STRING) END",
+}
+_RAW_CELLS_SQL = "cells AS (" + " UNION ALL ".join(
+    f"SELECT p_partkey, p_brand, p_type, {k} AS position, '{h}' AS header, {v.replace('STRING', 'VARCHAR')} AS value, CAST(NULL AS VARCHAR) AS unit, "
+    f"'{'needs_review' if h == 'Warehouse Bin' else 'extracted'}' AS status, 'document' AS source_type FROM part"
+    for k, (h, v, _) in enumerate(CELLS)
+) + ")"
+_RAW_COLUMNS_SQL = ", ".join(f"{v.replace('STRING', 'VARCHAR')} AS c{k}" for k, v in enumerate(_RAW.values()))
+_RAW_SQL = f"""raw AS (
+    SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS row_number, {_RAW_COLUMNS_SQL} FROM part
+), named_rows AS (
+    SELECT *, coalesce(nullif(trim(c0), ''), nullif(c1, '')) AS product_name, TRY_CAST(replace(c2, '$', '') AS DOUBLE) AS price_value FROM raw
+)"""
+_RECORDS_SQL = f"""WITH {CHECKED_SQL.replace(CELLS_SQL, _RAW_CELLS_SQL)}, {OVERALL_SQL}, {_RAW_SQL}, reviews AS (
+    SELECT p_partkey, CAST(sum(CASE WHEN new_status = 'needs_review' THEN 1 ELSE 0 END) AS BIGINT) AS n_review FROM scored GROUP BY 1
+)
+SELECT p_brand, row_number, product_name, nullif(c1, '') AS sku, price_value, n AS n_specs, n_review, oc AS overall_confidence
+FROM named_rows JOIN overall USING (p_partkey) JOIN reviews USING (p_partkey) WHERE product_name IS NOT NULL"""
+_WARNINGS_SQL = f"""WITH {_RAW_SQL}
+SELECT p_brand, row_number, 'row ' || row_number || CASE
+    WHEN product_name IS NULL THEN ': no product name (and no sku/mpn fallback), skipped'
+    ELSE ': could not parse price ' || chr(39) || c2 || chr(39) END AS warning
+FROM named_rows WHERE product_name IS NULL OR price_value IS NULL"""
+
+
+def _raw_catalogs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = table(spark, sf_dir, "part")
+    headers = [*_RAW, *(h for h, _, _ in CELLS)]
+    top = part.select("p_brand").distinct().select("p_brand", F.lit(-1).cast("long").alias("n"), F.array(*map(F.lit, headers)).alias("cells"))
+    values = F.array(*(F.expr(v) for v in _RAW.values()), *(F.expr(v) for _, v, _ in CELLS))
+    body = part.select("p_brand", F.col("p_partkey").cast("long").alias("n"), values.alias("cells"))
+    order = Window.partitionBy("p_brand").orderBy("n")
+    return top.unionByName(body).select("p_brand", (F.row_number().over(order) - 1).alias("row_index"), "cells")
+
+
+@query(_RECORDS_SQL)
+def q_catalog_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = flow.catalog_records(_raw_catalogs(spark, sf_dir), ["p_brand"], F.col("p_brand"))
+    review = F.size(F.filter("specifications", lambda s: s["status"] == "needs_review")).cast("long")
+    return found.select(
+        "p_brand", "row_number", "product_name", "identifiers.sku", F.col("price.value").alias("price_value"),
+        F.size("specifications").alias("n_specs"), review.alias("n_review"), "overall_confidence",
+    )
+
+
+@query(_WARNINGS_SQL)
+def q_catalog_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flow.catalog_records(_raw_catalogs(spark, sf_dir), ["p_brand"], F.col("p_brand"))[1]

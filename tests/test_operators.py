@@ -6,7 +6,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import blocks, catalog, citations, extract, links, merge
+from plumbline.operators import blocks, catalog, citations, extract, feeds, flow, links, merge
 from plumbline.sources import formats
 
 
@@ -166,3 +166,39 @@ def test_bounded_payload_of_tables(spark):
     first = {r["pos"]: r["truncated"] for r in blocks.bounded_payload(b.filter("doc_id = 1"), most_chars=13).collect()}
     assert first == {0: True, 1: True, 2: True}
     assert blocks.bounded_payload(b.drop("table"), most_chars=3).filter("doc_id = 1").count() == 3
+
+
+def test_catalog_flow(spark, tmp_path):
+    """Files to feeds: the two kinds of rows of FIXTURES.md, a price that cannot be read, and a row without a name."""
+    head = "Product Name,Brand,SKU,Category,Rated Voltage,Current Rating,IP Rating,Operating Temperature,Thread Size,Tensile Strength,Material,Coating,Length,Weight,Price,Currency,Warehouse Bin"
+    electrical = "Terminal Block,Acme,A1,Electrical,3V,0.7A,IP65,-40C,,,,,,48.5g,67.55,USD,W9"
+    fastener = "Lock Nut,Acme,B1,Fasteners,,,,,M10,400MPa,steel,zinc plated,25mm,13.2g,call,USD,F4"
+    (tmp_path / "demo.csv").write_text("\n".join([head, electrical, fastener, ",Acme,,,,,,,,,,,,,1,USD,"]))
+    raw = formats.read_catalogs(spark, str(tmp_path))
+    name = F.element_at(F.split("path", "/"), -1)
+    records, warnings = flow.catalog_records(raw, ["path"], name)
+    got = feeds.map_to_all(records).orderBy("row_number").collect()
+    assert [(r["product_name"], r["overall_confidence"], r["google"]["price"], r["sources"][0]["reference"]) for r in got] == [("Terminal Block", 0.83, "67.55 USD", "demo.csv"), ("Lock Nut", 0.85, None, "demo.csv")]
+    assert (got[1]["price"]["value"], got[1]["price"]["currency"], got[0]["category"]["confidence"]) == (None, "USD", 1.0)
+    want = ["row 2: could not parse price 'call'", "row 3: no product name (and no sku/mpn fallback), skipped"]
+    assert [r["warning"] for r in warnings.orderBy("row_number").collect()] == want
+
+
+def test_document_flow(spark):
+    """Scores against cited blocks, sources of cited blocks, failed and empty extractions."""
+    spec = "array<struct<attribute:string,value:string,unit:string,status:string,reference:string>>"
+    rows = [
+        (1, "Bolt", [("length", "20 mm", None, "extracted", "b1"), ("material", "steel", None, "extracted", "b9"), ("length", "7 mm", None, "extracted", "b1")]),
+        (2, "Nut", []),
+        (3, None, None),
+    ]
+    extracted = spark.createDataFrame(rows, f"doc_id long, product_name string, specifications {spec}")
+    blocks = spark.createDataFrame([(1, "b1", 0, "Length: 20 mm", None, "Sizes", 2)], "doc_id long, block_id string, pos int, text string, table array<array<string>>, section string, page int")
+    files = spark.createDataFrame([(k, "document", f"{k}.pdf") for k in (1, 2, 3)], "doc_id long, type string, reference string")
+    got = {r["doc_id"]: r for r in flow.document_records(extracted, blocks, files).collect()}
+    assert sorted(got) == [1, 2] and got[2]["overall_confidence"] == 0.0 and got[2]["specifications"] == [] and [s["id"] for s in got[2]["sources"]] == ["src-1"]
+    specs = got[1]["specifications"]
+    assert [s["status"] for s in specs] == ["extracted", "needs_review", "needs_review"] and specs[1]["confidence"] <= 0.3
+    assert specs[0]["reference"] == specs[2]["reference"] and specs[0]["reference"] in {s["id"] for s in got[1]["sources"]}
+    assert specs[1]["reference"] == "b9" and [s["page"] for s in got[1]["sources"]] == [2]
+    assert 0 < got[1]["overall_confidence"] < specs[0]["confidence"]
