@@ -219,14 +219,14 @@ _RAW_CELLS_SQL = "cells AS (" + " UNION ALL ".join(
 ) + ")"
 _RAW_COLUMNS_SQL = ", ".join(f"{v.replace('STRING', 'VARCHAR')} AS c{k}" for k, v in enumerate(_RAW.values()))
 _RAW_SQL = f"""raw AS (
-    SELECT p_partkey, p_brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS row_number, {_RAW_COLUMNS_SQL} FROM part
+    SELECT p_partkey, p_brand, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS INTEGER) AS row_number, {_RAW_COLUMNS_SQL} FROM part
 ), named_rows AS (
     SELECT *, coalesce(nullif(trim(c0), ''), nullif(c1, '')) AS product_name, TRY_CAST(replace(c2, '$', '') AS DOUBLE) AS price_value FROM raw
 )"""
 _RECORDS_SQL = f"""WITH {CHECKED_SQL.replace(CELLS_SQL, _RAW_CELLS_SQL)}, {OVERALL_SQL}, {_RAW_SQL}, reviews AS (
     SELECT p_partkey, CAST(sum(CASE WHEN new_status = 'needs_review' THEN 1 ELSE 0 END) AS BIGINT) AS n_review FROM scored GROUP BY 1
 )
-SELECT p_brand, row_number, product_name, nullif(c1, '') AS sku, price_value, n AS n_specs, n_review, oc AS overall_confidence
+SELECT p_brand, row_number, product_name, nullif(c1, '') AS sku, price_value, CAST(n AS INTEGER) AS n_specs, n_review, oc AS overall_confidence
 FROM named_rows JOIN overall USING (p_partkey) JOIN reviews USING (p_partkey) WHERE product_name IS NOT NULL"""
 _WARNINGS_SQL = f"""WITH {_RAW_SQL}
 SELECT p_brand, row_number, 'row ' || row_number || CASE
