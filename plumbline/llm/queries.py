@@ -19,6 +19,7 @@ _MODULES = {
     "op8_byte_level_bpe": "q_byte_bpe",
     "op9_quality_classifier": "q_quality_classifier",
     "op10_token_files": "q_token_files",
+    "op11_conversation_repair": "q_conversations",
     "op12_spelling_variants": "q_spelling",
     "op13_exact_dedup": "q_exact_dedup",
 }
