@@ -1,8 +1,8 @@
 """Exact duplicates by content-defined chunk recipes, in DataFrame functions only.
 
-A text is cut where its own content says so: behind a blank between two letters of
-given classes, after `LEAST` code points and at `MOST` at the latest.  Equal texts
-have equal cuts.  Each chunk is named by its 128-bit digest.  The names are verified:
+A text is cut where its own content says so: behind a blank between letters of two
+classes, rare enough that cuts fall into step again behind a change, after `LEAST` code
+points and at `MOST` at the latest.  Equal texts have equal cuts.  Each chunk is named by its 128-bit digest.  The names are verified:
 all distinct chunks meet once, each text of a chunk moving once for each map task that
 has it, and a name that two different chunks share gets a number for each of them.  A
 document's recipe is the ordered list of its chunks' verified names; only recipes, of
@@ -17,13 +17,13 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ._shared import Workspace
 
-LEAST, MOST = 512, 4096
+LEAST, MOST = 384, 4096
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def chunks(text: Column, least: int = LEAST, most: int = MOST) -> Column:
     """The text in pieces; joined they are the text. Without a place to cut, a piece has `most` code points or is the rest."""
-    return F.regexp_extract_all(text, F.lit(rf"(?s).{{{least},{most}}}?(?<=[dnrsty][ \t\n])(?=[a-f])|.{{1,{most}}}"), F.lit(0))
+    return F.regexp_extract_all(text, F.lit(rf"(?s).{{{least},{most}}}?(?<=[ny][ \t\n])(?=[a-d])|.{{1,{most}}}"), F.lit(0))
 
 
 def digest(chunk: Column) -> Column:

@@ -33,6 +33,8 @@ KEEP, REROLE, DELETE, INSERT, TRUNCATED = 0, 2, 3, 2, 1
 #: Grammar states: 0 nothing yet, 1 behind s, 2 behind u, 3 behind ua. What leads where by the initial of the role put there.
 MOVES = {"s": {0: 1}, "u": {0: 2, 1: 2, 3: 2}, "a": {2: 3}, "o": {}}
 ENDS = (0, 3)
+#: What 0 and 1 can still become, 3 can at no more than this (a first s is deleted): dearer by more, they are on no cheapest way and are dropped, so that vectors are few.
+SLACK = {0: DELETE, 1: 0}
 ROLES = {2: "user", 3: "assistant"}
 #: A row's symbol is a letter: role class (s, u, a, other) * 4 + fault (none, blank, duplicate, truncated) from A; lower case for the further copies of the row before.
 CLASSES, NONE, BLANK, DUPLICATE, CUT = "suao", 0, 1, 2, 3
@@ -56,8 +58,9 @@ class Determinised:
             for role in ("u", "a"):
                 for p, q in MOVES[role].items():
                     costs[q] = min(costs[q], costs[p] + INSERT)
+        costs = [INF if c > costs[3] + SLACK.get(q, c) else c for q, c in enumerate(costs)]
         least = min(costs)
-        vector = tuple(min(c - least, INF) for c in costs)
+        vector = tuple(c - least if c < INF else INF for c in costs)
         if vector not in self.index:
             self.index[vector] = len(self.vectors)
             self.vectors.append(vector)
