@@ -37,6 +37,8 @@ SYMBOLS = 48
 PIECE, STEP = 20, 10
 #: The bounded sample: texts of each label, and their bytes in all (shared by label in proportion).
 SAMPLE, SAMPLE_BYTES = {1: 800, 0: 2000}, 9 << 20
+#: It is drawn from so many times as many labelled ids; texts of more bytes than this come last.
+CANDIDATES, LONGEST = 4, 64 << 10
 LANDMARKS, ROUNDS = 256, 3
 #: The bounded sample's clean words: as many at random and, from the second round on, as many of the highest-scored.
 NEGATIVES, HARD = 4000, 4000
@@ -345,21 +347,32 @@ def train(texts: list[bytes], labels: np.ndarray) -> ToxicityModel:
     return ToxicityModel(weight, bias, float(a), float(b), min(0.49, float(labels.mean())))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, texts_per_label: dict[int, int] = SAMPLE, most_bytes: int = SAMPLE_BYTES) -> DataFrame:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, texts_per_label: dict[int, int] = SAMPLE, most_bytes: int = SAMPLE_BYTES, longest: int = LONGEST) -> DataFrame:
     """(t, y, o): texts and labels of a bounded, reproducible sample of labelled training rows (crc32 of the id not divisible by 5).
 
-    Rows with a null text or label are left out.  The sample's rows are few by texts_per_label, and
-    each label takes rows in hash order up to its share of most_bytes.
+    Each label takes texts in hash order of their ids, up to its number and its share of most_bytes, from the first
+    CANDIDATES times that many labelled ids. Texts of more than `longest` bytes come behind all others, the shortest first,
+    so a long text takes no other's place; a label's first text is taken at any size, so no label that has a candidate with
+    a text is left out. Rows with a null id, text or label are left out. An id counts once, however often either table has
+    it: with its largest label, and the shortest (then least) of its texts. Empty tables give no rows; other columns are
+    not read. Only ids and lengths are ranked; texts are fetched for the ids that were chosen.
     """
-    marked = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("y")).filter(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
-    chosen = None
+    hashed = F.xxhash64("doc_id")
+    trainable = labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).filter(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
+    once = trainable.groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
+    candidates = None
     for y in (0, 1):
-        part = marked.filter(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(texts_per_label[y])
-        chosen = part if chosen is None else chosen.unionByName(part)
-    rows = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(chosen), "doc_id").select(F.encode("text", "utf-8").alias("t"), "y", F.xxhash64("doc_id").alias("o"), F.octet_length("text").alias("n"))
-    share = F.when(F.col("y") == 1, most_bytes * texts_per_label[1] // sum(texts_per_label.values())).otherwise(most_bytes * texts_per_label[0] // sum(texts_per_label.values()))
-    running = F.sum("n").over(Window.partitionBy("y").orderBy("o", "n", "t").rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("room", running <= share).filter("room").select("t", "y", "o")
+        part = once.filter(F.col("y") == y).orderBy(hashed, "doc_id").limit(CANDIDATES * texts_per_label[y])
+        candidates = part if candidates is None else candidates.unionByName(part)
+    texts = docs.filter("text is not null").select("doc_id", "text", F.octet_length("text").cast("long").alias("n"))
+    sized = texts.select("doc_id", "n").join(F.broadcast(candidates), "doc_id").groupBy("doc_id", "y").agg(F.min("n").alias("n"))
+    by_size = Window.partitionBy("y").orderBy(F.when(F.col("n") > longest, F.col("n")).otherwise(0), hashed, "doc_id")
+    running = F.sum("n").over(by_size.rowsBetween(Window.unboundedPreceding, 0))
+    many = F.when(F.col("y") == 1, texts_per_label[1]).otherwise(texts_per_label[0])
+    ranked = sized.select("doc_id", "y", F.row_number().over(by_size).alias("rank"), running.alias("running"))
+    chosen = ranked.filter((F.col("rank") == 1) | (F.col("rank") <= many) & (F.col("running") * sum(texts_per_label.values()) <= many * most_bytes))
+    found = texts.join(F.broadcast(chosen.select("doc_id", "y")), "doc_id").groupBy("doc_id", "y").agg(F.min(F.struct("n", "text")).alias("x"))
+    return found.select(F.encode("x.text", "utf-8").alias("t"), "y", hashed.alias("o"))
 
 
 def fit(sample: DataFrame, train: Callable[[list[bytes], np.ndarray], Model]) -> Model:

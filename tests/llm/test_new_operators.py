@@ -10,7 +10,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.llm import chunk_dedup, conversation_repair, q_conversations, q_exact_dedup, q_spelling, spelling
+from plumbline.llm import chunk_dedup, conversation_repair, q_conversations, q_exact_dedup, q_spelling, spelling, toxicity
 from plumbline.llm._shared import Workspace
 
 ROLES = ["system", "user", "assistant", "tool", "", None]
@@ -256,3 +256,39 @@ def test_chunks_are_cut_by_content(spark):
 
 def test_queries_have_sql():
     assert all(m.SQL for m in (q_conversations, q_spelling, q_exact_dedup))
+
+
+# the labelled sample of toxicity, quality and the pipeline
+
+
+def sample_of(spark, docs, labels, **bounds):
+    docs = spark.createDataFrame(docs, "doc_id long, text string, y int, n int")
+    labels = spark.createDataFrame(labels, "doc_id long, toxic int, text string")
+    return [(bytes(r.t).decode(), r.y, r.o) for r in toxicity.labelled_sample(docs, labels, "toxic", **bounds).collect()]
+
+
+def test_no_text_empties_a_label(spark):
+    """A text of 4 MB comes first in hash order, and its label still has its rows."""
+    ids = [k for k in range(400) if zlib.crc32(str(k).encode()) % 5]
+    order = [r.id for r in spark.range(400).orderBy(F.xxhash64("id"), "id").collect() if r.id in set(ids)]
+    label = {k: j % 2 for j, k in enumerate(order)}
+    long = {y: next(k for k in order if label[k] == y) for y in (0, 1)}
+    docs = [(k, "x" * 4_000_000 if k in long.values() else f"text {k}", 7, 7) for k in ids]
+    got = sample_of(spark, docs, [(k, label[k], "clash") for k in ids], texts_per_label={1: 30, 0: 40}, most_bytes=1 << 20)
+    assert Counter(y for _, y, _ in got) == {1: 30, 0: 40} and max(len(t) for t, _, _ in got) < 100
+    few = sample_of(spark, [d for d in docs if d[0] in long.values()], [(k, label[k], None) for k in ids])
+    assert sorted((len(t), y) for t, y, _ in few) == [(4_000_000, 0), (4_000_000, 1)]
+
+
+def test_sample_counts_an_id_once(spark):
+    a, b, c, d = [k for k in range(40) if zlib.crc32(str(k).encode()) % 5][:4]
+    docs = [(a, "aaa", 1, 1), (a, "bb", 1, 1), (a, "ab", 1, 1)] * 50 + [(b, None, 1, 1), (c, "c", 1, 1), (None, "none", 1, 1), (d, "", 1, 1)]
+    labels = [(a, 1, "t"), (a, 0, "t")] * 50 + [(b, 1, "t"), (c, None, "t"), (None, 1, "t"), (d, 0, "t")]
+    assert sorted((t, y) for t, y, _ in sample_of(spark, docs, labels)) == [("", 0), ("ab", 1)]
+    assert sample_of(spark, [], []) == []
+
+
+def test_sample_keeps_to_its_bytes(spark):
+    ids = [k for k in range(300) if zlib.crc32(str(k).encode()) % 5]
+    got = sample_of(spark, [(k, "x" * 1000, 0, 0) for k in ids], [(k, k % 2, "") for k in ids], texts_per_label={1: 100, 0: 100}, most_bytes=40_000)
+    assert Counter(y for _, y, _ in got) == {1: 20, 0: 20}
