@@ -130,6 +130,12 @@ def test_retry_and_fallback():
     with pytest.raises(extract.ClientError):
         extract.Retrying(Flaky([extract.ClientError("gone", 404), "never"]), pause=0).complete("p")
     assert extract.Fallback([Flaky([extract.ClientError("a")]), Flaky(["second"])]).complete("p") == "second"
+    third = Flaky(["unasked"])
+    answer, failed = extract.first_answer(extract.attempts([Flaky([extract.ClientError("a", 429)]), Flaky(["b"]), third], "p"))
+    assert answer == "b" and third.asked == 0 and failed == [extract.Attempt("Flaky", error="a", status=429)]
+    with pytest.raises(extract.ClientError, match="Flaky: a; Flaky: b") as caught:
+        extract.Fallback([Flaky([extract.ClientError("a")]), Flaky([extract.ClientError("b", 503)])]).complete("p")
+    assert caught.value.status == 503
     with pytest.raises(ValueError):
         extract.Fallback([])
 
