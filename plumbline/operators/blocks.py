@@ -2,24 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..dims import BY_NAME
 from ..functions.text import block_id, render_block
+from .scans import running, unused
 
 
 def running_section(items: DataFrame, doc: str = "doc_id") -> DataFrame:
     """items (doc, pos, type, text) with section: the last heading so far, itself included."""
-    so_far = Window.partitionBy(doc).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    return items.withColumn("section", F.last(F.when(F.col("type") == "heading", F.col("text")), ignorenulls=True).over(so_far))
+    return running(items, [doc], "pos", lasts={"section": F.when(F.col("type") == "heading", F.col("text"))})
 
 
 def with_block_ids(items: DataFrame, doc: str = "doc_id") -> DataFrame:
-    return items.withColumn("block_id", block_id(F.row_number().over(Window.partitionBy(doc).orderBy("pos")) - 1))
+    """items with block_id: their number from 0 in each document, by pos."""
+    return running(items, [doc], "pos", sums={"block_id": F.lit(1)}).withColumn("block_id", block_id(F.col("block_id") - 1))
 
 
 def bounded_payload(blocks: DataFrame, most_blocks: int = 200, most_chars: int = 100_000, doc: str = "doc_id") -> DataFrame:
-    """The blocks of each document's longest prefix within both bounds, with `truncated`.
+    """The blocks of each document's longest prefix within both bounds, with `chars` so far and `truncated`.
 
     A block without text counts as, and gets, its table's rows (a column `table` of arrays of cells, if there is one),
     cells joined by ' | ' and rows by newline; one without either is empty and counts as a block.
@@ -29,12 +30,12 @@ def bounded_payload(blocks: DataFrame, most_blocks: int = 200, most_chars: int =
         rows = F.transform("table", lambda r: F.array_join(F.transform(r, lambda c: F.coalesce(c, F.lit(""))), " | "))
         text = F.coalesce(text, F.array_join(rows, "\n"))
     blocks = blocks.withColumn("text", F.coalesce(text, F.lit("")))
-    order = Window.partitionBy(doc).orderBy("pos")
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    counted = blocks.withColumn("chars", F.sum(F.length("text")).over(upto)).withColumn("n", F.row_number().over(order))
-    fits = (F.col("n") <= most_blocks) & (F.col("chars") <= most_chars)
-    whole = Window.partitionBy(doc)
-    return counted.withColumn("fits", fits).withColumn("truncated", F.count_if(~F.col("fits")).over(whole) > 0).filter("fits").drop("fits", "n")
+    n = unused(blocks.columns, "n")
+    counted = running(blocks, [doc], "pos", sums={"chars": F.length("text"), n: F.lit(1)})
+    kept = counted.filter((F.col(n) <= most_blocks) & (F.col("chars") <= most_chars))
+    totals = blocks.groupBy(F.col(doc).alias("whole_doc")).agg(F.count(F.lit(1)).alias("whole_n"), F.sum(F.length("text")).alias("whole_chars"))
+    joined = kept.join(totals, kept[doc].eqNullSafe(totals["whole_doc"]))
+    return joined.withColumn("truncated", (F.col("whole_n") > most_blocks) | (F.col("whole_chars") > most_chars)).drop(n, "whole_doc", "whole_n", "whole_chars")
 
 
 def raw_text(blocks: DataFrame, doc: str = "doc_id", separator: str = "\n\n") -> DataFrame:

@@ -11,6 +11,7 @@ from .. import dims
 from ..functions.common import filled, lookup, strip
 from ..functions.specs import parse_price, resolve_attribute
 from ..functions.text import custom_name, normalize_header
+from .scans import running
 
 #: Headers that may be hit by similarity, with their targets; core columns without underscores, and the dictionary's aliases.
 FUZZY_CHOICES = [(k, v, "core") for k, v in dims.CORE_COLUMNS.items() if "_" not in k] + [(k, v, "spec") for k, v in dims.ALIASES.items() if k not in dims.BY_NAME]
@@ -100,7 +101,7 @@ def map_rows(cells: DataFrame, column_map: DataFrame, keys: list[str]) -> DataFr
 def number_rows(rows: DataFrame, keys: list[str], position: str = "row_index") -> DataFrame:
     """Rows with a filled cell, numbered from 1 in each file."""
     full = rows.filter(F.exists("cells", lambda c: F.coalesce(strip(c), F.lit("")) != ""))
-    return full.withColumn("row_number", F.row_number().over(Window.partitionBy(*keys).orderBy(position)))
+    return running(full, keys, position, sums={"row_number": F.lit(1)})
 
 
 def to_cells(rows: DataFrame, headers: DataFrame, keys: list[str]) -> DataFrame:
