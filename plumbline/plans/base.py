@@ -121,6 +121,27 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Of each part a second record, from a website: fewer specifications, of which some lengths and materials read otherwise.
+AGAIN = ("Rated Voltage", "material", "length")
+AGAIN_VALUE = "CASE WHEN {header} = 'length' AND p_partkey % 2 = 0 THEN {value} || '0' WHEN {header} = 'material' THEN upper({value}) ELSE {value} END"
+POOLED_SQL = f"""pooled AS (
+    SELECT p_partkey AS product, 0 AS record_ord, position AS pos, header AS attribute, value, unit, confidence, new_status AS status FROM scored
+    UNION ALL
+    SELECT p_partkey, 1, CASE header WHEN 'Rated Voltage' THEN 0 WHEN 'material' THEN 1 ELSE 2 END, header, {AGAIN_VALUE.format(header="header", value="value")}, unit, confidence, new_status FROM scored WHERE header IN {AGAIN}
+)"""
+
+
+def paired_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """records with product and record_ord: each part's own (0) and its website's (1), whose name is upper case and whose brand is given."""
+    first = records(spark, sf_dir).withColumn("product", F.col("product_id").cast("long")).withColumn("p_partkey", F.col("product"))
+    site = F.array(F.struct(F.lit("src-1").alias("id"), F.lit("website").alias("type"), F.concat(F.lit("https://site.example.com/"), "product_id").alias("reference")))
+    own = F.transform("sources", lambda x: F.struct(F.lit("src-1").alias("id"), x["type"].alias("type"), x["reference"].alias("reference")))
+    value = lambda x: F.when((x["attribute"] == "length") & (F.col("p_partkey") % 2 == 0), F.concat(x["value"], F.lit("0"))).when(x["attribute"] == "material", F.upper(x["value"])).otherwise(x["value"])
+    again = F.flatten(F.array(*(F.transform(F.filter("specifications", lambda x: x["attribute"] == a), lambda x: x.withField("value", value(x))) for a in AGAIN)))  # noqa: B023
+    second = first.withColumns({"record_ord": F.lit(1), "product_name": F.upper("product_name"), "brand": F.coalesce(F.when(F.col("brand") != "", F.col("brand")), F.lit("Site brand")), "specifications": again, "sources": site})
+    return first.withColumn("record_ord", F.lit(0)).withColumn("sources", own).unionByName(second).drop("p_partkey")
+
+
 #: Offers of several suppliers for each part: flat specs for merging.
 OFFERS_SQL = """offers AS (
     SELECT l_partkey AS product, l_suppkey AS supplier, l_orderkey AS o, l_linenumber AS n, l_quantity, l_discount, l_returnflag FROM lineitem

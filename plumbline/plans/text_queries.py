@@ -214,9 +214,14 @@ def q_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("product", "attribute", "n_values", "n_specs", F.array_join("values", "|").alias("vals"), F.size("sources").cast("long").alias("n_sources"))
 
 
-@query(f"WITH {OFFERS_SQL} SELECT product, round(avg(CAST(confidence AS DOUBLE)), 9) AS overall_confidence, count(*) AS n_specs FROM specs GROUP BY 1")
+#: The exact mean of confidences to two places by its binary value, for each product.
+_MEAN = "CAST(sum(CAST(confidence AS DECIMAL(20,12))) AS DOUBLE) / count(*)"
+_MEANS = f"SELECT product, CASE WHEN t % 2 <> 1 OR abs(x * 200 - t) >= 1e-9 THEN round(x, 2) WHEN ((x * 128 - t) + x * 64) + x * 8 > 0 THEN (t + 1) / 200 WHEN ((x * 128 - t) + x * 64) + x * 8 < 0 THEN (t - 1) / 200 WHEN (t + 1) % 4 = 0 THEN (t + 1) / 200 ELSE (t - 1) / 200 END AS overall_confidence, n_specs FROM (SELECT product, {_MEAN} AS x, round({_MEAN} * 200) AS t, count(*) AS n_specs FROM {{}} GROUP BY 1)"
+
+
+@query(f"WITH {OFFERS_SQL} {_MEANS.format('specs')}")
 def q_merged_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merge.merged_confidence(offers(spark, sf_dir)).select("product", F.round("overall_confidence", 9).alias("overall_confidence"), "n_specs")
+    return merge.merged_confidence(offers(spark, sf_dir))
 
 
 @query(f"WITH {_KEYED} SELECT CASE WHEN c.product IS NOT NULL THEN 'conflict' WHEN s.status IN ('needs_review', 'inferred') THEN 'unverified' ELSE 'grounded' END AS class, count(*) AS n FROM specs s LEFT JOIN conflicting c ON s.product = c.product AND s.attribute = c.attribute GROUP BY 1")
@@ -234,11 +239,11 @@ def q_compare_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.select("product", "attribute", F.array_join("left_values", "|").alias("left_values"), F.array_join("right_values", "|").alias("right_values"), "verdict")
 
 
-@query(f"WITH {OFFERS_SQL}, ranked AS (SELECT *, row_number() OVER (PARTITION BY product, attribute ORDER BY record_ord, pos) - 1 AS rank FROM specs), kept AS (SELECT product, attribute, CASE WHEN product % 2 = 0 AND attribute = 'length' THEN 0.97 ELSE confidence END AS confidence FROM ranked WHERE NOT (product % 2 = 0 AND attribute = 'length') OR rank = 1) SELECT product, count(*) AS n_specs, round(avg(CAST(confidence AS DOUBLE)), 9) AS overall_confidence FROM kept GROUP BY 1")
+@query(f"WITH {OFFERS_SQL}, ranked AS (SELECT *, row_number() OVER (PARTITION BY product, attribute ORDER BY record_ord, pos) - 1 AS rank FROM specs), kept AS (SELECT product, attribute, CASE WHEN product % 2 = 0 AND attribute = 'length' THEN 0.97 ELSE confidence END AS confidence FROM ranked WHERE NOT (product % 2 = 0 AND attribute = 'length') OR rank = 1) {_MEANS.format('kept')}")
 def q_resolve_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
     specs = offers(spark, sf_dir)
     decisions = specs.filter("product % 2 = 0").select("product", F.lit("length").alias("attribute"), F.lit(1).alias("winner")).distinct()
-    return merge.merged_confidence(merge.resolve(specs, decisions)).select("product", "n_specs", F.round("overall_confidence", 9).alias("overall_confidence"))
+    return merge.merged_confidence(merge.resolve(specs, decisions)).select("product", "n_specs", "overall_confidence")
 
 
 @query("WITH o AS (SELECT p_partkey AS doc_id, p_partkey % 4 AS page, CAST(p_size AS DOUBLE) AS x0, p_size + 2.0 AS x1, CAST(p_partkey % 90 AS DOUBLE) AS top, p_partkey % 90 + 4.0 AS bottom FROM part) SELECT doc_id % 100 AS g, count(*) AS n FROM o WHERE NOT (page % 2 = 0 AND 10 <= (x0 + x1) / 2 AND (x0 + x1) / 2 < 30 AND 20 <= (top + bottom) / 2 AND (top + bottom) / 2 < 50) GROUP BY 1")
