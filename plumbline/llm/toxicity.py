@@ -368,9 +368,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, texts_per_la
     sized = texts.select("doc_id", "n").join(F.broadcast(candidates), "doc_id").groupBy("doc_id", "y").agg(F.min("n").alias("n"))
     by_size = Window.partitionBy("y").orderBy(F.when(F.col("n") > longest, F.col("n")).otherwise(0), hashed, "doc_id")
     running = F.sum("n").over(by_size.rowsBetween(Window.unboundedPreceding, 0))
-    many = F.when(F.col("y") == 1, texts_per_label[1]).otherwise(texts_per_label[0])
+    share = {y: most_bytes * n // sum(texts_per_label.values()) for y, n in texts_per_label.items()}
+    within = lambda y: (F.col("y") == y) & (F.col("rank") <= texts_per_label[y]) & (F.col("running") <= share[y])
     ranked = sized.select("doc_id", "y", F.row_number().over(by_size).alias("rank"), running.alias("running"))
-    chosen = ranked.filter((F.col("rank") == 1) | (F.col("rank") <= many) & (F.col("running") * sum(texts_per_label.values()) <= many * most_bytes))
+    chosen = ranked.filter((F.col("rank") == 1) | within(0) | within(1))
     found = texts.join(F.broadcast(chosen.select("doc_id", "y")), "doc_id").groupBy("doc_id", "y").agg(F.min(F.struct("n", "text")).alias("x"))
     return found.select(F.encode("x.text", "utf-8").alias("t"), "y", hashed.alias("o"))
 
