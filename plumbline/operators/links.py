@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.text import cache_key
+from ..sources.tables import VersionedTable
 
 THIN_PAGE = 2000
 
@@ -66,27 +67,33 @@ def cache_split(wanted: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFra
     return keyed.join(good, "key"), keyed.join(good, "key", "left_anti")
 
 
+CACHE = "key string, html string"
+
+
+def page_cache(spark: SparkSession, path: str) -> VersionedTable:
+    """The cache of pages under a path: of each key the page that was committed first."""
+    return VersionedTable(spark, path, CACHE)
+
+
 def ingest_urls(wanted: DataFrame, cache_path: str, fetch, use_cache: bool = True) -> DataFrame:
-    """(url, key, html) of all urls, from the cache where it has them; what `fetch` (a DataFrame function url -> url, html) brings is appended to it."""
-    spark = wanted.sparkSession
-    keyed = wanted.withColumn("key", cache_key(F.col("url")))
+    """(url, key, html) of all urls (url), from the cache where it has them; what `fetch` (urls -> url, html) brings is added to it.
+
+    Runs may overlap: each stages what it fetched and commits it in one step, and all of them then have the page that was
+    committed first. A url that could not be fetched has a null html and is asked for again the next time; so has a null url.
+    A url that is asked for twice is fetched once and has two rows.
+    """
+    keyed = wanted.select("url", cache_key(F.col("url")).alias("key"))
     if not use_cache:
-        return fetch(wanted).select("url", cache_key(F.col("url")).alias("key"), "html")
-    try:
-        cache = spark.read.schema("key string, html string").parquet(cache_path)
-        cache.limit(1).count()
-    except Exception as error:
-        if "PATH_NOT_FOUND" not in str(error):
-            raise
-        cache = spark.createDataFrame([], "key string, html string")
-    hits, misses = cache_split(wanted, cache)
-    fetched = fetch(misses.select("url")).select("url", cache_key(F.col("url")).alias("key"), "html")
-    fetched.select("key", "html").write.mode("append").parquet(cache_path)
-    fresh = spark.read.schema("key string, html string").parquet(cache_path).dropDuplicates(["key"])
-    return keyed.join(fresh, "key", "left").select("url", "key", "html")
+        fetched = fetch(wanted.select("url").filter("url is not null").distinct()).select("url", "html")
+        return keyed.join(fetched, "url", "left").select("url", "key", "html")
+    cache = page_cache(wanted.sparkSession, cache_path)
+    _, misses = cache_split(wanted.select("url"), cache.read())
+    fetched = fetch(misses.select("url").filter("url is not null").distinct())
+    cache.append(fetched.filter("html is not null").select(cache_key(F.col("url")).alias("key"), "html"))
+    return keyed.join(cache.read(), "key", "left").select("url", "key", "html")
 
 
 def seed_cache(spark, url: str, html_path: str, cache_path: str) -> None:
-    """Puts a local page's text in the cache under a url."""
+    """Puts a local page's text in the cache under a url that it does not have yet."""
     page = spark.read.text(html_path, wholetext=True)
-    page.select(cache_key(F.lit(url)).alias("key"), F.col("value").alias("html")).write.mode("append").parquet(cache_path)
+    page_cache(spark, cache_path).append(page.select(cache_key(F.lit(url)).alias("key"), F.col("value").alias("html")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import base, catalog_queries, record_queries, text_queries  # noqa: F401
+from . import base, catalog_queries, record_queries, text_queries, web_queries  # noqa: F401
 
 
 def queries() -> dict[str, base.Query]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.specs import classify_spec, grounded
-from ..functions.text import block_id, cache_key, iso8601, normalize_whitespace, significant_words, snippet, split_on_match, strip_code_fences
+from ..functions.text import block_id, iso8601, normalize_whitespace, significant_words, snippet, split_on_match, strip_code_fences
 from ..operators import blocks, citations, compare, extract, links, merge, validate
 from ..sources.formats import html_blocks
 from .base import LINES_SQL, OFFERS_SQL, lines, offers, query, table
@@ -121,14 +121,6 @@ def q_page_paging(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page.withColumn("total", F.lit(found.count())).select("link", more.alias("has_more"))
 
 
-@query("SELECT page_id, substr(sha256(url), 1, 16) AS key, page_id % 3 <> 0 AS missing FROM pages")
-def q_cache_miss(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").withColumn("url", F.col("url"))
-    cache = pages.filter(F.col("page_id") % 3 == 0).select(cache_key(F.col("url")).alias("key"), F.col("page_id").alias("cached"), "html")
-    keyed = pages.withColumn("key", cache_key(F.col("url")))
-    return keyed.join(cache.select("key", "cached"), (keyed["key"] == cache["key"]) & (keyed["page_id"] == F.col("cached")), "left").select("page_id", keyed["key"], F.col("cached").isNull().alias("missing"))
-
-
 @query("SELECT page_id, length(html) < 2000 AS thin FROM pages")
 def q_thin_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", links.is_thin(F.col("html")).alias("thin"))
