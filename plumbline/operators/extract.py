@@ -10,9 +10,12 @@ from dataclasses import dataclass
 from typing import Protocol
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, functions as F
 
-from ..dims import ALIASES
+from ..functions.specs import resolve_attribute
+from ..functions.text import strip_code_fences
+from ..sources.tables import scratch_dir
+from .constraints import RECORD, faults, told
 
 TRANSIENT = frozenset({429, 500, 502, 503, 504})
 
@@ -110,56 +113,70 @@ class KeyValueClient:
         return json.dumps({"product_name": name or "", "specifications": specs})
 
 
-def parse_record(answer: str) -> dict:
-    """The record of an answer, fences stripped and null parts made empty; ValueError where it is not valid."""
-    text = re.sub(r"^```(?:json)?\s*|\s*```$", "", answer.strip(), flags=re.M)
-    record = json.loads(text)
-    if not isinstance(record, dict) or not isinstance(record.get("product_name"), str) or not record["product_name"]:
-        raise ValueError("product_name is missing")
-    for spec in record.get("specifications") or []:
-        if not isinstance(spec, dict) or not isinstance(spec.get("attribute"), str) or not isinstance(spec.get("value"), str):
-            raise ValueError("a specification needs an attribute and a value of text")
-        if spec.get("status", "extracted") not in ("extracted", "inferred", "needs_review"):
-            raise ValueError(f"unknown status {spec['status']!r}")
-        confidence = spec.get("confidence", 0.0)
-        if isinstance(confidence, bool) or not isinstance(confidence, int | float) or not 0 <= confidence <= 1:
-            raise ValueError("confidence is not between 0 and 1")
-    return record
+_STR, _SPECS = "string", "array<struct<attribute: string, value: string, unit: string, status: string, reference: string>>"
 
 
-def canonical(name: str) -> str:
-    key = name.strip().lower()
-    return ALIASES.get(key) or ALIASES.get(key.replace(" ", "_")) or ALIASES.get(key.replace("_", " ")) or name
+def record_fields(value: Column) -> list[Column]:
+    """The columns of a record, from a variant that has no faults: those that feeds take and its specifications, canonical names where they are known."""
+    at = lambda path, kind=_STR, v=value: F.try_variant_get(v, path, kind)
 
+    def spec(x: Column) -> Column:
+        name = at("$.attribute", v=x)
+        return F.struct(F.coalesce(resolve_attribute(name), name).alias("attribute"), at("$.value", v=x).alias("value"), at("$.unit", v=x).alias("unit"), F.coalesce(at("$.status", v=x), F.lit("extracted")).alias("status"), at("$.source.reference", v=x).alias("reference"))
 
-def extract_records(prompts: DataFrame, make_client: Callable[[], Client], doc: str = "doc_id") -> DataFrame:
-    """(doc, product_name, specifications, attempts, error) of each prompt; one client a task.
+    price = F.struct(at("$.commercial.price.value", "double").alias("value"), at("$.commercial.price.currency").alias("currency"))
+    specs = F.transform(F.coalesce(at("$.specifications", "array<variant>"), F.array().cast("array<variant>")), spec)
+    return [
+        at("$.product_name").alias("product_name"), at("$.product_id").alias("product_id"), at("$.brand").alias("brand"), F.coalesce(at("$.description"), F.lit("")).alias("description"),
+        F.struct(F.coalesce(at("$.category.predicted"), F.lit("")).alias("predicted"), F.coalesce(at("$.category.confidence", "double"), F.lit(0.0)).alias("confidence")).alias("category"),
+        F.struct(*(at(f"$.identifiers.{k}").alias(k) for k in ("sku", "gtin", "mpn"))).alias("identifiers"), F.coalesce(at("$.media.images", "array<string>"), F.array().cast("array<string>")).alias("images"),
+        F.when(at("$.commercial.price.value", "double").isNotNull() | at("$.commercial.price.currency").isNotNull(), price).alias("price"), at("$.commercial.availability").alias("availability"), specs.alias("specifications"),
+    ]
 
-    An answer that does not validate is asked for once more with the error; a second failure, or a
-    client's error, is the row's `error` and never the task's.
-    """
-    schema = f"`{doc}` {dict(prompts.dtypes)[doc]}, product_name string, specifications array<struct<attribute:string,value:string,unit:string,status:string,reference:string>>, attempts int, error string"
-    spec_type = pa.list_(pa.struct([(n, pa.string()) for n in ("attribute", "value", "unit", "status", "reference")]))
 
-    def run(batches):
+def ask(prompts: DataFrame, make_client: Callable[[], Client], doc: str) -> DataFrame:
+    """(doc, prompt, answer, error) of each prompt, by one client a task; a client's error is the row's. A null prompt is an empty one."""
+    schema = f"`{doc}` {dict(prompts.dtypes)[doc]}, prompt string, answer string, error string"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         client = make_client()
         for batch in batches:
-            out = []
-            for prompt in batch.column(1).to_pylist():
-                record, error, tries, asked = None, None, 0, prompt or ""
-                while record is None and tries < 2:
-                    tries += 1
-                    try:
-                        record = parse_record(client.complete(asked))
-                        error = None
-                    except ClientError as problem:
-                        error = str(problem)
-                        break
-                    except ValueError as problem:
-                        error = f"invalid record: {problem}"
-                        asked = f"{prompt}\n\nThe last answer was not valid ({problem}). Answer with one valid JSON object only."
-                specs = [{"attribute": canonical(s["attribute"]), "value": s["value"], "unit": s.get("unit"), "status": s.get("status", "extracted"), "reference": (s.get("source") or {}).get("reference")} for s in (record or {}).get("specifications") or []]
-                out.append((record["product_name"] if record else None, specs if record else None, tries, error))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[k] for r in out], t) for k, t in enumerate((pa.string(), spec_type, pa.int32(), pa.string())))], names=[doc, "product_name", "specifications", "attempts", "error"])
+            rows = [first_answer(attempts([client], prompt or "")) for prompt in batch.column(1).to_pylist()]
+            columns = [pa.array([answer for answer, _ in rows], pa.string()), pa.array([failed[0].error if failed else None for _, failed in rows], pa.string())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=[doc, "prompt", "answer", "error"])
 
     return prompts.select(doc, "prompt").mapInArrow(run, schema)
+
+
+def extract_records(prompts: DataFrame, make_client: Callable[[], Client], doc: str = "doc_id", keep: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(doc, product_name, specifications, attempts, error, and the other fields that feeds take) of each prompt.
+
+    Answers are held against constraints.RECORD in expressions. One with faults is asked for once more with them; a second
+    failure, or a client's error, is the row's `error` and never the task's. `keep` writes a table and reads it back, so that no
+    prompt is asked twice for one attempt; by default to the shared folder.
+    """
+    keep = keep or kept
+
+    def judged(answers: DataFrame, tries: int) -> DataFrame:
+        value = F.try_parse_json(strip_code_fences(F.col("answer")))
+        rows = answers.withColumn("value", value).withColumn("faults", F.when(F.col("answer").isNotNull(), told(faults(F.col("value"), RECORD))))
+        return rows.withColumn("attempts", F.lit(tries))
+
+    first = judged(keep(ask(prompts, make_client, doc)), 1)
+    again = F.concat(F.coalesce("prompt", F.lit("")), F.lit("\n\nThe last answer was not valid ("), F.col("faults"), F.lit("). Answer with one valid JSON object only."))
+    second = judged(keep(ask(first.filter("faults is not null").select(doc, again.alias("prompt")), make_client, doc)), 2)
+    rows = first.filter("faults is null").unionByName(second)
+    good = F.col("answer").isNotNull() & F.col("faults").isNull()
+    error = F.coalesce("error", F.concat(F.lit("invalid record: "), F.col("faults")))
+    fields = [F.when(good, c).alias(name) for c, name in zip(record_fields(F.col("value")), FIELDS)]
+    return rows.select(doc, *fields, "attempts", error.alias("error"))
+
+
+FIELDS = ["product_name", "product_id", "brand", "description", "category", "identifiers", "images", "price", "availability", "specifications"]
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """The table, written to the shared folder and read back."""
+    at = scratch_dir(df.sparkSession, "answers")
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)

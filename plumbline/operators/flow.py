@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.units import round2
 from . import catalog
+from .blocks import bounded_payload, prompts
 from .citations import resolve_citations
+from .extract import Client, extract_records, kept
 from .validate import overall_confidence, score_with_blocks, scored_specs
 
 _text = lambda: F.lit(None).cast("string")
@@ -49,13 +53,14 @@ def catalog_records(rows: DataFrame, keys: list[str], reference: Column) -> tupl
     return records.withColumn("overall_confidence", overall_confidence(F.col("specifications"))), row_warnings(mapped, keys)
 
 
-def document_records(extracted: DataFrame, blocks: DataFrame, files: DataFrame) -> DataFrame:
-    """Records (doc_id, product_name, specifications, sources, overall_confidence) of extracted documents.
+def document_records(extracted: DataFrame, blocks: DataFrame, files: DataFrame, extracted_at: Column | None = None) -> DataFrame:
+    """Records of extracted documents: doc_id, the fields that extracted has, specifications, sources, overall_confidence, extracted_at.
 
-    extracted: doc_id, product_name, specifications (attribute, value, unit, status, reference).  blocks: doc_id,
-    block_id, pos, text, table, section, page.  files: doc_id, type, reference, one row a document; it is the first
-    source.  Specifications are scored against the blocks that they cite, the mean is taken, and block ids become
-    sources.  Failed extractions (no name) give no record; a record without specifications has confidence 0.0.
+    extracted: doc_id, product_name, specifications (attribute, value, unit, status, reference), and more fields, which stay.
+    blocks: doc_id, block_id, pos, text, table, section, page.  files: doc_id, type, reference, one row a document; it is the
+    first source.  Specifications are scored against the blocks that they cite, the mean is taken, and block ids become
+    sources.  Failed extractions (no name) give no record; a record without specifications has confidence 0.0, one whose
+    document is not in files has only the sources that it cites, in order, or none.  extracted_at is the time of the query by default.
     """
     named = extracted.filter("product_name is not null")
     kinds = files.select("doc_id", F.col("type").alias("source_type"))
@@ -66,11 +71,29 @@ def document_records(extracted: DataFrame, blocks: DataFrame, files: DataFrame)
     cited, sources = resolve_citations(scored, blocks, origin)
 
     in_order = lambda fields: F.transform(F.array_sort(F.collect_list(F.struct("pos", *fields))), lambda x: F.struct(*(x[f] for f in fields)))
-    spec_fields = ["attribute", "value", "unit", "status", "confidence", "reference", "snippet"]
-    scores = F.transform(F.array_sort(F.collect_list(F.struct("pos", "confidence"))), lambda x: x["confidence"])
+    cite = F.struct(F.col("source_type").alias("type"), F.col("reference").alias("reference"), F.col("snippet").alias("snippet")).alias("source")
+    placed = cited.join(kinds, "doc_id", "left").withColumn("source", F.when(F.col("reference").isNotNull(), cite))
+    scores = F.transform(F.array_sort(F.collect_list(F.struct("pos", "before"))), lambda x: x["before"])
     mean = round2(F.aggregate(scores, F.lit(0.0), lambda a, x: a + x) / F.size(scores))
-    means = scored.groupBy("doc_id").agg(mean.alias("overall_confidence"))
-    specs = cited.groupBy("doc_id").agg(in_order(spec_fields).alias("specifications"))
+    # the mean is of the scores, before what citations take away
+    before = scored.select("doc_id", "pos", F.col("confidence").alias("before"))
+    means = before.groupBy("doc_id").agg(mean.alias("overall_confidence"))
+    specs = placed.groupBy("doc_id").agg(in_order(["attribute", "value", "unit", "status", "confidence", "reference", "snippet", "source"]).alias("specifications"))
     listed = sources.groupBy("doc_id").agg(in_order(["id", "type", "reference", "page"]).alias("sources"))
-    records = named.select("doc_id", "product_name").join(specs, "doc_id", "left").join(listed, "doc_id", "left").join(means, "doc_id", "left")
-    return records.withColumns({"specifications": F.coalesce("specifications", F.array()), "overall_confidence": F.coalesce("overall_confidence", F.lit(0.0))})
+    more = [c for c in named.columns if c not in ("doc_id", "specifications", "sources", "overall_confidence", "extracted_at", "attempts", "error")]
+    records = named.select("doc_id", *more).join(specs, "doc_id", "left").join(listed, "doc_id", "left").join(means, "doc_id", "left")
+    filled = {c: F.coalesce(c, F.array()) for c in ("specifications", "sources")} | {"overall_confidence": F.coalesce("overall_confidence", F.lit(0.0))}
+    return records.withColumns(filled | {"extracted_at": F.current_timestamp() if extracted_at is None else extracted_at})
+
+
+def extract_documents(blocks: DataFrame, files: DataFrame, make_client: Callable[[], Client], instructions: str, schema_json: str, extracted_at: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(records, failures) of documents: prompts of their bounded blocks, answers held against the constraints, scores, citations.
+
+    blocks (doc_id, block_id, pos, type, text, table, section, page), files (doc_id, type, reference). Records go into
+    feeds.map_to_all as they are; failures are (doc_id, attempts, error). A document without blocks has no prompt and is in neither.
+    """
+    told = blocks.join(files.select("doc_id", F.col("reference").alias("source")), "doc_id", "left").withColumn("source", F.coalesce("source", F.lit("")))
+    asked = prompts(bounded_payload(told), instructions, schema_json)
+    extracted = kept(extract_records(asked, make_client))
+    failures = extracted.filter("product_name is null").select("doc_id", "attempts", "error")
+    return document_records(extracted, blocks, files, extracted_at), failures
