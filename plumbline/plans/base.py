@@ -167,6 +167,10 @@ def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("product", "record_ord", F.explode(F.array(length, material)).alias("s")).select("product", "record_ord", "s.*")
 
 
+#: The significant words of a text, in SQL.
+_STOP = "['a', 'an', 'the', 'and', 'or', 'of', 'to', 'in', 'on', 'for', 'with', 'is', 'are', 'was', 'were', 'be', 'as', 'at', 'by', 'this', 'that']"
+WORDS = "list_filter(list_distinct(regexp_extract_all(lower({0}), '[a-z]+|[0-9]+(?:\\.[0-9]+)?')), lambda w: NOT list_contains(" + _STOP + ", w))"
+
 #: Lines of all documents as blocks.
 LINES_SQL = """lines AS (
     SELECT doc_id, k AS pos, l AS text, CASE WHEN length(l) < 40 THEN 'heading' ELSE 'text' END AS type

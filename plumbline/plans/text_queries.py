@@ -8,28 +8,16 @@ from ..functions.specs import classify_spec, grounded
 from ..functions.text import block_id, iso8601, normalize_whitespace, significant_words, snippet, split_on_match, strip_code_fences
 from ..operators import blocks, citations, compare, extract, links, merge, validate
 from ..sources.formats import html_blocks
-from .base import LINES_SQL, OFFERS_SQL, lines, offers, query, table
+from .base import LINES_SQL, OFFERS_SQL, WORDS, lines, offers, query, table
 
-_STOP = "['a', 'an', 'the', 'and', 'or', 'of', 'to', 'in', 'on', 'for', 'with', 'is', 'are', 'was', 'were', 'be', 'as', 'at', 'by', 'this', 'that']"
-_WORDS = "list_filter(list_distinct(regexp_extract_all(lower({0}), '[a-z]+|[0-9]+(?:\\.[0-9]+)?')), lambda w: NOT list_contains(" + _STOP + ", w))"
-
-
-@query(f"SELECT item_id, len({_WORDS.format('text')}) AS n_words, list_sum(list_transform({_WORDS.format('text')}, lambda w: length(w)))::BIGINT AS chars FROM benchmark")
+@query(f"SELECT item_id, len({WORDS.format('text')}) AS n_words, list_sum(list_transform({WORDS.format('text')}, lambda w: length(w)))::BIGINT AS chars FROM benchmark")
 def q_significant_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = table(spark, sf_dir, "benchmark").withColumn("w", significant_words(F.col("text")))
     return w.select("item_id", F.size("w").cast("long").alias("n_words"), F.aggregate("w", F.lit(0).cast("long"), lambda s, x: s + F.length(x)).alias("chars"))
 
 
-@query(f"SELECT doc_id, len(v) = 0 OR len(list_intersect(v, b)) / len(v) >= 0.6 AS grounded FROM (SELECT d.doc_id, {_WORDS.format('substr(c.text, 1, 60)')} AS v, {_WORDS.format('d.text')} AS b FROM documents d JOIN documents c ON c.doc_id = d.doc_id + d.doc_id % 2)")
+@query(f"SELECT doc_id, len(v) = 0 OR len(list_intersect(v, b)) / len(v) >= 0.6 AS grounded FROM (SELECT d.doc_id, {WORDS.format('c.text')} AS v, {WORDS.format('d.text')} AS b FROM documents d JOIN documents c ON c.doc_id = d.doc_id + d.doc_id % 2)")
 def q_groundedness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    claims = docs.select(F.col("doc_id").alias("claim_id"), F.substring("text", 1, 60).alias("value"))
-    return docs.join(claims, F.col("claim_id") == F.col("doc_id") + F.col("doc_id") % 2).select("doc_id", grounded(F.col("value"), F.col("text")).alias("grounded"))
-
-
-@query()
-def q_groundedness_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """q_groundedness with whole texts as claims."""
     docs = table(spark, sf_dir, "documents")
     claims = docs.select(F.col("doc_id").alias("claim_id"), F.col("text").alias("value"))
     return docs.join(claims, F.col("claim_id") == F.col("doc_id") + F.col("doc_id") % 2).select("doc_id", grounded(F.col("value"), F.col("text")).alias("grounded"))
@@ -54,15 +42,8 @@ def q_running_section(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select("doc_id", "pos", "type", "block_id", F.md5("section").alias("section"))
 
 
-@query(f"WITH {LINES_SQL}, n AS (SELECT *, sum(length(text)) OVER w AS chars, row_number() OVER w AS k FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING)), f AS (SELECT *, k <= 20 AND chars <= 3000 AS fits FROM n) SELECT doc_id, count(*) AS n_blocks, max(chars)::BIGINT AS chars, bool_or(cut) AS truncated FROM (SELECT *, bool_or(NOT fits) OVER (PARTITION BY doc_id) AS cut FROM f) WHERE fits GROUP BY doc_id")
+@query(f"WITH {LINES_SQL}, n AS (SELECT *, sum(length(text)) OVER w AS chars, row_number() OVER w AS k FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY pos ROWS UNBOUNDED PRECEDING)), f AS (SELECT *, k <= 200 AND chars <= 100000 AS fits FROM n) SELECT doc_id, count(*) AS n_blocks, max(chars)::BIGINT AS chars, bool_or(cut) AS truncated FROM (SELECT *, bool_or(NOT fits) OVER (PARTITION BY doc_id) AS cut FROM f) WHERE fits GROUP BY doc_id")
 def q_source_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = blocks.bounded_payload(lines(spark, sf_dir), most_blocks=20, most_chars=3000)
-    return b.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_blocks"), F.max("chars").alias("chars"), F.bool_or("truncated").alias("truncated"))
-
-
-@query()
-def q_source_budget_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """q_source_budget within the operator's own bounds, 200 blocks and 100,000 characters."""
     b = blocks.bounded_payload(lines(spark, sf_dir))
     return b.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_blocks"), F.max("chars").alias("chars"), F.bool_or("truncated").alias("truncated"))
 
@@ -137,56 +118,32 @@ def q_crawl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.crawl(links.extract_links(pages).select("url", "link"), pages.select("url").distinct())
 
 
-@query(f"WITH {LINES_SQL}, claim AS (SELECT doc_id, pos, 'note' AS attribute, substr(text, 1, 30) AS value, printf('b%04d', CASE WHEN pos % 4 = 3 THEN pos + 1 ELSE pos END) AS block FROM lines WHERE pos < 6), b AS (SELECT doc_id, printf('b%04d', pos) AS block, text FROM lines), j AS (SELECT c.doc_id, c.pos, c.block, b.text IS NOT NULL AS found FROM claim c LEFT JOIN b ON c.doc_id = b.doc_id AND c.block = b.block), k AS (SELECT doc_id, block, row_number() OVER (PARTITION BY doc_id ORDER BY min(pos)) AS k FROM j WHERE found GROUP BY 1, 2) SELECT j.doc_id, j.pos, coalesce('src-' || (k.k + 1), j.block) AS reference, CASE WHEN found THEN 0.9 ELSE 0.3 END::DOUBLE AS confidence, CASE WHEN found THEN 'extracted' ELSE 'needs_review' END AS status FROM j LEFT JOIN k ON j.doc_id = k.doc_id AND j.block = k.block")
+@query(f"WITH {LINES_SQL}, claim AS (SELECT doc_id, pos, 'note' AS attribute, text AS value, printf('b%04d', CASE WHEN pos % 4 = 3 THEN pos + 1 ELSE pos END) AS block FROM lines), b AS (SELECT doc_id, printf('b%04d', pos) AS block, text FROM lines), j AS (SELECT c.doc_id, c.pos, c.value, c.block, b.text IS NOT NULL AS found FROM claim c LEFT JOIN b ON c.doc_id = b.doc_id AND c.block = b.block), k AS (SELECT doc_id, block, row_number() OVER (PARTITION BY doc_id ORDER BY min(pos)) AS k FROM j WHERE found GROUP BY 1, 2) SELECT j.doc_id, j.pos, coalesce('src-' || (k.k + 1), j.block) AS reference, CASE WHEN found THEN 0.9 ELSE 0.3 END::DOUBLE AS confidence, CASE WHEN found THEN 'extracted' ELSE 'needs_review' END AS status, md5(value) AS value FROM j LEFT JOIN k ON j.doc_id = k.doc_id AND j.block = k.block")
 def q_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     specs, _ = _cited(spark, sf_dir)
-    return specs.select("doc_id", "pos", "reference", "confidence", "status")
-
-
-@query()
-def q_citations_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """q_citations with every line as a claim, and its whole text."""
-    specs, _ = _cited(spark, sf_dir, whole=True)
     return specs.select("doc_id", "pos", "reference", "confidence", "status", F.md5("value").alias("value"))
 
 
-def _cited(spark: SparkSession, sf_dir: str, whole: bool = False) -> tuple[DataFrame, DataFrame]:
+def _cited(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Every line of every document as a claim that cites itself, or in one of four cases the line after it."""
     b = lines(spark, sf_dir)
     block = b.select("doc_id", block_id(F.col("pos")).alias("block_id"), "pos", "text", F.lit(None).cast("array<array<string>>").alias("table"), F.lit(None).cast("string").alias("section"), F.lit(None).cast("int").alias("page"))
-    claims, value = (b, F.col("text")) if whole else (b.filter("pos < 6"), F.substring("text", 1, 30))
-    specs = claims.select("doc_id", "pos", F.lit("note").alias("attribute"), value.alias("value"), F.lit("extracted").alias("status"), F.lit(0.9).alias("confidence"), block_id(F.when(F.col("pos") % 4 == 3, F.col("pos") + 1).otherwise(F.col("pos"))).alias("reference"))
+    specs = b.select("doc_id", "pos", F.lit("note").alias("attribute"), F.col("text").alias("value"), F.lit("extracted").alias("status"), F.lit(0.9).alias("confidence"), block_id(F.when(F.col("pos") % 4 == 3, F.col("pos") + 1).otherwise(F.col("pos"))).alias("reference"))
     sources = table(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("pos"), F.lit("src-1").alias("id"), F.lit("document").alias("type"), F.col("source").alias("reference"), F.lit(None).cast("int").alias("page"))
     return citations.resolve_citations(specs, block, sources)
 
 
-@query(f"WITH {LINES_SQL}, c AS (SELECT doc_id, printf('b%04d', CASE WHEN pos % 4 = 3 THEN pos + 1 ELSE pos END) AS block FROM lines WHERE pos < 6), b AS (SELECT doc_id, printf('b%04d', pos) AS block FROM lines) SELECT doc_id, count(DISTINCT block) AS n_sources FROM c SEMI JOIN b ON c.doc_id = b.doc_id AND c.block = b.block GROUP BY doc_id")
+@query(f"WITH {LINES_SQL}, c AS (SELECT doc_id, printf('b%04d', CASE WHEN pos % 4 = 3 THEN pos + 1 ELSE pos END) AS block FROM lines), b AS (SELECT doc_id, printf('b%04d', pos) AS block FROM lines) SELECT doc_id, count(DISTINCT block) AS n_sources FROM c SEMI JOIN b ON c.doc_id = b.doc_id AND c.block = b.block GROUP BY doc_id")
 def q_cited_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, sources = _cited(spark, sf_dir)
     return sources.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_sources"))
 
 
-@query()
-def q_cited_sources_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """q_cited_sources with every line as a claim."""
-    _, sources = _cited(spark, sf_dir, whole=True)
-    return sources.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_sources"))
-
-
-@query(f"WITH {LINES_SQL}, s AS (SELECT doc_id, pos, text AS value, pos + CASE WHEN pos % 3 = 2 THEN 1 ELSE 0 END AS target FROM lines WHERE pos < 5), j AS (SELECT s.doc_id, s.pos, {_WORDS.format('s.value')} AS v, CASE WHEN l.text IS NULL THEN NULL ELSE {_WORDS.format('l.text')} END AS b, lower(trim(s.value)) IN ('yes', 'no', 'true', 'false', 'n/a', 'na', 'none', 'present', 'absent') AS flag FROM s LEFT JOIN lines l ON s.doc_id = l.doc_id AND s.target = l.pos) SELECT doc_id, pos, b IS NULL OR NOT (flag OR len(v) = 0 OR len(list_intersect(v, b)) / len(v) >= 0.6) AS ungrounded FROM j")
+@query(f"WITH {LINES_SQL}, s AS (SELECT doc_id, pos, text AS value, pos + CASE WHEN pos % 3 = 2 THEN 1 ELSE 0 END AS target FROM lines), j AS (SELECT s.doc_id, s.pos, {WORDS.format('s.value')} AS v, CASE WHEN l.text IS NULL THEN NULL ELSE {WORDS.format('l.text')} END AS b, lower(trim(s.value)) IN ('yes', 'no', 'true', 'false', 'n/a', 'na', 'none', 'present', 'absent') AS flag FROM s LEFT JOIN lines l ON s.doc_id = l.doc_id AND s.target = l.pos) SELECT doc_id, pos, b IS NULL OR NOT (flag OR len(v) = 0 OR len(list_intersect(v, b)) / len(v) >= 0.6) AS ungrounded FROM j")
 def q_score_with_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _scored(spark, sf_dir, "pos < 5")
-
-
-@query()
-def q_score_with_blocks_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """q_score_with_blocks with every line as a claim."""
-    return _scored(spark, sf_dir, "true")
-
-
-def _scored(spark: SparkSession, sf_dir: str, claims: str) -> DataFrame:
     b = lines(spark, sf_dir)
     block = b.select("doc_id", block_id(F.col("pos")).alias("block_id"), "pos", "text", F.lit(None).cast("array<array<string>>").alias("table"))
-    specs = b.filter(claims).select("doc_id", "pos", F.lit("note").alias("attribute"), F.col("text").alias("value"), F.lit(None).cast("string").alias("unit"), F.lit("extracted").alias("status"), F.lit("document").alias("source_type"), block_id(F.col("pos") + F.when(F.col("pos") % 3 == 2, 1).otherwise(0)).alias("reference"))
+    specs = b.select("doc_id", "pos", F.lit("note").alias("attribute"), F.col("text").alias("value"), F.lit(None).cast("string").alias("unit"), F.lit("extracted").alias("status"), F.lit("document").alias("source_type"), block_id(F.col("pos") + F.when(F.col("pos") % 3 == 2, 1).otherwise(0)).alias("reference"))
     return validate.score_with_blocks(specs, block).select("doc_id", "pos", "ungrounded")
 
 
@@ -269,19 +226,15 @@ def q_source_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare.with_source_labels(specs, sources).select("doc_id", "reference", "source_label", "has_citation", compare.percent(F.col("confidence")).alias("shown"))
 
 
-@query("WITH i AS (SELECT p_partkey // 4 AS pair, CASE WHEN p_partkey % 2 = 0 THEN 'left' ELSE 'right' END AS side, (p_partkey % 4) // 2 AS item, p_name FROM part WHERE p_partkey % 12 NOT IN (2, 3)), s AS (SELECT pair, max(n) AS most FROM (SELECT pair, side, count(*) AS n FROM i GROUP BY 1, 2) GROUP BY 1), j AS (SELECT i.*, i.pair % 5 <> 0 AS picked, s.most FROM i JOIN s ON i.pair = s.pair) SELECT pair, side, item, p_name, CASE WHEN NOT picked AND most > 1 THEN 'candidate' ELSE 'chosen' END AS role FROM j WHERE (NOT picked AND most > 1) OR item = CASE WHEN picked AND side = 'left' AND most > 1 THEN 1 ELSE 0 END")
+@query("""WITH i AS (
+    SELECT CASE WHEN p_partkey % 12 IN (2, 3) THEN -p_partkey ELSE p_partkey // 4 END AS pair, CASE WHEN p_partkey % 2 = 0 THEN 'left' ELSE 'right' END AS side, CASE WHEN p_partkey % 12 IN (2, 3) THEN 0 ELSE (p_partkey % 4) // 2 END AS item, p_name FROM part
+), s AS (
+    SELECT pair, max(n) AS most, max(item) AS last FROM (SELECT pair, side, count(*) AS n, max(item) AS item FROM i GROUP BY 1, 2) GROUP BY 1
+), j AS (
+    SELECT i.*, i.pair % 5 <> 0 AS picked, most, last FROM i JOIN s ON i.pair = s.pair
+) SELECT pair, side, CAST(item AS INTEGER) AS item, p_name, CASE WHEN NOT picked AND most > 1 THEN 'candidate' ELSE 'chosen' END AS role FROM j WHERE (NOT picked AND most > 1) OR item = CASE WHEN picked AND side = 'left' THEN last ELSE 0 END""")
 def q_compare_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = F.col("p_partkey")
-    items = table(spark, sf_dir, "part").filter(~(key % 12).isin(2, 3)).select(F.floor(key / 4).alias("pair"), F.when(key % 2 == 0, "left").otherwise("right").alias("side"), F.floor(key % 4 / 2).cast("int").alias("item"), "p_name")
-    most = items.groupBy("pair").agg(F.max("item").alias("last"))
-    picks = most.filter("pair % 5 <> 0").select("pair", F.col("last").alias("left_item"), F.lit(0).alias("right_item"))
-    chosen, candidates = compare.choose_items(items, picks)
-    return chosen.withColumn("role", F.lit("chosen")).unionByName(candidates.withColumn("role", F.lit("candidate")))
-
-
-@query()
-def q_compare_selection_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """q_compare_selection over all parts: those it leaves out are pairs of one side."""
+    """All parts as items of pairs of files: pairs of one item, of two sides with one or two each, with and without a pick."""
     key = F.col("p_partkey")
     single = (key % 12).isin(2, 3)
     items = table(spark, sf_dir, "part").select(F.when(single, -key).otherwise(F.floor(key / 4)).alias("pair"), F.when(key % 2 == 0, "left").otherwise("right").alias("side"), F.when(single, 0).otherwise(F.floor(key % 4 / 2)).cast("int").alias("item"), "p_name")
