@@ -17,6 +17,7 @@ from .scans import running
 FUZZY_CHOICES = [(k, v, "core") for k, v in dims.CORE_COLUMNS.items() if "_" not in k] + [(k, v, "spec") for k, v in dims.ALIASES.items() if k not in dims.BY_NAME]
 FUZZY_LEAST = 0.9
 HEADER_WINDOW = 25
+LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789 "
 
 
 def detect_header(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -34,26 +35,51 @@ def detect_header(rows: DataFrame, keys: list[str]) -> DataFrame:
     return best.filter((F.col("b.n_known") > 0) | (F.col("b.n_full") >= 2)).select(*keys, (F.col("b.row_index") + 1).alias("header_row"), F.col("b.cells").alias("headers"))
 
 
+def _letter_counts(h: Column) -> Column:
+    """How often each of LETTERS is in a text, and how many other characters."""
+    counts = F.transform(F.array(*map(F.lit, LETTERS)), lambda c: F.length(h) - F.length(F.replace(h, c, F.lit(""))))
+    return F.concat(counts, F.array(F.length(F.regexp_replace(h, f"[{LETTERS}]", ""))))
+
+
+def similar_candidates(headers: DataFrame, least: float = FUZZY_LEAST) -> DataFrame:
+    """(normal, choice, key) of the choices that a header (normal) can reach `least` with; those left out cannot.
+
+    A ratio is twice the matched characters over both lengths. Matched are at most as many as the shorter has, so a header meets
+    only choices of lengths near its own, by an equal join on the length; and at most as many as both have of each letter.
+    """
+    spark = headers.sparkSession
+    choices = spark.createDataFrame([(k, key, len(key)) for k, (key, _, _) in enumerate(FUZZY_CHOICES)], "choice int, key string, size int")
+    choices = choices.withColumn("key_counts", _letter_counts(F.col("key")))
+    n = F.length("normal")
+    longest = max(len(key) for key, _, _ in FUZZY_CHOICES)
+    # the bounds are widened by one, and held exactly below
+    sizes = F.sequence(F.greatest(F.lit(1), F.floor(n * (least / (2 - least))).cast("int") - 1), F.least(F.lit(longest), F.ceil(n * ((2 - least) / least)).cast("int") + 1))
+    few = headers.filter((n > 0) & (n * (least / (2 - least)) <= longest + 1)).select("normal", _letter_counts(F.col("normal")).alias("counts"), F.explode(sizes).alias("size"))
+    met = few.join(F.broadcast(choices), "size").filter(2 * F.least(n, F.col("size")) >= least * (n + F.col("size")) - 1e-9)  # as many rows as the dictionary has
+    shared = F.aggregate(F.zip_with("counts", "key_counts", lambda x, y: F.least(x, y)), F.lit(0), lambda t, x: t + x)
+    return met.filter(2 * shared >= least * (n + F.col("size")) - 1e-9).select("normal", "choice", "key")
+
+
 def map_columns(headers: DataFrame, header: str = "header") -> DataFrame:
     """Distinct headers with kind (core, spec, unmapped), target, method (alias, fuzzy, custom_attribute) and confidence.
 
     Exact core names first, then the dictionary on the header as it stands, then the choice most
-    similar by matching blocks (0.9 at least; the first of equals).
+    similar by matching blocks (0.9 at least; the first of equals). Null headers are left out; an empty one is unmapped.
     """
     distinct = headers.select(F.col(header).alias("header")).filter("header is not null").distinct()
     core, spec = lookup(dims.CORE_COLUMNS, normalize_header(F.col("header"))), resolve_attribute(F.col("header"))
 
-    def similar(batches):
+    def ratios(batches):
         for batch in batches:
-            out = []
-            for h in batch.column(0).to_pylist():
-                best = max(((SequenceMatcher(None, h, key).ratio(), -k) for k, (key, _, _) in enumerate(FUZZY_CHOICES)), default=(0.0, 0))
-                _, target, kind = FUZZY_CHOICES[-best[1]]
-                out.append((target, kind, best[0]) if best[0] >= FUZZY_LEAST else (None, None, best[0]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.string()), pa.array([x[2] for x in out], pa.float64())], names=["normal", "fuzzy_target", "fuzzy_kind", "ratio"])
+            found = [SequenceMatcher(None, a, b).ratio() for a, b in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.float64())], names=["normal", "choice", "ratio"])
 
     exact = distinct.select("header", normalize_header(F.col("header")).alias("normal"), core.alias("core"), spec.alias("spec"))
-    fuzzy = exact.filter("core is null and spec is null").select("normal").distinct().mapInArrow(similar, "normal string, fuzzy_target string, fuzzy_kind string, ratio double")
+    near = similar_candidates(exact.filter("core is null and spec is null").select("normal").distinct())
+    judged = near.mapInArrow(ratios, "normal string, choice int, ratio double").filter(F.col("ratio") >= FUZZY_LEAST)
+    best = judged.groupBy("normal").agg(F.max(F.struct("ratio", (-F.col("choice")).alias("rank"))).alias("best"))
+    place = -F.col("best.rank")
+    fuzzy = best.select("normal", *(F.element_at(F.array(*(F.lit(c[i]) for c in FUZZY_CHOICES)), place + 1).alias(name) for i, name in ((1, "fuzzy_target"), (2, "fuzzy_kind"))), F.col("best.ratio").alias("ratio"))
     joined = exact.join(fuzzy, "normal", "left")
     exactly = F.col("core").isNotNull() | F.col("spec").isNotNull()
     return joined.select(
@@ -101,7 +127,7 @@ def map_rows(cells: DataFrame, column_map: DataFrame, keys: list[str]) -> DataFr
 def number_rows(rows: DataFrame, keys: list[str], position: str = "row_index") -> DataFrame:
     """Rows with a filled cell, numbered from 1 in each file."""
     full = rows.filter(F.exists("cells", lambda c: F.coalesce(strip(c), F.lit("")) != ""))
-    return running(full, keys, position, sums={"row_number": F.lit(1)})
+    return running(full, keys, position, sums={"row_number": F.lit(1)}).withColumn("row_number", F.col("row_number").cast("int"))
 
 
 def to_cells(rows: DataFrame, headers: DataFrame, keys: list[str]) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from .. import dims
 from ..functions.specs import check_spec, confidence_bucket, is_known_currency, issue_severity, match_availability, normalize_currency, parse_price, resolve_attribute, reviewed_status, score_spec
 from ..functions.text import custom_name, normalize_header
 from ..functions.units import comparable, normalized_value, parse_numeric, to_base
@@ -170,17 +171,60 @@ def q_comparable_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells(spark, sf_dir).filter(F.trim("value") != "").agg(F.count_distinct(comparable(F.col("value"), F.col("unit"))).alias("n_keys"), F.count(F.lit(1)).alias("n"))
 
 
-@query("""SELECT path, header_row, array_to_string(headers, '|') AS headers FROM (VALUES ('a', 3, ['Product Name', 'Brand', 'SKU']), ('b', 1, ['Item', 'Mfr', 'Unit Cost']), ('c', 2, ['x', 'y', 'z'])) t(path, header_row, headers)""")
-def q_header_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [("a", 0, ["Spring list", None, ""]), ("a", 1, ["", "", ""]), ("a", 2, ["Product Name", "Brand", "SKU"]), ("a", 3, ["Bolt", "Acme", "1"]), ("b", 0, ["Item", "Mfr", "Unit Cost"]), ("b", 1, ["Nut", "Acme", "2"]), ("c", 0, ["only", "", ""]), ("c", 1, ["x", "y", "z"]), ("d", 0, ["alone", "", ""])]
-    raw = spark.createDataFrame(rows, "path string, row_index int, cells array<string>")
-    return catalog.detect_header(raw, ["path"]).select("path", "header_row", F.array_join("headers", "|").alias("headers"))
+#: Headers made of the parts: each has one of the known names without one of its letters, or with one twice, and its type.
+_CHOICES_SQL = "choices AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, '{key}', '{target}', '{kind}')" for k, (key, target, kind) in enumerate(catalog.FUZZY_CHOICES)) + ") t(choice, key, target, kind))"
+_HEADERS_SQL = f"""WITH RECURSIVE {_CHOICES_SQL}, aliases AS (
+    SELECT * FROM (VALUES {", ".join(f"('{k}', '{v}')" for k, v in dims.ALIASES.items())}) v(name, target)
+), headers AS (
+    SELECT DISTINCT CASE p_partkey % 3 WHEN 0 THEN p_type WHEN 1 THEN substring(key, 1, p_size % length(key)) || substring(key, p_size % length(key) + 2) ELSE substring(key, 1, p_size % length(key) + 1) || substring(key, p_size % length(key) + 1) END AS header
+    FROM part JOIN choices ON choice = p_partkey % {len(catalog.FUZZY_CHOICES)}
+), normal AS (
+    SELECT header, trim(regexp_replace(lower(header), '[^a-z0-9]+', ' ', 'g')) AS n FROM headers
+), exact AS (
+    SELECT header, c.target AS core, coalesce(s1.target, s2.target, s3.target) AS spec, n FROM normal
+    LEFT JOIN (VALUES {", ".join(f"('{k}', '{v}')" for k, v in dims.CORE_COLUMNS.items())}) c(name, target) ON c.name = n
+    LEFT JOIN aliases s1 ON s1.name = lower(trim(header)) LEFT JOIN aliases s2 ON s2.name = replace(lower(trim(header)), ' ', '_') LEFT JOIN aliases s3 ON s3.name = replace(lower(trim(header)), '_', ' ')
+), pairs AS (
+    SELECT DISTINCT n, choice, key FROM exact, choices WHERE core IS NULL AND spec IS NULL AND 2 * least(length(n), length(key)) >= 0.9 * (length(n) + length(key)) - 1e-9
+), blocks AS (
+    SELECT n, choice, n AS a, key AS b, 0 AS matched FROM pairs
+    UNION ALL
+    SELECT n, choice, unnest([substring(a, 1, f.i - 1), substring(a, f.i + f.k)]) AS a, unnest([substring(b, 1, f.j - 1), substring(b, f.j + f.k)]) AS b, unnest([f.k, 0]) AS matched FROM (
+        SELECT n, choice, a, b, {{'k': m.k, 'i': -m.i, 'j': -m.j}} AS f FROM (
+            SELECT n, choice, a, b, list_max(flatten(list_transform(range(1, length(a) + 1), lambda i: list_transform(range(1, length(b) + 1), lambda j: {{'k': len(list_filter(range(1, least(length(a) - i, length(b) - j) + 2), lambda k: substring(a, i, k) = substring(b, j, k))), 'i': -i, 'j': -j}})))) AS m
+            FROM blocks WHERE a <> '' AND b <> ''
+        ) WHERE m.k > 0
+    )
+), ratios AS (
+    SELECT n, choice, 2.0 * sum(matched) / (length(n) + any_value(length(key))) AS ratio FROM blocks JOIN choices USING (choice) GROUP BY n, choice
+), best AS (
+    SELECT n, target, kind, ratio FROM ratios JOIN choices USING (choice) WHERE ratio >= 0.9 QUALIFY row_number() OVER (PARTITION BY n ORDER BY ratio DESC, choice) = 1
+), mapped AS (
+    SELECT header, CASE WHEN core IS NOT NULL THEN 'core' WHEN spec IS NOT NULL THEN 'spec' ELSE coalesce(kind, 'unmapped') END AS kind, coalesce(core, spec, target, replace(exact.n, ' ', '_')) AS target,
+        CASE WHEN core IS NOT NULL OR spec IS NOT NULL THEN 'alias' WHEN target IS NOT NULL THEN 'fuzzy' ELSE 'custom_attribute' END AS method, CASE WHEN core IS NOT NULL OR spec IS NOT NULL THEN 1.0 ELSE coalesce(ratio, 0.0) END AS confidence
+    FROM exact LEFT JOIN best ON best.n = exact.n AND core IS NULL AND spec IS NULL
+)"""
+
+
+def part_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = F.array(*(F.lit(key) for key, _, _ in catalog.FUZZY_CHOICES))
+    named = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_size", F.element_at(keys, (F.col("p_partkey") % len(catalog.FUZZY_CHOICES) + 1).cast("int")).alias("key"))
+    place = "CAST(p_size % length(key) AS INT)"
+    return named.select(F.expr(f"CASE p_partkey % 3 WHEN 0 THEN p_type WHEN 1 THEN concat(left(key, {place}), substring(key, {place} + 2)) ELSE concat(left(key, {place} + 1), substring(key, {place} + 1)) END").alias("header")).distinct()
 
 
-@query("""SELECT header, kind, target, method FROM (VALUES ('Product Nam', 'core', 'product_name', 'fuzzy'), ('Rated Volts', 'spec', 'voltage_rating', 'alias'), ('Mfr', 'core', 'brand', 'alias'), ('Cost', 'unmapped', 'cost', 'custom_attribute'), ('Warehouse Bin', 'unmapped', 'warehouse_bin', 'custom_attribute'), ('IP_Rating', 'spec', 'ip_rating', 'alias'), ('Tensile Strengt', 'spec', 'tensile_strength', 'fuzzy')) t(header, kind, target, method)""")
+@query(f"{_HEADERS_SQL} SELECT header, kind, target, method, round(confidence, 9) AS confidence FROM mapped")
 def q_fuzzy_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = ["Product Nam", "Rated Volts", "Mfr", "Cost", "Warehouse Bin", "IP_Rating", "Tensile Strengt"]
-    return catalog.map_columns(spark.createDataFrame([(n,) for n in names], "header string")).select("header", "kind", "target", "method")
+    """Misspelt names of columns, one for each part, and the parts' types."""
+    return catalog.map_columns(part_headers(spark, sf_dir)).withColumn("confidence", F.round("confidence", 9))
+
+
+@query(f"""{_HEADERS_SQL} SELECT count(*) AS total_columns, array_to_string(list_sort(list(DISTINCT target) FILTER (kind = 'core')), ',') AS mapped_core, count(*) FILTER (kind = 'spec') AS n_spec, md5(string_agg(header, ',' ORDER BY header) FILTER (kind = 'unmapped')) AS unmapped,
+    md5(string_agg(header || ':' || target || ':' || method || ':' || CAST(CAST(round(confidence * 1000000) AS BIGINT) AS VARCHAR), ',' ORDER BY header)) AS details FROM mapped""")
+def q_mapping_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    summary = catalog.mapping_summary(catalog.map_columns(part_headers(spark, sf_dir)))
+    told = F.transform(F.array_sort(F.map_entries("mapping_details")), lambda e: F.concat_ws(":", e["key"], e["value"]["target"], e["value"]["method"], F.round(e["value"]["confidence"] * 1000000).cast("long").cast("string")))
+    return summary.select("total_columns", F.array_join("mapped_core", ",").alias("mapped_core"), F.size("mapped_spec").cast("long").alias("n_spec"), F.md5(F.array_join("unmapped", ",")).alias("unmapped"), F.md5(F.array_join(told, ",")).alias("details"))
 
 
 @query("SELECT p_partkey AS row_number, p_name AS product_name, p_brand AS brand, CAST(p_retailprice AS DOUBLE) AS price_value, 2 AS n_specs FROM part")
@@ -199,13 +243,6 @@ def q_normalize_header(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.select("header", normalize_header(F.col("header")).alias("normal"))
 
 
-@query("SELECT 7 AS total_columns, 'brand,product_name' AS mapped_core, 'IP_Rating,Rated Volts,Tensile Strengt' AS mapped_spec, 'Cost,Warehouse Bin' AS unmapped")
-def q_mapping_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = ["Product Nam", "Rated Volts", "Mfr", "Cost", "Warehouse Bin", "IP_Rating", "Tensile Strengt"]
-    summary = catalog.mapping_summary(catalog.map_columns(spark.createDataFrame([(n,) for n in names], "header string")))
-    return summary.select("total_columns", *(F.array_join(c, ",").alias(c) for c in ("mapped_core", "mapped_spec", "unmapped")))
-
-
 #: Parts as raw rows of one catalogue a brand: names, numbers and prices that miss or fail, and the cells without units.
 _RAW = {
     "Product Name": "CASE WHEN p_partkey % 3 <> 0 THEN p_name ELSE '  ' END",
@@ -258,3 +295,13 @@ def q_catalog_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_WARNINGS_SQL)
 def q_catalog_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flow.catalog_records(_raw_catalogs(spark, sf_dir), ["p_brand"], F.col("p_brand"))[1]
+
+
+@query(f"""SELECT p_brand, 1 + ascii(right(p_brand, 1)) % 3 AS header_row, '{'|'.join([*_RAW, *(h for h, _, _ in CELLS)])}' AS headers FROM (SELECT DISTINCT p_brand FROM part)""")
+def q_header_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every brand's catalogue, below none, one or two rows of other text."""
+    raw = _raw_catalogs(spark, sf_dir)
+    shift = F.ascii(F.right("p_brand", F.lit(1))) % 3
+    brands = raw.select("p_brand").distinct().withColumn("row_index", F.explode(F.filter(F.array(F.lit(0), F.lit(1)), lambda k: k < shift)))
+    top = brands.select("p_brand", "row_index", F.array(F.concat(F.lit("Catalogue of "), "p_brand"), F.lit(None).cast("string"), F.lit("")).alias("cells"))
+    return catalog.detect_header(top.unionByName(raw.withColumn("row_index", F.col("row_index") + shift)), ["p_brand"]).select("p_brand", "header_row", F.array_join("headers", "|").alias("headers"))

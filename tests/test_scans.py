@@ -42,3 +42,28 @@ def test_one_huge_sheet(spark):
     rows = spark.range(100_000).select(F.lit("f.csv").alias("path"), F.col("id").alias("row_index"), F.when(F.col("id") % 4 == 3, F.array(F.lit(""), F.lit(None).cast("string"))).otherwise(F.array(F.lit("x"), F.col("id").cast("string"))).alias("cells"))
     got = catalog.number_rows(rows, ["path"])
     assert got.filter(F.col("row_number") != F.col("row_index") - F.floor(F.col("row_index") / 4) + 1).count() == 0 and got.count() == 75_000
+
+
+def test_similar_headers_against_difflib(spark):
+    """Every header that is like a choice is found, with the same ratio, and few choices are compared."""
+    from difflib import SequenceMatcher
+
+    rng = random.Random(9)
+    choices = [key for key, _, _ in catalog.FUZZY_CHOICES]
+    near = ["".join(c for c in key if rng.random() > 0.06) + rng.choice(["", "", "s", " x"]) for key in choices * 6]
+    swapped = [key[:3] + key[4:5] + key[3:4] + key[5:] for key in choices] + ["", " ", "!!!", "x" * 50_000, "length " * 3, "ﬁnish"]
+    headers = sorted({*near, *swapped})
+    normal = lambda h: "".join(c if c in "abcdefghijklmnopqrstuvwxyz0123456789" else " " for c in h.lower())
+    got = {r.header: (r.target, r.method, round(r.confidence, 9)) for r in catalog.map_columns(spark.createDataFrame([(h,) for h in [*headers, None]], "header string")).collect()}
+    assert set(got) == set(headers)
+    for h in headers:
+        if got[h][1] == "alias":
+            continue
+        n = " ".join(normal(h).split())
+        ratios = [SequenceMatcher(None, n, key).ratio() for key in choices] if len(n) < 100 else [0.0]
+        if max(ratios) >= catalog.FUZZY_LEAST:
+            assert got[h] == (catalog.FUZZY_CHOICES[ratios.index(max(ratios))][1], "fuzzy", round(max(ratios), 9)), h
+        else:
+            assert got[h][1:] == ("custom_attribute", 0.0), h
+    pairs = catalog.similar_candidates(spark.createDataFrame([(" ".join(normal(h).split()),) for h in headers], "normal string")).count()
+    assert pairs < 0.05 * len(headers) * len(choices)
