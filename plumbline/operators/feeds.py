@@ -14,6 +14,7 @@ from ..functions.common import filled, let, lookup
 from ..functions.specs import confidence_bucket, expects_unit, is_known_currency, match_availability, normalize_currency, resolve_attribute
 from ..functions.text import iso8601
 from ..functions.units import normalized_value
+from .scans import running, unused
 
 CONTEXT = "https://schema.org/"
 CLASSIFICATION_NOTE = "class_code and feature_code are unset: no licensed classification table is at hand. Category, features, values and units are ready to be joined with one."
@@ -126,3 +127,43 @@ def write_envelopes(records: DataFrame, path: str) -> None:
     fed = map_to_all(records)
     names = ["schema_org", "schema_org_issues", "google", "google_issues", "industrial", "industrial_issues"]
     fed.select("product_name", *names).write.json(path, ignoreNullFields=False)
+
+
+def object_lines(heads: DataFrame, items: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """(keys, part, at, line): the lines of one JSON object for each head, its own fields first and then its items, one a line, in order.
+
+    Items whose keys no head has are left out; a head without items has an empty list.
+    """
+    fields = [c for c in heads.columns if c not in keys]
+    opening = F.regexp_replace(F.to_json(F.struct(*keys, *fields), {"ignoreNullFields": "false"}), r"\}$", ',"items":[')
+    place = unused([*items.columns, *keys], "place")
+    numbered = running(items, keys, order, sums={place: F.lit(1)})
+    body = F.concat(F.when(F.col(place) > 1, F.lit(",")).otherwise(F.lit("")), F.to_json(F.struct(*(c for c in items.columns if c not in keys)), {"ignoreNullFields": "false"}))
+    known = heads.select(*keys)
+    listed = numbered.select(*keys, F.lit(1).alias("part"), F.col(place).cast("long").alias("at"), body.alias("line")).join(known, keys, "left_semi")
+    ends = heads.select(*keys, F.explode(F.array(F.struct(F.lit(0).alias("part"), opening.alias("line")), F.struct(F.lit(2).alias("part"), F.lit("]}").alias("line")))).alias("e"))
+    return listed.unionByName(ends.select(*keys, "e.part", F.lit(0).cast("long").alias("at"), "e.line"))
+
+
+def write_objects(heads: DataFrame, items: DataFrame, keys: list[str], order: str, path: str) -> None:
+    """Writes one JSON object for each head, {keys, fields, "items": [...]}, under path/key=value/, an item a line.
+
+    The lines of a key are sorted in one task and streamed to its file, of any length; none is held. Spark's own commit puts files
+    in place when all tasks are done, so a task that fails leaves no half object and a job that fails leaves none.
+    """
+    lines = object_lines(heads, items, keys, order)
+    by = [F.coalesce(F.col(k).cast("string"), F.lit("")).alias(f"{k}_") for k in keys]
+    placed = lines.select(*by, "part", "at", "line")
+    names = [f"{k}_" for k in keys]
+    placed.repartition(*names).sortWithinPartitions(*names, "part", "at").select(*names, "line").write.partitionBy(*names).text(path)
+
+
+def read_objects(spark, path: str, schema: str) -> DataFrame:
+    """The objects that write_objects wrote, by a schema of theirs."""
+    return spark.read.schema(schema).json(path, multiLine=True)
+
+
+def write_demo(heads: DataFrame, items: DataFrame, keys: list[str], order: str, path: str) -> None:
+    """write_objects under path/objects, and path/index: a JSON line for each head (its keys and fields), in the order of the keys."""
+    write_objects(heads, items, keys, order, f"{path}/objects")
+    heads.orderBy(*keys).write.json(f"{path}/index", ignoreNullFields=False)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.units import round2
-from . import catalog
+from . import catalog, feeds
 from .blocks import bounded_payload, prompts
 from .citations import resolve_citations
 from .extract import Client, extract_records, kept
@@ -42,17 +42,43 @@ def row_warnings(mapped: DataFrame, keys: list[str]) -> DataFrame:
     return mapped.select(*keys, "row_number", found.alias("warning")).filter("warning is not null")
 
 
-def catalog_records(rows: DataFrame, keys: list[str], reference: Column) -> tuple[DataFrame, DataFrame]:
+def mapped_catalogs(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(mapped, column map, headers) of raw catalogue rows (keys, row_index, cells): header row, columns, rows."""
+    headers = catalog.detect_header(rows, keys)
+    cells = catalog.to_cells(rows, headers, keys)
+    columns = catalog.map_columns(cells)
+    return catalog.map_rows(cells, columns, keys), columns, headers
+
+
+def catalog_records(rows: DataFrame, keys: list[str], reference: Column, keep: Callable[[DataFrame], DataFrame] = kept) -> tuple[DataFrame, DataFrame]:
     """(records, warnings) of raw catalogue rows (keys, row_index, cells): header row, columns, rows, checks and scores.
 
-    Records go into feeds.map_to_all as they are.  Rows of files without a header row give nothing.
+    Records go into feeds.map_to_all as they are.  Rows of files without a header row give nothing. Mapped rows are written
+    once, by `keep`, and both results are read from there.
     """
-    cells = catalog.to_cells(rows, catalog.detect_header(rows, keys), keys)
-    mapped = catalog.map_rows(cells, catalog.map_columns(cells), keys)
+    mapped = keep(mapped_catalogs(rows, keys)[0])
     records = build_records(mapped, keys, reference).withColumn("specifications", scored_specs(F.col("specifications")))
     return records.withColumn("overall_confidence", overall_confidence(F.col("specifications"))), row_warnings(mapped, keys)
 
 
+def catalog_envelopes(rows: DataFrame, keys: list[str], reference: Column, keep: Callable[[DataFrame], DataFrame] = kept) -> tuple[DataFrame, DataFrame]:
+    """(heads, items) of catalogue files, for feeds.write_objects: what an upload of each is answered with.
+
+    heads: keys, error, header_row, total_rows, accepted_rows, rejected_rows, row_warnings, column_mapping; a file none of whose rows
+    is accepted has its detected headers in `error`. items: keys, row_number, and the record with its three feeds.
+    """
+    whole, columns, headers = mapped_catalogs(rows, keys)
+    mapped = keep(whole)
+    records = build_records(mapped, keys, reference).withColumn("specifications", scored_specs(F.col("specifications")))
+    records = records.withColumn("overall_confidence", overall_confidence(F.col("specifications")))
+    warned = row_warnings(mapped, keys).groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("row_number", "warning"))), lambda w: w["warning"]).alias("row_warnings"))
+    named = headers.select(*keys, F.explode("headers").alias("header")).filter("header is not null").distinct().join(columns, "header")
+    mapping = named.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("header", F.struct("target", "method", "confidence"))))).alias("column_mapping"))
+    heads = headers.join(catalog.summarize(mapped, keys), keys, "left").join(warned, keys, "left").join(mapping, keys, "left").join(catalog.not_catalogs(mapped, headers, keys), keys, "left")
+    count = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return heads.select(*keys, "error", "header_row", *map(count, ("total_rows", "accepted_rows", "rejected_rows")), F.coalesce("row_warnings", F.array().cast("array<string>")).alias("row_warnings"), "column_mapping"), feeds.map_to_all(records)
+
+
 def document_records(extracted: DataFrame, blocks: DataFrame, files: DataFrame, extracted_at: Column | None = None) -> DataFrame:
     """Records of extracted documents: doc_id, the fields that extracted has, specifications, sources, overall_confidence, extracted_at.
 

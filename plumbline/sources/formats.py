@@ -7,7 +7,9 @@ Each parser takes bytes and gives plain rows; `read_catalogs` and `read_document
 from __future__ import annotations
 
 import csv
+import datetime
 import io
+import itertools
 import json
 import re
 import zipfile
@@ -45,23 +47,21 @@ def choose_header(rows: list[list[str | None]]) -> tuple[int | None, float]:
 
 
 def parse_csv(data: bytes) -> list[tuple[str, int, list[str | None]]]:
-    """('', row index, cells).  The delimiter among , ; tab whose header scores best, earlier rows first; cp1252 where UTF-8 fails, with commas."""
+    """('', row index, cells).  The delimiter among , ; tab whose header scores best, earlier rows first.
+
+    A file that is no UTF-8, or that no delimiter or any of them cannot read, is read as cp1252 with commas.
+    """
     try:
-        text, delimiters = data.decode("utf-8-sig"), [",", ";", "\t"]
-    except UnicodeDecodeError:
-        text, delimiters = data.decode("cp1252", errors="replace"), [","]
-    best = None
-    for k, delimiter in enumerate(delimiters):
-        try:
-            head = [row for row, _ in zip(csv.reader(io.StringIO(text, newline=""), delimiter=delimiter), range(WINDOW))]
-        except csv.Error:
-            continue
-        at, score = choose_header(head)
-        rank = (score, -(at if at is not None else WINDOW), -k)
-        if best is None or rank > best[0]:
-            best = rank, delimiter
-    reader = csv.reader(io.StringIO(text, newline=""), delimiter=best[1] if best else ",")
-    return [("", k, row) for k, row in enumerate(reader)]
+        text = data.decode("utf-8-sig")
+        read = {d: list(csv.reader(io.StringIO(text, newline=""), delimiter=d)) for d in (",", ";", "\t")}
+    except (UnicodeDecodeError, csv.Error):
+        read = {",": list(csv.reader(io.StringIO(data.decode("cp1252", errors="replace"), newline="")))}
+
+    def rank(d: str) -> tuple:
+        at, score = choose_header(read[d][:WINDOW])
+        return score, -(at if at is not None else WINDOW)
+
+    return [("", k, row) for k, row in enumerate(read[max(read, key=rank)])]  # of equals the first
 
 
 _MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -83,33 +83,102 @@ def _number(text: str) -> str:
     return str(int(x)) if x.is_integer() and "." not in text and "e" not in text.lower() else repr(x)
 
 
-def parse_xlsx(data: bytes) -> list[tuple[str, int, list[str | None]]]:
-    """(sheet, row index, cells as text) of the sheet whose header scores best, the first of equals."""
-    with zipfile.ZipFile(io.BytesIO(data)) as book:
-        names = set(book.namelist())
-        shared = []
-        if "xl/sharedStrings.xml" in names:
-            shared = ["".join(t.text or "" for t in item.iter(f"{_MAIN}t")) for item in ElementTree.fromstring(book.read("xl/sharedStrings.xml"))]
-        targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels"))}
-        best = None
-        for sheet in ElementTree.fromstring(book.read("xl/workbook.xml")).iter(f"{_MAIN}sheet"):
-            target = targets[sheet.get(f"{_REL}id")].lstrip("/")
-            rows = []
-            for row in ElementTree.fromstring(book.read(target if target.startswith("xl/") else f"xl/{target}")).iter(f"{_MAIN}row"):
+#: Numbers of built-in formats that show a date or a time.
+_DATE_FORMATS = {*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)}
+
+
+def _shows_date(code: str) -> bool:
+    """Whether a format code shows a date or time: it has d, m, y, h or s outside quotes, escapes and brackets, which may hold elapsed units."""
+    plain = re.sub(r'"[^"]*"|\\.|_.|\*.|\[(?!h+\]|m+\]|s+\])[^\]]*\]', "", code.lower().split(";")[0])
+    return bool(re.search(r"[dmyhs]", plain)) and "general" not in plain
+
+
+class _Book:
+    """An open workbook: its sheets, shared texts, which styles show dates, and where days are counted from."""
+
+    def __init__(self, book: zipfile.ZipFile):
+        self.book, names = book, set(book.namelist())
+        tree = lambda name: ElementTree.fromstring(book.read(name))
+        self.shared = ["".join(t.text or "" for t in item.iter(f"{_MAIN}t")) for item in tree("xl/sharedStrings.xml")] if "xl/sharedStrings.xml" in names else []
+        targets = {r.get("Id"): r.get("Target").lstrip("/") for r in tree("xl/_rels/workbook.xml.rels")}
+        workbook = tree("xl/workbook.xml")
+        self.sheets = [(x.get("name"), t if (t := targets[x.get(f"{_REL}id")]).startswith("xl/") else f"xl/{t}") for x in workbook.iter(f"{_MAIN}sheet")]
+        since_1904 = any(x.get("date1904") in ("1", "true") for x in workbook.iter(f"{_MAIN}workbookPr"))
+        self.epoch = datetime.datetime(1904, 1, 1) if since_1904 else datetime.datetime(1899, 12, 30)
+        self.dates: list[str] = []  # for each style: date, elapsed, or nothing
+        if "xl/styles.xml" in names:
+            styles = tree("xl/styles.xml")
+            codes = {int(f.get("numFmtId")): f.get("formatCode") or "" for f in styles.iter(f"{_MAIN}numFmt")}
+            for xf in next(styles.iter(f"{_MAIN}cellXfs"), ()):
+                number = int(xf.get("numFmtId") or 0)
+                code = codes.get(number, "[h]:mm:ss" if number == 46 else "")
+                elapsed = bool(re.search(r"\[(h+|m+|s+)\]", code.lower()))
+                self.dates.append("elapsed" if elapsed else "date" if (number in codes and _shows_date(code)) or (number not in codes and number in _DATE_FORMATS) else "")
+
+    def moment(self, number: float, kind: str) -> str:
+        """A date cell's text: a date with its time, a time alone below one day, or elapsed time."""
+        day, part = divmod(number, 1)
+        time = datetime.timedelta(milliseconds=round(part * 86_400_000))
+        if kind == "elapsed":
+            return str(datetime.timedelta(days=day) + time)
+        if 0 <= number < 1 and time.days == 0:
+            return str((datetime.datetime.min + time).time())
+        if 0 < number < 60 and self.epoch.year == 1899:
+            day += 1
+        return str(self.epoch + datetime.timedelta(days=day) + time)
+
+    def cell(self, cell) -> str | None:
+        value, kind = cell.find(f"{_MAIN}v"), cell.get("t")
+        if kind == "inlineStr":
+            return "".join(t.text or "" for t in cell.iter(f"{_MAIN}t"))
+        if value is None or value.text is None:
+            return None
+        if kind == "s":
+            return self.shared[int(value.text)]
+        if kind == "b":
+            return {"1": "True", "0": "False"}.get(value.text, value.text)
+        if kind == "d":
+            return str(datetime.datetime.fromisoformat(value.text))
+        if kind in ("str", "e"):
+            return value.text
+        style = int(cell.get("s") or 0)
+        shown = self.dates[style] if style < len(self.dates) else ""
+        try:
+            return self.moment(float(value.text), shown) if shown else _number(value.text)
+        except (ValueError, OverflowError):
+            return value.text
+
+    def rows(self, part: str) -> Iterator[tuple[int, list[str | None]]]:
+        """(row index, cells) of a sheet as it is read; rows that the file leaves out are left out."""
+        index = -1
+        with self.book.open(part) as stream:
+            for _, row in ElementTree.iterparse(stream):
+                if row.tag != f"{_MAIN}row":
+                    continue
+                index = int(row.get("r")) - 1 if row.get("r") else index + 1
                 cells: list[str | None] = []
                 for cell in row.iter(f"{_MAIN}c"):
-                    at = _column(cell.get("r") or "") if cell.get("r") else len(cells)
+                    at = _column(cell.get("r")) if cell.get("r") else len(cells)
                     cells += [None] * (at + 1 - len(cells))
-                    value, kind = cell.find(f"{_MAIN}v"), cell.get("t")
-                    if kind == "inlineStr":
-                        cells[at] = "".join(t.text or "" for t in cell.iter(f"{_MAIN}t"))
-                    elif value is not None and value.text is not None:
-                        cells[at] = shared[int(value.text)] if kind == "s" else {"1": "True", "0": "False"}.get(value.text, value.text) if kind == "b" else value.text if kind == "str" else _number(value.text)
-                rows.append(cells)
-            _, score = choose_header(rows)
+                    cells[at] = self.cell(cell)
+                row.clear()
+                yield index, cells
+
+
+def parse_xlsx(data: bytes) -> list[tuple[str, int, list[str | None]]]:
+    """(sheet, row index, cells as text) of the sheet whose header scores best, the first of equals.
+
+    Of the other sheets only the first rows are read. Numbers, truths, dates and times are written as Python writes them.
+    """
+    with zipfile.ZipFile(io.BytesIO(data)) as package:
+        book = _Book(package)
+        best = None
+        for name, part in book.sheets:
+            head = dict(itertools.takewhile(lambda r: r[0] < WINDOW, book.rows(part)))
+            _, score = choose_header([head.get(k, []) for k in range(max(head, default=-1) + 1)])
             if best is None or score > best[0]:
-                best = score, sheet.get("name"), rows
-    return [(best[1], k, row) for k, row in enumerate(best[2])] if best else []
+                best = score, name, part
+        return [(best[1], k, cells) for k, cells in book.rows(best[2])] if best else []
 
 
 Block = tuple[str, str | None, list[list[str | None]] | None, int | None, str | None]
@@ -290,9 +359,24 @@ def parse_pdf(data: bytes) -> list[Block]:
             items = [(t.bbox[1], ("table", None, [[tidy(c) or None if c else None for c in row] for row in t.extract()], number, None)) for t in tables]
             items += [(line["top"], ("text", tidy(line["text"]), None, number, None)) for line in rest.extract_text_lines() if tidy(line["text"])]
             out += [x for _, x in sorted(items, key=lambda x: x[0])]
+            if not items:
+                out.append(("warning", f"page {number}: no extractable text or tables (likely scanned or image-only)", None, number, None))
     return out
 
 
+def document_warnings(kind: str, name: str, blocks: list[Block]) -> list[str]:
+    """What a reader of a document's blocks should know: nothing was found, or nothing to cite it by; pages' own warnings come with the blocks."""
+    if kind == ".docx":
+        if not blocks:
+            return ["document produced no extractable text or tables"]
+        return [] if any(b[0] == "heading" for b in blocks) else ["no heading styles found: blocks have no section, so citations name the file alone"]
+    if kind == ".html":
+        if not blocks:
+            return [f"'{name}': no extractable text, tables, or JSON-LD product data"]
+        return [] if any(b[4] == "JSON-LD Product" for b in blocks) else [f"'{name}': no JSON-LD Product data found, relying on tables and text alone"]
+    return []
+
+
 CATALOG_PARSERS: dict[str, Callable[[bytes], list]] = {".csv": parse_csv, ".xlsx": parse_xlsx, ".xlsm": parse_xlsx}
 DOCUMENT_PARSERS: dict[str, Callable[[bytes], list[Block]]] = {".pdf": parse_pdf, ".docx": parse_docx, ".html": lambda data: parse_html(data.decode("utf-8", errors="replace"))}
 _TABLE = pa.list_(pa.list_(pa.string()))
@@ -318,7 +402,7 @@ def read_documents(spark: SparkSession, paths: str | list[str]) -> DataFrame:
                 try:
                     if kind not in DOCUMENT_PARSERS:
                         raise ValueError(f"unsupported format {kind!r}; supported: {', '.join(sorted(DOCUMENT_PARSERS))}")
-                    rows = [(k, *b, None) for k, b in enumerate(DOCUMENT_PARSERS[kind](content))]
+                    rows = [(k, *b, None) for k, b in enumerate(b for b in DOCUMENT_PARSERS[kind](content) if b[0] != "warning")]
                 except Exception as error:  # a file's fault is that file's row
                     rows = [(0, None, None, None, None, None, f"{type(error).__name__}: {error}")]
                 yield _blocks(rows, [path] * len(rows), pa.string())
@@ -354,3 +438,74 @@ def read_catalogs(spark: SparkSession, paths: str | list[str]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([path] * len(rows)), pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.list_(pa.string())), pa.array([r[3] for r in rows], pa.string())], names=["path", "sheet", "row_index", "cells", "error"])
 
     return files.mapInArrow(run, "path string, sheet string, row_index int, cells array<string>, error string")
+
+
+#: Rows of files of any format: `kind` is row (of a catalogue), block, warning or error; a file's rows of one kind have pos from 0.
+ROWS = "path string, kind string, pos int, sheet string, cells array<string>, type string, text string, table array<array<string>>, page int, section string"
+
+
+def rows_of(path: str, kind: str, content: bytes) -> Iterator[tuple]:
+    """One file's rows; a fault of the file, or an unknown format, is its only row."""
+    try:
+        if kind in CATALOG_PARSERS:
+            yield from [(path, "row", k, sheet, cells, None, None, None, None, None) for sheet, k, cells in CATALOG_PARSERS[kind](content)]
+            return
+        if kind not in DOCUMENT_PARSERS:
+            raise ValueError(f"unsupported format {kind!r}; supported: {', '.join(sorted([*CATALOG_PARSERS, *DOCUMENT_PARSERS]))}")
+        found = DOCUMENT_PARSERS[kind](content)
+    except Exception as error:  # a file's fault is that file's row
+        yield path, "error", 0, None, None, None, f"{type(error).__name__}: {error}", None, None, None
+        return
+    blocks = [b for b in found if b[0] != "warning"]
+    yield from [(path, "block", k, None, None, *b) for k, b in enumerate(blocks)]
+    own = [(b[1], b[3]) for b in found if b[0] == "warning"]
+    yield from [(path, "warning", k, None, None, None, text, None, page, None) for k, (text, page) in enumerate([*own, *((w, None) for w in document_warnings(kind, path, blocks))])]
+
+
+def _row_batches(files: Iterator[tuple[str, str, bytes]], schema: pa.Schema, most: int = 4096) -> Iterator[pa.RecordBatch]:
+    rows: list[tuple] = []
+    for path, kind, content in files:
+        for row in rows_of(path, kind, content):
+            rows.append(row)
+            if len(rows) >= most:
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
+                rows = []
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
+
+
+def scan(files: DataFrame, folder: str) -> dict[str, DataFrame]:
+    """{kind: rows} of files (path, format, content): each is parsed once, into one table under `folder` that is split by kind.
+
+    Kinds: row (path, pos, sheet, cells), block (path, pos, type, text, table, page, section), warning and error (path, pos, text, page).
+    """
+    schema = files.sparkSession.createDataFrame([], ROWS).toArrow().schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def each() -> Iterator[tuple[str, str, bytes]]:
+            for batch in batches:
+                for k in range(batch.num_rows):  # one file's bytes at a time
+                    path, kind, content = (batch.column(c)[k].as_py() for c in range(3))
+                    yield path, kind, content if content is not None else b""
+
+        yield from _row_batches(each(), schema)
+
+    files.select("path", "format", F.col("content").cast("binary")).mapInArrow(run, ROWS).write.partitionBy("kind").parquet(folder)
+    table = files.sparkSession.read.schema(ROWS).parquet(folder)
+    columns = {"row": ["path", "pos", "sheet", "cells"], "block": ["path", "pos", "type", "text", "table", "page", "section"], "warning": ["path", "pos", "text", "page"], "error": ["path", "pos", "text", "page"]}
+    return {kind: table.filter(F.col("kind") == kind).select(*names) for kind, names in columns.items()}
+
+
+def scan_files(spark: SparkSession, paths: str | list[str], folder: str) -> dict[str, DataFrame]:
+    """scan over files of any mix of formats, chosen by their names' last extension in lower case."""
+    return scan(spark.read.format("binaryFile").load(paths).select("path", extension(F.col("path")).alias("format"), "content"), folder)
+
+
+def tables_only(blocks: DataFrame) -> DataFrame:
+    """The table blocks of documents."""
+    return blocks.filter("type = 'table'")
+
+
+def warnings_by_file(warnings: DataFrame) -> DataFrame:
+    """(path, warnings): each file's warnings in order; a file without any has no row."""
+    return warnings.groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda w: w["text"]).alias("warnings"))
