@@ -9,6 +9,7 @@ from ..functions.specs import check_spec, confidence_bucket, is_known_currency,
 from ..functions.text import custom_name, normalize_header
 from ..functions.units import comparable, normalized_value, parse_numeric, to_base
 from ..operators import catalog, feeds, flow
+from ..sources.tables import scratch_dir
 from .base import CELLS, CELLS_SQL, CHECKED_SQL, OVERALL_SQL, cells, query, records, table
 
 
@@ -305,3 +306,16 @@ def q_header_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     brands = raw.select("p_brand").distinct().withColumn("row_index", F.explode(F.filter(F.array(F.lit(0), F.lit(1)), lambda k: k < shift)))
     top = brands.select("p_brand", "row_index", F.array(F.concat(F.lit("Catalogue of "), "p_brand"), F.lit(None).cast("string"), F.lit("")).alias("cells"))
     return catalog.detect_header(top.unionByName(raw.withColumn("row_index", F.col("row_index") + shift)), ["p_brand"]).select("p_brand", "header_row", F.array_join("headers", "|").alias("headers"))
+
+
+@query(f"""WITH {_RAW_SQL}
+SELECT p_brand, 1 AS header_row, count(*) AS total_rows, count(product_name) AS accepted_rows, count(*) - count(product_name) AS rejected_rows, count(*) FILTER (product_name IS NULL OR price_value IS NULL) AS n_warnings, {len([*_RAW, *CELLS])} AS n_columns,
+    md5(string_agg(product_name, '|' ORDER BY row_number)) AS names FROM named_rows GROUP BY p_brand""")
+def q_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every brand's catalogue written as one object of items and statistics, and read again."""
+    heads, items = flow.catalog_envelopes(_raw_catalogs(spark, sf_dir), ["p_brand"], F.col("p_brand"))
+    at = scratch_dir(spark, "envelopes")
+    feeds.write_objects(heads, items.select("p_brand", "row_number", "product_name", "google", "google_issues"), ["p_brand"], "row_number", at)
+    back = feeds.read_objects(spark, at, "p_brand string, header_row int, total_rows long, accepted_rows long, rejected_rows long, row_warnings array<string>, column_mapping map<string, struct<target: string>>, items array<struct<row_number: int, product_name: string>>")
+    names = F.md5(F.array_join(F.transform("items", lambda x: x["product_name"]), "|"))
+    return back.select("p_brand", "header_row", "total_rows", "accepted_rows", "rejected_rows", F.size("row_warnings").cast("long").alias("n_warnings"), F.size("column_mapping").alias("n_columns"), names.alias("names"))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.text import cache_key
 from ..operators import crawl, links
 from ..sources import fetch
+from ..sources.formats import scan
 from ..sources.tables import scratch_dir
 from .base import query, table
 
@@ -126,3 +127,12 @@ def q_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
     items, summary = crawl.enrich(lists, get, extract, keeper(spark), limit=LIMIT, offset=OFFSET)
     rows = summary.select("catalog", "total_discovered", F.col("enriched").alias("n_enriched"), F.array_join("failed_urls", " ").alias("failed_urls"), "has_more")
     return rows.join(items.select("catalog", F.col("pos").cast("long").alias("pos"), "link", "error", F.when(F.col("enriched"), F.col("product_name")).alias("product_name")), "catalog", "left")
+
+
+@query("""SELECT url, CAST(0 AS INTEGER) AS pos, '''' || url || CASE WHEN NOT regexp_matches(html, '<(h[1-6]|p|li|td|th)[ >]') THEN ''': no extractable text, tables, or JSON-LD product data' ELSE ''': no JSON-LD Product data found, relying on tables and text alone' END AS warning
+FROM pages WHERE html NOT LIKE '%"@type": "Product"%'""")
+def q_page_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a reader of each page's blocks should know, from the scan that also gives its blocks."""
+    files = table(spark, sf_dir, "pages").select(F.col("url").alias("path"), F.lit(".html").alias("format"), F.encode("html", "utf-8").alias("content"))
+    found = scan(files, scratch_dir(spark, "pages"))
+    return found["warning"].select(F.col("path").alias("url"), "pos", F.col("text").alias("warning"))
