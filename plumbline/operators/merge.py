@@ -112,6 +112,7 @@ def merge_records(records: DataFrame, fill: bool = False) -> DataFrame:
     null product is a product. The result's arrays hold what the product's records hold: they meet by product, and
     nothing else does.
     """
+    records = records.withColumn("product", F.struct("product"))  # never null, so null products meet
     specs = records.select("product", "record_ord", F.posexplode("specifications").alias("pos", "s"))
     flat = specs.select("product", "record_ord", "pos", "s.attribute", "s.value", "s.unit", "s.confidence", "s.status", F.col("s.source.reference").alias("reference"), F.col("s.source").alias("source"))
     sources = records.select("product", "record_ord", F.posexplode("sources").alias("pos", "x")).select("product", "record_ord", "pos", "x.id", "x.type", F.col("x.reference").alias("reference"))
@@ -140,7 +141,7 @@ def merge_records(records: DataFrame, fill: bool = False) -> DataFrame:
     empty = lambda name: F.coalesce(name, F.array()).alias(name)
     given = F.struct(*(F.col(f"{f}.record_ord").alias(f) for f in SCALARS)).alias("provenance")
     return joined.select(
-        "product", "n_records", *(F.col(f"{f}.value").alias(f) for f in SCALARS), empty("specifications"), empty("sources"), empty("conflicts"), given,
+        "product.product", "n_records", *(F.col(f"{f}.value").alias(f) for f in SCALARS), empty("specifications"), empty("sources"), empty("conflicts"), given,
         F.coalesce("overall_confidence", "own_confidence").alias("overall_confidence"),
     )
 
