@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from ..dims import STOPWORDS
-from .common import let, strip
+from .common import filled, let, strip
 
 WORD = r"[a-z]+|[0-9]+(?:\.[0-9]+)?"
 
@@ -94,6 +94,11 @@ def display_name(attribute: Column) -> Column:
     return F.replace(attribute, F.lit("_"), F.lit(" "))
 
 
+def display_value(value: Column, unit: Column) -> Column:
+    """A value with its unit behind it, if it has one."""
+    return F.concat_ws(" ", value, filled(unit))
+
+
 def render_block(block: Column) -> Column:
     """A prompt line of struct(block_id, type, text, table, page, section)."""
     where = F.concat_ws(", ", F.when(block["page"].isNotNull(), F.concat(F.lit("page "), block["page"].cast("string"))), F.when(F.coalesce(block["section"], F.lit("")) != "", F.concat(F.lit("section '"), block["section"], F.lit("'"))))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .. import dims
 from ..functions.specs import check_spec, confidence_bucket, is_known_currency, issue_severity, match_availability, normalize_currency, parse_price, resolve_attribute, reviewed_status, score_spec
-from ..functions.text import custom_name, normalize_header
+from ..functions.text import custom_name, display_name, display_value, normalize_header
 from ..functions.units import comparable, normalized_value, parse_numeric, to_base
 from ..operators import catalog, feeds, flow
 from ..sources.tables import scratch_dir
@@ -131,18 +131,36 @@ def q_schema_org(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.col("product_id").alias("id"), "d.name", "d.brand", "d.sku", "d.mpn", "d.category", "d.offers.price", F.col("d.offers.priceCurrency").alias("currency"), "d.offers.availability")
 
 
-@query(f"{_FED} SELECT CAST(k AS VARCHAR) AS id, p_name AS title, description, CASE WHEN k % 2 = 1 THEN 'https://shop.example.com/' || k END AS link, CASE WHEN k % 3 = 0 THEN 'a.png' END AS image_link, CASE WHEN k % 3 = 0 THEN 'b.png,c.png' END AS additional_image_link, brand, mpn, code IN ('USD', 'EUR') AND code IS NOT NULL AND price IS NOT NULL AS priced, stock AS availability, CASE WHEN oc >= 0.8 THEN 'high' WHEN oc >= 0.5 THEN 'medium' ELSE 'low' END AS custom_label_0 FROM rec")
+@query(f"{_FED} SELECT CAST(k AS VARCHAR) AS id, p_name AS title, description, CASE WHEN k % 2 = 1 THEN 'https://shop.example.com/' || k END AS link, CASE WHEN k % 3 = 0 THEN 'a.png' END AS image_link, CASE WHEN k % 3 = 0 THEN 'b.png,c.png' END AS additional_image_link, brand, mpn, CASE WHEN code IN ('USD', 'EUR') AND price IS NOT NULL THEN printf('%.2f', price) || ' ' || code END AS price, stock AS availability, CASE WHEN oc >= 0.8 THEN 'high' WHEN oc >= 0.5 THEN 'medium' ELSE 'low' END AS custom_label_0 FROM rec")
 def q_google_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = records(spark, sf_dir)
     g = r.select(feeds.google_item(r).alias("g")).select("g.*")
-    return g.select("id", "title", "description", "link", "image_link", "additional_image_link", "brand", "mpn", F.col("price").isNotNull().alias("priced"), "availability", "custom_label_0")
+    return g.select("id", "title", "description", "link", "image_link", "additional_image_link", "brand", "mpn", "price", "availability", "custom_label_0")
 
 
-@query(f"WITH {CHECKED_SQL} SELECT CAST(p_partkey AS VARCHAR) AS id, position AS k, coalesce(attribute, header) AS feature_name, CASE WHEN u IS NOT NULL AND base IS NULL THEN NULL WHEN u IS NULL THEN num ELSE x END AS value_num, new_status AS status FROM scored")
+#: Numbers and units as feeds have them: in the base unit of a known unit, or in the attribute's own without one.
+_VALUES_SQL = f"""WITH {CHECKED_SQL}, valued AS (
+    SELECT *, coalesce(attribute, header) AS name, CASE WHEN coalesce(u, '') <> '' THEN CASE WHEN base IS NOT NULL THEN x END ELSE num END AS value_num,
+        CASE WHEN num IS NULL THEN NULL WHEN coalesce(u, '') <> '' THEN base ELSE CASE attribute WHEN 'voltage_rating' THEN 'v' WHEN 'current_rating' THEN 'a' WHEN 'length' THEN 'mm' WHEN 'operating_temp' THEN '°c' END END AS base_unit FROM scored
+)"""
+
+
+@query(f"""{_VALUES_SQL} SELECT CAST(p_partkey AS VARCHAR) AS id, CAST(position AS INTEGER) AS k, name AS feature_name, value_num, CASE WHEN value_num IS NULL THEN value END AS value_str, base_unit AS unit, round(confidence, 9) AS confidence, new_status AS status,
+    replace(name, '_', ' ') || ': ' || value || CASE WHEN coalesce(unit, '') <> '' THEN ' ' || unit ELSE '' END AS shown FROM valued""")
 def q_industrial(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = records(spark, sf_dir)
-    f = r.select("product_id", F.posexplode(feeds.industrial(r)["features"]).alias("k", "f"))
-    return f.select(F.col("product_id").alias("id"), "k", "f.feature_name", "f.value_num", "f.status")
+    f = r.select("product_id", F.posexplode(F.arrays_zip(feeds.industrial(r)["features"].alias("f"), F.col("specifications").alias("s"))).alias("k", "z")).select("product_id", "k", "z.f", "z.s")
+    shown = F.concat(display_name(F.col("f.feature_name")), F.lit(": "), display_value(F.col("s.value"), F.col("s.unit")))
+    return f.select(F.col("product_id").alias("id"), "k", "f.feature_name", "f.value_num", "f.value_str", "f.unit", F.round("f.confidence", 9).alias("confidence"), "f.status", shown.alias("shown"))
+
+
+@query(f"""{_VALUES_SQL} SELECT CAST(p_partkey AS VARCHAR) AS id, CAST(position AS INTEGER) AS k, header AS name, value_num, CASE WHEN value_num IS NULL THEN value END AS value_str, coalesce(nullif(unit, ''), upper(base_unit)) AS unit_text, new_status AS extraction_status,
+    'confidence=' || CAST(CAST(CAST(confidence AS DECIMAL(18, 12)) AS DECIMAL(10, 2)) AS VARCHAR) || ', status=' || new_status AS description FROM valued""")
+def q_property_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The additional properties of every part's Product document."""
+    r = records(spark, sf_dir)
+    p = r.select("product_id", F.posexplode(feeds.schema_org(r)["additionalProperty"]).alias("k", "p"))
+    return p.select(F.col("product_id").alias("id"), "k", "p.name", "p.value_num", "p.value_str", F.col("p.unitText").alias("unit_text"), F.col("p.extractionStatus").alias("extraction_status"), "p.description")
 
 
 @query(f"""{_FED} SELECT feed, issue, count(*) AS n FROM (
