@@ -40,6 +40,23 @@ BY_NAME = {a.name: a for a in ATTRIBUTES}
 #: Lower-cased name or alias -> name.
 ALIASES = {key.lower(): a.name for a in ATTRIBUTES for key in (a.name, *a.aliases)}
 
+# The units that reasons name for an attribute.
+HINTS = {"voltage_rating": "V", "current_rating": "A", "operating_temp": "°C", "tensile_strength": "MPa or psi", "length": "mm or in", "weight": "g or kg"}
+
+# Reasons of checks.
+REASONS = {
+    "no_number": "could not parse '{value}' as a number",
+    "no_unit": "unrecognized unit '{unit}' for {attribute}",
+    "below": "{number} is below minimum {bound} {hint}",
+    "above": "{number} is above maximum {bound} {hint}",
+    "within": "{number} within [{low}, {high}]",
+    "format": "'{value}' matches expected format",
+    "no_format": "'{value}' does not match expected format for {attribute}",
+    "listed": "'{value}' is a known {attribute} value",
+    "not_listed": "'{value}' is not a recognized {attribute} value",
+    "no_rule": "'{attribute}' is not in the attribute dictionary",
+}
+
 # Unit -> (base unit, multiplier).
 UNITS = {
     "v": ("v", 1.0), "kv": ("v", 1000.0), "mv": ("v", 0.001), "a": ("a", 1.0), "ma": ("a", 0.001),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, functions as F
 
 from .. import dims
@@ -21,6 +23,18 @@ def _of_kind(check: str) -> list[str]:
     return [a.name for a in ATTRIBUTES if a.check == check]
 
 
+def shown(x: Column) -> Column:
+    """A double as Python writes it, without an exponent from 1e7 to 1e16, where Spark has one."""
+    large = (F.abs(x) >= 1e7) & (F.abs(x) < 1e16) & (x == F.floor(x))
+    return F.when(large, F.concat(x.cast("decimal(20,0)").cast("string"), F.lit(".0"))).otherwise(x.cast("string"))
+
+
+def said(reason: str, **parts: Column) -> Column:
+    """A reason of dims.REASONS with its parts filled in; null parts are empty."""
+    texts = re.split(r"\{(\w+)\}", dims.REASONS[reason])
+    return F.trim(F.concat(*(F.coalesce(parts[t], F.lit("")) if k % 2 else F.lit(t) for k, t in enumerate(texts))))
+
+
 def check_spec(attribute: Column, value: Column, unit: Column) -> Column:
     """struct(outcome, reason): pass, fail or unverifiable.
 
@@ -34,6 +48,7 @@ def check_spec(attribute: Column, value: Column, unit: Column) -> Column:
         low = lookup({x.name: x.low for x in ATTRIBUTES if x.low is not None}, a)
         high = lookup({x.name: x.high for x in ATTRIBUTES if x.high is not None}, a)
         open_ = a.isin([x.name for x in ATTRIBUTES if x.low_open])
+        hint = F.coalesce(lookup(dims.HINTS, a), F.lit(""))
 
         def of(p: Column) -> Column:
             stated = F.coalesce(p["unit"], F.lit("")) != ""
@@ -43,14 +58,14 @@ def check_spec(attribute: Column, value: Column, unit: Column) -> Column:
                 below = F.coalesce(F.when(open_, x <= low).otherwise(x < low), F.lit(False)) & ~F.isnan(x)
                 above = F.coalesce(x > high, F.lit(False)) & ~F.isnan(x)
                 return (
-                    F.when(below, outcome("fail", F.concat(x.cast("string"), F.lit(" is below the minimum "), low.cast("string"))))
-                    .when(above, outcome("fail", F.concat(x.cast("string"), F.lit(" is above the maximum "), high.cast("string"))))
-                    .otherwise(outcome("pass", F.lit("within range")))
+                    F.when(below, outcome("fail", said("below", number=shown(x), bound=shown(low), hint=hint)))
+                    .when(above, outcome("fail", said("above", number=shown(x), bound=shown(high), hint=hint)))
+                    .otherwise(outcome("pass", said("within", number=shown(x), low=F.coalesce(shown(low), F.lit("None")), high=F.coalesce(shown(high), F.lit("None")))))
                 )
 
             return (
-                F.when(p.isNull(), outcome("unverifiable", F.concat(F.lit("not a number: "), value)))
-                .when(stated & base_unit(p["unit"]).isNull(), outcome("unverifiable", F.concat(F.lit("unknown unit: "), p["unit"])))
+                F.when(p.isNull(), outcome("unverifiable", said("no_number", value=value)))
+                .when(stated & base_unit(p["unit"]).isNull(), outcome("unverifiable", said("no_unit", unit=p["unit"], attribute=a)))
                 .otherwise(let(number, against))
             )
 
@@ -59,17 +74,17 @@ def check_spec(attribute: Column, value: Column, unit: Column) -> Column:
     def patterned(a: Column) -> Column:
         text = F.when(a == "thread_size", F.regexp_replace(strip(value), r"(?iU)\s*[×x]\s*", "x")).otherwise(strip(value))
         matches = F.coalesce(*(F.when(a == x.name, text.rlike(x.pattern)) for x in ATTRIBUTES if x.pattern))
-        return F.when(matches, outcome("pass", F.lit("matches the pattern"))).otherwise(outcome("fail", F.concat(value, F.lit(" does not match the pattern"))))
+        return F.when(matches, outcome("pass", said("format", value=value))).otherwise(outcome("fail", said("no_format", value=value, attribute=a)))
 
     def listed(a: Column) -> Column:
         text = F.lower(strip(value))
         member = F.coalesce(*(F.when(a == x.name, text.isin(list(x.values))) for x in ATTRIBUTES if x.values))
-        return F.when(member, outcome("pass", F.lit("is a listed value"))).otherwise(outcome("fail", F.concat(value, F.lit(" is not a listed value"))))
+        return F.when(member, outcome("pass", said("listed", value=value, attribute=a))).otherwise(outcome("fail", said("not_listed", value=value, attribute=a)))
 
     def of(a: Column) -> Column:
         return (
             F.when(a.isin(_of_kind("range")), ranged(a)).when(a.isin(_of_kind("pattern")), patterned(a)).when(a.isin(_of_kind("enum")), listed(a))
-            .otherwise(outcome("unverifiable", F.concat(F.lit("no rule for "), attribute)))
+            .otherwise(outcome("unverifiable", said("no_rule", attribute=attribute)))
         )
 
     return let(resolve_attribute(attribute), of)

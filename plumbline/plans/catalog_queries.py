@@ -337,3 +337,18 @@ def q_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = feeds.read_objects(spark, at, "p_brand string, header_row int, total_rows long, accepted_rows long, rejected_rows long, row_warnings array<string>, column_mapping map<string, struct<target: string>>, items array<struct<row_number: int, product_name: string>>")
     names = F.md5(F.array_join(F.transform("items", lambda x: x["product_name"]), "|"))
     return back.select("p_brand", "header_row", "total_rows", "accepted_rows", "rejected_rows", F.size("row_warnings").cast("long").alias("n_warnings"), F.size("column_mapping").alias("n_columns"), names.alias("names"))
+
+
+@query(f"""WITH {CHECKED_SQL} SELECT p_partkey, header, outcome, CASE
+    WHEN attribute IS NULL THEN chr(39) || header || chr(39) || ' is not in the attribute dictionary'
+    WHEN attribute = 'ip_rating' THEN chr(39) || value || chr(39) || CASE outcome WHEN 'pass' THEN ' matches expected format' ELSE ' does not match expected format for ip_rating' END
+    WHEN attribute = 'thread_size' THEN chr(39) || value || chr(39) || CASE outcome WHEN 'pass' THEN ' matches expected format' ELSE ' does not match expected format for thread_size' END
+    WHEN attribute = 'material' THEN chr(39) || value || chr(39) || CASE outcome WHEN 'pass' THEN ' is a known material value' ELSE ' is not a recognized material value' END
+    WHEN num IS NULL THEN 'could not parse ' || chr(39) || value || chr(39) || ' as a number'
+    WHEN outcome = 'unverifiable' THEN 'unrecognized unit ' || chr(39) || u || chr(39) || ' for ' || attribute
+    WHEN outcome = 'fail' AND x <= low THEN CAST(x AS VARCHAR) || ' is below minimum ' || CAST(low AS VARCHAR) || ' ' || hint
+    WHEN outcome = 'fail' THEN CAST(x AS VARCHAR) || ' is above maximum ' || CAST(high AS VARCHAR) || ' ' || hint
+    ELSE CAST(x AS VARCHAR) || ' within [' || CAST(low AS VARCHAR) || ', ' || coalesce(CAST(high AS VARCHAR), 'None') || ']' END AS reason
+FROM checked LEFT JOIN (VALUES {", ".join(f"('{a.name}', CAST({a.low if a.low is not None else 'NULL'} AS DOUBLE), CAST({a.high if a.high is not None else 'NULL'} AS DOUBLE), '{dims.HINTS.get(a.name, '')}')" for a in dims.ATTRIBUTES)}) t(name, low, high, hint) ON name = attribute""")
+def q_check_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir).select("p_partkey", "header", "check.outcome", "check.reason")
