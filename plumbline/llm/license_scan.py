@@ -34,6 +34,19 @@ THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH RE
 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
 THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.""",
 }
+#: Sentences that grant a licence, and what licences are called in them; each licence has a notice of each sentence.
+SENTENCES = {
+    "licensed": "Licensed under the {name}.",
+    "terms": "This project is licensed under the terms of the {name}.",
+    "released": "Released under {name}.",
+    "spdx": "SPDX-License-Identifier: {id}",
+}
+NAMES = {
+    "MIT": "MIT license", "ISC": "ISC license", "Apache-2.0": "Apache License 2.0", "BSD-2-Clause": "BSD 2-Clause license", "BSD-3-Clause": "BSD 3-Clause license", "GPL-2.0": "GNU General Public License v2.0", "GPL-3.0": "GNU General Public License v3.0",
+    "LGPL-2.1": "GNU Lesser General Public License v2.1", "LGPL-3.0": "GNU Lesser General Public License v3.0", "AGPL-3.0": "GNU Affero General Public License v3.0", "MPL-2.0": "Mozilla Public License 2.0", "EPL-2.0": "Eclipse Public License 2.0",
+    "Unlicense": "Unlicense license", "CC0-1.0": "CC0 1.0 Universal license", "CC-BY-SA-4.0": "CC BY-SA 4.0 license", "CC-BY-ND-4.0": "CC BY-ND 4.0 license",
+}
+TEMPLATES |= {f"{id}-notice-{kind}": sentence.format(name=name, id=id) for id, name in NAMES.items() for kind, sentence in SENTENCES.items()}
 # Whole texts and standard headers.
 TEMPLATES |= {f.name.removesuffix(".txt"): f.read_text(encoding="utf-8") for f in sorted((files(__package__) / "licenses").iterdir(), key=lambda f: f.name) if f.name.endswith(".txt")}
 
@@ -78,60 +91,89 @@ class Templates:
         for text in np.flatnonzero(((held >= self.least) & (self.least > 0)).any(axis=1)).tolist():
             a, b = words.bounds[text], words.bounds[text + 1]
             line = np.concatenate([[0], np.cumsum(raw[offsets[text] : offsets[text + 1]] == 10)])[words.start[a:b] - offsets[text]]
-            before = _before(gram[a:b])
-            runs = [x for t in np.flatnonzero((held[text] >= self.least) & (self.least > 0)).tolist() for x in self._runs(gram[a:b], before, line, t, int(held[text, t]))]
+            places = _Places(gram[a:b])
+            runs = [x for t in np.flatnonzero((held[text] >= self.least) & (self.least > 0)).tolist() for x in self._runs(gram[a:b], places, line, t, int(held[text, t]))]
             out[text] = [x for _, _, x in sorted(_apart(runs, b - a), key=lambda r: (r[2]["license"], r[0]))]
         return out
 
-    def _runs(self, gram: np.ndarray, before: np.ndarray, line: np.ndarray, t: int, held: int) -> list[tuple[int, int, dict]]:
+    def _runs(self, gram: np.ndarray, places: _Places, line: np.ndarray, t: int, held: int) -> list[tuple[int, int, dict]]:
         """(first word, end, match) of the runs over the threshold that do not overlap, the best first taken, in the text's order."""
         member = np.isin(gram, self.sets[t])
         found, stretches = [], [(0, len(gram))]
         while stretches:  # what lies between the runs taken is searched again
             low, high = stretches.pop()
-            some = self._best_of_starts(member, before, t, held, low, high)
             taken = []
             used = np.zeros(high - low, dtype=bool)
-            for minus, length, begin, size, common in sorted(some):
+            for minus, length, begin, size, common in sorted(self._best_of_starts(member, places, t, held, low, high)):
                 # A run's last bigram takes a word more.
-                if not used[begin - low : begin + length - low + 1].any():
-                    used[begin - low : begin + length - low + 1] = True
-                    taken.append((begin, begin + length + 1))
-                    found.append((begin, begin + length + 1, {"license": self.names[t], "first_line": int(line[begin]), "last_line": int(line[begin + length]), "common": common, "n_bigrams": size, "dice": -minus}))
+                if used[begin - low]:
+                    continue
+                if used[begin - low : begin + length - low + 1].any():
+                    break  # this start may have a shorter run, which the next search finds
+                used[begin - low : begin + length - low + 1] = True
+                taken.append((begin, begin + length + 1))
+                found.append((begin, begin + length + 1, {"license": self.names[t], "first_line": int(line[begin]), "last_line": int(line[begin + length]), "common": common, "n_bigrams": size, "dice": -minus}))
             if taken:
                 taken.sort()
                 stretches += zip([low, *(e for _, e in taken)], [*(b for b, _ in taken), high])
         return found
 
-    def _best_of_starts(self, member: np.ndarray, before: np.ndarray, t: int, held: int, low: int, high: int) -> list[tuple]:
+    def _best_of_starts(self, member: np.ndarray, places: _Places, t: int, held: int, low: int, high: int) -> list[tuple]:
         """(-Dice, length, begin, bigrams, common ones) of the best run from each matched bigram on, within [low, high) and over the threshold.
 
-        A best run begins and ends with a matched bigram.  It is not followed further than its bigrams
-        exceed the bound or all that the text holds are in.
+        A best run begins and ends with a matched bigram, and its first bigram does not come again in it: without it
+        the run would be as good and shorter. So a run ends before its first bigram's next place, behind no matched bigram, and
+        where its bigrams exceed the bound or all that the text holds are in.
         """
-        starts = np.flatnonzero(member[low:high]) + low
+        # A run's words end before `high`, and so its last bigram begins before high - 1.
+        edge = high if high == len(member) else max(low, high - 1)
+        starts = np.flatnonzero(member[low:edge]) + low
         if len(starts) < self.least[t]:
             return []
-        # A run's words end before `high`, and so its last bigram begins before high - 1.
-        edge = high if high == len(member) else high - 1
-        out, target = [], len(self.sets[t])
-        for begin in starts.tolist():
-            reach = int(self.most[t]) + 16
+        stops = np.minimum(places.next[starts], starts[-1] + 1)  # starts[-1] is before the edge
+        room = stops - starts >= self.least[t]
+        out, target, most = [], len(self.sets[t]), int(self.most[t])
+        for begin, stop in zip(starts[room].tolist(), stops[room].tolist()):
+            reach, at = most + 16, None
             while True:
-                end = min(begin + reach, edge)
-                new = before[begin:end] < begin
-                size, common = np.cumsum(new), np.cumsum(new & member[begin:end])
-                if end >= edge or size[-1] > self.most[t] or common[-1] >= held:
+                end = min(begin + reach, stop)
+                at = places.firsts(begin, end)
+                common = np.cumsum(member[at])
+                if end >= stop or len(at) > most or common[-1] >= held:
                     break
-                reach *= 2
-            if len(size) and common[-1] >= self.least[t]:
-                dice = np.where(size <= self.most[t], 2 * common / (size + target), 0)
-                k = int(np.argmax(dice))
-                if dice[k] >= self.threshold:
-                    out.append((-float(dice[k]), k + 1, begin, int(size[k]), int(common[k])))
+                reach *= 4
+            size = np.arange(1, len(at) + 1)
+            dice = np.where(size <= most, 2 * common / (size + target), 0)
+            k = int(np.argmax(dice))
+            if common[k] >= self.least[t] and dice[k] >= self.threshold:
+                out.append((-float(dice[k]), int(at[k]) - begin + 1, begin, k + 1, int(common[k])))
         return out
 
 
+class _Places:
+    """Where a text's bigrams come again: the place before and the next place of each, and the least place before of each block."""
+
+    BLOCK = 256
+
+    def __init__(self, gram: np.ndarray):
+        order = np.argsort(gram, kind="stable")
+        same = gram[order[1:]] == gram[order[:-1]]
+        self.before, self.next = np.full(len(gram), -1, dtype=np.int64), np.full(len(gram), len(gram), dtype=np.int64)
+        self.before[order[1:][same]] = order[:-1][same]
+        self.next[order[:-1][same]] = order[1:][same]
+        whole = len(gram) // self.BLOCK * self.BLOCK
+        self.block = self.before[:whole].reshape(-1, self.BLOCK).min(axis=1)
+
+    def firsts(self, begin: int, end: int) -> np.ndarray:
+        """The places in [begin, end) whose bigram does not come before in it; blocks without any are passed over whole."""
+        a, z = -(-begin // self.BLOCK), end // self.BLOCK
+        if z - a < 4:
+            return np.flatnonzero(self.before[begin:end] < begin) + begin
+        blocks = np.flatnonzero(self.block[a:z] < begin) + a
+        at = np.concatenate([np.arange(begin, a * self.BLOCK), (blocks[:, None] * self.BLOCK + np.arange(self.BLOCK)).ravel(), np.arange(z * self.BLOCK, end)])
+        return at[self.before[at] < begin]
+
+
 def _apart(runs: list[tuple[int, int, dict]], n: int) -> list[tuple[int, int, dict]]:
     """Without the runs of which most lies in one of more common bigrams, as of another version of the licence."""
     used, kept = np.zeros(n, dtype=bool), []
@@ -142,15 +184,6 @@ def _apart(runs: list[tuple[int, int, dict]], n: int) -> list[tuple[int, int, di
     return kept
 
 
-def _before(gram: np.ndarray) -> np.ndarray:
-    """The place of each bigram's last occurrence before, or -1."""
-    order = np.argsort(gram, kind="stable")
-    out = np.full(len(gram), -1, dtype=np.int64)
-    same = gram[order[1:]] == gram[order[:-1]]
-    out[order[1:][same]] = order[:-1][same]
-    return out
-
-
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = 0.8, into: str = "licenses", text_column: str = "text") -> DataFrame:
     """docs with an array column `into` (which replaces one of that name) of matches in order of their names.
 

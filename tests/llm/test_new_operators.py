@@ -4,13 +4,15 @@ import hashlib
 import heapq
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.llm import chunk_dedup, conversation_repair, q_conversations, q_exact_dedup, q_spelling, spelling, toxicity
+from plumbline.llm import chunk_dedup, conversation_repair, license_scan, q_conversations, q_exact_dedup, q_spelling, spelling, toxicity
 from plumbline.llm._shared import Workspace
 
 ROLES = ["system", "user", "assistant", "tool", "", None]
@@ -293,3 +295,96 @@ def test_sample_keeps_to_its_bytes(spark):
     ids = [k for k in range(300) if zlib.crc32(str(k).encode()) % 5]
     got = sample_of(spark, [(k, "x" * 1000, 0, 0) for k in ids], [(k, k % 2, "") for k in ids], texts_per_label={1: 100, 0: 100}, most_bytes=40_000)
     assert Counter(y for _, y, _ in got) == {1: 20, 0: 20}
+
+
+# op2: runs against brute force, recall on edited notices, long texts
+
+
+def runs_by_force(text, template, threshold=0.8):
+    """Greedy over all runs of words: the highest Dice, then the shortest, then the first; none overlap."""
+    word = lambda t: re.findall(r"[a-z0-9]+", t.lower())
+    words, want = word(text), word(template)
+    target = set(zip(want, want[1:]))
+    options = []
+    for b in range(len(words)):
+        seen = set()
+        for e in range(b + 1, len(words)):
+            seen.add((words[e - 1], words[e]))
+            dice = 2 * len(seen & target) / (len(seen) + len(target))
+            if dice >= threshold:
+                options.append((-dice, e - b, b, e, len(seen & target), len(seen)))
+    taken = []
+    for minus, _, b, e, common, size in sorted(options):
+        if all(e < x or b > y for x, y, *_ in taken):
+            taken.append((b, e, common, size, round(-minus, 9)))
+    return sorted(taken)
+
+
+def found_runs(text, templates):
+    raw = text.encode()
+    scanned = license_scan.Templates(templates, 0.8).scan(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0]
+    return [(m["license"], m["first_line"], m["last_line"], m["common"], m["n_bigrams"], round(m["dice"], 9)) for m in scanned]
+
+
+def test_licence_runs_against_brute_force():
+    rng = random.Random(13)
+    for _ in range(150):
+        template = " ".join(rng.choice("abcdef") for _ in range(rng.randint(3, 9)))
+        text = "\n".join(rng.choice(["a", "b", "c", "d", "e", "f", "x", template, template]) for _ in range(rng.randint(1, 14)))
+        words = re.findall(r"[a-z]", text)
+        line, lines = 0, []
+        for k in re.finditer(r"[a-z]|\n", text):
+            line += k.group() == "\n"
+            if k.group() != "\n":
+                lines.append(line)
+        want = [("t", lines[b], lines[e], common, size, dice) for b, e, common, size, dice in runs_by_force(text, template)]
+        assert found_runs(text, {"t": template}) == want, (template, words)
+
+
+def edited(rng, text, change):
+    words = text.split()
+    for _ in range(int(len(words) * change)):
+        k = rng.randrange(len(words))
+        words[k : k + 1] = rng.choice([[], [words[k], "indeed"], ["changed"]])
+    return words
+
+
+def test_licence_recall():
+    """Notices and texts, edited in one word of forty, wrapped anew and within other words, are found under their licence."""
+    rng, templates = random.Random(21), license_scan.Templates(license_scan.TEMPLATES, 0.8)
+    base = lambda name: re.sub(r"-(notice|header).*", "", name)
+    tried, kept = Counter(), Counter()
+    for name, text in license_scan.TEMPLATES.items():
+        for kind in ("as it is", "wrapped", "mid-line", "edited"):
+            words = edited(rng, text, 0.025) if kind == "edited" else text.split()
+            if kind == "wrapped":
+                words = [w + rng.choice([" ", " ", " ", "\n", "\n * "]) for w in words]
+            body = "".join(words) if kind == "wrapped" else " ".join(words)
+            page = f"Some words before, {body} and after it more words.\nLast line." if kind != "as it is" else body
+            raw = page.encode()
+            got = {base(m["license"]) for m in templates.scan(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0]}
+            tried[kind] += 1
+            kept[kind] += base(name) in got
+    assert all(kept[k] >= 0.9 * n for k, n in tried.items()), (tried, kept)
+    for line, want in (("This project is licensed under the terms of the MIT license.", "MIT"), ("released under mit license", "MIT"), ("# SPDX-License-Identifier: MIT", "MIT"), ("// SPDX-License-Identifier: Apache-2.0", "Apache-2.0")):
+        raw = line.encode()
+        assert {base(m["license"]) for m in templates.scan(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0]} == {want}, line
+    for line in ("The software is provided to all.", "licensed under the old rules of the house", "the terms of the public license of the town", "2 0 2 0 2 0"):
+        raw = line.encode()
+        assert templates.scan(np.frombuffer(raw, np.uint8), np.array([0, len(raw)])) == [[]], line
+
+
+def test_long_texts_of_licence_words():
+    templates = license_scan.Templates(license_scan.TEMPLATES, 0.8)
+    mit, gpl = license_scan.TEMPLATES["MIT"], license_scan.TEMPLATES["GPL-3.0"]
+
+    def seconds(text):
+        raw = text.encode()
+        began = time.perf_counter()
+        found = templates.scan(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0]
+        return time.perf_counter() - began, Counter(m["license"] for m in found)
+
+    took, found = seconds(mit + "\nthe software" * 20_000)
+    assert took < 2 and found["MIT"] == 1  # under one second on an idle machine
+    took, found = seconds("\n".join([gpl] * 16))
+    assert found["GPL-3.0"] == 16 and took < 20
