@@ -49,7 +49,7 @@ def running(items: DataFrame, keys: list[str], pos: str, sums: dict[str, Column]
         *(F.col(c).alias(f"k{k}") for k, c in enumerate([*keys, cut])), *(F.coalesce(F.sum(f"t{k}").over(before), F.lit(0)).alias(f"t{k}") for k in range(len(sums))), *(F.last(f"v{k}", ignorenulls=True).over(before).alias(f"v{k}") for k in range(len(lasts)))
     )
     rows = valued.withColumns(local)
-    joined = rows.join(offsets, same(rows, offsets, [*keys, cut], [f"k{k}" for k in range(len(keys) + 1)]))
+    joined = rows.join(offsets, same(rows, offsets, [*keys, cut], [f"k{k}" for k in range(len(keys) + 1)]))  # keys may be none: all rows are one key's
     whole = {n: rows[n] + offsets[f"t{k}"] for k, n in enumerate(sums)} | {n: F.coalesce(rows[n], offsets[f"v{k}"]) for k, n in enumerate(lasts)}
     kept = [c for c in rows.columns if c not in whole and c != cut and c not in values.values()]
     return joined.select(*(rows[c] for c in kept), *(c.alias(n) for n, c in whole.items()))
