@@ -122,7 +122,7 @@ def find(words: list[Words], phrases: Phrases) -> Iterator[list[tuple[int, list[
             mark = np.concatenate([[False], hit[base + a : base + b], [False]])
             edge = np.flatnonzero(mark[1:] != mark[:-1])
             spans = list(zip(edge[::2].tolist(), (edge[1::2] - 1).tolist()))
-            items = sorted({x for p in np.unique(own[text == t, 1]) for x in phrases.items[p]})
+            items = sorted({x for p in np.unique(own[text == t, 1]) for x in phrases.items[p] if x is not None})
             out[t] = (sum(q - p + 1 for p, q in spans), spans, items)
         base += len(w.start)
         yield out
@@ -158,11 +158,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, into:
     one.  Every word inside an occurrence is hit.  Null or wordless texts have no words
     and no hits; null or wordless items have no phrase; items of a null id stand in no
     list.  With remove, the bytes of each span, first word to last, are cut out of the
-    text.  Rows keep their number, copies included.
+    text.  Rows keep their number, copies included; without rows there are none.  Of the
+    benchmark, two blocks of BLOCK_WORDS words are on the driver at most.
     """
     work = Workspace(docs.sparkSession, "decontamination")
     out = docs.drop(into)
-    blocks = list(_blocks(benchmark, width)) if benchmark is not None else []
+    blocks = _blocks(benchmark, width) if benchmark is not None else iter([Phrases([], width)])
     text_at = out.columns.index(text_column)
     schema = T.StructType([*out.schema.fields, T.StructField(into, FOUND)])
     arrow = to_arrow_schema(schema)
@@ -175,7 +176,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, into:
             def flush() -> Iterator[pa.RecordBatch]:
                 for (piece, w), found in zip(held, find([w for _, w in held], shared.value)):
                     counts = w.counts.tolist()
-                    rows = [{"n_words": n, "n_hit": hit, "items": [x for x in items if x is not None], "spans": spans} for n, (hit, spans, items) in zip(counts, found)]
+                    rows = [{"n_words": n, "n_hit": hit, "items": items, "spans": spans} for n, (hit, spans, items) in zip(counts, found)]
                     if number:
                         for row, old in zip(rows, piece.column(len(arrow) - 1).to_pylist()):
                             row["items"] = sorted({*row["items"], *old["items"]})
@@ -213,8 +214,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = 10, into:
 
         return run
 
-    for number, block in enumerate(blocks or [Phrases([], width)]):
-        if number:
+    number, block = 0, next(blocks)
+    while block is not None:
+        following = next(blocks, None)
+        held = docs.sparkSession.sparkContext.broadcast(block)
+        out = out.mapInArrow(scan(number, held, following is None), schema)
+        if following is not None:  # a pass is written before the next block is sent, and its own is given up
             out = work.write(out, f"pass-{number}")
-        out = out.mapInArrow(scan(number, docs.sparkSession.sparkContext.broadcast(block), number + 1 >= len(blocks)), schema)
+            held.destroy()
+            if number:
+                work.drop(f"pass-{number - 1}")
+        number, block = number + 1, following
     return out

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..operators.scans import unused
 from ._shared import Workspace
 
 SPACE = r"[\x20\x09-\x0D]+"
@@ -157,15 +158,19 @@ def score_quality(docs: DataFrame, into: str = "quality_rules", threshold: float
     Its fields: the statistics, votes, base_failed (fewer than ten words, or more than a fifth
     of them in repeated five-word windows), posterior and kept (not base_failed, and
     posterior >= threshold).  A null or wordless text is base_failed.  Copies are judged
-    alike.  The statistics are written once to the shared folder, with the columns kept, and
+    alike, a null text as an empty one; an empty table gives no rows.  Columns may have any
+    names.  The statistics are written once to the shared folder, with the columns kept, and
     read for both fitting and scoring.
     """
     names = [c for c in (docs.columns if keep is None else keep) if c != into]
     work = Workspace(docs.sparkSession, "quality-rules")
-    counted = docs.select(*(docs[c] for c in names), text_statistics(docs[text_column]).alias("__s"))
-    voted = work.write(counted.withColumn("__v", votes("__s")), "votes")
-    model = fit(voted, "__v")
-    failed = (F.col("__s.n_words") < 10) | (100 * F.col("__s.n_repeat_words") > 20 * F.col("__s.n_words"))
-    posterior = model.posterior(F.col("__v"))
+    held = unused(names, "held")
+    counted = docs.select(*(docs[f"`{c}`"] for c in names), text_statistics(docs[text_column]).alias(held))
+    voted = work.write(counted.withColumn(held, F.struct(F.col(held).alias("s"), votes(f"`{held}`").alias("v"))), "votes")
+    model = fit(voted, f"{held}.v")
+    s = F.col(f"{held}.s")
+    failed = (s["n_words"] < 10) | (100 * s["n_repeat_words"] > 20 * s["n_words"])
+    posterior = model.posterior(F.col(f"{held}.v"))
     kept = ~failed & (posterior >= threshold)
-    return voted.select(*names, F.struct("__s.*", F.col("__v").alias("votes"), failed.alias("base_failed"), posterior.alias("posterior"), kept.alias("kept")).alias(into))
+    found = F.struct(f"{held}.s.*", F.col(f"{held}.v").alias("votes"), failed.alias("base_failed"), posterior.alias("posterior"), kept.alias("kept"))
+    return voted.select(*(voted[f"`{c}`"] for c in names), found.alias(into))

@@ -25,8 +25,9 @@ import pyarrow as pa
 import pyarrow.fs
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
+from ..operators.scans import running
 from ._bytes import slices
 from ._shared import Workspace
 
@@ -195,7 +196,7 @@ _ENCODERS: dict[str, WordEncoder] = {}
 
 
 def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, work: Workspace, planes: str = "byte", block: int = BLOCK, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Writes documents in ascending id order (nulls first; equal ids in any order) and returns the manifest.
+    """Writes documents in ascending id order (nulls first; equal ids by a hash of their texts) and returns the manifest.
 
     The manifest (file, path, first, n_docs, n_ids) has a row per file of about 16 MB of text;
     `first` is the number of ids in all files before it.  A file is written under a
@@ -229,10 +230,11 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, work: Worksp
             system.move(temporary, f"{root}/{number:08d}.planes")
             yield pa.RecordBatch.from_pydict({"file": [number], "path": [f"{folder}/{number:08d}.planes"], "n_docs": [len(writer.ids)], "n_ids": [writer.total]})
 
-    dealt = base.repartitionByRange(max(1, -(-size // FILE_TEXT)), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    # equal and null ids are dealt over files by their texts
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    dealt = base.repartitionByRange(max(1, -(-size // FILE_TEXT)), *order).sortWithinPartitions(*order)
     manifest = work.write(dealt.mapInArrow(run, "file long, path string, n_docs long, n_ids long"), "manifest")
-    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    return manifest.withColumn("first", F.coalesce(F.sum("n_ids").over(before), F.lit(0).cast("long")))
+    return running(manifest, [], "file", sums={"first": F.col("n_ids")}).withColumn("first", F.col("first") - F.col("n_ids"))
 
 
 def read_token_files(manifest: DataFrame, describe=None, described: str = "ids array<int>") -> DataFrame:

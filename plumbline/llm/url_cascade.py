@@ -16,6 +16,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..operators.scans import unused
+from ._shared import Workspace
+
 U64 = np.uint64
 #: Keys of one shard, about; and the most bytes of cascades that are broadcast at once.
 SHARD_KEYS = 1_000_000
@@ -64,7 +67,8 @@ def _hashes(key: Column) -> tuple[Column, Column]:
 
 def _places(a: np.ndarray, b: np.ndarray, level: int, bits: int, hashes: int) -> np.ndarray:
     step = (b ^ U64((0x9E3779B97F4A7C15 * (level + 1)) & (2**64 - 1))) | U64(1)
-    return (a[:, None] + step[:, None] * np.arange(1, hashes + 1, dtype=np.uint64)) * U64(0xD6E8FEB86659FD93) % U64(bits)
+    mixed = (a[:, None] + step[:, None] * np.arange(1, hashes + 1, dtype=np.uint64)) * U64(0xD6E8FEB86659FD93)
+    return (mixed >> U64(29)) % U64(bits)  # high bits depend on all bits of a and b, so no two keys agree on every level
 
 
 def _level(a: np.ndarray, b: np.ndarray, level: int) -> np.ndarray:
@@ -102,59 +106,77 @@ def is_listed(levels: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndar
 
 
 def build_cascades(universe: DataFrame, listed: DataFrame, key: str = "key") -> DataFrame:
-    """(shard, levels) for all keys of both tables; null keys are left out.  `listed` keys need not be in the universe."""
+    """(shard, levels) for all keys of both tables, in a written table; null keys are left out.
+
+    `listed` keys need not be in the universe; repeated keys count once, and keys of any length by their 128 bits of hash.
+    Without keys there are no shards, and nothing is listed. Other columns are not read.
+    """
+    work = Workspace(universe.sparkSession, "url-cascade")
     keys = universe.select(F.col(key).alias("k"), F.lit(False).alias("in_list")).unionByName(listed.select(F.col(key).alias("k"), F.lit(True).alias("in_list"))).filter("k is not null")
     a, b = _hashes(F.col("k"))
-    hashed = keys.select(a.alias("a"), b.alias("b"), "in_list").groupBy("a", "b").agg(F.max("in_list").alias("in_list")).persist()
-    try:
-        shards = max(1, -(-hashed.count() // SHARD_KEYS))
+    hashed = work.write(keys.select(a.alias("a"), b.alias("b"), "in_list").groupBy("a", "b").agg(F.max("in_list").alias("in_list")), "keys")
+    shards = max(1, -(-hashed.count() // SHARD_KEYS))
 
-        def build(table: pa.Table) -> pa.Table:
-            own = table.sort_by([("a", "ascending"), ("b", "ascending")])
-            levels = build_levels(own.column("a").to_numpy().view(np.uint64), own.column("b").to_numpy().view(np.uint64), own.column("in_list").to_numpy())
-            return pa.table({"shard": pa.array([own.column("shard")[0].as_py()], pa.int32()), "levels": pa.array([[x.tobytes() for x in levels]], pa.list_(pa.binary()))})
+    def build(table: pa.Table) -> pa.Table:
+        own = table.sort_by([("a", "ascending"), ("b", "ascending")])
+        levels = build_levels(own.column("a").to_numpy().view(np.uint64), own.column("b").to_numpy().view(np.uint64), own.column("in_list").to_numpy())
+        return pa.table({"shard": pa.array([own.column("shard")[0].as_py()], pa.int32()), "levels": pa.array([[x.tobytes() for x in levels]], pa.list_(pa.binary()))})
 
-        dealt = hashed.withColumn("shard", F.pmod(F.xxhash64("b"), F.lit(shards)).cast("int"))
-        built = dealt.groupBy("shard").applyInArrow(build, "shard int, levels array<binary>")
-        return universe.sparkSession.createDataFrame(built.toArrow(), "shard int, levels array<binary>") if shards == 1 else built.persist()
-    finally:
-        hashed.unpersist()
+    dealt = hashed.withColumn("shard", F.pmod(F.xxhash64("b"), F.lit(shards)).cast("int"))
+    built = work.write(dealt.groupBy("shard").applyInArrow(build, "shard int, levels array<binary>"), "cascades")
+    work.drop("keys")
+    return built
 
 
 def any_listed(df: DataFrame, keys_column: str, cascades: DataFrame, into: str = "listed") -> DataFrame:
-    """df with a boolean column: whether any of the keys in an array column is listed.  Null or empty arrays are not.
+    """df with a boolean column `into` (which replaces one of that name): whether any of the keys in an array column is listed.
 
-    Cascades are broadcast in blocks of a bounded size; df is read once for each.
+    Null or empty arrays, and null keys in them, are not; repeated rows are judged alike, an empty table stays empty.
+    Cascades are broadcast in blocks of a bounded size, one at a time: between two blocks the rows are written to the
+    shared folder, and the block before is given up.
     """
-    shards = cascades.agg(F.max("shard")).first()[0]
-    shards = 0 if shards is None else shards + 1
-    sized = cascades.select("shard", F.aggregate("levels", F.lit(0).cast("long"), lambda s, x: s + F.length(x)).alias("bytes"))
-    total = sized.agg(F.sum("bytes")).first()[0] or 0
-    blocks = max(1, -(-total // BROADCAST_BYTES))
+    work = Workspace(df.sparkSession, "url-blocks")
+    sizes = cascades.select("shard", F.aggregate("levels", F.lit(0).cast("long"), lambda s, x: s + F.length(x)).alias("bytes")).orderBy("shard").collect()
+    shards = 1 + max((r["shard"] for r in sizes), default=-1)
+    blocks: list[list[int]] = []
+    room = 0
+    for r in sizes:
+        if not blocks or r["bytes"] > room:
+            blocks.append([])
+            room = BROADCAST_BYTES
+        blocks[-1].append(r["shard"])
+        room -= r["bytes"]
     out = df.drop(into).withColumn(into, F.lit(False))
     names = out.columns
-    for block in range(blocks if shards else 0):
-        rows = cascades.filter(F.col("shard") % blocks == block).collect()
+    keyed = unused(names, "keys")
+    at = names.index(into)
+    held = None
+    for number, block in enumerate(blocks):
+        if number:
+            out = work.write(out, f"block-{number}")
+            held.destroy()
+            work.drop(f"block-{number - 1}")
+        rows = cascades.filter(F.col("shard").isin(block)).collect()
         held = df.sparkSession.sparkContext.broadcast({r["shard"]: [np.frombuffer(x, np.uint8) for x in r["levels"]] for r in rows})
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                keys = batch.column("__keys")
+                keys = batch.column(len(names))
                 flat = keys.flatten()
                 a, b = (flat.field(k).to_numpy(zero_copy_only=False).view(np.uint64) for k in (0, 1))
                 shard = flat.field(2).to_numpy(zero_copy_only=False)
                 hit = np.zeros(len(a), dtype=bool)
-                for number, levels in held.value.items():
-                    own = np.flatnonzero(shard == number)
+                for which, levels in held.value.items():
+                    own = np.flatnonzero(shard == which)
                     if len(own):
                         hit[own] = is_listed(levels, a[own], b[own])
                 bounds = np.concatenate([[0], np.cumsum([0 if n is None else n for n in keys.value_lengths().to_pylist()])])
                 running = np.concatenate([[0], np.cumsum(hit)])
-                found = (running[bounds[1:]] > running[bounds[:-1]]) | batch.column(batch.schema.get_field_index(into)).to_numpy(zero_copy_only=False)
-                columns = [pa.array(found) if n == into else batch.column(k) for k, n in enumerate(batch.schema.names[:-1])]
-                yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
+                found = (running[bounds[1:]] > running[bounds[:-1]]) | batch.column(at).to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([pa.array(found) if k == at else batch.column(k) for k in range(len(names))], names=names)
 
-        a, b = (lambda x: _hashes(x)[0]), (lambda x: _hashes(x)[1])
-        hashed = out.withColumn("__keys", F.transform(F.coalesce(keys_column, F.array().cast("array<string>")), lambda x: F.struct(a(x).alias("a"), b(x).alias("b"), F.pmod(F.xxhash64(b(x)), F.lit(shards)).cast("int").alias("s"))))
-        out = hashed.select(*names, "__keys").mapInArrow(run, out.schema)
+        hashes = lambda x: F.struct(_hashes(x)[0].alias("a"), _hashes(x)[1].alias("b"), F.pmod(F.xxhash64(_hashes(x)[1]), F.lit(shards)).cast("int").alias("s"))
+        asked = F.array_compact(F.coalesce(F.col(f"`{keys_column}`"), F.array().cast("array<string>")))
+        hashed = out.withColumn(keyed, F.transform(asked, hashes))
+        out = hashed.select(*(f"`{n}`" for n in names), keyed).mapInArrow(run, out.schema)
     return out

@@ -388,3 +388,77 @@ def test_long_texts_of_licence_words():
     assert took < 2 and found["MIT"] == 1  # under one second on an idle machine
     took, found = seconds("\n".join([gpl] * 16))
     assert found["GPL-3.0"] == 16 and took < 20
+
+
+# op1, op4, op5, op10: clashing names, blocks that do not fit together, repeated and null keys
+
+
+def test_quality_rules_with_clashing_names(spark):
+    from plumbline.llm import quality_rules
+
+    schema = "doc_id long, text string, __s string, __v string, held int, votes int, quality_rules int"
+    rows = [(k, t, "s", "v", 1, 2, 3) for k, t in enumerate(["A plain text of some ten words that reads well enough.", "", None, "x"])]
+    got = quality_rules.score_quality(spark.createDataFrame(rows, schema)).orderBy("doc_id").collect()
+    assert [(r["__s"], r.held, r.votes, r.quality_rules.base_failed) for r in got] == [("s", 1, 2, False)] + [("s", 1, 2, True)] * 3
+    assert quality_rules.score_quality(spark.createDataFrame([], schema)).collect() == []
+
+
+def test_benchmark_of_many_blocks(spark, monkeypatch):
+    """One block of the benchmark at a time finds what all at once do, and cuts the same spans."""
+    from plumbline.llm import decontamination
+
+    rng = random.Random(6)
+    words = [f"{a}{b}" for a in "bcdfg" for b in ("a", "en", "or", "ul")]
+    items = [(f"i{k}" if k != 3 else None, " ".join(rng.choice(words) for _ in range(rng.choice([3, 10, 14])))) for k in range(12)] + [("none", None), ("i1", "again a short one")]
+    docs = [(k, " ".join([*(rng.choice(words) for _ in range(5)), rng.choice(items)[1] or "", *(rng.choice(words) for _ in range(3)), rng.choice(items)[1] or ""]), "x") for k in range(60)] + [(60, None, "x"), (None, "", "x"), (1, items[0][1], "x"), (1, items[0][1], "x")]
+    docs, bench = spark.createDataFrame(docs, "doc_id long, text string, items string"), spark.createDataFrame(items, "item_id string, text string")
+
+    def found():
+        return sorted(((r.doc_id, r.text, r.contamination.n_words, r.contamination.n_hit, list(r.contamination["items"]), [tuple(s) for s in r.contamination.spans]) for r in decontamination.decontaminate(docs, bench, remove=True).collect()), key=repr)
+
+    whole = found()
+    assert sum(r[3] > 0 for r in whole) > 40
+    monkeypatch.setattr(decontamination, "BLOCK_WORDS", 8)
+    assert len(list(decontamination._blocks(bench, 10))) > 4 and found() == whole
+    assert decontamination.decontaminate(docs.limit(0), bench).collect() == []
+
+
+def test_cascades_of_many_shards_and_blocks(spark, monkeypatch):
+    from plumbline.llm import url_cascade
+
+    rng = random.Random(7)
+    names = [f"host{k}.example" for k in range(600)] + ["h" * 200_000]
+    listed = set(rng.sample(names, 150))
+    universe = spark.createDataFrame([(n, 1) for n in names * 2] + [(None, 1)], "key string, shard int")
+    rows = [(k, rng.sample(names, rng.randint(0, 3)) + [None] * (k % 2), False, "x", 5) for k in range(300)] + [(300, None, True, "x", 5), (301, ["h" * 200_000], None, "x", 5), (301, ["h" * 200_000], None, "x", 5)]
+    frame = spark.createDataFrame(rows, "id int, keys array<string>, listed boolean, __keys string, shard int")
+    block_list = spark.createDataFrame([(n,) for n in [*listed, *listed, "elsewhere"]] + [(None,)], "key string")
+    want = sorted((r[0], any(x in listed for x in r[1] or [])) for r in rows)
+    for shard_keys, most in ((1_000_000, 64 << 20), (60, 64 << 20), (60, 200)):
+        monkeypatch.setattr(url_cascade, "SHARD_KEYS", shard_keys)
+        monkeypatch.setattr(url_cascade, "BROADCAST_BYTES", most)
+        cascades = url_cascade.build_cascades(universe, block_list)
+        got = url_cascade.any_listed(frame, "keys", cascades)
+        assert sorted((r.id, r.listed) for r in got.collect()) == want and got.columns == ["id", "keys", "__keys", "shard", "listed"]
+        assert cascades.count() == (1 if shard_keys > 1000 else 11)
+    none = url_cascade.build_cascades(universe.limit(0), block_list.limit(0))
+    assert none.count() == 0 and not any(r.listed for r in url_cascade.any_listed(frame, "keys", none).collect())
+    assert url_cascade.any_listed(frame.limit(0), "keys", none).collect() == []
+
+
+def test_token_files_of_null_and_equal_ids(spark, monkeypatch):
+    """Documents of one id, or none, are dealt over files; starts follow the order of ids all the same."""
+    import public_tokenizers
+
+    from plumbline.llm import token_files
+
+    monkeypatch.setattr(token_files, "FILE_TEXT", 2000)
+    docs = [(None, f"null {k} " * 20) for k in range(40)] + [(5, f"five {k} " * 20) for k in range(40)] + [(k, None if k % 3 else "text") for k in range(10)]
+    frame = spark.createDataFrame([(*d, 1, "x") for d in docs], "doc_id long, text string, first int, file string")
+    work = Workspace(spark, "test-files")
+    manifest = token_files.write_token_files(frame, public_tokenizers.path("word_bpe_49k.json"), 1, work)
+    files = manifest.orderBy("file").collect()
+    assert len(files) > 5 and [f.first for f in files] == [sum(g.n_ids for g in files[:k]) for k in range(len(files))]
+    rows = token_files.read_token_files(manifest).orderBy("start").collect()
+    assert [r.doc_id for r in rows] == sorted((d[0] for d in docs), key=lambda x: (x is not None, x)) and len(rows) == 90
+    assert [r.start for r in rows] == [sum(x.n_tokens for x in rows[:k]) for k in range(90)] and all(r.ids[-1] == 1 for r in rows)
