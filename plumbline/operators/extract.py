@@ -5,12 +5,14 @@ from __future__ import annotations
 import json
 import re
 import time
+import urllib.error
+import urllib.request
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from typing import Protocol
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.specs import resolve_attribute
 from ..functions.text import strip_code_fences
@@ -96,6 +98,55 @@ class Fallback:
         return answer
 
 
+class ChatClient:
+    """A provider that answers chat requests as JSON over HTTP: {"model", "messages"} in, the first choice's message out.
+
+    A status of 400 or more, a refused connection and an answer of another form are errors of the client.
+    """
+
+    def __init__(self, url: str, model: str, key: str = "", seconds: float = 60.0):
+        self.url, self.model, self.key, self.seconds = url, model, key, seconds
+
+    def complete(self, prompt: str) -> str:
+        asked = json.dumps({"model": self.model, "messages": [{"role": "user", "content": prompt}], "temperature": 0}).encode()
+        headers = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {self.key}"} if self.key else {})
+        try:
+            with urllib.request.urlopen(urllib.request.Request(self.url, asked, headers), timeout=self.seconds) as answer:
+                return json.load(answer)["choices"][0]["message"]["content"]
+        except urllib.error.HTTPError as problem:
+            raise ClientError(f"status {problem.code}", problem.code) from problem
+        except OSError as problem:
+            raise ClientError(str(problem)) from problem
+        except (ValueError, LookupError, TypeError) as problem:
+            raise ClientError(f"unexpected answer: {problem}") from problem
+
+
+def setting(spark: SparkSession, name: str, default: str | None = None) -> str | None:
+    """The session's plumbline.<name>, or the default."""
+    return spark.conf.get(f"plumbline.{name}", default)
+
+
+def default_chain(spark: SparkSession) -> Callable[[], Client]:
+    """What makes the chain of the session's providers on an executor: the first is tried again on transient statuses, others once.
+
+    plumbline.providers names them in order, separated by commas; each has plumbline.<name>.url and .model, and may have .key and
+    .attempts. A provider without a url is left out; without any there is an error.
+    """
+    found = []
+    for name in (x.strip() for x in (setting(spark, "providers", "") or "").split(",")):
+        url = setting(spark, f"{name}.url") if name else None
+        if url:
+            tries = int(setting(spark, f"{name}.attempts", "1" if found else "3"))
+            found.append((url, setting(spark, f"{name}.model", "") or "", setting(spark, f"{name}.key", "") or "", tries))
+    if not found:
+        raise ValueError("no provider is set: name them in plumbline.providers, each with plumbline.<name>.url")
+
+    def make() -> Client:
+        return Fallback([Retrying(ChatClient(url, model, key), attempts=tries) if tries > 1 else ChatClient(url, model, key) for url, model, key, tries in found])
+
+    return make
+
+
 class KeyValueClient:
     """A deterministic client: `key: value` lines of the prompt's blocks become specifications."""
 

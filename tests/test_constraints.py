@@ -113,3 +113,50 @@ def test_documents_to_feeds(spark):
     fed = {r.doc_id: r for r in feeds.map_to_all(records).collect()}
     assert fed[1].schema_org.name == "Bolt" and fed[1].schema_org.dateModified == "2024-05-06T07:08:09+00:00" and len(fed[1].industrial.features) == 2 and fed[3].google.link == "http://3"
     assert flow.extract_documents(blocks.limit(0), files, make, "{canonical_names}", "{}")[0].collect() == []
+
+
+def test_chain_of_the_sessions_providers(spark):
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    asked = []
+
+    class Provider(BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            asked.append((self.path, body["model"], self.headers.get("Authorization")))
+            if self.path == "/busy":
+                self.send_error(503)
+                return
+            text = json.dumps({"choices": [{"message": {"content": f"{self.path} {body['messages'][0]['content']}"}}]} if self.path == "/good" else {"odd": 1}).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(text)
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Provider)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    at = f"http://127.0.0.1:{server.server_port}"
+    values = {"providers": "first, none, odd,second", "first.url": f"{at}/busy", "first.model": "m1", "first.attempts": "2", "odd.url": f"{at}/odd", "second.url": f"{at}/good", "second.model": "m2", "second.key": "k"}
+    with pytest.raises(ValueError):
+        extract.default_chain(spark)
+    for name, value in values.items():
+        spark.conf.set(f"plumbline.{name}", value)
+    try:
+        client = extract.default_chain(spark)()
+        client.clients[0].pause = 0
+        assert client.complete("hello") == "/good hello"
+        assert asked == [("/busy", "m1", None)] * 2 + [("/odd", "", None), ("/good", "m2", "Bearer k")]
+        spark.conf.set("plumbline.providers", "first,odd")
+        client = extract.default_chain(spark)()
+        client.clients[0].pause = 0
+        with pytest.raises(extract.ClientError, match="Retrying: status 503; ChatClient: unexpected answer"):
+            client.complete("x")
+    finally:
+        server.shutdown()
+        for name in values:
+            spark.conf.unset(f"plumbline.{name}")
+    with pytest.raises(extract.ClientError):
+        extract.ChatClient(f"{at}/good", "m", seconds=2).complete("x") if server.server_close() is None else None
