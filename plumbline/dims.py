@@ -57,6 +57,35 @@ REASONS = {
     "no_rule": "'{attribute}' is not in the attribute dictionary",
 }
 
+# Issues of feeds.
+ISSUES = {
+    "property": "required: additionalProperty entry missing name or value",
+    "name": "required: name is missing",
+    "image": "recommended: image is missing (Google Merchant Center requires it)",
+    "offers": "recommended: offers is missing (no price/availability data)",
+    "price_currency": "required: offers.priceCurrency is missing while offers.price is present",
+    "identifier": "recommended: at least one of sku/gtin/mpn should be present",
+    "id": "required: id is missing",
+    "title": "required: title is missing",
+    "description": "required: description is missing",
+    "link": "required: link is missing (no website-sourced URL available)",
+    "image_link": "required: image_link is missing",
+    "availability": "required: availability is missing or unrecognized",
+    "price": "required: price is missing (no price, no currency, or unrecognized currency)",
+    "brand": "required: at least one of brand+mpn, or gtin, must identify the product",
+    "condition": "recommended: condition is not set (no condition signal)",
+    "category": "recommended: google_product_category is not set (no taxonomy match implemented)",
+    "class_name": "recommended: class_name is missing (no predicted category)",
+    "class_code": "warning: class_code is set but no code table was available to validate it against",
+    "known_currency": "warning: offers.priceCurrency '{code}' is not a recognized ISO 4217 code",
+    "known_availability": "required: availability '{value}' is not a recognized value",
+    "feature_value": "required: feature '{name}' has no value",
+    "feature_unit": "recommended: feature '{name}' has a numeric value but no resolvable unit",
+}
+
+# Warnings of catalogue rows.
+WARNINGS = {"no_name": "row {row}: no product name (and no sku/mpn fallback), skipped", "no_price": "row {row}: could not parse price '{price}'"}
+
 # Unit -> (base unit, multiplier).
 UNITS = {
     "v": ("v", 1.0), "kv": ("v", 1000.0), "mv": ("v", 0.001), "a": ("a", 1.0), "ma": ("a", 0.001),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, functions as F
@@ -25,3 +26,9 @@ def lookup(table: Mapping[str, str | float], key: Column) -> Column:
 def filled(c: Column) -> Column:
     """Null for an empty string."""
     return F.when(c != "", c)
+
+
+def fill(text: str, **parts: Column) -> Column:
+    """A text with its {parts} filled in; null parts are empty."""
+    pieces = re.split(r"\{(\w+)\}", text)
+    return F.concat(*(F.coalesce(parts[t], F.lit("")) if k % 2 else F.lit(t) for k, t in enumerate(pieces)))

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, functions as F
 
 from .. import dims
 from ..dims import ALIASES, ATTRIBUTES, BY_NAME
-from .common import filled, let, lookup, strip
+from .common import fill, filled, let, lookup, strip
 from .text import significant_words
 from .units import base_unit, multiplier, parse_numeric
 
@@ -31,8 +29,7 @@ def shown(x: Column) -> Column:
 
 def said(reason: str, **parts: Column) -> Column:
     """A reason of dims.REASONS with its parts filled in; null parts are empty."""
-    texts = re.split(r"\{(\w+)\}", dims.REASONS[reason])
-    return F.trim(F.concat(*(F.coalesce(parts[t], F.lit("")) if k % 2 else F.lit(t) for k, t in enumerate(texts))))
+    return F.trim(fill(dims.REASONS[reason], **parts))
 
 
 def check_spec(attribute: Column, value: Column, unit: Column) -> Column:

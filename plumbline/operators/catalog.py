@@ -15,8 +15,9 @@ from .scans import running
 
 #: Headers that may be hit by similarity, with their targets; core columns without underscores, and the dictionary's aliases.
 FUZZY_CHOICES = [(k, v, "core") for k, v in dims.CORE_COLUMNS.items() if "_" not in k] + [(k, v, "spec") for k, v in dims.ALIASES.items() if k not in dims.BY_NAME]
+# The least similarity; rows that may be the header, points of a known header and of a filled cell, and of how many cells.
 FUZZY_LEAST = 0.9
-HEADER_WINDOW = 25
+HEADER_WINDOW, KNOWN, FILLED, MOST_FILLED = 25, 3.0, 0.15, 12
 LETTERS = "abcdefghijklmnopqrstuvwxyz0123456789 "
 
 
@@ -30,7 +31,7 @@ def detect_header(rows: DataFrame, keys: list[str]) -> DataFrame:
     full = F.filter("cells", lambda c: F.coalesce(strip(c), F.lit("")) != "")
     n_known, n_full = F.size(F.filter(full, known)), F.size(full)
     scored = rows.filter(F.col("row_index") < HEADER_WINDOW).select(*keys, "row_index", "cells", n_known.alias("n_known"), n_full.alias("n_full"))
-    rank = F.struct(F.when(F.col("n_known") > 0, 3.0 * F.col("n_known") + 0.15 * F.least("n_full", F.lit(12))).otherwise(0.0), F.col("n_full"), -F.col("row_index"))
+    rank = F.struct(F.when(F.col("n_known") > 0, KNOWN * F.col("n_known") + FILLED * F.least("n_full", F.lit(MOST_FILLED))).otherwise(0.0), F.col("n_full"), -F.col("row_index"))
     best = scored.groupBy(*keys).agg(F.max_by(F.struct("row_index", "cells", "n_known", "n_full"), rank).alias("b"))
     return best.filter((F.col("b.n_known") > 0) | (F.col("b.n_full") >= 2)).select(*keys, (F.col("b.row_index") + 1).alias("header_row"), F.col("b.cells").alias("headers"))
 

@@ -9,8 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..dims import AVAILABILITY, AVAILABILITY_IRI
-from ..functions.common import filled, let, lookup
+from ..dims import AVAILABILITY, AVAILABILITY_IRI, ISSUES
+from ..functions.common import fill, filled, let, lookup
 from ..functions.specs import confidence_bucket, expects_unit, is_known_currency, match_availability, normalize_currency, resolve_attribute
 from ..functions.text import iso8601
 from ..functions.units import normalized_value
@@ -52,14 +52,14 @@ def schema_org(r: DataFrame) -> Column:
 def schema_org_issues(d: Column) -> Column:
     offer = d["offers"]
     code = offer["priceCurrency"]
-    props = F.transform(F.filter(F.coalesce(d["additionalProperty"], F.array()), lambda p: (F.coalesce(p["name"], F.lit("")) == "") | (p["value_num"].isNull() & p["value_str"].isNull())), lambda p: F.lit("required: additionalProperty entry missing name or value"))
+    props = F.transform(F.filter(F.coalesce(d["additionalProperty"], F.array()), lambda p: (F.coalesce(p["name"], F.lit("")) == "") | (p["value_num"].isNull() & p["value_str"].isNull())), lambda p: F.lit(ISSUES["property"]))
     return F.concat(_issues(
-        F.when(F.coalesce(d["name"], F.lit("")) == "", "required: name is missing"),
-        F.when(d["image"].isNull(), "recommended: image is missing (Google Merchant Center requires it)"),
-        F.when(offer.isNull(), "recommended: offers is missing (no price/availability data)"),
-        F.when(offer["price"].isNotNull() & code.isNull(), "required: offers.priceCurrency is missing while offers.price is present"),
-        F.when(code.isNotNull() & ~is_known_currency(code), F.concat(F.lit("warning: offers.priceCurrency '"), code, F.lit("' is not a recognized ISO 4217 code"))),
-        F.when(d["sku"].isNull() & d["gtin"].isNull() & d["mpn"].isNull(), "recommended: at least one of sku/gtin/mpn should be present"),
+        F.when(F.coalesce(d["name"], F.lit("")) == "", ISSUES["name"]),
+        F.when(d["image"].isNull(), ISSUES["image"]),
+        F.when(offer.isNull(), ISSUES["offers"]),
+        F.when(offer["price"].isNotNull() & code.isNull(), ISSUES["price_currency"]),
+        F.when(code.isNotNull() & ~is_known_currency(code), fill(ISSUES["known_currency"], code=code)),
+        F.when(d["sku"].isNull() & d["gtin"].isNull() & d["mpn"].isNull(), ISSUES["identifier"]),
     ), props)
 
 
@@ -79,13 +79,13 @@ def google_item(r: DataFrame) -> Column:
 def google_issues(d: Column) -> Column:
     missing = lambda f: F.coalesce(d[f], F.lit("")) == ""
     return _issues(
-        F.when(missing("id"), "required: id is missing"), F.when(missing("title"), "required: title is missing"), F.when(missing("description"), "required: description is missing"),
-        F.when(missing("link"), "required: link is missing (no website-sourced URL available)"), F.when(missing("image_link"), "required: image_link is missing"),
-        F.when(missing("availability"), "required: availability is missing or unrecognized")
-        .when(~d["availability"].isin(sorted({v for _, v in AVAILABILITY})), F.concat(F.lit("required: availability '"), d["availability"], F.lit("' is not a recognized value"))),
-        F.when(missing("price"), "required: price is missing (no price, no currency, or unrecognized currency)"),
-        F.when(missing("brand") & missing("gtin") & missing("mpn"), "required: at least one of brand+mpn, or gtin, must identify the product"),
-        F.lit("recommended: condition is not set (no condition signal)"), F.lit("recommended: google_product_category is not set (no taxonomy match implemented)"),
+        F.when(missing("id"), ISSUES["id"]), F.when(missing("title"), ISSUES["title"]), F.when(missing("description"), ISSUES["description"]),
+        F.when(missing("link"), ISSUES["link"]), F.when(missing("image_link"), ISSUES["image_link"]),
+        F.when(missing("availability"), ISSUES["availability"])
+        .when(~d["availability"].isin(sorted({v for _, v in AVAILABILITY})), fill(ISSUES["known_availability"], value=d["availability"])),
+        F.when(missing("price"), ISSUES["price"]),
+        F.when(missing("brand") & missing("gtin") & missing("mpn"), ISSUES["brand"]),
+        F.lit(ISSUES["condition"]), F.lit(ISSUES["category"]),
     )
 
 
@@ -105,10 +105,10 @@ def industrial(r: DataFrame) -> Column:
 
 def industrial_issues(d: Column) -> Column:
     of = lambda f: F.array_compact(F.array(
-        F.when(f["value_num"].isNull() & f["value_str"].isNull(), F.concat(F.lit("required: feature '"), f["feature_name"], F.lit("' has no value"))),
-        F.when(f["value_num"].isNotNull() & (F.coalesce(f["unit"], F.lit("")) == "") & expects_unit(f["feature_name"]), F.concat(F.lit("recommended: feature '"), f["feature_name"], F.lit("' has a numeric value but no resolvable unit"))),
+        F.when(f["value_num"].isNull() & f["value_str"].isNull(), fill(ISSUES["feature_value"], name=f["feature_name"])),
+        F.when(f["value_num"].isNotNull() & (F.coalesce(f["unit"], F.lit("")) == "") & expects_unit(f["feature_name"]), fill(ISSUES["feature_unit"], name=f["feature_name"])),
     ))
-    return F.concat(_issues(F.when(F.coalesce(d["class_name"], F.lit("")) == "", "recommended: class_name is missing (no predicted category)"), F.when(d["class_code"].isNotNull(), "warning: class_code is set but no code table was available to validate it against")), F.flatten(F.transform(F.coalesce(d["features"], F.array()), of)))
+    return F.concat(_issues(F.when(F.coalesce(d["class_name"], F.lit("")) == "", ISSUES["class_name"]), F.when(d["class_code"].isNotNull(), ISSUES["class_code"])), F.flatten(F.transform(F.coalesce(d["features"], F.array()), of)))
 
 
 def map_to_all(records: DataFrame) -> DataFrame:

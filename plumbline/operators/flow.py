@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..dims import WARNINGS
+from ..functions.common import fill
 from ..functions.units import round2
 from . import catalog, feeds
 from .blocks import bounded_payload, prompts
@@ -35,9 +37,8 @@ def build_records(mapped: DataFrame, keys: list[str], reference: Column) -> Data
 
 def row_warnings(mapped: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, row_number, warning) of rows without a name and of prices that cannot be read; row_number is their order."""
-    row = F.concat(F.lit("row "), F.col("row_number").cast("string"), F.lit(": "))
-    nameless = F.concat(row, F.lit("no product name (and no sku/mpn fallback), skipped"))
-    unread = F.concat(row, F.lit("could not parse price '"), F.col("price"), F.lit("'"))
+    row = F.col("row_number").cast("string")
+    nameless, unread = fill(WARNINGS["no_name"], row=row), fill(WARNINGS["no_price"], row=row, price=F.col("price"))
     found = F.when(F.col("rejected"), nameless).when(F.col("price").isNotNull() & F.col("price_value").isNull(), unread)
     return mapped.select(*keys, "row_number", found.alias("warning")).filter("warning is not null")
 

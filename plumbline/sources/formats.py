@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..dims import ALIASES, CORE_COLUMNS
 
-WINDOW = 25
+# Rows that may be the header, points of a known header and of a filled cell, and of how many cells.
+WINDOW, KNOWN, FILLED, MOST_FILLED = 25, 3, 0.15, 12
 
 
 def _header_score(cells: list[str | None]) -> float:
@@ -30,7 +31,7 @@ def _header_score(cells: list[str | None]) -> float:
     normal = lambda c: re.sub(r"[^a-z0-9]+", " ", c.lower()).strip()
     key = lambda c: c.strip().lower()
     known = sum(normal(c) in CORE_COLUMNS or key(c) in ALIASES or key(c).replace(" ", "_") in ALIASES or key(c).replace("_", " ") in ALIASES for c in full)
-    return 3 * known + 0.15 * min(len(full), 12) if known else 0.0
+    return KNOWN * known + FILLED * min(len(full), MOST_FILLED) if known else 0.0
 
 
 def choose_header(rows: list[list[str | None]]) -> tuple[int | None, float]:

@@ -186,6 +186,7 @@ def test_catalog_flow(spark, tmp_path):
     got = feeds.map_to_all(records).orderBy("row_number").collect()
     assert [(r["product_name"], r["overall_confidence"], r["google"]["price"], r["sources"][0]["reference"]) for r in got] == [("Terminal Block", 0.83, "67.55 USD", "demo.csv"), ("Lock Nut", 0.85, None, "demo.csv")]
     assert (got[1]["price"]["value"], got[1]["price"]["currency"], got[0]["category"]["confidence"]) == (None, "USD", 1.0)
+    # Warnings of rows
     want = ["row 2: could not parse price 'call'", "row 3: no product name (and no sku/mpn fallback), skipped"]
     assert [r["warning"] for r in warnings.orderBy("row_number").collect()] == want
 
