@@ -462,3 +462,19 @@ def test_token_files_of_null_and_equal_ids(spark, monkeypatch):
     rows = token_files.read_token_files(manifest).orderBy("start").collect()
     assert [r.doc_id for r in rows] == sorted((d[0] for d in docs), key=lambda x: (x is not None, x)) and len(rows) == 90
     assert [r.start for r in rows] == [sum(x.n_tokens for x in rows[:k]) for k in range(90)] and all(r.ids[-1] == 1 for r in rows)
+
+
+def test_url_rules_of_the_contract(spark, tmp_path):
+    """Each rule's own action: the two of net are the other way round than those of com."""
+    from plumbline.llm import q_url_filters
+
+    want = {
+        "http://example.com/en/1": ("com/en/", "block"), "http://www.example.com/en/71?x": ("example.com/en/7", "allow"), "http://spam-farm.example.com/en/7": ("example.com/en/7", "allow"),
+        "http://other.net/de/8": ("net/de/", "allow"), "http://example.net/de/1": ("net/de/", "allow"), "http://ads-track.example.net/de/7": ("net/de/", "allow"),
+        "http://example.net/de/8": ("example.net/de/8", "block"), "HTTP://M.Example.NET/de/80#top": ("example.net/de/8", "block"), "http://example.org/es/": ("org/es/", "block"),
+        "http://example.net/de": (None, "allow"), "http://x.ads-track.example.net/de": (None, "block"), "http://example.network/de/8": (None, "allow"), None: (None, "allow"),
+    }
+    frame = spark.createDataFrame(list(enumerate(want)), "page_id long, url string")
+    frame.write.parquet(str(tmp_path / "pages.parquet"))
+    got = q_url_filters.query(spark, str(tmp_path)).join(frame.select("page_id", "url"), "page_id").collect()
+    assert {r.url: (r.rule, r.verdict) for r in got} == want
