@@ -478,3 +478,23 @@ def test_url_rules_of_the_contract(spark, tmp_path):
     frame.write.parquet(str(tmp_path / "pages.parquet"))
     got = q_url_filters.query(spark, str(tmp_path)).join(frame.select("page_id", "url"), "page_id").collect()
     assert {r.url: (r.rule, r.verdict) for r in got} == want
+
+
+def test_spelling_variants_broadcast_nothing(spark, monkeypatch):
+    """By its file's size a vocabulary would be broadcast, through the driver; every join is to shuffle instead."""
+    from plumbline.llm import _shared, spelling
+
+    plans = []
+    write = _shared.Workspace.write
+
+    def noted(self, df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(self, df, name)
+
+    monkeypatch.setattr(_shared.Workspace, "write", noted)
+    words = spark.createDataFrame([(w,) for w in ["colour"] * 9 + ["colours"] * 4 + ["coluor", "colout"] * 3 + ["other"] * 3], "word string")
+    out = spelling.spelling_variants(words)
+    plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert spark.conf.get("spark.sql.autoBroadcastJoinThreshold") != "-1" and sum("SortMergeJoin" in p for p in plans) >= 3
+    assert not [p for p in plans if "Broadcast" in p]
+    assert {(r.word, r.form, r.root, r.n_near) for r in out.collect()} == {("colour", None, "colour", 2), ("colours", "colour", "colour", 1), ("colout", "colour", "colour", 1), ("coluor", None, "coluor", 0), ("other", None, "other", 0)}
