@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.units import comparable, round2
+from ..sources.tables import kept
 
 
 def renumber_sources(sources: DataFrame) -> DataFrame:
@@ -30,7 +31,12 @@ def conflicts(specs: DataFrame) -> DataFrame:
     The least and the greatest key of each attribute are aggregated before the shuffle; values are gathered only where
     those two differ, so an attribute on which any number of specs agree costs a row a task.
     """
-    keyed = specs.select("product", "attribute", comparable(F.col("value"), F.col("unit")).alias("key"), "record_ord", "pos", "value", "reference")
+    return _conflicts(specs.withColumn("key", comparable(F.col("value"), F.col("unit"))))
+
+
+def _conflicts(specs: DataFrame) -> DataFrame:
+    """conflicts of specs that have their comparable values as `key`."""
+    keyed = specs.select("product", "attribute", "key", "record_ord", "pos", "value", "reference")
     ends = keyed.groupBy("product", "attribute").agg(F.min("key").alias("low"), F.max("key").alias("high")).filter("low <> high").select("product", "attribute")
     told = keyed.join(ends, ["product", "attribute"], "left_semi").groupBy("product", "attribute").agg(F.array_sort(F.collect_list(F.struct("record_ord", "pos", "value", "reference", "key"))).alias("s"))
     part = lambda f: F.transform("s", lambda x: x[f])
@@ -109,7 +115,8 @@ def merge_records(records: DataFrame, fill: bool = False) -> DataFrame:
     where an attribute's comparable values differ, `conflicts` has (attribute, values, sources), in the order in which
     attributes come first, and its specifications need review. overall_confidence is the mean of all specifications to two
     places, the base's own without any. Records of one product and record_ord must not repeat; null arrays are empty; a
-    null product is a product. The result's arrays hold what the product's records hold: they meet by product, and
+    null product is a product. `records` is read once for each part of the result, so what costs much to work out is to be
+    written first; the pooled specifications are, to the shared folder. The result's arrays hold what the product's records hold: they meet by product, and
     nothing else does.
     """
     records = records.withColumn("product", F.struct("product"))  # never null, so null products meet
@@ -117,8 +124,8 @@ def merge_records(records: DataFrame, fill: bool = False) -> DataFrame:
     flat = specs.select("product", "record_ord", "pos", "s.attribute", "s.value", "s.unit", "s.confidence", "s.status", F.col("s.source.reference").alias("reference"), F.col("s.source").alias("source"))
     sources = records.select("product", "record_ord", F.posexplode("sources").alias("pos", "x")).select("product", "record_ord", "pos", "x.id", "x.type", F.col("x.reference").alias("reference"))
     renumbered = renumber_sources(sources)
-    pooled = pool_specs(flat, renumbered)
-    found = conflicts(pooled)
+    pooled = kept(pool_specs(flat, renumbered).withColumn("key", comparable(F.col("value"), F.col("unit"))), "pooled")
+    found = _conflicts(pooled)
     flagged = flag_conflicts(pooled, found)
     cited = F.when(F.col("source").isNotNull(), F.struct(F.col("source.type").alias("type"), F.col("reference").alias("reference"), F.col("source.snippet").alias("snippet")))
     spec = F.struct("record_ord", "pos", F.struct("attribute", "value", "unit", "confidence", "status", cited.alias("source")).alias("spec"))
@@ -131,7 +138,7 @@ def merge_records(records: DataFrame, fill: bool = False) -> DataFrame:
         flagged.groupBy("product").agg(listed(spec, "specifications", "spec")),
         renumbered.groupBy("product").agg(listed(F.struct("record_ord", "pos", F.struct(F.col("new_id").alias("id"), "type", "reference").alias("source")), "sources", "source")),
         found.join(places, ["product", "attribute"]).groupBy("product").agg(listed(conflict, "conflicts", "conflict")),
-        merged_confidence(flat),
+        merged_confidence(pooled),
     ]
     base, *others = by_product
     joined = base

@@ -37,6 +37,13 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     return f"{root.rstrip('/')}/plumbline/{label}-{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame, label: str = "kept") -> DataFrame:
+    """The table, written to the shared folder and read back, so that nothing works it out again."""
+    at = scratch_dir(df.sparkSession, label)
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 class Files:
     """The few file operations that commits need, on any file system that Hadoop reaches."""
 
