@@ -8,6 +8,7 @@ from ..dims import UNGROUNDED_PENALTY
 from ..functions.text import block_id, iso8601
 from ..operators import feeds, flow, merge
 from ..operators.constraints import INTEGER, NUMBER, OBJECT, STRING, Constraint, faults, told
+from ..sources.tables import kept
 from .base import CHECKED_SQL, LINES_SQL, POOLED_SQL, WORDS, lines, paired_records, query, table
 
 #: Two places of `x` by its binary value, as in base.OVERALL_SQL, from a table that has x and t = round(x * 200).
@@ -46,7 +47,7 @@ def q_merged_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT product, n_specs, n_review, n_conflicts, overall_confidence, CASE WHEN overall_confidence >= 0.8 THEN 'high' WHEN overall_confidence >= 0.5 THEN 'medium' ELSE 'low' END AS custom_label_0, n_specs AS n_features FROM (SELECT *, {ROUND2} AS overall_confidence FROM means)""")
 def q_resolved_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The merged records after decisions on some lengths, and what their feeds then say."""
-    merged = merge.merge_records(paired_records(spark, sf_dir))
+    merged = kept(merge.merge_records(paired_records(spark, sf_dir)))
     decisions = merged.filter("product % 4 = 0").select("product", F.lit("length").alias("attribute"), F.lit(1).alias("winner"))
     fed = feeds.map_to_all(merge.resolve_records(merged, decisions))
     review = F.size(F.filter("specifications", lambda s: s["status"] == "needs_review"))

@@ -9,3 +9,10 @@ def test_merged_records_score_once(spark):
     """The parts of a merge read written records, and none goes back to the table to score it again."""
     frame = registry.queries()["q_merged_records"](spark, SF)
     assert frame.inputFiles() and not [f for f in frame.inputFiles() if "part.parquet" in f]
+
+
+def test_resolved_records_merge_once(spark):
+    """Decisions are taken from merged records that are written, so that they are not merged once more for them."""
+    frame = registry.queries()["q_resolved_records"](spark, SF)
+    plan = frame._jdf.queryExecution().optimizedPlan().toString()
+    assert not [f for f in frame.inputFiles() if "part.parquet" in f] and "collect_list(struct(record_ord" not in plan
