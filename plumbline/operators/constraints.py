@@ -57,7 +57,7 @@ def _check(value: Column, shown: Column, c: Constraint) -> Column:
     return let(fault, lambda f: F.when(f.isNotNull(), F.array(F.struct(shown.alias("path"), f.alias("fault")))).otherwise(F.array().cast(_FAULTS)))
 
 
-def _walk(value: Column, steps: list[str], shown: Column, c: Constraint) -> Column:
+def _walk(value: Column, steps: list[str], shown: Column, c: Constraint, is_object: bool = False) -> Column:
     if not steps:
         return _check(value, shown, c)
     step, rest = steps[0], steps[1:]
@@ -66,7 +66,9 @@ def _walk(value: Column, steps: list[str], shown: Column, c: Constraint) -> Colu
         return F.flatten(F.transform(elements, lambda x, i: _walk(x, rest, F.concat(shown, F.lit("["), i.cast("string"), F.lit("]")), c)))
     child = F.try_variant_get(value, f"$['{step}']", "variant")
     named = F.when(shown == "", F.lit(step)).otherwise(F.concat(shown, F.lit("."), F.lit(step)))
-    inner = _walk(child, rest, named, c)
+    inner = let(child, lambda x: _walk(x, rest, named, c))
+    if is_object:
+        return inner
     # a parent that is no object has no fields to be at fault
     return F.when(F.coalesce(F.schema_of_variant(value).rlike(_TYPES[OBJECT]), F.lit(False)), inner).otherwise(F.array().cast(_FAULTS))
 
@@ -76,7 +78,7 @@ def faults(value: Column, constraints: Iterable[Constraint]) -> Column:
     found = []
     for c in constraints:
         steps = [s for part in c.path.split(".") for s in re.split(r"(\[\])", part) if s]
-        found.append(_walk(value, steps, F.lit(""), c))
+        found.append(_walk(value, steps, F.lit(""), c, is_object=steps[0] != "[]"))  # as `faults` asks before it looks further
     none = F.array(F.struct(F.lit("").alias("path"), F.lit("is not JSON").alias("fault")))
     root = F.array(F.struct(F.lit("").alias("path"), F.lit("is not an object").alias("fault")))
     whole = F.concat(*found) if found else F.array().cast(_FAULTS)

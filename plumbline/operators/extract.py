@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.specs import resolve_attribute
 from ..functions.text import strip_code_fences
-from ..sources.tables import scratch_dir
+from ..sources import tables
 from .constraints import RECORD, faults, told
 
 TRANSIENT = frozenset({429, 500, 502, 503, 504})
@@ -208,19 +208,20 @@ def extract_records(prompts: DataFrame, make_client: Callable[[], Client], doc:
     """
     keep = keep or kept
 
+    good = F.col("answer").isNotNull() & F.col("faults").isNull()
+    error = F.coalesce("error", F.concat(F.lit("invalid record: "), F.col("faults")))
+    fields = [F.when(good, c).alias(name) for c, name in zip(record_fields(F.col("value")), FIELDS)]
+
     def judged(answers: DataFrame, tries: int) -> DataFrame:
+        """Answers with their faults and fields, written, as a filter on faults would work both out again."""
         value = F.try_parse_json(strip_code_fences(F.col("answer")))
         rows = answers.withColumn("value", value).withColumn("faults", F.when(F.col("answer").isNotNull(), told(faults(F.col("value"), RECORD))))
-        return rows.withColumn("attempts", F.lit(tries))
+        return keep(rows.select(doc, *fields, F.lit(tries).alias("attempts"), error.alias("error"), F.when(F.col("faults").isNotNull(), F.col("prompt")).alias("prompt"), "faults"))
 
     first = judged(keep(ask(prompts, make_client, doc)), 1)
     again = F.concat(F.coalesce("prompt", F.lit("")), F.lit("\n\nThe last answer was not valid ("), F.col("faults"), F.lit("). Answer with one valid JSON object only."))
     second = judged(keep(ask(first.filter("faults is not null").select(doc, again.alias("prompt")), make_client, doc)), 2)
-    rows = first.filter("faults is null").unionByName(second)
-    good = F.col("answer").isNotNull() & F.col("faults").isNull()
-    error = F.coalesce("error", F.concat(F.lit("invalid record: "), F.col("faults")))
-    fields = [F.when(good, c).alias(name) for c, name in zip(record_fields(F.col("value")), FIELDS)]
-    return rows.select(doc, *fields, "attempts", error.alias("error"))
+    return first.filter("faults is null").unionByName(second).select(doc, *FIELDS, "attempts", "error")
 
 
 FIELDS = ["product_name", "product_id", "brand", "description", "category", "identifiers", "images", "price", "availability", "specifications"]
@@ -228,6 +229,4 @@ FIELDS = ["product_name", "product_id", "brand", "description", "category", "ide
 
 def kept(df: DataFrame) -> DataFrame:
     """The table, written to the shared folder and read back."""
-    at = scratch_dir(df.sparkSession, "answers")
-    df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+    return tables.kept(df, "answers")

@@ -8,7 +8,7 @@ from ..functions.specs import classify_spec, grounded
 from ..functions.text import block_id, iso8601, normalize_whitespace, significant_words, snippet, split_on_match, strip_code_fences
 from ..operators import blocks, citations, compare, extract, links, merge, validate
 from ..sources.formats import html_blocks
-from .base import LINES_SQL, OFFERS_SQL, WORDS, lines, offers, query, table
+from .base import LINES_SQL, OFFERS_SQL, WORDS, lines, offers, query, spread, table
 
 @query(f"SELECT item_id, len({WORDS.format('text')}) AS n_words, list_sum(list_transform({WORDS.format('text')}, lambda w: length(w)))::BIGINT AS chars FROM benchmark")
 def q_significant_words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,7 +205,7 @@ def q_outside_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def q_extract_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = table(spark, sf_dir, "part")
+    parts = spread(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_size"), "p_partkey")
     text = F.concat(F.lit("Content blocks:\n[b0000] TEXT: Product name: "), "p_name", F.lit("\n\n[b0001] TEXT: Rated Voltage: "), F.col("p_size").cast("string"), F.lit("V\n"))
     prompts = parts.select(F.col("p_partkey").alias("doc_id"), F.when(F.col("p_partkey") % 10 != 0, text).otherwise("Content blocks:\n").alias("prompt"))
     found = extract.extract_records(prompts, lambda: extract.Retrying(extract.Fallback([extract.KeyValueClient()]), pause=0))
